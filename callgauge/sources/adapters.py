@@ -1,0 +1,130 @@
+"""Deterministic adapters from the shared test tables to the canonical tables of
+the data model (inference events, messages, conversations, envelopes, stream
+chunks, error and queue logs).
+
+Every adapter is a narrow projection over one scan, so it inherits the scan's
+partitioning, prunes columns and keeps filters pushable. The same rules are
+written in DuckDB SQL in ``callgauge.plans.oracle`` so both engines see the
+same rows.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from callgauge.sources.tables import read_table
+
+# Adapter parameters (fixture definition).
+EPOCH_2024_US = 1704067200000000          # 2024-01-01T00:00:00Z in microseconds
+DENSE_FACTOR = 120                        # 30 days squeezed into 6 hours
+DENSE_AS_OF = "2024-01-01 06:00:00"       # as_of for 15m / 1h / 6h over the dense table
+RAW_AS_OF = "2024-01-30 12:00:00"         # as_of for 24h / 7d over the raw table
+ERROR_KINDS = ["rate_limit", "timeout", "server_error", "context_length", "network"]
+
+
+def inference_events(spark: SparkSession, sf_dir: str, dense: bool = False) -> DataFrame:
+    """Canonical ``inference_events`` rows derived from the ``events`` table.
+
+    ``dense=True`` squeezes the 30 days into 6 hours so minute rollups compress.
+    Cost and pricing version are *not* set here: pricing is the job of
+    :func:`callgauge.operators.enrich.price_events`.
+    """
+    ev = read_table(spark, sf_dir, "events")
+    src = ev.selectExpr("*", "CAST(get_json_object(props, '$.k') AS INT) AS k",
+                        "unix_micros(CAST(ts AS TIMESTAMP)) AS us", "event_id % 20 AS m")
+    created = (f"timestamp_micros({EPOCH_2024_US} + ((us - {EPOCH_2024_US}) div {DENSE_FACTOR}))"
+               if dense else "timestamp_micros(us)")
+    kinds = ", ".join(f"'{e}'" for e in ERROR_KINDS)
+    return src.selectExpr(
+        "CAST(event_id AS STRING) AS event_id",
+        f"{created} AS created_at",
+        "event_id % 97 AS conversation_id",
+        "event_id % 8 AS message_turn",
+        "concat('s-', CAST(user_id % 40 AS STRING)) AS session_id",
+        "CAST(user_id AS STRING) AS user_id",
+        "CASE WHEN m < 15 OR m = 18 THEN 'anthropic' WHEN m < 18 THEN 'openai' ELSE 'acme' END AS provider",
+        "CASE WHEN m < 10 THEN 'claude-opus-5' WHEN m < 15 THEN 'claude-haiku-4-5' "
+        "WHEN m < 18 THEN 'gpt-4.1' WHEN m = 18 THEN 'claude-haiku-4-5-20251001' "
+        "ELSE 'acme-unknown-1' END AS model",
+        "'chat' AS operation",
+        "event_type IN ('click', 'view') AS streamed",
+        "CASE WHEN k % 10 = 0 THEN 'loader' WHEN k % 10 = 1 THEN 'manual' ELSE 'proxy' END AS captured_by",
+        "CASE WHEN event_type = 'error' THEN 'error' "
+        "WHEN event_type = 'signup' AND k < 20 THEN 'cancelled' ELSE 'ok' END AS status",
+        f"CASE WHEN event_type = 'error' AND k % 6 < 5 THEN element_at(array({kinds}), k % 6 + 1) END "
+        "AS error_type",
+        "CASE WHEN event_type = 'error' AND k % 7 <> 0 THEN concat('synthetic failure ', CAST(k AS STRING)) "
+        "END AS error_message",
+        "CAST(floor(value * 40) AS INT) AS latency_ms",
+        "CASE WHEN event_type IN ('click', 'view') THEN CAST(floor(value * 12) AS INT) END AS ttft_ms",
+        "CASE WHEN k < 90 THEN CAST(120 + (event_id * 37) % 900 AS INT) END AS input_tokens",
+        "CASE WHEN k < 90 THEN CAST(60 + (event_id * 53) % 700 AS INT) END AS output_tokens",
+        "CASE WHEN k % 10 < 3 THEN CAST((event_id * 37) % 540 AS INT) END AS cache_read_tokens",
+        "CAST(NULL AS INT) AS cache_write_tokens",
+        "CAST(CASE WHEN k % 11 = 0 THEN k % 4 ELSE 0 END AS INT) AS redaction_hits",
+        "timestamp_micros(us) AS client_ts",
+        "timestamp_micros(us + (event_id * 13 % 5000 - 100) * 1000) AS ingested_at",
+        "concat('0.1.', CAST((event_id div 50) % 3 AS STRING)) AS sdk_version",
+        "1 AS schema_version",
+    )
+
+
+def as_of_for(range_key: str) -> str:
+    """The fixture's "now" for a range: dense table for short ranges, raw for long."""
+    return DENSE_AS_OF if range_key in ("15m", "1h", "6h") else RAW_AS_OF
+
+
+def dense_for(range_key: str) -> bool:
+    return range_key in ("15m", "1h", "6h")
+
+
+def replay_input(events: DataFrame) -> DataFrame:
+    """At-least-once delivery: every tenth event is delivered twice."""
+    return events.unionByName(events.filter(F.col("event_id").cast("bigint") % 10 == 0))
+
+
+def messages(spark: SparkSession, sf_dir: str, placeholders: bool = True) -> DataFrame:
+    """``messages`` (conversation_id, seq, role, content, is_complete, created_at).
+
+    seq = turn + 1. Conversations with conv_id % 9 = 0 get one empty, incomplete
+    assistant placeholder after their last turn (an in-flight reply).
+    """
+    conv = read_table(spark, sf_dir, "conversations")
+    base = conv.select(
+        F.col("conv_id").alias("conversation_id"),
+        (F.col("turn") + 1).alias("seq"),
+        F.col("role"),
+        F.col("text").alias("content"),
+        F.lit(True).alias("is_complete"),
+        F.timestamp_micros(F.lit(EPOCH_2024_US) + F.col("conv_id") * 60_000_000
+                           + F.col("turn") * 1_000_000).alias("created_at"),
+    )
+    if not placeholders:
+        return base
+    last = (conv.filter(F.col("conv_id") % 9 == 0)
+            .groupBy("conv_id").agg(F.max("turn").alias("turn")))
+    ph = last.select(
+        F.col("conv_id").alias("conversation_id"),
+        (F.col("turn") + 2).alias("seq"),
+        F.lit("assistant").alias("role"),
+        F.lit("").alias("content"),
+        F.lit(False).alias("is_complete"),
+        F.timestamp_micros(F.lit(EPOCH_2024_US) + F.col("conv_id") * 60_000_000
+                           + (F.col("turn") + 1) * 1_000_000).alias("created_at"),
+    )
+    return base.unionByName(ph)
+
+
+def conversation_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``conversations`` (id, user_id, title, status, created_at): one row per thread."""
+    conv = read_table(spark, sf_dir, "conversations")
+    ids = conv.select("conv_id").distinct()
+    cid = F.col("conv_id")
+    return ids.select(
+        cid.alias("id"),
+        F.when(cid % 11 == 0, F.lit(None).cast("string")).otherwise((cid % 7).cast("string")).alias("user_id"),
+        F.lit(None).cast("string").alias("title"),
+        F.when(cid % 13 == 0, "deleted").when(cid % 13 == 1, "archived").otherwise("active").alias("status"),
+        F.timestamp_micros(F.lit(EPOCH_2024_US) + cid * 60_000_000).alias("created_at"),
+    )
