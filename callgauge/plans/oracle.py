@@ -413,3 +413,108 @@ ORACLE: dict = {
 }
 for _r in ("15m", "1h", "6h", "24h", "7d"):
     ORACLE[f"timeseries_{_r}"] = timeseries_sql(_r)
+
+
+# ---------------------------------------------------------------------------
+# Redaction
+# ---------------------------------------------------------------------------
+
+def redaction_input_cte(name: str = "rin") -> str:
+    from callgauge.sources.adapters import REDACTION_LITERALS
+    rows = ", ".join(f"({-(i + 1)}, 'fixture', {_q(t)})" for i, t in enumerate(REDACTION_LITERALS))
+    return (f"{name} AS (SELECT doc_id, source, text FROM documents UNION ALL "
+            f"SELECT * FROM (VALUES {rows}) v(doc_id, source, text))")
+
+
+def _q(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def _kinds():
+    from callgauge.functions.redact import KINDS
+    return [k.lower() for k in KINDS]
+
+
+def redact_text_sql() -> str:
+    from callgauge.plans.oracle_redact import redaction_ctes
+    ctes, fin = redaction_ctes("rin", "text", "redacted")
+    cols = ", ".join(f"redacted_{k}" for k in _kinds())
+    return f"WITH {redaction_input_cte()},\n{ctes}\nSELECT doc_id, redacted_text, redacted_hits, {cols} FROM {fin}"
+
+
+def _audit_sql(kind: str) -> str:
+    from callgauge.functions.redact import DETECTORS_JS, js_to_re2
+    from callgauge.plans.oracle_redact import luhn_duck, ssn_duck
+    pat = dict(DETECTORS_JS)[kind]
+    check = luhn_duck("m") if kind == "CARD" else ssn_duck("m")
+    name = "luhn_ok" if kind == "CARD" else "issuable"
+    return f"""
+WITH {redaction_input_cte()},
+m AS (SELECT source, unnest(regexp_extract_all(text, {_q(js_to_re2(pat))}, 0)) AS m FROM rin)
+SELECT source, {check} AS {name}, count(*) AS runs, count(DISTINCT m) AS distinct_runs
+FROM m GROUP BY 1, 2"""
+
+
+def card_audit_sql() -> str:
+    return _audit_sql("CARD")
+
+
+def ssn_audit_sql() -> str:
+    return _audit_sql("SSN")
+
+
+def preview_text_sql(n: int = 300) -> str:
+    from callgauge.plans.oracle_redact import redaction_ctes
+    ctes, fin = redaction_ctes("rin", "text", "pv")
+    return f"""
+WITH {redaction_input_cte()},
+{ctes}
+SELECT doc_id,
+       CASE WHEN text IS NULL OR text = '' THEN NULL
+            WHEN length(pv_text) <= {n} THEN pv_text
+            ELSE substring(pv_text, 1, {n}) || '…' END AS preview,
+       CASE WHEN text IS NULL OR text = '' THEN 0 ELSE pv_hits END AS preview_hits
+FROM {fin}"""
+
+
+def redaction_by_kind_sql() -> str:
+    from callgauge.plans.oracle_redact import redaction_ctes
+    ctes, fin = redaction_ctes("rin", "text", "redacted")
+    return f"""
+WITH {redaction_input_cte()},
+{ctes},
+t AS (SELECT unnest(regexp_extract_all(redacted_text, '\\[([A-Z]+):([0-9a-f]{{8}})\\]', 0)) AS tok FROM {fin})
+SELECT regexp_extract(tok, '^\\[([A-Z]+):', 1) AS kind, count(*) AS tokens, count(DISTINCT tok) AS distinct_tokens
+FROM t GROUP BY 1"""
+
+
+def redaction_second_pass_sql(n: int = 300) -> str:
+    from callgauge.plans.oracle_redact import redaction_ctes
+    c1, f1 = redaction_ctes("pairs", "input_text", "pin")
+    c2, f2 = redaction_ctes(f1, "output_text", "pout")
+    return f"""
+WITH pairs AS (
+  SELECT a.conv_id, a.turn, u.text AS input_text, a.text AS output_text, 0 AS sdk_hits
+  FROM conversations a LEFT JOIN conversations u ON u.conv_id = a.conv_id AND u.turn = a.turn - 1
+  WHERE a.role = 'assistant'
+),
+{c1},
+{c2}
+SELECT conv_id, turn,
+       CASE WHEN input_text IS NULL OR input_text = '' THEN NULL
+            WHEN length(pin_text) <= {n} THEN pin_text ELSE substring(pin_text, 1, {n}) || '…' END AS input_preview,
+       CASE WHEN output_text IS NULL OR output_text = '' THEN NULL
+            WHEN length(pout_text) <= {n} THEN pout_text ELSE substring(pout_text, 1, {n}) || '…' END AS output_preview,
+       sdk_hits + CASE WHEN input_text IS NULL OR input_text = '' THEN 0 ELSE pin_hits END
+                + CASE WHEN output_text IS NULL OR output_text = '' THEN 0 ELSE pout_hits END AS redaction_hits
+FROM {f2}"""
+
+
+ORACLE.update({
+    "redact_text": redact_text_sql(),
+    "card_audit": card_audit_sql(),
+    "ssn_audit": ssn_audit_sql(),
+    "preview_text": preview_text_sql(),
+    "redaction_by_kind": redaction_by_kind_sql(),
+    "redaction_second_pass": redaction_second_pass_sql(),
+})

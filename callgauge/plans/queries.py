@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from callgauge.functions.histogram import bucket_index, hist_sum, histogram_of, with_percentiles
 from callgauge.functions.histogram import hist_add
 from callgauge.functions.timebin import PLAIN, fmt
-from callgauge.operators import enrich, metrics, rollup
+from callgauge.operators import enrich, metrics, redaction, rollup
 from callgauge.sources import adapters
+from callgauge.sources.tables import read_table
 
 REGISTRY: dict = {}
 
@@ -201,3 +202,45 @@ def q_rollup_vs_raw_gap(spark, sf_dir):
 def q_mean_latency_ttft(spark, sf_dir):
     dense, as_of = _rng("6h")
     return metrics.mean_latency_ttft(rollup_table(spark, sf_dir, dense), "6h", as_of)
+
+
+# --- C: redaction -----------------------------------------------------------
+
+@register("redact_text")
+def q_redact_text(spark, sf_dir):
+    return redaction.redact_text(adapters.redaction_input(spark, sf_dir))
+
+
+@register("card_audit")
+def q_card_audit(spark, sf_dir):
+    return redaction.card_audit(adapters.redaction_input(spark, sf_dir))
+
+
+@register("ssn_audit")
+def q_ssn_audit(spark, sf_dir):
+    return redaction.ssn_audit(adapters.redaction_input(spark, sf_dir))
+
+
+@register("preview_text")
+def q_preview_text(spark, sf_dir):
+    return redaction.preview_text(adapters.redaction_input(spark, sf_dir))
+
+
+@register("redaction_by_kind")
+def q_redaction_by_kind(spark, sf_dir):
+    return redaction.redaction_by_kind(redaction.redact_text(adapters.redaction_input(spark, sf_dir)))
+
+
+@register("redaction_second_pass")
+def q_redaction_second_pass(spark, sf_dir):
+    """Each assistant turn as one call: the preceding user turn is its input,
+    the assistant text its output."""
+    conv = read_table(spark, sf_dir, "conversations")
+    a = conv.filter("role = 'assistant'").alias("a")
+    u = conv.select("conv_id", "turn", "text").alias("u")
+    pairs = a.join(u, (F.col("u.conv_id") == F.col("a.conv_id")) & (F.col("u.turn") == F.col("a.turn") - 1),
+                   "left").select(F.col("a.conv_id").alias("conv_id"), F.col("a.turn").alias("turn"),
+                                  F.col("u.text").alias("input_text"), F.col("a.text").alias("output_text"),
+                                  F.lit(0).alias("redaction_hits"))
+    return redaction.redaction_second_pass(pairs, "both").select(
+        "conv_id", "turn", "input_preview", "output_preview", "redaction_hits")
