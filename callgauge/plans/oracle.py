@@ -518,3 +518,155 @@ ORACLE.update({
     "redaction_by_kind": redaction_by_kind_sql(),
     "redaction_second_pass": redaction_second_pass_sql(),
 })
+
+
+# ---------------------------------------------------------------------------
+# Envelopes / validation: expected verdicts derived from the fixture's
+# mutation codes (event_id % 101, batch % 53), not from a second validator.
+# ---------------------------------------------------------------------------
+
+def wire_cte() -> str:
+    return f"""{ie_cte(False)},
+w AS (
+  SELECT CAST(event_id AS BIGINT) AS id, CAST(event_id AS BIGINT) // 50 AS batch_id,
+         CAST(event_id AS BIGINT) % 50 AS position, CAST(event_id AS BIGINT) % 101 AS mut,
+         (CAST(event_id AS BIGINT) // 50) % 53 NOT IN (1, 2) AS env_ok,
+         '0.1.' || CAST((CAST(event_id AS BIGINT) // 50) % 3 AS VARCHAR) AS sdk_version,
+         CASE WHEN CAST(event_id AS BIGINT) % 101 = 7 THEN 'not-a-uuid'
+              ELSE '00000000-0000-7000-8000-' || lpad(event_id, 12, '0') END AS wire_id,
+         *
+  FROM ie
+),
+wv AS (
+  SELECT *, mut NOT BETWEEN 1 AND 9 AS ev_ok,
+         CASE mut WHEN 1 THEN ['latencyMs'] WHEN 2 THEN ['<root>'] WHEN 3 THEN ['startedAt']
+                  WHEN 4 THEN ['errorType'] WHEN 5 THEN ['ttftMs'] WHEN 6 THEN ['endedAt']
+                  WHEN 7 THEN ['eventId'] WHEN 8 THEN ['inputPreview'] WHEN 9 THEN ['latencyMs']
+                  ELSE CAST([] AS VARCHAR[]) END AS reason_paths
+  FROM w
+)"""
+
+
+def envelope_explode_sql() -> str:
+    return f"""WITH {wire_cte()}
+SELECT batch_id, position, wire_id AS event_id, 'callgauge-fixture' AS sdk_name, sdk_version,
+       'node' AS sdk_runtime, CAST(CASE WHEN batch_id % 4 = 0 THEN batch_id % 5 ELSE 0 END AS BIGINT) AS dropped
+FROM wv WHERE env_ok"""
+
+
+def validate_envelope_sql() -> str:
+    return f"""WITH {wire_cte()}
+SELECT DISTINCT batch_id, env_ok AS valid,
+       CASE batch_id % 53 WHEN 1 THEN ['sentAt'] WHEN 2 THEN ['events'] ELSE CAST([] AS VARCHAR[]) END
+         AS reason_paths
+FROM wv"""
+
+
+def validate_event_fields_sql() -> str:
+    return f"""WITH {wire_cte()}
+SELECT batch_id, position, wire_id AS event_id, ev_ok AS valid, reason_paths FROM wv WHERE env_ok"""
+
+
+def strict_unknown_keys_sql() -> str:
+    return f"""WITH {wire_cte()}
+SELECT batch_id, position, ['latencyMS'] AS unknown_keys FROM wv WHERE env_ok AND mut = 2"""
+
+
+def cross_field_rules_sql() -> str:
+    return f"""WITH {wire_cte()}
+SELECT batch_id, position, reason_paths FROM wv WHERE env_ok AND mut IN (4, 5, 6)"""
+
+
+def _valid_rows() -> str:
+    return f"""WITH {wire_cte()},
+t AS (
+  SELECT wire_id AS event_id, date_trunc('millisecond', created_at) AS created_at, session_id, user_id,
+         provider, model, status,
+         CASE WHEN status = 'error' THEN coalesce(error_type, 'unknown') ELSE error_type END AS error_type,
+         error_message,
+         CASE WHEN mut = 10 THEN 3100 ELSE latency_ms END AS latency_ms,
+         CASE WHEN mut = 10 THEN NULL ELSE ttft_ms END AS ttft_ms,
+         input_tokens, output_tokens, cache_read_tokens, cache_write_tokens, sdk_version,
+         operation, streamed, captured_by, redaction_hits, schema_version
+  FROM wv WHERE env_ok AND ev_ok
+)"""
+
+
+def typed_event_scan_sql() -> str:
+    return _valid_rows() + """
+SELECT event_id, strftime(created_at, '%Y-%m-%d %H:%M:%S.%g') AS created_at, session_id, user_id, provider,
+       model, status, error_type, error_message, latency_ms, ttft_ms, input_tokens, output_tokens,
+       cache_read_tokens, cache_write_tokens, sdk_version
+FROM t"""
+
+
+def apply_defaults_sql() -> str:
+    return _valid_rows() + """
+SELECT event_id, operation, streamed, captured_by, redaction_hits, schema_version FROM t"""
+
+
+def to_event_row_sql() -> str:
+    return _valid_rows() + f""",
+{prices_cte()},
+{priced_cte('t', 'tp')}
+SELECT event_id, strftime(created_at, '%Y-%m-%d %H:%M:%S.%g') AS created_at, true AS client_ts_is_start,
+       model, CAST(cost_usd AS VARCHAR) AS cost_usd, pricing_version, sdk_version
+FROM tp"""
+
+
+def quarantine_split_sql() -> str:
+    return f"""WITH {wire_cte()}
+SELECT DISTINCT 'b' || CAST(batch_id AS VARCHAR) AS dlq_id, 'envelope' AS stage, CAST(NULL AS VARCHAR) AS event_id,
+       CASE batch_id % 53 WHEN 1 THEN ['sentAt'] ELSE ['events'] END AS reason_paths
+FROM wv WHERE NOT env_ok
+UNION ALL
+SELECT 'b' || CAST(batch_id AS VARCHAR) || '-' || CAST(position AS VARCHAR), 'validate', wire_id, reason_paths
+FROM wv WHERE env_ok AND NOT ev_ok"""
+
+
+def dlq_by_sdk_sql() -> str:
+    return f"""WITH {wire_cte()},
+q AS (
+  SELECT DISTINCT batch_id, sdk_version, 'envelope' AS stage,
+         CASE batch_id % 53 WHEN 1 THEN ['sentAt'] ELSE ['events'] END AS reason_paths
+  FROM wv WHERE NOT env_ok
+  UNION ALL
+  SELECT batch_id, sdk_version, 'validate', reason_paths FROM wv WHERE env_ok AND NOT ev_ok
+),
+p AS (SELECT sdk_version, stage, unnest(reason_paths) AS path FROM q)
+SELECT sdk_version, stage, path, count(*) AS rows FROM p GROUP BY ALL"""
+
+
+def client_loss_sql() -> str:
+    return f"""WITH {wire_cte()},
+b AS (SELECT DISTINCT batch_id, sdk_version FROM wv)
+SELECT 'callgauge-fixture' AS sdk_name, sdk_version, CAST(sum(batch_id % 5) AS BIGINT) AS dropped_events,
+       count(*) AS batches
+FROM b WHERE batch_id % 4 = 0 AND batch_id % 5 > 0 GROUP BY sdk_version"""
+
+
+def ingest_ack_sql() -> str:
+    return f"""WITH {wire_cte()}
+SELECT batch_id,
+       CAST(count(*) FILTER (WHERE env_ok AND ev_ok) AS BIGINT) AS accepted,
+       CAST(0 AS BIGINT) AS duplicates,
+       CAST(CASE WHEN bool_and(env_ok) THEN count(*) FILTER (WHERE NOT ev_ok) ELSE 1 END AS BIGINT) AS rejected,
+       CAST(CASE WHEN bool_and(env_ok) THEN count(*) FILTER (WHERE NOT ev_ok) ELSE 1 END AS BIGINT)
+         AS dead_lettered
+FROM wv GROUP BY batch_id"""
+
+
+ORACLE.update({
+    "envelope_explode": envelope_explode_sql(),
+    "validate_envelope": validate_envelope_sql(),
+    "validate_event_fields": validate_event_fields_sql(),
+    "strict_unknown_keys": strict_unknown_keys_sql(),
+    "cross_field_rules": cross_field_rules_sql(),
+    "typed_event_scan": typed_event_scan_sql(),
+    "apply_defaults": apply_defaults_sql(),
+    "to_event_row": to_event_row_sql(),
+    "quarantine_split": quarantine_split_sql(),
+    "dlq_by_sdk": dlq_by_sdk_sql(),
+    "client_loss": client_loss_sql(),
+    "ingest_ack": ingest_ack_sql(),
+})

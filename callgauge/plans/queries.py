@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from callgauge.functions.histogram import bucket_index, hist_sum, histogram_of, with_percentiles
 from callgauge.functions.histogram import hist_add
 from callgauge.functions.timebin import PLAIN, fmt
-from callgauge.operators import enrich, metrics, redaction, rollup
+from callgauge.operators import enrich, metrics, redaction, rollup, validate
+from callgauge.plans import ingest
 from callgauge.sources import adapters
 from callgauge.sources.tables import read_table
 
@@ -244,3 +245,112 @@ def q_redaction_second_pass(spark, sf_dir):
                                   F.lit(0).alias("redaction_hits"))
     return redaction.redaction_second_pass(pairs, "both").select(
         "conv_id", "turn", "input_preview", "output_preview", "redaction_hits")
+
+
+# --- A/B: envelopes, validation, quarantine -----------------------------------
+
+LOAD_TIME = "2024-02-01 00:00:00"
+
+
+def _envelopes(spark, sf_dir):
+    return validate.validate_envelopes(adapters.envelope_lines(spark, sf_dir))
+
+
+def _checked(spark, sf_dir):
+    return validate.validate_events(validate.explode_envelopes(_envelopes(spark, sf_dir)))
+
+
+@register("envelope_explode")
+def q_envelope_explode(spark, sf_dir):
+    ev = validate.explode_envelopes(_envelopes(spark, sf_dir))
+    return ev.selectExpr("batch_id", "position",
+                         "try_variant_get(event, '$.eventId', 'string') AS event_id",
+                         "sdk_name", "sdk_version", "sdk_runtime", "CAST(dropped AS BIGINT) AS dropped")
+
+
+@register("validate_envelope")
+def q_validate_envelope(spark, sf_dir):
+    return _envelopes(spark, sf_dir).select(
+        "batch_id", F.expr("size(envelope_reasons) = 0").alias("valid"),
+        validate.reason_paths("envelope_reasons").alias("reason_paths"))
+
+
+@register("validate_event_fields")
+def q_validate_event_fields(spark, sf_dir):
+    return _checked(spark, sf_dir).select(
+        "batch_id", "position", "event_id", F.expr("size(reasons) = 0").alias("valid"),
+        validate.reason_paths("reasons").alias("reason_paths"))
+
+
+@register("strict_unknown_keys")
+def q_strict_unknown_keys(spark, sf_dir):
+    return _checked(spark, sf_dir).filter("size(unknown_keys) > 0").select(
+        "batch_id", "position", "unknown_keys")
+
+
+@register("cross_field_rules")
+def q_cross_field_rules(spark, sf_dir):
+    return _checked(spark, sf_dir).filter("size(cross_reasons) > 0").select(
+        "batch_id", "position", validate.reason_paths("cross_reasons").alias("reason_paths"))
+
+
+def _typed(spark, sf_dir):
+    ok = _checked(spark, sf_dir).filter("size(reasons) = 0")
+    return validate.typed_events(ok, ingested_at=LOAD_TIME)
+
+
+@register("typed_event_scan")
+def q_typed_event_scan(spark, sf_dir):
+    t = _typed(spark, sf_dir)
+    return t.selectExpr(
+        "event_id", "date_format(created_at, 'yyyy-MM-dd HH:mm:ss.SSS') AS created_at", "session_id",
+        "user_id", "provider", "model", "status", "error_type", "error_message", "latency_ms", "ttft_ms",
+        "input_tokens", "output_tokens", "cache_read_tokens", "cache_write_tokens", "sdk_version")
+
+
+@register("apply_defaults")
+def q_apply_defaults(spark, sf_dir):
+    t = _typed(spark, sf_dir)
+    return t.select("event_id", "operation", "streamed", "captured_by", "redaction_hits", "schema_version")
+
+
+@register("to_event_row")
+def q_to_event_row(spark, sf_dir):
+    t = enrich.price_events(_typed(spark, sf_dir))
+    return t.selectExpr("event_id", "date_format(created_at, 'yyyy-MM-dd HH:mm:ss.SSS') AS created_at",
+                        "created_at = client_ts AS client_ts_is_start", "model",
+                        "CAST(cost_usd AS STRING) AS cost_usd", "pricing_version", "sdk_version")
+
+
+def _dlq(spark, sf_dir):
+    envs = _envelopes(spark, sf_dir)
+    checked = validate.validate_events(validate.explode_envelopes(envs))
+    return validate.quarantine(envs, checked, now=LOAD_TIME)
+
+
+@register("quarantine_split")
+def q_quarantine_split(spark, sf_dir):
+    return _dlq(spark, sf_dir).select("dlq_id", "stage", "event_id",
+                                      validate.reason_paths("reasons").alias("reason_paths"))
+
+
+@register("dlq_by_sdk")
+def q_dlq_by_sdk(spark, sf_dir):
+    d = _dlq(spark, sf_dir).select("sdk_version", "stage", F.explode(validate.reason_paths("reasons")).alias("path"))
+    return d.groupBy("sdk_version", "stage", "path").agg(F.count(F.lit(1)).alias("rows"))
+
+
+@register("client_loss")
+def q_client_loss(spark, sf_dir):
+    e = _envelopes(spark, sf_dir).filter("dropped > 0 AND NOT isnan(dropped)")
+    return e.groupBy("sdk_name", "sdk_version").agg(
+        F.expr("CAST(sum(dropped) AS BIGINT)").alias("dropped_events"), F.count(F.lit(1)).alias("batches"))
+
+
+@register("ingest_ack")
+def q_ingest_ack(spark, sf_dir):
+    envs = _envelopes(spark, sf_dir)
+    checked = validate.validate_events(validate.explode_envelopes(envs))
+    typed = validate.typed_events(checked.filter("size(reasons) = 0"), ingested_at=LOAD_TIME)
+    inserted = rollup.dedup_new(typed)
+    return ingest.ingest_ack(envs, checked, typed, inserted)

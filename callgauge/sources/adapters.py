@@ -162,3 +162,71 @@ def redaction_input(spark: SparkSession, sf_dir: str) -> DataFrame:
     lits = spark.createDataFrame([(-(i + 1), "fixture", t) for i, t in enumerate(REDACTION_LITERALS)],
                                  "doc_id bigint, source string, text string")
     return docs.unionByName(lits)
+
+
+def envelope_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batch envelopes as JSON text, one line per batch (the wire format).
+
+    Batch = event_id div 50, so each envelope carries at most 50 events (the
+    grouping is bounded by construction). Optional keys are omitted where the
+    value equals the default (operation always, streamed when false,
+    capturedBy when 'proxy', redactionHits when 0) so defaults are exercised.
+    Mutations by event_id % 101: 1 latencyMs as string, 2 extra key
+    'latencyMS', 3 naive startedAt, 4 error without errorType, 5 ttft >
+    latency, 6 endedAt < startedAt, 7 eventId 'not-a-uuid', 8 inputPreview of
+    2,001 chars, 9 latencyMs 3100.5, 10 latencyMs 3100.0 (valid). Batch level:
+    batch % 53 = 1 has no sentAt, = 2 has an empty events array.
+    """
+    ev = inference_events(spark, sf_dir, dense=False)
+    e = ev.selectExpr(
+        "*", "CAST(event_id AS BIGINT) AS _id", "CAST(event_id AS BIGINT) % 101 AS _mut",
+        "CAST(event_id AS BIGINT) div 50 AS batch_id")
+    iso = "yyyy-MM-dd'T'HH:mm:ss.SSS"
+    e = e.selectExpr(
+        "*",
+        "IF(_mut = 7, 'not-a-uuid', concat('00000000-0000-7000-8000-', lpad(CAST(_id AS STRING), 12, '0'))) AS _eid",
+        f"IF(_mut = 3, date_format(created_at, \"{iso}\"), concat(date_format(created_at, \"{iso}\"), 'Z')) AS _started",
+        "IF(_mut IN (1, 9, 10), 3100, latency_ms) AS _lat",
+        "CASE WHEN _mut IN (1, 9, 10) THEN NULL WHEN _mut = 5 THEN latency_ms + 1 ELSE ttft_ms END AS _ttft",
+        "CASE WHEN _mut = 4 THEN 'error' ELSE status END AS _status",
+        "CASE WHEN _mut = 4 THEN NULL WHEN status = 'error' THEN coalesce(error_type, 'unknown') "
+        "ELSE error_type END AS _etype",
+    )
+    e = e.selectExpr(
+        "batch_id", "_id", "_mut", "sdk_version",
+        "IF(_mut = 6, timestamp_micros(unix_micros(created_at) - 1000000), "
+        "timestamp_micros(unix_micros(created_at) + CAST(_lat AS BIGINT) * 1000)) AS _ended",
+        # to_json drops NULL fields, which is how absent optional keys are written
+        "to_json(named_struct("
+        "'eventId', _eid, 'schemaVersion', 1, 'sessionId', session_id, 'userId', user_id, "
+        "'provider', provider, 'model', model, "
+        "'streamed', IF(streamed, true, NULL), "
+        "'capturedBy', IF(captured_by = 'proxy', NULL, captured_by), "
+        "'status', _status, 'errorType', _etype, 'errorMessage', error_message, "
+        "'startedAt', _started, "
+        "'ttftMs', _ttft, 'inputTokens', input_tokens, 'outputTokens', output_tokens, "
+        "'cacheReadTokens', cache_read_tokens, "
+        "'inputPreview', IF(_mut = 8, repeat('p', 2001), NULL), "
+        "'redactionHits', IF(redaction_hits = 0, NULL, redaction_hits), "
+        "'attributes', named_struct('k', _id % 100))) AS _base",
+        "CASE WHEN _mut = 1 THEN '\"3100\"' WHEN _mut = 9 THEN '3100.5' WHEN _mut = 10 THEN '3100.0' "
+        "ELSE CAST(_lat AS STRING) END AS _lat_json",
+    )
+    e = e.selectExpr(
+        "batch_id", "_id", "sdk_version",
+        "concat(substring(_base, 1, length(_base) - 1), "
+        f"',\"endedAt\":\"', date_format(_ended, \"{iso}\"), 'Z\",\"latencyMs\":', _lat_json, "
+        "IF(_mut = 2, ',\"latencyMS\":1', ''), '}') AS event_json")
+    b = (e.groupBy("batch_id")
+         .agg(F.first("sdk_version").alias("sdk_version"),
+              F.expr("transform(array_sort(collect_list(named_struct('i', _id, 'j', event_json))), x -> x.j)")
+              .alias("_events"),
+              F.min("_id").alias("_first")))
+    return b.selectExpr(
+        "batch_id",
+        "concat('{\"sdk\":{\"name\":\"callgauge-fixture\",\"version\":\"', sdk_version, '\",\"runtime\":\"node\"}', "
+        f"IF(batch_id % 53 = 1, '', concat(',\"sentAt\":\"', "
+        f"date_format(timestamp_micros({EPOCH_2024_US} + _first * 1000000), \"{iso}\"), 'Z\"')), "
+        "',\"events\":[', IF(batch_id % 53 = 2, '', array_join(_events, ',')), ']', "
+        "IF(batch_id % 4 = 0, concat(',\"droppedSinceLastBatch\":', CAST(batch_id % 5 AS STRING)), ''), "
+        "'}') AS body")
