@@ -670,3 +670,211 @@ ORACLE.update({
     "client_loss": client_loss_sql(),
     "ingest_ack": ingest_ack_sql(),
 })
+
+
+# ---------------------------------------------------------------------------
+# Conversations
+# ---------------------------------------------------------------------------
+
+def msg_cte(placeholders: bool = True) -> str:
+    base = f"""SELECT conv_id AS conversation_id, turn + 1 AS seq, role, text AS content, true AS is_complete,
+         make_timestamp({EPOCH_2024_US} + conv_id * 60000000 + turn * 1000000) AS created_at
+  FROM conversations"""
+    ph = f"""
+  UNION ALL
+  SELECT conv_id, max(turn) + 2, 'assistant', '', false,
+         make_timestamp({EPOCH_2024_US} + conv_id * 60000000 + (max(turn) + 1) * 1000000)
+  FROM conversations WHERE conv_id % 9 = 0 GROUP BY conv_id""" if placeholders else ""
+    return f"msg AS ({base}{ph})"
+
+
+def conv_cte() -> str:
+    return f"""conv AS (
+  SELECT DISTINCT conv_id AS id,
+         CASE WHEN conv_id % 11 = 0 THEN NULL ELSE CAST(conv_id % 7 AS VARCHAR) END AS user_id,
+         CAST(NULL AS VARCHAR) AS title,
+         CASE WHEN conv_id % 13 = 0 THEN 'deleted' WHEN conv_id % 13 = 1 THEN 'archived' ELSE 'active' END
+           AS status,
+         make_timestamp({EPOCH_2024_US} + conv_id * 60000000) AS created_at
+  FROM conversations)"""
+
+
+def assign_seq_sql() -> str:
+    return f"""WITH {msg_cte(False)},
+ex AS (SELECT conversation_id, max(seq) AS mx FROM msg WHERE seq <= 4 GROUP BY 1)
+SELECT n.conversation_id, n.seq AS original_seq,
+       coalesce(ex.mx, 0) + row_number() OVER (PARTITION BY n.conversation_id ORDER BY n.created_at, n.seq) AS seq
+FROM msg n LEFT JOIN ex USING (conversation_id) WHERE n.seq > 4"""
+
+
+def conversation_counters_sql() -> str:
+    return f"""WITH {msg_cte()}
+SELECT conversation_id, count(*) AS message_count,
+       strftime(max(created_at), '%Y-%m-%d %H:%M:%S') AS last_message_at
+FROM msg GROUP BY 1"""
+
+
+def _list_sql(user: str | None, before: str | None, limit: int) -> str:
+    uf = f" AND user_id IS NOT DISTINCT FROM '{user}'" if user is not None else ""
+    bf = f" AND last_message_at < TIMESTAMP '{before}'" if before else ""
+    return f"""WITH {msg_cte()}, {conv_cte()},
+cnt AS (SELECT conversation_id, count(*) AS message_count, max(created_at) AS last_message_at FROM msg GROUP BY 1),
+j AS (SELECT * FROM conv LEFT JOIN cnt ON conv.id = cnt.conversation_id)
+SELECT id, user_id, status, message_count, strftime(last_message_at, '%Y-%m-%d %H:%M:%S') AS last_message_at
+FROM j WHERE status <> 'deleted'{uf}{bf}
+ORDER BY j.last_message_at DESC NULLS LAST, created_at DESC, id DESC LIMIT {min(limit, 200)}"""
+
+
+def replay_messages_sql() -> str:
+    return f"""WITH {msg_cte()},
+r AS (SELECT *, row_number() OVER (PARTITION BY conversation_id ORDER BY seq) AS rn FROM msg)
+SELECT conversation_id, seq, role, length(content) AS chars FROM r WHERE rn <= 200"""
+
+
+def _ctx_cte(budget_tokens: int) -> str:
+    b = budget_tokens * 4
+    return f"""{msg_cte()},
+w AS (SELECT *, NOT (role = 'assistant' AND length(content) = 0) AS usable FROM msg),
+c AS (SELECT *,
+        sum(CASE WHEN usable THEN length(content) ELSE 0 END) OVER
+          (PARTITION BY conversation_id ORDER BY seq DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum,
+        sum(CASE WHEN usable THEN 1 ELSE 0 END) OVER
+          (PARTITION BY conversation_id ORDER BY seq DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS rk
+      FROM w),
+k AS (SELECT *, usable AND (rk <= 4 OR cum <= {b}) AS kept FROM c)"""
+
+
+def context_window_sql(budget_tokens: int = 400) -> str:
+    return f"""WITH {_ctx_cte(budget_tokens)}
+SELECT conversation_id, count(*) FILTER (WHERE kept) AS kept_turns,
+       count(*) - count(*) FILTER (WHERE kept) AS dropped_turns,
+       CAST(ceil(coalesce(sum(CASE WHEN kept THEN length(content) ELSE 0 END), 0) / 4) AS BIGINT) AS estimated_tokens
+FROM k GROUP BY 1"""
+
+
+def context_window_rows_sql(budget_tokens: int = 400) -> str:
+    return f"""WITH {_ctx_cte(budget_tokens)}
+SELECT conversation_id, seq, role FROM k WHERE kept"""
+
+
+def derive_title_sql() -> str:
+    from callgauge.functions.redact import JS_SPACE_CLASS
+    one = f"trim(regexp_replace(first_text, '[{JS_SPACE_CLASS}]+', ' ', 'g'))"
+    return f"""WITH {msg_cte()}, {conv_cte()},
+f AS (SELECT conversation_id, arg_min(content, seq) AS first_text FROM msg WHERE role = 'user' GROUP BY 1)
+SELECT id, CASE WHEN title IS NULL OR title = '' THEN
+         substring(CASE WHEN length({one}) <= 60 THEN {one} ELSE substring({one}, 1, 57) || '…' END, 1, 120)
+       ELSE title END AS title
+FROM conv LEFT JOIN f ON conv.id = f.conversation_id"""
+
+
+def complete_messages_sql() -> str:
+    return f"""WITH {msg_cte()}
+SELECT conversation_id, seq, role, true AS is_complete,
+       CASE WHEN NOT is_complete THEN CAST(conversation_id % 50 + 1 AS INTEGER) END AS token_count,
+       CASE WHEN NOT is_complete THEN length('reply to conversation ' || CAST(conversation_id AS VARCHAR))
+            ELSE length(content) END AS chars
+FROM msg"""
+
+
+def set_status_sql() -> str:
+    return f"""WITH {conv_cte()}
+SELECT id, CASE WHEN id % 5 = 0 THEN CASE WHEN status = 'active' THEN 'archived' ELSE 'active' END ELSE status END
+  AS status FROM conv"""
+
+
+def delete_conversations_sql() -> str:
+    return f"""WITH {msg_cte()}, {conv_cte()}, {ie_cte(False)},
+gone AS (SELECT id FROM conv WHERE status = 'deleted'),
+k AS (SELECT conversation_id, count(*) AS messages FROM msg WHERE conversation_id NOT IN (SELECT id FROM gone) GROUP BY 1),
+e AS (SELECT CASE WHEN conversation_id IN (SELECT id FROM gone) THEN NULL ELSE conversation_id END AS conversation_id,
+             count(*) AS events FROM ie GROUP BY 1)
+SELECT coalesce(k.conversation_id, e.conversation_id) AS conversation_id, messages, events
+FROM k FULL OUTER JOIN e ON k.conversation_id = e.conversation_id"""
+
+
+def erase_conversations_sql() -> str:
+    return f"""WITH {msg_cte()}, {conv_cte()}, {ie_cte(False)},
+gone AS (SELECT id FROM conv WHERE status = 'deleted')
+SELECT (SELECT CAST(count(*) AS BIGINT) FROM msg WHERE conversation_id IN (SELECT id FROM gone)) AS messages_redacted,
+       (SELECT CAST(count(*) AS BIGINT) FROM ie WHERE conversation_id IN (SELECT id FROM gone)) AS events_redacted"""
+
+
+def conversation_summary_sql() -> str:
+    return f"""WITH {conv_cte()}, {ie_cte(False)}, {prices_cte()}, {priced_cte()},
+a AS (SELECT conversation_id, coalesce(sum(cost_usd), 0) AS c,
+             CAST(coalesce(sum(coalesce(input_tokens, 0) + coalesce(output_tokens, 0)), 0) AS BIGINT) AS t,
+             count(*) FILTER (WHERE status = 'error') AS e
+      FROM iep GROUP BY 1)
+SELECT id, status, CAST(CAST(coalesce(c, 0) AS DECIMAL(24,8)) AS VARCHAR) AS total_cost_usd,
+       coalesce(t, 0) AS total_tokens, coalesce(e, 0) AS error_count
+FROM conv LEFT JOIN a ON conv.id = a.conversation_id"""
+
+
+def slow_call_drilldown_sql(k: int = 20) -> str:
+    return f"""WITH {msg_cte()}, {ie_cte(False)},
+top AS (SELECT * FROM ie ORDER BY latency_ms DESC, event_id ASC LIMIT {k})
+SELECT top.event_id, top.latency_ms, top.conversation_id, top.message_turn, m.role AS message_role,
+       length(m.content) AS message_chars, length(u.content) AS prompt_chars
+FROM top
+LEFT JOIN msg m ON m.conversation_id = top.conversation_id AND m.seq = top.message_turn + 1
+LEFT JOIN msg u ON u.conversation_id = top.conversation_id AND u.seq = top.message_turn AND u.role = 'user'"""
+
+
+def dedup_events_sql() -> str:
+    return f"""WITH {ie_cte(False)},
+b AS (SELECT * FROM ie UNION ALL SELECT * FROM ie WHERE CAST(event_id AS BIGINT) % 10 = 0)
+SELECT DISTINCT event_id, strftime(created_at, '%Y-%m-%d %H:%M:%S.%f') AS created_at FROM b"""
+
+
+def dedup_counts_sql() -> str:
+    return f"""WITH {ie_cte(False)},
+b AS (SELECT * FROM ie UNION ALL SELECT * FROM ie WHERE CAST(event_id AS BIGINT) % 10 = 0)
+SELECT CAST(count(*) AS BIGINT) AS total,
+       CAST((SELECT count(*) FROM (SELECT DISTINCT event_id, created_at FROM b)) AS BIGINT) AS inserted,
+       CAST(count(*) - (SELECT count(*) FROM (SELECT DISTINCT event_id, created_at FROM b)) AS BIGINT) AS duplicates
+FROM b"""
+
+
+def ingest_health_sql() -> str:
+    q = quarantine_split_sql()
+    return f"""WITH {ie_cte(True)},
+e AS (SELECT (epoch_us(ingested_at) - epoch_us(client_ts)) / 1000.0 AS lag, redaction_hits, captured_by
+      FROM ie WHERE {since_sql('created_at', '6h')}),
+d AS ({q.replace('WITH ', 'SELECT * FROM (WITH ', 1)}))
+SELECT (SELECT CAST(count(*) AS INTEGER) FROM d) AS dlq_pending,
+       CAST(coalesce(sum(redaction_hits), 0) AS BIGINT) AS redaction_hits,
+       CAST(round_even(quantile_cont(lag, 0.5), 0) AS INTEGER) AS median_lag_ms,
+       CAST(round_even(max(lag), 0) AS INTEGER) AS max_lag_ms,
+       CAST(count(*) FILTER (WHERE captured_by = 'loader') AS INTEGER) AS layer_loader,
+       CAST(count(*) FILTER (WHERE captured_by = 'manual') AS INTEGER) AS layer_manual,
+       CAST(count(*) FILTER (WHERE captured_by = 'proxy') AS INTEGER) AS layer_proxy
+FROM e"""
+
+
+def dlq_pending_sql(limit: int = 100) -> str:
+    return f"""SELECT * FROM ({quarantine_split_sql()}) q ORDER BY dlq_id DESC LIMIT {min(limit, 500)}""".replace(
+        "SELECT * FROM (", "SELECT dlq_id, stage, event_id FROM (", 1)
+
+
+ORACLE.update({
+    "assign_seq": assign_seq_sql(),
+    "conversation_counters": conversation_counters_sql(),
+    "list_conversations": _list_sql(None, None, 50),
+    "list_conversations_user": _list_sql("3", "2024-01-01 01:00:00", 500),
+    "replay_messages": replay_messages_sql(),
+    "context_window": context_window_sql(400),
+    "context_window_rows": context_window_rows_sql(400),
+    "derive_title": derive_title_sql(),
+    "complete_messages": complete_messages_sql(),
+    "set_status": set_status_sql(),
+    "delete_conversations": delete_conversations_sql(),
+    "erase_conversations": erase_conversations_sql(),
+    "conversation_summary": conversation_summary_sql(),
+    "slow_call_drilldown": slow_call_drilldown_sql(20),
+    "dedup_events": dedup_events_sql(),
+    "dedup_counts": dedup_counts_sql(),
+    "replay_idempotence": rollup_1m_sql(True),
+    "ingest_health": ingest_health_sql(),
+    "dlq_pending": dlq_pending_sql(100),
+})

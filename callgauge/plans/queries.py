@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from callgauge.functions.histogram import bucket_index, hist_sum, histogram_of, with_percentiles
 from callgauge.functions.histogram import hist_add
-from callgauge.functions.timebin import PLAIN, fmt
-from callgauge.operators import enrich, metrics, redaction, rollup, validate
+from callgauge.functions.timebin import PLAIN, PLAIN_US, fmt
+from callgauge.operators import chat, enrich, metrics, redaction, rollup, validate
+from callgauge.operators import dlq as dlq_ops
 from callgauge.plans import ingest
 from callgauge.sources import adapters
 from callgauge.sources.tables import read_table
@@ -354,3 +355,156 @@ def q_ingest_ack(spark, sf_dir):
     typed = validate.typed_events(checked.filter("size(reasons) = 0"), ingested_at=LOAD_TIME)
     inserted = rollup.dedup_new(typed)
     return ingest.ingest_ack(envs, checked, typed, inserted)
+
+
+# --- F: conversations -------------------------------------------------------
+
+def _msgs(spark, sf_dir, placeholders=True):
+    return adapters.messages(spark, sf_dir, placeholders)
+
+
+def _convs(spark, sf_dir):
+    return adapters.conversation_table(spark, sf_dir)
+
+
+@register("assign_seq")
+def q_assign_seq(spark, sf_dir):
+    """Turns 0-3 are stored; later turns arrive in time order and get seq."""
+    m = _msgs(spark, sf_dir, placeholders=False)
+    existing = m.filter("seq <= 4")
+    new = m.filter("seq > 4").withColumnRenamed("seq", "original_seq")
+    return chat.assign_seq(existing, new, ("created_at", "original_seq")).select(
+        "conversation_id", "original_seq", "seq")
+
+
+@register("conversation_counters")
+def q_conversation_counters(spark, sf_dir):
+    c = chat.conversation_counters(_msgs(spark, sf_dir))
+    return c.select("conversation_id", "message_count", fmt("last_message_at", PLAIN).alias("last_message_at"))
+
+
+@register("list_conversations")
+def q_list_conversations(spark, sf_dir):
+    r = chat.list_conversations(_convs(spark, sf_dir), _msgs(spark, sf_dir))
+    return r.select("id", "user_id", "status", "message_count",
+                    fmt("last_message_at", PLAIN).alias("last_message_at"))
+
+
+@register("list_conversations_user")
+def q_list_conversations_user(spark, sf_dir):
+    r = chat.list_conversations(_convs(spark, sf_dir), _msgs(spark, sf_dir), user_id="3",
+                                before="2024-01-01 01:00:00", limit=500)
+    return r.select("id", "user_id", "status", "message_count",
+                    fmt("last_message_at", PLAIN).alias("last_message_at"))
+
+
+@register("replay_messages")
+def q_replay_messages(spark, sf_dir):
+    r = chat.replay_messages(_msgs(spark, sf_dir))
+    return r.select("conversation_id", "seq", "role", F.length("content").alias("chars"))
+
+
+@register("context_window")
+def q_context_window(spark, sf_dir):
+    return chat.context_window_summary(chat.context_window(_msgs(spark, sf_dir), token_budget=400))
+
+
+@register("context_window_rows")
+def q_context_window_rows(spark, sf_dir):
+    w = chat.context_window(_msgs(spark, sf_dir), token_budget=400)
+    return w.filter("kept").select("conversation_id", "seq", "role")
+
+
+@register("derive_title")
+def q_derive_title(spark, sf_dir):
+    return chat.derive_titles(_convs(spark, sf_dir), _msgs(spark, sf_dir)).select("id", "title")
+
+
+def _completions(m):
+    return m.filter("NOT is_complete").selectExpr(
+        "conversation_id", "seq", "concat('reply to conversation ', CAST(conversation_id AS STRING)) AS content",
+        "CAST(conversation_id % 50 + 1 AS INT) AS token_count")
+
+
+@register("complete_messages")
+def q_complete_messages(spark, sf_dir):
+    m = _msgs(spark, sf_dir)
+    r = chat.complete_messages(m, _completions(m))
+    return r.select("conversation_id", "seq", "role", "is_complete", "token_count", F.length("content").alias("chars"))
+
+
+@register("set_status")
+def q_set_status(spark, sf_dir):
+    c = _convs(spark, sf_dir)
+    changes = c.filter("id % 5 = 0").selectExpr("id", "IF(status = 'active', 'archived', 'active') AS status")
+    return chat.set_status(c, changes).select("id", "status")
+
+
+@register("delete_conversations")
+def q_delete_conversations(spark, sf_dir):
+    c = _convs(spark, sf_dir)
+    gone = c.filter("status = 'deleted'").select("id")
+    kept, ev = chat.delete_conversations(_msgs(spark, sf_dir), adapters.inference_events(spark, sf_dir), gone)
+    k = kept.groupBy("conversation_id").agg(F.count(F.lit(1)).alias("messages"))
+    e = ev.groupBy("conversation_id").agg(F.count(F.lit(1)).alias("events"))
+    return k.join(e, "conversation_id", "full_outer")
+
+
+@register("erase_conversations")
+def q_erase_conversations(spark, sf_dir):
+    c = _convs(spark, sf_dir)
+    ids = c.filter("status = 'deleted'").select("id")
+    _, _, _, counts = chat.erase_conversations(c, _msgs(spark, sf_dir), adapters.inference_events(spark, sf_dir), ids)
+    return counts
+
+
+@register("conversation_summary")
+def q_conversation_summary(spark, sf_dir):
+    ev = priced_events(spark, sf_dir, dense=False)
+    s = chat.conversation_summary(_convs(spark, sf_dir), ev)
+    return s.select("id", "status", F.col("total_cost_usd").cast("decimal(24,8)").cast("string").alias("total_cost_usd"),
+                    "total_tokens", "error_count")
+
+
+@register("slow_call_drilldown")
+def q_slow_call_drilldown(spark, sf_dir):
+    d = chat.slow_call_drilldown(adapters.inference_events(spark, sf_dir), _msgs(spark, sf_dir), k=20)
+    return d.select("event_id", "latency_ms", "conversation_id", "message_turn", "message_role",
+                    F.length("message_content").alias("message_chars"), F.length("user_prompt").alias("prompt_chars"))
+
+
+# --- D1 / G8: de-duplication and replay ------------------------------------
+
+@register("dedup_events")
+def q_dedup_events(spark, sf_dir):
+    ev = adapters.inference_events(spark, sf_dir)
+    batch = adapters.replay_input(ev)
+    return rollup.dedup_new(batch).select("event_id", fmt("created_at", PLAIN_US).alias("created_at"))
+
+
+@register("dedup_counts")
+def q_dedup_counts(spark, sf_dir):
+    ev = adapters.inference_events(spark, sf_dir)
+    batch = adapters.replay_input(ev)
+    return rollup.dedup_counts(batch, rollup.dedup_new(batch))
+
+
+@register("replay_idempotence")
+def q_replay_idempotence(spark, sf_dir):
+    """First delivery, then a verbatim replay against the stored log: the replay
+    inserts nothing, so the merged rollup equals the first one."""
+    ev = priced_events(spark, sf_dir, dense=True)
+    first = rollup.dedup_new(ev)
+    replay = rollup.dedup_new(adapters.replay_input(ev), log=first)
+    return _rollup_out(rollup.rollup_merge(rollup.rollup_1m(first), rollup.rollup_1m(replay)))
+
+
+@register("ingest_health")
+def q_ingest_health(spark, sf_dir):
+    dense, as_of = _rng("6h")
+    return metrics.ingest_health(adapters.inference_events(spark, sf_dir, dense), _dlq(spark, sf_dir), "6h", as_of)
+
+
+@register("dlq_pending")
+def q_dlq_pending(spark, sf_dir):
+    return dlq_ops.dlq_pending(_dlq(spark, sf_dir), 100).select("dlq_id", "stage", "event_id")
