@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from callgauge.functions.histogram import bucket_index, hist_sum, histogram_of, with_percentiles
 from callgauge.functions.histogram import hist_add
 from callgauge.functions.timebin import PLAIN, PLAIN_US, fmt
-from callgauge.operators import chat, enrich, metrics, redaction, rollup, validate
+from callgauge.operators import chat, enrich, errors, metrics, redaction, rollup, spans, validate
 from callgauge.operators import dlq as dlq_ops
 from callgauge.plans import ingest
 from callgauge.sources import adapters
@@ -508,3 +508,54 @@ def q_ingest_health(spark, sf_dir):
 @register("dlq_pending")
 def q_dlq_pending(spark, sf_dir):
     return dlq_ops.dlq_pending(_dlq(spark, sf_dir), 100).select("dlq_id", "stage", "event_id")
+
+
+# --- C11-C17: errors, payload flattening, spans -------------------------------
+
+@register("classify_error")
+def q_classify_error(spark, sf_dir):
+    return errors.classify_errors(adapters.error_log(spark, sf_dir)).select(
+        "event_id", "provider", "error_name", "http_status", "error_type")
+
+
+@register("normalise_provider_error")
+def q_normalise_provider_error(spark, sf_dir):
+    return errors.normalise_errors(adapters.error_log(spark, sf_dir)).select(
+        "event_id", "provider", "error_type", "retryable")
+
+
+@register("retryable_flag")
+def q_retryable_flag(spark, sf_dir):
+    ev = adapters.inference_events(spark, sf_dir).filter("status = 'error'")
+    return errors.with_retryable(ev.withColumn("error_type", F.expr("coalesce(error_type, 'unknown')"))).select(
+        "event_id", "error_type", "retryable")
+
+
+@register("flatten_request")
+def q_flatten_request(spark, sf_dir):
+    r = spans.flatten_requests(adapters.request_log(spark, sf_dir))
+    return r.select("call_id", "model", "streamed", "max_tokens", "temperature", "message_count",
+                    F.length("input_text").alias("input_chars"),
+                    F.sha2("input_text", 256).alias("input_sha256"))
+
+
+@register("flatten_response")
+def q_flatten_response(spark, sf_dir):
+    r = spans.flatten_responses(adapters.response_log(spark, sf_dir))
+    return r.select("call_id", F.length("text").alias("text_chars"), F.sha2("text", 256).alias("text_sha256"),
+                    "input_tokens", "output_tokens", "cache_read_tokens", "cache_write_tokens", "finish_reason")
+
+
+@register("parse_chunk")
+def q_parse_chunk(spark, sf_dir):
+    p = spans.parse_chunks(adapters.chunk_log(spark, sf_dir).filter("kind = 'chunk'"))
+    return p.select("call_id", "seq", F.length("text").alias("text_chars"), "input_tokens", "output_tokens",
+                    "cache_read_tokens", "finish_reason")
+
+
+@register("assemble_spans")
+def q_assemble_spans(spark, sf_dir):
+    s = spans.assemble_spans(spans.parse_chunks(adapters.chunk_log(spark, sf_dir)))
+    return s.select("call_id", "status", "error_type", "latency_ms", "ttft_ms", "input_tokens", "output_tokens",
+                    "cache_read_tokens", "finish_reason", F.length("output_text").alias("text_chars"),
+                    "tokens_per_sec")
