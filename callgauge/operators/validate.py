@@ -37,15 +37,37 @@ class Field:
         self.key, self.kind, self.required, self.nullable, self.default = key, kind, required, nullable, default
         self.kw = kw
 
+    staged = False  # when True, rule() reads the staged columns below
+
+    @property
+    def col(self) -> str:
+        return self.key.replace(".", "_")
+
     def ty(self, v: str) -> str:
+        if self.staged:
+            return f"_ty_{self.col}"
         return f"schema_of_variant(variant_get({v}, '$.{self.key}', 'variant'))"
 
     def num(self, v: str) -> str:
+        if self.staged:
+            return f"_num_{self.col}"
         return f"try_variant_get({v}, '$.{self.key}', 'double')"
 
     def string(self, v: str) -> str:
+        if self.staged:
+            return f"_str_{self.col}"
         return f"try_variant_get({v}, '$.{self.key}', 'string')"
 
+    def staging(self, v: str) -> dict:
+        """Columns to evaluate once per row: JSON type name, and the value as
+        double or string when the rule needs it."""
+        out = {f"_ty_{self.col}": f"schema_of_variant(variant_get({v}, '$.{self.key}', 'variant'))"}
+        if self.kind in ("int", "number", "literal"):
+            out[f"_num_{self.col}"] = f"try_variant_get({v}, '$.{self.key}', 'double')"
+        if self.kind in ("string", "enum"):
+            out[f"_str_{self.col}"] = f"try_variant_get({v}, '$.{self.key}', 'string')"
+        return out
+
     def rule(self, v: str) -> str:
         """SQL yielding 'key: message' on violation, else NULL."""
         ty = self.ty(v)
@@ -152,6 +174,18 @@ EVENT_FIELDS = [
 ]
 EVENT_KEYS = [f.key for f in EVENT_FIELDS]
 
+
+def _staged(fields):
+    out = []
+    for f in fields:
+        g = Field(f.key, f.kind, f.required, f.nullable, f.default, **f.kw)
+        g.staged = True
+        out.append(g)
+    return out
+
+
+STAGED_EVENT_FIELDS = _staged(EVENT_FIELDS)
+
 ENVELOPE_KEYS = ["sdk", "sentAt", "events", "droppedSinceLastBatch"]
 SDK_FIELDS = [
     Field("sdk.name", "string", required=True, max=64),
@@ -235,6 +269,18 @@ def explode_envelopes(envelopes: DataFrame) -> DataFrame:
         F.expr("posexplode(variant_get(env, '$.events', 'array<variant>'))").alias("position", "event"))
 
 
+def explode_all(envelopes: DataFrame) -> DataFrame:
+    """Like :func:`explode_envelopes` but keeps every envelope: a rejected
+    envelope yields exactly one row with NULL position and event, so a single
+    pass carries both envelope and event verdicts."""
+    return envelopes.select(
+        "batch_id", "body", "sdk_name", "sdk_version", "sdk_runtime", "sent_at", "envelope_reasons",
+        F.expr("coalesce(dropped, 0D)").alias("dropped"),
+        F.expr("size(envelope_reasons) = 0").alias("envelope_ok"),
+        F.expr("posexplode_outer(IF(size(envelope_reasons) = 0, variant_get(env, '$.events', 'array<variant>'), "
+               "NULL))").alias("position", "event"))
+
+
 def validate_events(events: DataFrame, v: str = "event") -> DataFrame:
     """Add ``raw`` (event JSON), ``event_id`` (if a string), ``field_reasons``,
     ``unknown_keys`` and ``reasons`` (field + strict-key + cross-field rules;
@@ -243,8 +289,13 @@ def validate_events(events: DataFrame, v: str = "event") -> DataFrame:
     df = df.withColumn("event_id", F.expr(f"IF(schema_of_variant(variant_get({v}, '$.eventId', 'variant')) "
                                           f"= 'STRING', try_variant_get({v}, '$.eventId', 'string'), NULL)"))
     df = df.withColumn("_is_obj", F.expr(f"startswith(schema_of_variant({v}), 'OBJECT')"))
+    stage = {}
+    for f in EVENT_FIELDS:
+        stage.update(f.staging(v))
+    df = df.withColumns({k: F.expr(e) for k, e in stage.items()})
     df = df.withColumn("field_reasons", F.expr(
-        f"IF(_is_obj, array_compact({field_reasons_sql(v, EVENT_FIELDS)}), array('<root>: Expected object'))"))
+        f"IF(_is_obj, array_compact({field_reasons_sql(v, STAGED_EVENT_FIELDS)}), "
+        "array('<root>: Expected object'))"))
     df = df.withColumn("unknown_keys", F.expr(
         f"IF(_is_obj, {unknown_keys_sql('raw', EVENT_KEYS)}, CAST(array() AS array<string>))"))
     df = df.withColumn("cross_reasons", F.expr(
@@ -253,6 +304,7 @@ def validate_events(events: DataFrame, v: str = "event") -> DataFrame:
     df = df.withColumn("reasons", F.expr(
         "concat(field_reasons, IF(size(unknown_keys) > 0, array(concat('<root>: Unrecognized key(s) in "
         "object: ', array_join(unknown_keys, ', '))), CAST(array() AS array<string>)), cross_reasons)"))
+    df = df.drop(*stage.keys())
     return df.drop("_is_obj")
 
 
@@ -261,7 +313,8 @@ def reason_paths(col: str = "reasons"):
     return F.expr(f"array_sort(array_distinct(transform({col}, r -> substring_index(r, ': ', 1))))")
 
 
-def typed_events(valid: DataFrame, v: str = "event", ingested_at: str | None = None) -> DataFrame:
+def typed_events(valid: DataFrame, v: str = "event", ingested_at: str | None = None,
+                 keep: bool = False) -> DataFrame:
     """Validated wire events -> snake_case event rows (A2 + B5 + C10).
 
     Absent optional fields take their defaults; ``created_at`` and ``client_ts``
@@ -273,8 +326,12 @@ def typed_events(valid: DataFrame, v: str = "event", ingested_at: str | None = N
         return f"try_variant_get({v}, '$.{key}', '{typ}')"
     started = f"try_cast({g('startedAt', 'string')} AS TIMESTAMP)"
     ing = f"TIMESTAMP '{ingested_at}'" if ingested_at else "current_timestamp()"
-    return valid.selectExpr(
-        "batch_id", "position",
+    carried = (["*", f"{g('eventId', 'string')} AS wire_event_id"] if keep else ["batch_id", "position"])
+    if keep:
+        valid = valid.withColumnRenamed("event_id", "_wire_id")
+        carried = ["*", "_wire_id AS wire_event_id"]
+    out = valid.selectExpr(
+        *carried,
         f"{g('eventId', 'string')} AS event_id",
         f"{started} AS created_at",
         f"{g('conversationId', 'string')} AS conversation_id",
@@ -308,6 +365,7 @@ def typed_events(valid: DataFrame, v: str = "event", ingested_at: str | None = N
         "1 AS schema_version",
         f"coalesce(to_json(variant_get({v}, '$.attributes', 'variant')), '{{}}') AS attributes",
     )
+    return out.drop("_wire_id") if keep else out
 
 
 def quarantine(envelopes: DataFrame, checked: DataFrame, now: str | None = None) -> DataFrame:

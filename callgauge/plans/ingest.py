@@ -1,8 +1,12 @@
 """Batch ingest: envelopes -> validated, priced, redacted, de-duplicated event
 rows + rollup delta + per-batch acknowledgement + dead letters.
 
-A pure ``DataFrame -> DataFrames`` function, reused by the batch loader and
-by the streaming ``foreachBatch`` sink.
+One pass produces a *flagged* row set — one row per event of an accepted
+envelope plus one row per rejected envelope — carrying the envelope verdict,
+the event verdict and whether the row is the first delivery of its
+(event_id, created_at). Every output (ack, inserted rows, rollup delta, DLQ)
+is a projection or aggregate of that row set, so validation runs once. The
+same function backs the batch loader and the streaming ``foreachBatch`` sink.
 """
 
 from __future__ import annotations
@@ -11,34 +15,106 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from callgauge.constants import MAX_ERROR_MESSAGE_CHARS
 from callgauge.operators import enrich, redaction, rollup, validate
 
+EVENT_LOG_COLUMNS = [
+    "event_id", "created_at", "conversation_id", "message_id", "session_id", "user_id", "provider", "model",
+    "operation", "streamed", "captured_by", "status", "finish_reason", "error_type", "error_message",
+    "latency_ms", "ttft_ms", "input_tokens", "output_tokens", "cache_read_tokens", "cache_write_tokens",
+    "cost_usd", "pricing_version", "temperature", "max_tokens", "message_count", "input_preview",
+    "output_preview", "redaction_hits", "client_ts", "ingested_at", "sdk_version", "schema_version",
+    "attributes", "batch_id", "position",
+]
+
 
 @dataclass
 class IngestResult:
+    flagged: DataFrame       # one row per event / rejected envelope, with verdicts
     inserted: DataFrame      # new event rows (event-log schema)
     rollup_delta: DataFrame  # rollup rows of the inserted events only
     ack: DataFrame           # one row per batch
     dlq: DataFrame           # dead-lettered envelopes and events
 
 
-EVENT_LOG_COLUMNS = [
-    "event_id", "created_at", "conversation_id", "message_id", "session_id", "user_id", "provider", "model",
-    "operation", "streamed", "captured_by", "status", "finish_reason", "error_type", "error_message",
-    "latency_ms", "ttft_ms", "input_tokens", "output_tokens", "cache_read_tokens", "cache_write_tokens",
-    "cost_usd", "pricing_version", "temperature", "max_tokens", "message_count", "input_preview",
-    "output_preview", "redaction_hits", "client_ts", "ingested_at", "sdk_version", "schema_version",
-    "attributes", "batch_id", "position",
-]
+def flag_rows(lines: DataFrame, log: DataFrame | None = None, now: str | None = None) -> DataFrame:
+    """Validate envelopes and events in one pass and flag first deliveries.
+
+    ``is_new`` holds for a valid event that is the earliest (batch_id,
+    position) copy of its (event_id, created_at) in this load and is absent
+    from ``log``. The ordering window is partitioned by the dedup key, so a
+    retried event only meets its own copies.
+    """
+    envs = validate.validate_envelopes(lines)
+    rows = validate.validate_events(validate.explode_all(envs))
+    typed = validate.typed_events(rows, ingested_at=now, keep=True)
+    typed = typed.withColumn("valid", F.expr("envelope_ok AND event IS NOT NULL AND size(reasons) = 0"))
+    key = rollup.DEDUP_KEY
+    w = Window.partitionBy(*key).orderBy("batch_id", "position")
+    typed = typed.withColumn("_rn", F.when(F.col("valid"), F.row_number().over(w)))
+    if log is not None:
+        seen = log.select(*key).distinct().withColumn("_seen", F.lit(True))
+        typed = typed.join(seen, key, "left")
+    else:
+        typed = typed.withColumn("_seen", F.lit(None).cast("boolean"))
+    return (typed.withColumn("is_new", F.expr("valid AND _rn = 1 AND _seen IS NULL"))
+            .drop("_rn", "_seen"))
 
 
-def ingest_ack(envelopes: DataFrame, checked: DataFrame, typed: DataFrame, inserted: DataFrame) -> DataFrame:
+def ack_of(flagged: DataFrame) -> DataFrame:
     """Per batch: accepted (new rows), duplicates (valid but already seen),
-    rejected and dead-lettered (invalid events, or 1 for a rejected envelope).
+    rejected and dead-lettered (invalid events, or 1 for a rejected envelope)."""
+    g = flagged.groupBy("batch_id").agg(
+        F.count_if("is_new").alias("accepted"),
+        F.count_if("valid").alias("_valid"),
+        F.count_if(~F.col("envelope_ok")).alias("_rej_env"),
+        F.count_if(F.col("envelope_ok") & F.col("event").isNotNull() & ~F.col("valid")).alias("_rej"))
+    return g.selectExpr("batch_id", "CAST(accepted AS BIGINT) AS accepted",
+                        "CAST(_valid - accepted AS BIGINT) AS duplicates",
+                        "CAST(_rej_env + _rej AS BIGINT) AS rejected",
+                        "CAST(_rej_env + _rej AS BIGINT) AS dead_lettered")
 
-    One aggregate over a tagged union of the four inputs — no joins.
-    """
+
+def dlq_of(flagged: DataFrame, now: str | None = None) -> DataFrame:
+    """Dead-letter rows: a rejected envelope keeps its whole body (stage
+    'envelope'); a rejected event keeps its JSON and its id when that is a
+    string (stage 'validate'). Error text is capped at 2,000 chars."""
+    ts = f"TIMESTAMP '{now}'" if now else "current_timestamp()"
+    bad = flagged.filter("NOT envelope_ok OR (event IS NOT NULL AND NOT valid)")
+    return bad.selectExpr(
+        "IF(envelope_ok, concat('b', CAST(batch_id AS STRING), '-', CAST(position AS STRING)), "
+        "concat('b', CAST(batch_id AS STRING))) AS dlq_id",
+        "batch_id", "position",
+        "IF(envelope_ok, raw, body) AS payload",
+        "IF(envelope_ok, wire_event_id, NULL) AS event_id",
+        "IF(envelope_ok, 'validate', 'envelope') AS stage",
+        "IF(envelope_ok, reasons, envelope_reasons) AS reasons",
+        "sdk_version",
+        f"substring(array_join(IF(envelope_ok, reasons, envelope_reasons), '; '), 1, {MAX_ERROR_MESSAGE_CHARS}) "
+        "AS error",
+        "1 AS attempts", f"{ts} AS first_seen_at", f"{ts} AS last_seen_at",
+        "CAST(NULL AS TIMESTAMP) AS replayed_at")
+
+
+def ingest(lines: DataFrame, log: DataFrame | None = None, now: str | None = None,
+           redaction_mode: str = "both", preview_chars: int = redaction.PREVIEW_CHARS) -> IngestResult:
+    """Full write path for envelope lines (``batch_id``, ``body``)."""
+    flagged = flag_rows(lines, log, now)
+    new = flagged.filter("is_new")
+    new = enrich.price_events(new)
+    if redaction_mode in ("ingest", "both"):
+        new = redaction.redaction_second_pass(
+            new.withColumnRenamed("input_preview", "_in").withColumnRenamed("output_preview", "_out"),
+            redaction_mode, preview_chars, "_in", "_out")
+    inserted = new.select(*EVENT_LOG_COLUMNS)
+    return IngestResult(flagged, inserted, rollup.rollup_1m(inserted), ack_of(flagged), dlq_of(flagged, now))
+
+
+def ingest_ack(envelopes: DataFrame, checked: DataFrame, typed: DataFrame, inserted: DataFrame) -> DataFrame:
+    """Ack from separately computed parts (kept for callers that already hold
+    them): one aggregate over a tagged union — no joins."""
     env = envelopes.selectExpr("batch_id", "IF(size(envelope_reasons) > 0, 1, 0) AS _rej_env",
                                "0 AS _rej", "0 AS _valid", "0 AS _new")
     bad = checked.selectExpr("batch_id", "0 AS _rej_env", "IF(size(reasons) > 0, 1, 0) AS _rej",
@@ -51,19 +127,3 @@ def ingest_ack(envelopes: DataFrame, checked: DataFrame, typed: DataFrame, inser
     return g.selectExpr("batch_id", "CAST(accepted AS BIGINT) AS accepted",
                         "CAST(_v - accepted AS BIGINT) AS duplicates",
                         "CAST(_re + _r AS BIGINT) AS rejected", "CAST(_re + _r AS BIGINT) AS dead_lettered")
-
-
-def ingest(lines: DataFrame, log: DataFrame | None = None, now: str | None = None,
-           redaction_mode: str = "both", preview_chars: int = redaction.PREVIEW_CHARS) -> IngestResult:
-    """Full write path for a set of envelope lines (``batch_id``, ``body``)."""
-    envs = validate.validate_envelopes(lines)
-    checked = validate.validate_events(validate.explode_envelopes(envs))
-    typed = validate.typed_events(checked.filter("size(reasons) = 0"), ingested_at=now)
-    typed = enrich.price_events(typed)
-    if redaction_mode in ("ingest", "both"):
-        typed = (redaction.redaction_second_pass(
-            typed.withColumnRenamed("input_preview", "_in").withColumnRenamed("output_preview", "_out"),
-            redaction_mode, preview_chars, "_in", "_out"))
-    inserted = rollup.dedup_new(typed, log, order_col="position").select(*EVENT_LOG_COLUMNS)
-    dlq = validate.quarantine(envs, checked, now)
-    return IngestResult(inserted, rollup.rollup_1m(inserted), ingest_ack(envs, checked, typed, inserted), dlq)

@@ -350,11 +350,8 @@ def q_client_loss(spark, sf_dir):
 
 @register("ingest_ack")
 def q_ingest_ack(spark, sf_dir):
-    envs = _envelopes(spark, sf_dir)
-    checked = validate.validate_events(validate.explode_envelopes(envs))
-    typed = validate.typed_events(checked.filter("size(reasons) = 0"), ingested_at=LOAD_TIME)
-    inserted = rollup.dedup_new(typed)
-    return ingest.ingest_ack(envs, checked, typed, inserted)
+    """Acknowledgements of a first load (no prior log): one validation pass."""
+    return ingest.ack_of(ingest.flag_rows(adapters.envelope_lines(spark, sf_dir), now=LOAD_TIME))
 
 
 # --- F: conversations -------------------------------------------------------

@@ -16,6 +16,9 @@ REQUIRED_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # Let AQE keep several tasks for small-but-CPU-heavy stages (parsing,
+    # redaction); on large inputs partitions are far above this floor anyway.
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "256KB",
 }
 
 
