@@ -145,6 +145,19 @@ def assemble_spans(parsed: DataFrame, limit: int = SPAN_TEXT_LIMIT) -> DataFrame
         F.expr(f"array_join(transform(array_sort(collect_list(IF(text IS NOT NULL AND _before < {int(limit)}, "
                f"named_struct('s', seq, 't', text), NULL))), x -> x.t), '')").alias("output_text"),
     )
+    return finish_spans(g)
+
+
+def finish_spans(g: DataFrame, from_parts: bool = False, limit: int = SPAN_TEXT_LIMIT) -> DataFrame:
+    """Status, latency, TTFT, text and throughput from per-call aggregates.
+    With ``from_parts`` the text is folded from collected (seq, text) parts
+    exactly as the client does: append while the accumulated length is below
+    ``limit``."""
+    if from_parts:
+        g = g.withColumn("output_text", F.expr(
+            f"aggregate(array_sort(_parts), named_struct('n', 0L, 'txt', ''), "
+            f"(acc, x) -> IF(acc.n < {int(limit)}, named_struct('n', acc.n + x.l, 'txt', concat(acc.txt, x.t)), "
+            f"acc)).txt")).drop("_parts")
     lat = "CAST((unix_micros(coalesce(_end, _last)) - unix_micros(started_at)) / 1000 AS BIGINT)"
     g = g.withColumn("latency_ms", F.expr(lat))
     err_type = classify_error_sql("provider", "'APIError'", "CAST(NULL AS STRING)", "http_status", "''")

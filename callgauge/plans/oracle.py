@@ -1038,3 +1038,83 @@ ORACLE.update({
     "parse_chunk": parse_chunk_sql(),
     "assemble_spans": assemble_spans_sql(),
 })
+
+
+# ---------------------------------------------------------------------------
+# Streaming and the event log
+# ---------------------------------------------------------------------------
+
+def stream_ingest_sql() -> str:
+    return _valid_rows() + """
+SELECT event_id, strftime(created_at, '%Y-%m-%d %H:%M:%S.%g') AS created_at FROM t"""
+
+
+def stream_spans_sql() -> str:
+    return assemble_spans_sql()
+
+
+def event_log_sink_sql() -> str:
+    return f"""WITH {ie_cte(False)}
+SELECT strftime(created_at, '%Y-%m') AS event_month, CAST(event_id AS BIGINT) // 50 AS batch_id,
+       count(*) AS rows
+FROM ie GROUP BY ALL"""
+
+
+def overflow_routing_sql() -> str:
+    return f"""WITH {ie_cte(False)}
+SELECT CASE WHEN strftime(ingested_at, '%Y-%m') = '2024-01' THEN '2024-01' ELSE 'overflow' END AS event_month,
+       count(*) AS rows
+FROM ie GROUP BY 1"""
+
+
+def retention_prune_sql() -> str:
+    q = quarantine_split_sql()
+
+    def plan(src, table, ts, days):
+        cutoff = f"(TIMESTAMP '2024-04-20 00:00:00' - INTERVAL {days} DAY)"
+        return f"""SELECT '{table}' AS table_name, {days} AS retention_days,
+       count(DISTINCT strftime({ts}, '%Y-%m')) AS partitions,
+       count(DISTINCT CASE WHEN date_trunc('month', {ts}) + INTERVAL 1 MONTH <= {cutoff}
+                           THEN strftime({ts}, '%Y-%m') END) AS partitions_dropped,
+       count(*) AS rows,
+       count(*) FILTER (WHERE date_trunc('month', {ts}) + INTERVAL 1 MONTH <= {cutoff}) AS rows_in_dropped_partitions,
+       count(*) FILTER (WHERE {ts} < {cutoff}) AS rows_past_cutoff
+FROM {src}"""
+    return f"""WITH {base_ctes(False)},
+d AS (SELECT TIMESTAMP '2024-02-01 00:00:00' AS first_seen_at FROM ({q}))
+{plan('iep', 'inference_events', 'created_at', 90)}
+UNION ALL
+{plan('rollup', 'inference_rollup_1m', 'bucket', 400)}
+UNION ALL
+{plan('d', 'dlq', 'first_seen_at', 30)}"""
+
+
+def time_range_scan_sql() -> str:
+    return f"""WITH {ie_cte(False)}
+SELECT event_id, strftime(created_at, '%Y-%m-%d %H:%M:%S.%f') AS created_at
+FROM ie WHERE created_at >= TIMESTAMP '{RAW_AS_OF}' - INTERVAL 7 DAY"""
+
+
+def sink_select_sql() -> str:
+    return f"""WITH {ie_cte(False)},
+b AS (SELECT * FROM ie UNION ALL SELECT * FROM ie WHERE CAST(event_id AS BIGINT) % 10 = 0)
+SELECT 'direct' AS sink, CAST((SELECT count(*) FROM (SELECT DISTINCT event_id, created_at FROM b)) AS BIGINT)
+         AS accepted,
+       CAST(count(*) - (SELECT count(*) FROM (SELECT DISTINCT event_id, created_at FROM b)) AS BIGINT) AS duplicates,
+       false AS deferred
+FROM b
+UNION ALL
+SELECT 'queue', CAST(count(*) AS BIGINT), CAST(0 AS BIGINT), true FROM b"""
+
+
+ORACLE.update({
+    "stream_rollup": rollup_1m_sql(True),
+    "stream_dedup": rollup_1m_sql(True),
+    "stream_ingest": stream_ingest_sql(),
+    "stream_spans": stream_spans_sql(),
+    "event_log_sink": event_log_sink_sql(),
+    "overflow_routing": overflow_routing_sql(),
+    "retention_prune": retention_prune_sql(),
+    "time_range_scan": time_range_scan_sql(),
+    "sink_select": sink_select_sql(),
+})

@@ -17,7 +17,7 @@ from callgauge.functions.timebin import PLAIN, PLAIN_US, fmt
 from callgauge.operators import chat, enrich, errors, metrics, redaction, rollup, spans, validate
 from callgauge.operators import dlq as dlq_ops
 from callgauge.plans import ingest
-from callgauge.sources import adapters
+from callgauge.sources import adapters, eventlog
 from callgauge.sources.tables import read_table
 
 REGISTRY: dict = {}
@@ -556,3 +556,118 @@ def q_assemble_spans(spark, sf_dir):
     return s.select("call_id", "status", "error_type", "latency_ms", "ttft_ms", "input_tokens", "output_tokens",
                     "cache_read_tokens", "finish_reason", F.length("output_text").alias("text_chars"),
                     "tokens_per_sec")
+
+
+# --- G: streaming -------------------------------------------------------------
+
+@register("stream_rollup")
+def q_stream_rollup(spark, sf_dir):
+    """Minute rollup maintained by a streaming aggregation (update mode),
+    drained with availableNow; equals the batch rollup."""
+    from callgauge.streaming import jobs
+    ev = adapters.events_to_inference(jobs.events_stream(spark, sf_dir), dense=True)
+    t = jobs.run_to_table(spark, jobs.stream_rollup(ev), ["bucket", "provider", "model"], "stream-rollup")
+    return _rollup_out(t)
+
+
+@register("stream_dedup")
+def q_stream_dedup(spark, sf_dir):
+    """At-least-once delivery (every tenth event twice) de-duplicated within the
+    watermark before the rollup: totals count each event once."""
+    from callgauge.streaming import jobs
+    ev = adapters.events_to_inference(jobs.events_stream(spark, sf_dir), dense=True)
+    t = jobs.run_to_table(spark, jobs.stream_rollup(adapters.replay_input(ev)), ["bucket", "provider", "model"],
+                          "stream-dedup")
+    return _rollup_out(t)
+
+
+def _write_lines(spark, sf_dir, name, parts=4):
+    from callgauge.streaming import jobs
+    src = jobs.scratch(spark, name)
+    adapters.envelope_lines(spark, sf_dir).select("body").repartition(parts).write.text(src)
+    return src
+
+
+@register("stream_ingest")
+def q_stream_ingest(spark, sf_dir):
+    """Queue drain: envelope files -> foreachBatch ingest (one file per
+    micro-batch) -> partitioned event log; returns the stored events."""
+    from callgauge.streaming import jobs
+    src = _write_lines(spark, sf_dir, "stream-ingest-src")
+    dst = jobs.scratch(spark, "stream-ingest-dst")
+    q = jobs.start_ingest(spark, src, dst, f"{dst}/_checkpoint", max_files=1, now=LOAD_TIME)
+    q.awaitTermination(900)
+    if q.exception() is not None:
+        raise q.exception()
+    log = spark.read.parquet(f"{dst}/events")
+    return log.selectExpr("event_id", "date_format(created_at, 'yyyy-MM-dd HH:mm:ss.SSS') AS created_at")
+
+
+@register("stream_spans")
+def q_stream_spans(spark, sf_dir):
+    """Span assembly on a live chunk stream grouped per call (session window)."""
+    from callgauge.streaming import jobs
+    src = jobs.scratch(spark, "stream-spans-src")
+    # chunk files arrive in time order, as a live log does
+    adapters.chunk_log(spark, sf_dir).repartitionByRange(4, "ts").write.parquet(src)
+    schema = spark.read.parquet(src).schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(src)
+    t = jobs.run_to_table(spark, jobs.stream_spans(stream), ["call_id"], "stream-spans", output_mode="append")
+    return t.select("call_id", "status", "error_type", "latency_ms", "ttft_ms", "input_tokens", "output_tokens",
+                    "cache_read_tokens", "finish_reason", F.length("output_text").alias("text_chars"),
+                    "tokens_per_sec")
+
+
+# --- A: event log sink and scans ----------------------------------------------
+
+@register("event_log_sink")
+def q_event_log_sink(spark, sf_dir):
+    """Write the log partitioned by (event_month, batch_id), read the layout back."""
+    from callgauge.streaming import jobs
+    path = jobs.scratch(spark, "event-log")
+    ev = adapters.inference_events(spark, sf_dir).withColumn(
+        "batch_id", F.expr("CAST(event_id AS BIGINT) div 50"))
+    eventlog.write_event_log(ev, path)
+    log = spark.read.parquet(path)
+    return log.groupBy("event_month", "batch_id").agg(F.count(F.lit(1)).alias("rows"))
+
+
+@register("overflow_routing")
+def q_overflow_routing(spark, sf_dir):
+    """Rows routed by event month against the provisioned partitions (Jan 2024
+    only): everything else lands in 'overflow'. ingested_at carries the
+    server-side clock, some of it in the next month at the end of the data."""
+    ev = adapters.inference_events(spark, sf_dir)
+    r = eventlog.route_overflow(ev, ["2024-01"], col="ingested_at")
+    return r.groupBy("event_month").agg(F.count(F.lit(1)).alias("rows"))
+
+
+@register("retention_prune")
+def q_retention_prune(spark, sf_dir):
+    ev = priced_events(spark, sf_dir, dense=False)
+    return eventlog.retention_plan(ev, rollup.rollup_1m(ev), _dlq(spark, sf_dir), "2024-04-20 00:00:00")
+
+
+@register("time_range_scan")
+def q_time_range_scan(spark, sf_dir):
+    """Last 7 days before the raw as-of, read from the partitioned log."""
+    from callgauge.streaming import jobs
+    path = jobs.scratch(spark, "event-log-scan")
+    ev = adapters.inference_events(spark, sf_dir).withColumn(
+        "batch_id", F.expr("CAST(event_id AS BIGINT) div 1000"))
+    eventlog.write_event_log(ev, path)
+    r = eventlog.scan_range(spark, path, adapters.RAW_AS_OF, 7 * 24 * 60)
+    return r.selectExpr("event_id", "date_format(created_at, 'yyyy-MM-dd HH:mm:ss.SSSSSS') AS created_at")
+
+
+@register("sink_select")
+def q_sink_select(spark, sf_dir):
+    """Deliver the replayed input through the direct sink (true accepted /
+    duplicate split) and the deferred queue sink (all accepted for later,
+    duplicates unknown = 0)."""
+    batch = adapters.replay_input(adapters.inference_events(spark, sf_dir))
+    direct = rollup.dedup_counts(batch, rollup.dedup_new(batch)).selectExpr(
+        "'direct' AS sink", "inserted AS accepted", "duplicates", "false AS deferred")
+    queued = batch.agg(F.count(F.lit(1)).alias("accepted")).selectExpr(
+        "'queue' AS sink", "accepted", "0L AS duplicates", "true AS deferred")
+    return direct.unionByName(queued)

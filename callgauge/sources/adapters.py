@@ -30,7 +30,12 @@ def inference_events(spark: SparkSession, sf_dir: str, dense: bool = False) -> D
     Cost and pricing version are *not* set here: pricing is the job of
     :func:`callgauge.operators.enrich.price_events`.
     """
-    ev = read_table(spark, sf_dir, "events")
+    return events_to_inference(read_table(spark, sf_dir, "events"), dense)
+
+
+def events_to_inference(ev: DataFrame, dense: bool = False) -> DataFrame:
+    """The ``events`` -> ``inference_events`` projection; works on batch and
+    streaming DataFrames alike (pure per-row projection)."""
     src = ev.selectExpr("*", "CAST(get_json_object(props, '$.k') AS INT) AS k",
                         "unix_micros(CAST(ts AS TIMESTAMP)) AS us", "event_id % 20 AS m")
     created = (f"timestamp_micros({EPOCH_2024_US} + ((us - {EPOCH_2024_US}) div {DENSE_FACTOR}))"
