@@ -25,7 +25,7 @@ def replay_candidates(dlq: DataFrame, limit: int = DLQ_REPLAY_BATCH) -> DataFram
     from sdk 'replay' / '0' (envelope-stage payloads are replayed as they are)."""
     pend = dlq_pending(dlq, limit)
     return pend.selectExpr(
-        "dlq_id", "batch_id",
+        "dlq_id AS batch_id",
         "IF(stage = 'envelope', payload, concat('{\"sdk\":{\"name\":\"replay\",\"version\":\"0\"},"
         "\"sentAt\":\"', date_format(current_timestamp(), \"yyyy-MM-dd'T'HH:mm:ss.SSS'Z'\"), "
         "'\",\"events\":[', payload, ']}')) AS body")
@@ -37,20 +37,18 @@ def dlq_replay(dlq: DataFrame, log: DataFrame | None, now: str, limit: int = DLQ
     replay does not park a second copy. Returns (updated dlq, accepted rows,
     per-row outcome)."""
     from callgauge.operators import rollup
-    cand = replay_candidates(dlq, limit)
+    cand = replay_candidates(dlq, limit)          # batch_id = dlq_id
     envs = validate.validate_envelopes(cand)
     checked = validate.validate_events(validate.explode_envelopes(envs))
-    ok = checked.filter("size(reasons) = 0")
-    typed = validate.typed_events(ok, ingested_at=now).join(
-        ok.select("batch_id", "position", "dlq_id"), ["batch_id", "position"])
-    fresh = rollup.dedup_new(typed.drop("dlq_id"), log)
-    outcome = (cand.select("dlq_id")
-               .join(typed.groupBy("dlq_id").agg(F.count(F.lit(1)).alias("valid_events")), "dlq_id", "left")
-               .join(fresh.join(typed.select("batch_id", "position", "dlq_id"), ["batch_id", "position"])
-                     .groupBy("dlq_id").agg(F.count(F.lit(1)).alias("accepted")), "dlq_id", "left")
-               .selectExpr("dlq_id", "coalesce(accepted, 0) AS accepted",
-                           "coalesce(valid_events, 0) - coalesce(accepted, 0) AS duplicates",
-                           "coalesce(valid_events, 0) > 0 AS replayed"))
+    typed = validate.typed_events(checked.filter("size(reasons) = 0"), ingested_at=now)
+    fresh = rollup.dedup_new(typed, log)
+    per = (typed.selectExpr("batch_id AS dlq_id", "1 AS _valid", "0 AS _new")
+           .unionByName(fresh.selectExpr("batch_id AS dlq_id", "0 AS _valid", "1 AS _new"))
+           .groupBy("dlq_id").agg(F.sum("_valid").alias("_v"), F.sum("_new").alias("_n")))
+    outcome = (cand.selectExpr("batch_id AS dlq_id").join(per, "dlq_id", "left")
+               .selectExpr("dlq_id", "CAST(coalesce(_n, 0) AS BIGINT) AS accepted",
+                           "CAST(coalesce(_v, 0) - coalesce(_n, 0) AS BIGINT) AS duplicates",
+                           "coalesce(_v, 0) > 0 AS replayed"))
     done = outcome.filter("replayed").select("dlq_id", F.lit(True).alias("_done"))
     updated = (dlq.join(done, "dlq_id", "left")
                .withColumn("replayed_at", F.when(F.col("_done"), F.lit(now).cast("timestamp"))

@@ -1118,3 +1118,153 @@ ORACLE.update({
     "time_range_scan": time_range_scan_sql(),
     "sink_select": sink_select_sql(),
 })
+
+
+# ---------------------------------------------------------------------------
+# Queue, arrival, batching, audits
+# ---------------------------------------------------------------------------
+
+def _queue_cte() -> str:
+    return f"""{ie_cte(True)},
+ql AS (SELECT CAST(event_id AS BIGINT) // 50 AS msg_id, min(created_at) AS enqueued_at, count(*) AS events
+       FROM ie GROUP BY 1),
+q AS (SELECT msg_id, CAST(msg_id % 8 AS INTEGER) AS read_ct, enqueued_at, msg_id % 3 <> 0 AS acked, events FROM ql)"""
+
+
+def poison_route_sql() -> str:
+    return f"""WITH {_queue_cte()}
+SELECT msg_id, read_ct, strftime(enqueued_at, '%Y-%m-%d %H:%M:%S') AS enqueued_at, events
+FROM q WHERE NOT acked AND read_ct > 5"""
+
+
+def queue_health_sql() -> str:
+    age = f"(epoch_us(TIMESTAMP '{DENSE_AS_OF}') - epoch_us(enqueued_at)) / 1000000.0"
+    return f"""WITH {_queue_cte()}
+SELECT CAST(count(*) FILTER (WHERE NOT acked AND read_ct <= 5) AS BIGINT) AS queue_length,
+       count(*) AS total_messages,
+       CAST(floor(max({age}) FILTER (WHERE NOT acked AND read_ct <= 5)) AS BIGINT) AS oldest_age_sec,
+       CAST(floor(min({age}) FILTER (WHERE NOT acked AND read_ct <= 5)) AS BIGINT) AS newest_age_sec,
+       CAST(count(*) FILTER (WHERE NOT acked AND read_ct > 5) AS BIGINT) AS archived,
+       coalesce(floor(max({age}) FILTER (WHERE NOT acked AND read_ct <= 5)) > 60, false) AS degraded
+FROM q"""
+
+
+def late_and_skewed_sql() -> str:
+    return f"""WITH {ie_cte(False)}
+SELECT count(*) AS rows,
+       count(*) FILTER (WHERE epoch_us(ingested_at) - epoch_us(client_ts) > 2000000) AS later_than_watermark,
+       count(*) FILTER (WHERE client_ts > ingested_at) AS client_clock_ahead,
+       count(*) FILTER (WHERE strftime(created_at, '%Y-%m') NOT IN ('2024-01')) AS overflow_rows,
+       count(DISTINCT date_trunc('minute', created_at)) AS event_minutes
+FROM ie"""
+
+
+def micro_batches_sql() -> str:
+    return f"""WITH {ie_cte(False)},
+r AS (SELECT session_id, event_id, created_at,
+             (row_number() OVER (PARTITION BY session_id ORDER BY created_at, event_id) - 1) // 50 AS batch_no
+      FROM ie)
+SELECT session_id, batch_no, count(*) AS events,
+       arg_min(event_id, (created_at, event_id)) AS first_event_id,
+       arg_max(event_id, (created_at, event_id)) AS last_event_id
+FROM r GROUP BY 1, 2"""
+
+
+def buffer_overflow_loss_sql() -> str:
+    return f"""WITH {ie_cte(False)}
+SELECT provider, least(count(*), 1000) AS kept, count(*) - least(count(*), 1000) AS dropped
+FROM ie GROUP BY 1"""
+
+
+def rollup_reconcile_sql() -> str:
+    cnt = ["calls", "errors", "cancelled", "sum_latency_ms", "input_tokens", "output_tokens"]
+    drift = "greatest(" + ", ".join(
+        f"abs(coalesce(s.{c}, 0) - coalesce(r.{c}, 0)) / greatest(abs(coalesce(r.{c}, 0)), 1)" for c in cnt) + ")"
+    day = "created_at >= TIMESTAMP '2024-01-15' AND created_at < TIMESTAMP '2024-01-16'"
+    agg = """date_trunc('minute', created_at) AS bucket, provider, model, count(*) AS calls,
+             count(*) FILTER (WHERE status = 'error') AS errors, count(*) FILTER (WHERE status = 'cancelled')
+             AS cancelled, CAST(coalesce(sum(latency_ms), 0) AS BIGINT) AS sum_latency_ms,
+             CAST(coalesce(sum(input_tokens), 0) AS BIGINT) AS input_tokens,
+             CAST(coalesce(sum(output_tokens), 0) AS BIGINT) AS output_tokens"""
+    return _valid_rows() + f""",
+s AS (SELECT {agg} FROM t WHERE {day} GROUP BY 1, 2, 3),
+r AS (SELECT {agg} FROM ie WHERE {day} GROUP BY 1, 2, 3)
+SELECT strftime(coalesce(s.bucket, r.bucket), '%Y-%m-%d %H:%M:%S') AS bucket,
+       coalesce(s.provider, r.provider) AS provider, coalesce(s.model, r.model) AS model,
+       s.calls AS stored_calls, r.calls AS raw_calls, s.sum_latency_ms AS stored_sum_latency_ms,
+       r.sum_latency_ms AS raw_sum_latency_ms, round({drift}, 6) AS max_rel_drift,
+       round({drift}, 6) > 0.001 AS drifted
+FROM s FULL OUTER JOIN r ON s.bucket = r.bucket AND s.provider = r.provider AND s.model = r.model"""
+
+
+def clock_skew_sql() -> str:
+    return f"""WITH {ie_cte(False)}
+SELECT event_id, (epoch_us(client_ts) - epoch_us(ingested_at)) // 1000 AS skew_ms,
+       strftime(ingested_at, '%Y-%m-%d %H:%M:%S.%f') AS ingested_at
+FROM ie WHERE client_ts > ingested_at"""
+
+
+def reprice_audit_sql() -> str:
+    return f"""WITH {ie_cte(False)}, {prices_cte()}, {prices_cte('pb', '1.1')},
+{priced_cte('ie', 'ia')},
+{priced_cte('ie', 'ib', prices='pb')},
+g AS (SELECT a.model, count(*) AS calls, coalesce(sum(a.cost_usd), 0) AS cost_a, coalesce(sum(b.cost_usd), 0) AS cost_b
+      FROM ia a JOIN ib b USING (event_id) GROUP BY a.model)
+SELECT model, calls, CAST(CAST(cost_a AS DECIMAL(24,8)) AS VARCHAR) AS cost_a,
+       CAST(CAST(cost_b AS DECIMAL(24,8)) AS VARCHAR) AS cost_b,
+       CAST(CAST(cost_b - cost_a AS DECIMAL(24,8)) AS VARCHAR) AS diff
+FROM g"""
+
+
+def id_order_check_sql() -> str:
+    return f"""WITH {ie_cte(False)},
+w AS (SELECT '00000000-0000-7000-8000-' || lpad(event_id, 12, '0') AS wire_id, created_at, event_id FROM ie),
+l AS (SELECT wire_id, lag(wire_id) OVER (ORDER BY created_at, event_id) AS prev FROM w)
+SELECT coalesce(bool_and(wire_id > prev) FILTER (WHERE prev IS NOT NULL), true) AS ordered,
+       CAST(count(*) - 1 AS BIGINT) AS pairs
+FROM l"""
+
+
+def keep_sample_sql() -> str:
+    h = "(((CAST(event_id AS BIGINT) % 1000003) * 7919 + 13) % 1000003)"
+    return f"""WITH {ie_cte(False)}
+SELECT event_id, {h} % 10 = 0 AS sampled, status = 'error' OR latency_ms > 5000 AS forced
+FROM ie WHERE {h} % 10 = 0 OR status = 'error' OR latency_ms > 5000"""
+
+
+def capture_layer_proof_sql() -> str:
+    return f"""WITH {conv_cte()}, {ie_cte(False)},
+gone AS (SELECT id FROM conv WHERE status = 'deleted')
+SELECT captured_by, conversation_id IN (SELECT id FROM gone) AS no_conversation, count(*) AS events
+FROM ie GROUP BY 1, 2"""
+
+
+def dlq_replay_sql() -> str:
+    return f"""SELECT dlq_id, CAST(0 AS BIGINT) AS accepted, CAST(0 AS BIGINT) AS duplicates, false AS replayed
+FROM ({quarantine_split_sql()}) q ORDER BY dlq_id DESC LIMIT 100"""
+
+
+def orphan_refs_sql() -> str:
+    return f"""WITH {msg_cte()}, {conv_cte()}, {ie_cte(False)},
+f AS (SELECT conversation_id NOT IN (SELECT id FROM conv) AS orphan_conversation,
+             NOT EXISTS (SELECT 1 FROM msg m WHERE m.conversation_id = ie.conversation_id
+                                               AND m.seq = ie.message_turn + 1) AS orphan_message
+      FROM ie)
+SELECT orphan_conversation, orphan_message, count(*) AS events FROM f GROUP BY 1, 2"""
+
+
+ORACLE.update({
+    "poison_route": poison_route_sql(),
+    "queue_health": queue_health_sql(),
+    "late_and_skewed": late_and_skewed_sql(),
+    "micro_batches": micro_batches_sql(),
+    "buffer_overflow_loss": buffer_overflow_loss_sql(),
+    "rollup_reconcile": rollup_reconcile_sql(),
+    "clock_skew": clock_skew_sql(),
+    "reprice_audit": reprice_audit_sql(),
+    "id_order_check": id_order_check_sql(),
+    "keep_sample": keep_sample_sql(),
+    "capture_layer_proof": capture_layer_proof_sql(),
+    "dlq_replay": dlq_replay_sql(),
+    "orphan_refs": orphan_refs_sql(),
+})

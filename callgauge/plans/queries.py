@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from callgauge.functions.histogram import bucket_index, hist_sum, histogram_of, with_percentiles
 from callgauge.functions.histogram import hist_add
 from callgauge.functions.timebin import PLAIN, PLAIN_US, fmt
-from callgauge.operators import chat, enrich, errors, metrics, redaction, rollup, spans, validate
+from callgauge.operators import audit, chat, enrich, errors, metrics, queue, redaction, rollup, spans, validate
 from callgauge.operators import dlq as dlq_ops
 from callgauge.plans import ingest
 from callgauge.sources import adapters, eventlog
@@ -671,3 +671,97 @@ def q_sink_select(spark, sf_dir):
     queued = batch.agg(F.count(F.lit(1)).alias("accepted")).selectExpr(
         "'queue' AS sink", "accepted", "0L AS duplicates", "true AS deferred")
     return direct.unionByName(queued)
+
+
+# --- G4-G10: queue, arrival, batching -------------------------------------------
+
+@register("poison_route")
+def q_poison_route(spark, sf_dir):
+    r = queue.route_poison(adapters.queue_log(spark, sf_dir))
+    return r.select("msg_id", "read_ct", fmt("enqueued_at", PLAIN).alias("enqueued_at"), "events")
+
+
+@register("queue_health")
+def q_queue_health(spark, sf_dir):
+    return queue.queue_health(adapters.queue_log(spark, sf_dir), adapters.DENSE_AS_OF)
+
+
+@register("late_and_skewed")
+def q_late_and_skewed(spark, sf_dir):
+    return queue.late_and_skewed(adapters.inference_events(spark, sf_dir), ["2024-01"], watermark_ms=2000)
+
+
+@register("micro_batches")
+def q_micro_batches(spark, sf_dir):
+    return queue.micro_batches(adapters.inference_events(spark, sf_dir))
+
+
+@register("buffer_overflow_loss")
+def q_buffer_overflow_loss(spark, sf_dir):
+    return queue.buffer_loss(adapters.inference_events(spark, sf_dir))
+
+
+# --- H: audits --------------------------------------------------------------------
+
+@register("rollup_reconcile")
+def q_rollup_reconcile(spark, sf_dir):
+    """Stored rollup = what the ingest path stored (rejected events missing);
+    raw = the event table; one day reconciled."""
+    flagged = ingest.flag_rows(adapters.envelope_lines(spark, sf_dir), now=LOAD_TIME)
+    stored = rollup.rollup_1m(enrich.price_events(flagged.filter("is_new")))
+    raw = priced_events(spark, sf_dir, dense=False)
+    r = audit.reconcile(stored, raw, "2024-01-15")
+    return r.select(fmt("bucket", PLAIN).alias("bucket"), "provider", "model", "stored_calls", "raw_calls",
+                    "stored_sum_latency_ms", "raw_sum_latency_ms", "max_rel_drift", "drifted")
+
+
+@register("clock_skew")
+def q_clock_skew(spark, sf_dir):
+    r = audit.clock_skew(adapters.inference_events(spark, sf_dir))
+    return r.select("event_id", "skew_ms", fmt("ingested_at", PLAIN_US).alias("ingested_at"))
+
+
+@register("reprice_audit")
+def q_reprice_audit(spark, sf_dir):
+    from decimal import Decimal
+    r = audit.reprice(adapters.inference_events(spark, sf_dir), input_scale_b=Decimal("1.1"))
+    return r.selectExpr("model", "calls", "CAST(CAST(cost_a AS DECIMAL(24,8)) AS STRING) AS cost_a",
+                        "CAST(CAST(cost_b AS DECIMAL(24,8)) AS STRING) AS cost_b",
+                        "CAST(CAST(diff AS DECIMAL(24,8)) AS STRING) AS diff")
+
+
+@register("id_order_check")
+def q_id_order_check(spark, sf_dir):
+    """Wire ids (zero-padded) must increase with the call start time."""
+    ev = adapters.inference_events(spark, sf_dir).withColumn(
+        "wire_id", F.expr("concat('00000000-0000-7000-8000-', lpad(event_id, 12, '0'))"))
+    return audit.id_order_check(ev, "wire_id", ("created_at", "event_id"), buckets=64)
+
+
+@register("keep_sample")
+def q_keep_sample(spark, sf_dir):
+    r = audit.keep_sample(adapters.inference_events(spark, sf_dir), n=10, slow_ms=5000)
+    return r.select("event_id", "sampled", "forced")
+
+
+@register("capture_layer_proof")
+def q_capture_layer_proof(spark, sf_dir):
+    gone = _convs(spark, sf_dir).filter("status = 'deleted'").select("id")
+    _, ev = chat.delete_conversations(_msgs(spark, sf_dir), adapters.inference_events(spark, sf_dir), gone)
+    return audit.capture_layers(ev)
+
+
+# --- B9 / B10 ---------------------------------------------------------------------
+
+@register("dlq_replay")
+def q_dlq_replay(spark, sf_dir):
+    """Re-drive the next 100 pending dead letters against the stored log."""
+    log = ingest.flag_rows(adapters.envelope_lines(spark, sf_dir), now=LOAD_TIME).filter("is_new")
+    _, _, outcome = dlq_ops.dlq_replay(_dlq(spark, sf_dir), log, "2024-02-02 00:00:00")
+    return outcome
+
+
+@register("orphan_refs")
+def q_orphan_refs(spark, sf_dir):
+    o = dlq_ops.orphan_refs(adapters.inference_events(spark, sf_dir), _convs(spark, sf_dir), _msgs(spark, sf_dir))
+    return o.groupBy("orphan_conversation", "orphan_message").agg(F.count(F.lit(1)).alias("events"))

@@ -379,3 +379,14 @@ def response_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         "'content', text), 'finish_reason', 'stop')), 'usage', named_struct('prompt_tokens', n_in, "
         "'completion_tokens', n_words, 'prompt_tokens_details', named_struct('cached_tokens', call_id % 5)))))"
         " AS response")
+
+
+def queue_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queue message log: one message per delivery batch (event_id div 50),
+    enqueued at the dense time of its first event, read batch % 8 times,
+    acknowledged when batch % 3 <> 0."""
+    ev = inference_events(spark, sf_dir, dense=True).selectExpr(
+        "CAST(event_id AS BIGINT) div 50 AS msg_id", "created_at")
+    g = ev.groupBy("msg_id").agg(F.min("created_at").alias("enqueued_at"), F.count(F.lit(1)).alias("events"))
+    return g.selectExpr("msg_id", "CAST(msg_id % 8 AS INT) AS read_ct", "enqueued_at", "msg_id % 3 <> 0 AS acked",
+                        "events")
