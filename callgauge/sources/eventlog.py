@@ -38,24 +38,16 @@ def write_event_log(events: DataFrame, path: str, known_months: list[str] | None
      .partitionBy("event_month", batch_col).parquet(path))
 
 
-def months_between(start: datetime, end: datetime) -> list[str]:
-    out, y, m = [], start.year, start.month
-    while (y, m) <= (end.year, end.month):
-        out.append(f"{y:04d}-{m:02d}")
-        y, m = (y + 1, 1) if m == 12 else (y, m + 1)
-    return out
-
-
 def scan_range(spark: SparkSession, path: str, as_of: str, minutes: int) -> DataFrame:
-    """Events with created_at >= as_of - interval. The month list is derived
-    from the range on the driver (a calendar computation, no data) so the
-    partition filter prunes directories; the created_at bound is pushed to the
-    Parquet reader."""
-    end = datetime.fromisoformat(as_of)
-    start = end - timedelta(minutes=minutes)
-    months = months_between(start, end + timedelta(days=3660))
+    """Events with created_at >= as_of - interval.
+
+    The partition predicate ``event_month >= 'yyyy-MM'`` (months sort
+    lexically; 'overflow' sorts after every month, so rows with far-off clocks
+    stay visible) prunes directories; the created_at bound is pushed to the
+    Parquet reader, where row-group min/max statistics skip the rest."""
+    start = datetime.fromisoformat(as_of) - timedelta(minutes=minutes)
     return (spark.read.parquet(path)
-            .filter(F.col("event_month").isin(*months))
+            .filter(F.col("event_month") >= F.lit(f"{start.year:04d}-{start.month:02d}"))
             .filter(F.col("created_at") >= F.lit(start.isoformat(sep=" ")).cast("timestamp")))
 
 
