@@ -32,3 +32,17 @@ def test_time_range_scan_prunes_partitions(spark):
     p = df._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(event_month" in p and "(event_month" in p and ">= 2024-01)" in p
     assert "PushedFilters: [IsNotNull(created_at), GreaterThanOrEqual(created_at" in p
+
+
+def test_dashboard_bundle(spark):
+    from callgauge.operators import enrich, rollup
+    from callgauge.plans.dashboard import dashboard
+    from callgauge.plans.queries import _dlq
+    from callgauge.sources import adapters
+    ev = enrich.price_events(adapters.inference_events(spark, SF_SMALL, dense=True))
+    panels = dashboard(rollup.rollup_1m(ev), ev, _dlq(spark, SF_SMALL), "bogus", adapters.DENSE_AS_OF, "")
+    assert set(panels) == {"timeseries", "totals", "by_model", "by_error_type", "ingest_health",
+                           "known_models", "latency_percentiles_raw"}
+    tot = panels["totals"].first()
+    assert tot.calls == sum(r.calls for r in panels["timeseries"].collect())
+    assert panels["known_models"].count() == panels["by_model"].count()
