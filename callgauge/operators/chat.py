@@ -10,26 +10,28 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from callgauge.constants import (CONTEXT_CHARS_PER_TOKEN, CONTEXT_DEFAULT_TOKEN_BUDGET,
                                  CONTEXT_MIN_TURNS, LIST_CONVERSATIONS_DEFAULT, LIST_CONVERSATIONS_MAX,
                                  REPLAY_MESSAGES_LIMIT, TITLE_CUT, TITLE_MAX)
 from callgauge.functions.redact import JS_SPACE_CLASS, sql_str
+from callgauge.operators.running import running_sums
 
 
 def assign_seq(existing: DataFrame, new: DataFrame, arrival_cols=("created_at",)) -> DataFrame:
     """seq for appended rows = current max seq of the conversation + arrival rank.
 
     The per-conversation max is an aggregate (one row per conversation), joined
-    back on the conversation key; the rank is a window over the new rows of one
-    conversation, ordered by ``arrival_cols``.
+    back on the conversation key; the arrival rank is a bucketed running count
+    ordered by ``arrival_cols`` (first one a timestamp), skew-safe.
     """
     mx = existing.groupBy("conversation_id").agg(F.max("seq").alias("_max"))
-    w = Window.partitionBy("conversation_id").orderBy(*[F.col(c) for c in arrival_cols])
-    out = (new.join(mx, "conversation_id", "left")
-           .withColumn("seq", F.coalesce(F.col("_max"), F.lit(0)) + F.row_number().over(w)))
-    return out.drop("_max")
+    first = arrival_cols[0]
+    ranked = running_sums(new, ["conversation_id"], f"unix_micros({first}) div 60000000", list(arrival_cols),
+                          {"_rank": "1"})
+    out = ranked.join(mx, "conversation_id", "left").withColumn(
+        "seq", F.coalesce(F.col("_max"), F.lit(0)) + F.col("_rank"))
+    return out.drop("_max", "_rank")
 
 
 def conversation_counters(messages: DataFrame) -> DataFrame:
@@ -54,9 +56,10 @@ def list_conversations(conversations: DataFrame, messages: DataFrame, user_id: s
 
 
 def replay_messages(messages: DataFrame, limit: int = REPLAY_MESSAGES_LIMIT) -> DataFrame:
-    """The first ``limit`` messages of every conversation, by seq."""
-    w = Window.partitionBy("conversation_id").orderBy("seq")
-    return messages.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= limit).drop("_rn")
+    """The first ``limit`` messages of every conversation, by seq (bucketed
+    running count, so a very long conversation is not one task)."""
+    r = running_sums(messages, ["conversation_id"], "seq div 1024", ["seq"], {"_rn": "1"})
+    return r.filter(F.col("_rn") <= limit).drop("_rn")
 
 
 def context_window(messages: DataFrame, token_budget: int = CONTEXT_DEFAULT_TOKEN_BUDGET) -> DataFrame:
@@ -65,19 +68,18 @@ def context_window(messages: DataFrame, token_budget: int = CONTEXT_DEFAULT_TOKE
 
     Equivalent to the newest-first loop: with cum = running chars over the
     non-empty rows newest first, a row is kept iff its rank <= 4 or cum <=
-    budget (cum is monotone, so the loop's break is a prefix cut). Adds
-    ``kept`` per row; summarise with :func:`context_window_summary`.
+    budget (cum is monotone, so the loop's break is a prefix cut). The running
+    sums are bucketed (see :mod:`callgauge.operators.running`), so one very
+    long conversation does not become one task. Adds ``kept`` per row;
+    summarise with :func:`context_window_summary`.
     """
     budget = int(token_budget) * CONTEXT_CHARS_PER_TOKEN
-    usable = ~((F.col("role") == "assistant") & (F.length("content") == 0))
-    w = (Window.partitionBy("conversation_id").orderBy(F.desc("seq"))
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    m = messages.withColumn("_usable", usable)
-    m = m.withColumn("_len", F.when(F.col("_usable"), F.length("content")).otherwise(0))
-    m = m.withColumn("_cum", F.sum("_len").over(w)).withColumn(
-        "_rank", F.sum(F.col("_usable").cast("int")).over(w))
-    kept = F.col("_usable") & ((F.col("_rank") <= CONTEXT_MIN_TURNS) | (F.col("_cum") <= budget))
-    return m.withColumn("kept", kept).drop("_usable", "_len", "_cum", "_rank")
+    usable = "NOT (role = 'assistant' AND length(content) = 0)"
+    m = running_sums(messages, ["conversation_id"], "seq div 1024", ["seq"],
+                     {"_cum": f"IF({usable}, length(content), 0)", "_rank": f"IF({usable}, 1, 0)"},
+                     descending=True)
+    kept = F.expr(f"{usable} AND (_rank <= {CONTEXT_MIN_TURNS} OR _cum <= {budget})")
+    return m.withColumn("kept", kept).drop("_cum", "_rank")
 
 
 def context_window_summary(windowed: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from callgauge.operators.running import running_sums
 
 from callgauge.constants import DEFAULT_BATCH_EVENTS, MAX_QUEUE, QUEUE_MAX_ATTEMPTS, READINESS_LAG_SECONDS
 
@@ -53,21 +53,34 @@ def late_and_skewed(events: DataFrame, known_months: list[str], watermark_ms: in
 def micro_batches(events: DataFrame, producer: str = "session_id", order=("created_at", "event_id"),
                   size: int = DEFAULT_BATCH_EVENTS) -> DataFrame:
     """Envelopes of at most ``size`` events per producer in arrival order:
-    batch_no = (row_number - 1) div size. Each group holds <= size ids."""
-    w = Window.partitionBy(producer).orderBy(*order)
-    e = events.withColumn("batch_no", F.expr(f"(row_number() OVER (PARTITION BY {producer} ORDER BY "
-                                             f"{', '.join(order)}) - 1) div {int(size)}"))
+    batch_no = (rank - 1) div size. The per-producer rank is a bucketed
+    running count (hour buckets), so a hot producer is spread over many
+    tasks; each output group holds <= size ids."""
+    r = running_sums(events, [producer], f"unix_micros({order[0]}) div 3600000000", list(order), {"_rank": "1"})
+    e = r.withColumn("batch_no", F.expr(f"(_rank - 1) div {int(size)}"))
     return e.groupBy(producer, "batch_no").agg(
         F.count(F.lit(1)).alias("events"),
         F.min_by("event_id", F.struct(*order)).alias("first_event_id"),
         F.max_by("event_id", F.struct(*order)).alias("last_event_id"))
 
 
-def buffer_loss(events: DataFrame, producer: str = "provider", order=("created_at", "event_id"),
-                max_queue: int = MAX_QUEUE) -> DataFrame:
-    """A bounded client buffer that overflows drops the OLDEST events: keep
-    the newest ``max_queue`` per producer and count the dropped ones."""
-    rank = (f"row_number() OVER (PARTITION BY {producer} ORDER BY "
-            + ", ".join(f"{c} DESC" for c in order) + ")")
-    e = events.withColumn("_kept", F.expr(f"{rank} <= {int(max_queue)}"))
-    return e.groupBy(producer).agg(F.count_if("_kept").alias("kept"), F.count_if(~F.col("_kept")).alias("dropped"))
+def buffer_loss(events: DataFrame, producer: str = "provider", max_queue: int = MAX_QUEUE) -> DataFrame:
+    """A bounded client buffer that overflows drops the OLDEST events: per
+    producer, kept = min(n, max_queue) and dropped = the rest. A plain
+    (partial) aggregate — a hot producer costs nothing extra."""
+    g = events.groupBy(producer).agg(F.count(F.lit(1)).alias("_n"))
+    return g.selectExpr(producer, f"least(_n, {int(max_queue)}) AS kept", f"_n - least(_n, {int(max_queue)}) AS dropped")
+
+
+def buffer_kept_rows(events: DataFrame, producer: str = "provider", order=("created_at", "event_id"),
+                     max_queue: int = MAX_QUEUE, salts: int = 64) -> DataFrame:
+    """The newest ``max_queue`` events per producer, exactly, without putting a
+    hot producer into one task: top-k inside ``salts`` hash sub-groups first
+    (each keeps at most k candidates), then top-k over the <= salts*k
+    candidates of each producer."""
+    desc = ", ".join(f"{c} DESC" for c in order)
+    salted = events.withColumn("_salt", F.expr(f"pmod(xxhash64({', '.join(order)}), {int(salts)})"))
+    cand = salted.withColumn("_r", F.expr(f"row_number() OVER (PARTITION BY {producer}, _salt ORDER BY {desc})"))
+    cand = cand.filter(f"_r <= {int(max_queue)}").drop("_r", "_salt")
+    fin = cand.withColumn("_r", F.expr(f"row_number() OVER (PARTITION BY {producer} ORDER BY {desc})"))
+    return fin.filter(f"_r <= {int(max_queue)}").drop("_r")

@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from callgauge.functions.histogram import N_BUCKETS, bucket_index_sql, histogram_counts_of_index, slot_sql
 
@@ -64,18 +63,23 @@ def rollup_merge(*deltas: DataFrame) -> DataFrame:
     return u.groupBy(*ROLLUP_KEY).agg(*aggs)
 
 
-def dedup_within_batch(batch: DataFrame, order_col: str | None = None) -> DataFrame:
+def dedup_within_batch(batch: DataFrame, order_cols=None) -> DataFrame:
     """Keep one row per (event_id, created_at).
 
-    With ``order_col`` (arrival position) the earliest delivery wins
-    deterministically; otherwise ``dropDuplicates`` picks any copy (all copies of
-    a retried event are identical). Both shuffle once on the dedup key; a hot
-    event id only affects its own key, never a whole partition of keys.
+    Without ``order_cols`` this is ``dropDuplicates``, planned as a partial
+    aggregate: copies collapse map-side before the shuffle, so a replay storm
+    of one event costs one row per task. With ``order_cols`` (arrival
+    position) the earliest copy wins deterministically: the earliest position
+    per key is again a partial aggregate, joined back on the key (a skewed key
+    becomes a skewed join that AQE splits, not a single-task window).
     """
-    if order_col is None:
+    if not order_cols:
         return batch.dropDuplicates(DEDUP_KEY)
-    w = Window.partitionBy(*DEDUP_KEY).orderBy(F.col(order_col).asc())
-    return batch.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
+    if isinstance(order_cols, str):
+        order_cols = [order_cols]
+    first = batch.groupBy(*DEDUP_KEY).agg(F.min(F.struct(*order_cols)).alias("_first"))
+    return (batch.join(first, DEDUP_KEY)
+            .filter(F.struct(*order_cols) == F.col("_first")).drop("_first"))
 
 
 def dedup_new(batch: DataFrame, log: DataFrame | None = None, order_col: str | None = None) -> DataFrame:

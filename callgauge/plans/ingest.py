@@ -15,7 +15,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from callgauge.constants import MAX_ERROR_MESSAGE_CHARS
 from callgauge.operators import enrich, redaction, rollup, validate
@@ -44,23 +43,26 @@ def flag_rows(lines: DataFrame, log: DataFrame | None = None, now: str | None =
 
     ``is_new`` holds for a valid event that is the earliest (batch_id,
     position) copy of its (event_id, created_at) in this load and is absent
-    from ``log``. The ordering window is partitioned by the dedup key, so a
-    retried event only meets its own copies.
+    from ``log``. The earliest copy is found by a partial aggregate on the
+    dedup key joined back, so a hot key never forms a single-task window.
     """
     envs = validate.validate_envelopes(lines)
     rows = validate.validate_events(validate.explode_all(envs))
     typed = validate.typed_events(rows, ingested_at=now, keep=True)
     typed = typed.withColumn("valid", F.expr("envelope_ok AND event IS NOT NULL AND size(reasons) = 0"))
     key = rollup.DEDUP_KEY
-    w = Window.partitionBy(*key).orderBy("batch_id", "position")
-    typed = typed.withColumn("_rn", F.when(F.col("valid"), F.row_number().over(w)))
+    # earliest delivery per key: a partial aggregate joined back (skew-safe)
+    first = (typed.filter("valid").groupBy(*key)
+             .agg(F.min(F.struct("batch_id", "position")).alias("_first")))
+    typed = typed.join(first, key, "left")
     if log is not None:
         seen = log.select(*key).distinct().withColumn("_seen", F.lit(True))
         typed = typed.join(seen, key, "left")
     else:
         typed = typed.withColumn("_seen", F.lit(None).cast("boolean"))
-    return (typed.withColumn("is_new", F.expr("valid AND _rn = 1 AND _seen IS NULL"))
-            .drop("_rn", "_seen"))
+    return (typed.withColumn("is_new", F.expr(
+                "valid AND struct(batch_id, position) = _first AND _seen IS NULL"))
+            .drop("_first", "_seen"))
 
 
 def ack_of(flagged: DataFrame) -> DataFrame:
