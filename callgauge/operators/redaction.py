@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from callgauge.constants import DEFAULT_REDACTION_SALT
 from callgauge.functions.redact import (DETECTORS, KINDS, TOKEN_PATTERN, luhn_sql, sql_str,
                                         ssn_valid_sql, with_preview, with_redaction)
+from callgauge.sources.tables import spread_for_cpu
 
 PREVIEW_CHARS = 300  # default preview length
 
@@ -16,7 +17,7 @@ PREVIEW_CHARS = 300  # default preview length
 def redact_text(df: DataFrame, text_col: str = "text", keep=("doc_id",),
                 salt: str = DEFAULT_REDACTION_SALT) -> DataFrame:
     """Redacted text, total hits and hits per detector kind."""
-    r = with_redaction(df.select(*keep, text_col), text_col, "redacted", salt)
+    r = with_redaction(spread_for_cpu(df.select(*keep, text_col)), text_col, "redacted", salt)
     return r.select(*keep, "redacted_text", "redacted_hits", *[f"redacted_{k.lower()}" for k in KINDS])
 
 
@@ -24,13 +25,14 @@ def preview_text(df: DataFrame, text_col: str = "text", max_chars: int = PREVIEW
                  keep=("doc_id",), salt: str = DEFAULT_REDACTION_SALT) -> DataFrame:
     """Redact first, then truncate (truncating first could cut an identifier in
     half and leave an unmatchable but still sensitive fragment)."""
-    r = with_preview(df.select(*keep, text_col), text_col, max_chars, "preview", salt)
+    r = with_preview(spread_for_cpu(df.select(*keep, text_col)), text_col, max_chars, "preview", salt)
     return r.select(*keep, "preview", "preview_hits")
 
 
 def _audit(df: DataFrame, kind: str, check_sql: str, name: str, text_col: str) -> DataFrame:
     pat = sql_str(dict(DETECTORS)[kind])
-    runs = df.select("source", F.explode(F.expr(f"regexp_extract_all({text_col}, {pat}, 0)")).alias("m"))
+    runs = spread_for_cpu(df.select("source", text_col)).select(
+        "source", F.explode(F.expr(f"regexp_extract_all({text_col}, {pat}, 0)")).alias("m"))
     return (runs.groupBy("source", F.expr(check_sql).alias(name))
             .agg(F.count(F.lit(1)).alias("runs"), F.count_distinct("m").alias("distinct_runs")))
 
@@ -63,7 +65,7 @@ def redaction_second_pass(events: DataFrame, mode: str = "both", max_chars: int
     if mode not in ("ingest", "both"):
         return (events.withColumnRenamed(input_col, "input_preview")
                 .withColumnRenamed(output_col, "output_preview"))
-    a = with_preview(events, input_col, max_chars, "input_preview", salt)
+    a = with_preview(spread_for_cpu(events), input_col, max_chars, "input_preview", salt)
     b = with_preview(a, output_col, max_chars, "output_preview", salt)
     return (b.withColumn(hits_col, F.expr(f"{hits_col} + input_preview_hits + output_preview_hits"))
             .drop("input_preview_hits", "output_preview_hits", input_col, output_col))

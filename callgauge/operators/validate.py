@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from callgauge.sources.tables import spread_for_cpu
 from callgauge.constants import (CAPTURE_LAYERS, ERROR_TYPES, MAX_BATCH_EVENTS,
                                  MAX_ERROR_MESSAGE_CHARS, MAX_LATENCY_MS, MAX_PREVIEW_CHARS,
                                  OPERATIONS, STATUSES)
@@ -226,7 +227,7 @@ def validate_envelopes(lines: DataFrame, body_col: str = "body") -> DataFrame:
     """Envelope-only check. Adds ``env`` (variant), ``envelope_reasons`` and the
     envelope fields (sdk name/version/runtime, sent_at, dropped)."""
     v = "env"
-    df = lines.withColumn(v, F.expr(f"try_parse_json({body_col})"))
+    df = spread_for_cpu(lines).withColumn(v, F.expr(f"try_parse_json({body_col})"))
     # typed read of the events array once (NULL when absent or not an array);
     # the raw body text serves the key check, so nothing is re-serialised
     df = df.withColumns({

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from callgauge.constants import MAX_ERROR_MESSAGE_CHARS
 from callgauge.operators import enrich, redaction, rollup, validate
+from callgauge.session import checkpoint_dir
 
 EVENT_LOG_COLUMNS = [
     "event_id", "created_at", "conversation_id", "message_id", "session_id", "user_id", "provider", "model",
@@ -38,7 +39,8 @@ class IngestResult:
     dlq: DataFrame           # dead-lettered envelopes and events
 
 
-def flag_rows(lines: DataFrame, log: DataFrame | None = None, now: str | None = None) -> DataFrame:
+def flag_rows(lines: DataFrame, log: DataFrame | None = None, now: str | None = None,
+              cut_lineage: bool = True) -> DataFrame:
     """Validate envelopes and events in one pass and flag first deliveries.
 
     ``is_new`` holds for a valid event that is the earliest (batch_id,
@@ -50,6 +52,12 @@ def flag_rows(lines: DataFrame, log: DataFrame | None = None, now: str | None =
     rows = validate.validate_events(validate.explode_all(envs))
     typed = validate.typed_events(rows, ingested_at=now, keep=True)
     typed = typed.withColumn("valid", F.expr("envelope_ok AND event IS NOT NULL AND size(reasons) = 0"))
+    if cut_lineage:
+        # The validated rows feed two shuffles (first-delivery aggregate and
+        # the join back); a reliable checkpoint in the shared checkpoint folder
+        # makes validation run once and survives executor loss.
+        checkpoint_dir(typed.sparkSession)
+        typed = typed.drop("event").checkpoint(eager=True)
     key = rollup.DEDUP_KEY
     # earliest delivery per key: a partial aggregate joined back (skew-safe)
     first = (typed.filter("valid").groupBy(*key)
@@ -72,7 +80,7 @@ def ack_of(flagged: DataFrame) -> DataFrame:
         F.count_if("is_new").alias("accepted"),
         F.count_if("valid").alias("_valid"),
         F.count_if(~F.col("envelope_ok")).alias("_rej_env"),
-        F.count_if(F.col("envelope_ok") & F.col("event").isNotNull() & ~F.col("valid")).alias("_rej"))
+        F.count_if(F.col("envelope_ok") & F.col("position").isNotNull() & ~F.col("valid")).alias("_rej"))
     return g.selectExpr("batch_id", "CAST(accepted AS BIGINT) AS accepted",
                         "CAST(_valid - accepted AS BIGINT) AS duplicates",
                         "CAST(_rej_env + _rej AS BIGINT) AS rejected",
@@ -84,7 +92,7 @@ def dlq_of(flagged: DataFrame, now: str | None = None) -> DataFrame:
     'envelope'); a rejected event keeps its JSON and its id when that is a
     string (stage 'validate'). Error text is capped at 2,000 chars."""
     ts = f"TIMESTAMP '{now}'" if now else "current_timestamp()"
-    bad = flagged.filter("NOT envelope_ok OR (event IS NOT NULL AND NOT valid)")
+    bad = flagged.filter("NOT envelope_ok OR (position IS NOT NULL AND NOT valid)")
     return bad.selectExpr(
         "IF(envelope_ok, concat('b', CAST(batch_id AS STRING), '-', CAST(position AS STRING)), "
         "concat('b', CAST(batch_id AS STRING))) AS dlq_id",

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callgauge.sources.tables import read_table
+from callgauge.sources.tables import read_table, spread_for_cpu
 
 # Adapter parameters (fixture definition).
 EPOCH_2024_US = 1704067200000000          # 2024-01-01T00:00:00Z in microseconds
@@ -163,9 +163,9 @@ REDACTION_LITERALS = [
 def redaction_input(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, source, text): every document plus the fixture strings
     (negative ids, source 'fixture')."""
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    docs = spread_for_cpu(read_table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     lits = spark.createDataFrame([(-(i + 1), "fixture", t) for i, t in enumerate(REDACTION_LITERALS)],
-                                 "doc_id bigint, source string, text string")
+                                 "doc_id bigint, source string, text string").coalesce(1)
     return docs.unionByName(lits)
 
 

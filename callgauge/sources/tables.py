@@ -29,3 +29,18 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name in SCHEMAS:
         reader = reader.schema(SCHEMAS[name])
     return reader.parquet(path)
+
+
+def spread_for_cpu(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Ensure CPU-heavy per-row work (regex, JSON/variant parsing) runs on at
+    least as many tasks as the cluster has cores.
+
+    Large inputs already arrive as many file splits and pass through untouched
+    (no shuffle). A small input read as a few splits — e.g. one Parquet row
+    group — is spread by a round-robin repartition, a shuffle of that small
+    input only (deterministic under task retry: Spark sorts before
+    round-robin partitioning)."""
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df
