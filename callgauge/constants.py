@@ -76,5 +76,7 @@ ERROR_SAMPLE_CHARS = 160
 RETENTION_DAYS = {"raw": 90, "rollup": 400, "dlq": 30}
 DRIFT_TOLERANCE = 0.001
 
-# Redaction salt default and token format "[KIND:<8 hex of sha256(salt || value)>]".
-DEFAULT_REDACTION_SALT = "ollive-default-salt"
+# Redaction token format "[KIND:<first 8 hex of sha256(salt || value)>]". The
+# salt is a deployment parameter (pass ``salt=`` to keep tokens continuous
+# with an existing deployment); this is only the default.
+DEFAULT_REDACTION_SALT = "callgauge-default-salt"

@@ -70,7 +70,7 @@ def hist_total_sql(h: str) -> str:
     return "(" + " + ".join(slot_sql(h, i) for i in SLOTS) + ")"
 
 
-def percentile_from_slots_sql(slots: list[str], cums: list[str], p: float) -> str:
+def percentile_from_slots_sql(slots: list[str], cums: list[str], p) -> str:
     """Percentile given per-slot and cumulative counts (SQL expressions).
 
     The first bucket i with cum[i] >= total*p holds the target; interpolate
@@ -78,7 +78,8 @@ def percentile_from_slots_sql(slots: list[str], cums: list[str], p: float) -> st
     bucket with zero count, returns its lower bound. NULL when total is 0.
     One CASE over literal bounds: no array indexing, no lambdas.
     """
-    target = f"(CAST({cums[-1]} AS DOUBLE) * {float(p)!r})"
+    pv = repr(float(p)) if isinstance(p, (int, float)) else f"CAST({p} AS DOUBLE)"
+    target = f"(CAST({cums[-1]} AS DOUBLE) * {pv})"
     parts = [f"WHEN {cums[-1]} = 0 THEN CAST(NULL AS DOUBLE)"]
     for i in SLOTS:
         lower = 0.0 if i == 1 else float(LATENCY_BOUNDS[i - 2])
@@ -94,7 +95,7 @@ def percentile_from_slots_sql(slots: list[str], cums: list[str], p: float) -> st
     return f"(CASE {' '.join(parts)} ELSE {float(LATENCY_BOUNDS[-2])!r}D END)"
 
 
-def hist_percentile_sql(h: str, p: float) -> str:
+def hist_percentile_sql(h: str, p) -> str:
     slots = [slot_sql(h, i) for i in SLOTS]
     cums = ["(" + " + ".join(slots[:i]) + ")" for i in SLOTS]
     return f"IF({h} IS NULL, CAST(NULL AS DOUBLE), {percentile_from_slots_sql(slots, cums, p)})"

@@ -1268,3 +1268,16 @@ ORACLE.update({
     "dlq_replay": dlq_replay_sql(),
     "orphan_refs": orphan_refs_sql(),
 })
+
+
+def sql_call_cost_sql() -> str:
+    return f"""WITH {ie_cte(False)}, {prices_cte()}, {priced_cte()}
+SELECT model, {norm_sql('model')} AS normalised_model, count(*) AS calls,
+       CAST(CAST(coalesce(sum(cost_usd), 0) AS DECIMAL(24,8)) AS VARCHAR) AS cost_usd
+FROM iep GROUP BY model"""
+
+
+ORACLE.update({
+    "sql_model_percentiles": histogram_percentiles_by_model_sql(),
+    "sql_call_cost": sql_call_cost_sql(),
+})

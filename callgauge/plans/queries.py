@@ -765,3 +765,42 @@ def q_dlq_replay(spark, sf_dir):
 def q_orphan_refs(spark, sf_dir):
     o = dlq_ops.orphan_refs(adapters.inference_events(spark, sf_dir), _convs(spark, sf_dir), _msgs(spark, sf_dir))
     return o.groupBy("orphan_conversation", "orphan_message").agg(F.count(F.lit(1)).alias("events"))
+
+
+# --- SQL API ------------------------------------------------------------------
+
+@register("sql_model_percentiles")
+def q_sql_model_percentiles(spark, sf_dir):
+    """The per-model latency percentiles written as plain Spark SQL with the
+    SQL-bodied functions (same result as histogram_percentiles_by_model)."""
+    from callgauge.functions import sql_functions
+    sql_functions.register(spark)
+    ev = adapters.inference_events(spark, sf_dir, dense=True)
+    view = f"cg_events_{abs(hash(sf_dir)) % 10**8}"
+    ev.createOrReplaceTempView(view)
+    return spark.sql(f"""
+        WITH e AS (
+          SELECT date_trunc('minute', created_at) AS bucket, provider, model,
+                 latency_histogram_of(latency_ms) AS one_hot
+          FROM {view}),
+        r AS (
+          SELECT bucket, provider, model, {sql_functions.hist_sum_sql('one_hot')} AS h
+          FROM e GROUP BY 1, 2, 3),
+        m AS (SELECT provider, model, {sql_functions.hist_sum_sql('h')} AS h FROM r GROUP BY provider, model)
+        SELECT provider, model, histogram_percentile(h, 0.5) AS p50, histogram_percentile(h, 0.9) AS p90,
+               histogram_percentile(h, 0.95) AS p95, histogram_percentile(h, 0.99) AS p99
+        FROM m""")
+
+
+@register("sql_call_cost")
+def q_sql_call_cost(spark, sf_dir):
+    """Per-model cost in plain Spark SQL with ``llm_call_cost`` and ``normalise_model``."""
+    from callgauge.functions import sql_functions
+    sql_functions.register(spark)
+    view = f"cg_events_raw_{abs(hash(sf_dir)) % 10**8}"
+    adapters.inference_events(spark, sf_dir).createOrReplaceTempView(view)
+    return spark.sql(f"""
+        SELECT model, normalise_model(model) AS normalised_model, count(*) AS calls,
+               CAST(CAST(coalesce(sum(llm_call_cost(model, input_tokens, output_tokens, cache_write_tokens,
+                                                    cache_read_tokens)), 0) AS DECIMAL(24,8)) AS STRING) AS cost_usd
+        FROM {view} GROUP BY model""")

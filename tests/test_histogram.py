@@ -70,3 +70,19 @@ def test_merge_is_associative_and_counts_calls(spark):
     assert sum(direct) == obs.filter("ms IS NOT NULL").count()
     a = spark.createDataFrame([([1, 2], [3, 4, 5])], "a array<bigint>, b array<bigint>")
     assert a.select(hist_add("a", "b").alias("s")).first().s == [4, 6, 5]
+
+
+def test_sql_functions_match_column_builders(spark):
+    from callgauge.functions import sql_functions
+    sql_functions.register(spark)
+    rng = random.Random(11)
+    hs = [[rng.choice([0, 0, 2, 9]) for _ in range(11)] for _ in range(50)] + [[0] * 11]
+    df = spark.createDataFrame([(i, h) for i, h in enumerate(hs)], "i int, h array<bigint>")
+    df.createOrReplaceTempView("hs_test")
+    rows = spark.sql("SELECT i, histogram_percentile(h, 0.95) AS a FROM hs_test ORDER BY i").collect()
+    ref = df.select("i", hist_percentile("h", 0.95).alias("b")).orderBy("i").collect()
+    for r1, r2 in zip(rows, ref):
+        assert r1.a == r2.b
+    got = spark.sql("SELECT latency_bucket_index(100) AS a, latency_bucket_index(NULL) AS b, "
+                    "normalise_model('anthropic.claude-opus-5-20250101') AS m").first()
+    assert (got.a, got.b, got.m) == (2, None, "claude-opus-5")

@@ -1,5 +1,7 @@
+import hashlib
 import re
 
+from callgauge.constants import DEFAULT_REDACTION_SALT
 from callgauge.functions.redact import with_preview, with_redaction
 
 CASES = [
@@ -40,7 +42,13 @@ def test_stable_token_and_published_card_token(spark):
     t1 = re.search(r"\[EMAIL:[0-9a-f]{8}\]", r[0]).group(0)
     t2 = re.search(r"\[EMAIL:[0-9a-f]{8}\]", r[1]).group(0)
     assert t1 == t2
-    assert r[2] == "card [CARD:71f5989d]on file"
+    # token = first 8 hex of sha256(salt || match without spaces/dashes); the
+    # card pattern swallows the trailing separator ("...1111 on" -> "]on")
+    digest = hashlib.sha256((DEFAULT_REDACTION_SALT + "4111111111111111").encode()).hexdigest()[:8]
+    assert r[2] == f"card [CARD:{digest}]on file"
+    other = with_redaction(spark.createDataFrame([("4111111111111111",)], "text string"), "text",
+                           salt="another-salt").first().redacted_text
+    assert other != f"[CARD:{digest}]" and other.startswith("[CARD:")
 
 
 def test_preview_redacts_before_truncating(spark):
