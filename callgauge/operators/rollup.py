@@ -95,10 +95,11 @@ def dedup_new(batch: DataFrame, log: DataFrame | None = None, order_col: str | N
         return fresh
     keys = log.select(*DEDUP_KEY, *(["event_month"] if "event_month" in log.columns else []))
     if "event_month" in keys.columns:
-        # Join on the partition column: dynamic partition pruning limits the log
-        # scan to the months present in the batch (a calendar-bounded set).
+        # Semi-join on the partition column: dynamic partition pruning limits
+        # the log scan to the months present in the batch. No broadcast hint:
+        # AQE broadcasts the (calendar-bounded) month list from its measured size.
         months = fresh.select(month_key(F.col("created_at")).alias("event_month")).distinct()
-        keys = keys.join(F.broadcast(months), "event_month", "left_semi")
+        keys = keys.join(months, "event_month", "left_semi")
     return fresh.join(keys.select(*DEDUP_KEY), DEDUP_KEY, "left_anti")
 
 

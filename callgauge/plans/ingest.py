@@ -73,18 +73,32 @@ def flag_rows(lines: DataFrame, log: DataFrame | None = None, now: str | None =
             .drop("_first", "_seen"))
 
 
-def ack_of(flagged: DataFrame) -> DataFrame:
+def ack_of(flagged: DataFrame, with_errors: bool = False) -> DataFrame:
     """Per batch: accepted (new rows), duplicates (valid but already seen),
-    rejected and dead-lettered (invalid events, or 1 for a rejected envelope)."""
-    g = flagged.groupBy("batch_id").agg(
+    rejected and dead-lettered (invalid events, or 1 for a rejected envelope).
+
+    ``with_errors`` adds ``errors`` = [{event_id, reason}] for the rejected
+    events (event id when it is a string) or one {NULL, 'invalid batch
+    envelope'} entry; bounded by the batch size (<= 500)."""
+    aggs = [
         F.count_if("is_new").alias("accepted"),
         F.count_if("valid").alias("_valid"),
         F.count_if(~F.col("envelope_ok")).alias("_rej_env"),
-        F.count_if(F.col("envelope_ok") & F.col("position").isNotNull() & ~F.col("valid")).alias("_rej"))
-    return g.selectExpr("batch_id", "CAST(accepted AS BIGINT) AS accepted",
-                        "CAST(_valid - accepted AS BIGINT) AS duplicates",
-                        "CAST(_rej_env + _rej AS BIGINT) AS rejected",
-                        "CAST(_rej_env + _rej AS BIGINT) AS dead_lettered")
+        F.count_if(F.col("envelope_ok") & F.col("position").isNotNull() & ~F.col("valid")).alias("_rej")]
+    if with_errors:
+        aggs.append(F.expr(
+            "array_sort(collect_list(CASE WHEN NOT envelope_ok THEN named_struct('position', -1, "
+            "'event_id', CAST(NULL AS STRING), 'reason', 'invalid batch envelope') "
+            "WHEN position IS NOT NULL AND NOT valid THEN named_struct('position', position, "
+            "'event_id', wire_event_id, 'reason', array_join(reasons, '; ')) END))").alias("_errs"))
+    g = flagged.groupBy("batch_id").agg(*aggs)
+    cols = ["batch_id", "CAST(accepted AS BIGINT) AS accepted",
+            "CAST(_valid - accepted AS BIGINT) AS duplicates",
+            "CAST(_rej_env + _rej AS BIGINT) AS rejected",
+            "CAST(_rej_env + _rej AS BIGINT) AS dead_lettered"]
+    if with_errors:
+        cols.append("transform(_errs, e -> named_struct('event_id', e.event_id, 'reason', e.reason)) AS errors")
+    return g.selectExpr(*cols)
 
 
 def dlq_of(flagged: DataFrame, now: str | None = None) -> DataFrame:
@@ -108,6 +122,23 @@ def dlq_of(flagged: DataFrame, now: str | None = None) -> DataFrame:
         "CAST(NULL AS TIMESTAMP) AS replayed_at")
 
 
+def merge_dlq(*dlqs: DataFrame) -> DataFrame:
+    """Accumulate dead letters across loads: one row per parked item
+    (``dlq_id``), ``attempts`` = number of times it was parked, first/last
+    seen times, replayed once any copy was replayed; payload and error of the
+    latest parking."""
+    u = dlqs[0]
+    for d in dlqs[1:]:
+        u = u.unionByName(d, allowMissingColumns=True)
+    return u.groupBy("dlq_id").agg(
+        F.expr("CAST(sum(attempts) AS INT)").alias("attempts"),
+        F.min("first_seen_at").alias("first_seen_at"),
+        F.max("last_seen_at").alias("last_seen_at"),
+        F.max("replayed_at").alias("replayed_at"),
+        *[F.max_by(c, "last_seen_at").alias(c)
+          for c in ("batch_id", "position", "payload", "event_id", "stage", "reasons", "sdk_version", "error")])
+
+
 def ingest(lines: DataFrame, log: DataFrame | None = None, now: str | None = None,
            redaction_mode: str = "both", preview_chars: int = redaction.PREVIEW_CHARS) -> IngestResult:
     """Full write path for envelope lines (``batch_id``, ``body``)."""

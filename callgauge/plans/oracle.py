@@ -1281,3 +1281,12 @@ ORACLE.update({
     "sql_model_percentiles": histogram_percentiles_by_model_sql(),
     "sql_call_cost": sql_call_cost_sql(),
 })
+
+
+def dlq_attempts_sql() -> str:
+    return f"""SELECT dlq_id, stage, event_id, 2 AS attempts, '2024-02-01 00:00:00' AS first_seen_at,
+       '2024-02-01 00:10:00' AS last_seen_at
+FROM ({quarantine_split_sql()}) q"""
+
+
+ORACLE["dlq_attempts"] = dlq_attempts_sql()

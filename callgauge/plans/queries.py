@@ -804,3 +804,15 @@ def q_sql_call_cost(spark, sf_dir):
                CAST(CAST(coalesce(sum(llm_call_cost(model, input_tokens, output_tokens, cache_write_tokens,
                                                     cache_read_tokens)), 0) AS DECIMAL(24,8)) AS STRING) AS cost_usd
         FROM {view} GROUP BY model""")
+
+
+@register("dlq_attempts")
+def q_dlq_attempts(spark, sf_dir):
+    """The same envelopes delivered twice: every parked item is counted once
+    with attempts = 2 (first and last seen from the two loads)."""
+    lines = adapters.envelope_lines(spark, sf_dir)
+    first = ingest.dlq_of(ingest.flag_rows(lines, now=LOAD_TIME), now=LOAD_TIME)
+    again = ingest.dlq_of(ingest.flag_rows(lines, now="2024-02-01 00:10:00"), now="2024-02-01 00:10:00")
+    m = ingest.merge_dlq(first, again)
+    return m.select("dlq_id", "stage", "event_id", "attempts", fmt("first_seen_at", PLAIN).alias("first_seen_at"),
+                    fmt("last_seen_at", PLAIN).alias("last_seen_at"))

@@ -87,3 +87,11 @@ def test_replay_counts_duplicates(spark):
     a = again.ack.first()
     assert (a.accepted, a.duplicates) == (0, 50)
     assert again.rollup_delta.count() == 0
+
+
+def test_ack_errors_list(spark):
+    bad = dict(BASE, latencyMs="x", eventId="0193b5e0-1c4a-7000-8000-000000000009")
+    lines = spark.createDataFrame([(1, _env([BASE, bad])), (2, _env([]))], "batch_id long, body string")
+    acks = {r.batch_id: r for r in ingest.ack_of(ingest.flag_rows(lines), with_errors=True).collect()}
+    assert [(e.event_id, e.reason.split(":")[0]) for e in acks[1].errors] == [(bad["eventId"], "latencyMs")]
+    assert [(e.event_id, e.reason) for e in acks[2].errors] == [(None, "invalid batch envelope")]
