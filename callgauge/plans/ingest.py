@@ -64,7 +64,14 @@ def flag_rows(lines: DataFrame, log: DataFrame | None = None, now: str | None =
              .agg(F.min(F.struct("batch_id", "position")).alias("_first")))
     typed = typed.join(first, key, "left")
     if log is not None:
-        seen = log.select(*key).distinct().withColumn("_seen", F.lit(True))
+        keys = log.select(*key, *(["event_month"] if "event_month" in log.columns else []))
+        if "event_month" in keys.columns:
+            # Read only the log months this load touches: a semi-join on the
+            # partition column lets dynamic partition pruning skip the rest.
+            months = (typed.filter("valid")
+                      .select(F.date_format("created_at", "yyyy-MM").alias("event_month")).distinct())
+            keys = keys.join(months, "event_month", "left_semi")
+        seen = keys.select(*key).distinct().withColumn("_seen", F.lit(True))
         typed = typed.join(seen, key, "left")
     else:
         typed = typed.withColumn("_seen", F.lit(None).cast("boolean"))

@@ -40,6 +40,8 @@ def spread_for_cpu(df: DataFrame, min_partitions: int | None = None) -> DataFram
     group — is spread by a round-robin repartition, a shuffle of that small
     input only (deterministic under task retry: Spark sorts before
     round-robin partitioning)."""
+    if df.isStreaming:  # micro-batches are split by the source; nothing to count up front
+        return df
     target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() < target:
         return df.repartition(target)

@@ -30,3 +30,9 @@ def test_ingest_replay_is_idempotent(spark):
     assert q.exception() is None
     assert spark.read.parquet(f"{dst}/events").count() == n1
     assert jobs.read_rollup(spark, dst).agg(F.sum("calls")).first()[0] == r1 == n1
+
+
+def test_stream_spans_equal_batch_assembly(spark):
+    s = REGISTRY["stream_spans"](spark, SF_SMALL)
+    b = REGISTRY["assemble_spans"](spark, SF_SMALL)
+    assert sorted(map(tuple, s.collect())) == sorted(map(tuple, b.select(*s.columns).collect()))
