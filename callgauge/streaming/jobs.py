@@ -137,9 +137,48 @@ def start_ingest(spark: SparkSession, src_dir: str, dst_dir: str, checkpoint: st
     return w.start()
 
 
+def _latest_snapshot(spark: SparkSession, dst_dir: str):
+    """(snapshot DataFrame, through_epoch) of the newest compaction, or (None, -1)."""
+    path = f"{dst_dir}/rollup_compacted"
+    try:
+        snaps = spark.read.parquet(path)
+    except Exception:  # noqa: BLE001 - nothing compacted yet
+        return None, -1
+    through = snaps.agg(F.max("through_epoch")).first()[0]
+    if through is None:
+        return None, -1
+    return snaps.filter(F.col("through_epoch") == through).drop("through_epoch"), int(through)
+
+
 def read_rollup(spark: SparkSession, dst_dir: str) -> DataFrame:
-    """Stored rollup = merge of all delta partitions (groupBy + sum)."""
-    return rollup.rollup_merge(spark.read.parquet(f"{dst_dir}/rollup_delta").drop("epoch"))
+    """Stored rollup = newest compacted snapshot merged with the delta
+    partitions written after it (groupBy + sum)."""
+    snap, through = _latest_snapshot(spark, dst_dir)
+    deltas = spark.read.parquet(f"{dst_dir}/rollup_delta").filter(F.col("epoch") > through).drop("epoch")
+    return rollup.rollup_merge(deltas) if snap is None else rollup.rollup_merge(snap, deltas)
+
+
+def compact_rollup(spark: SparkSession, dst_dir: str, through_epoch: int | None = None) -> int:
+    """Fold the delta partitions up to ``through_epoch`` (default: the newest)
+    into a new snapshot ``rollup_compacted/through_epoch=N``, so a read merges
+    one snapshot plus the few newer deltas however many micro-batches ran.
+    Snapshots are written to their own partition (overwrite of that partition
+    only), so a retried compaction is idempotent and readers never see a
+    half-written snapshot as the newest one until it is complete."""
+    deltas = spark.read.parquet(f"{dst_dir}/rollup_delta")
+    newest = deltas.agg(F.max("epoch")).first()[0]
+    if newest is None:
+        return -1
+    upto = int(newest if through_epoch is None else through_epoch)
+    snap, through = _latest_snapshot(spark, dst_dir)
+    if upto <= through:
+        return through
+    fresh = deltas.filter((F.col("epoch") > through) & (F.col("epoch") <= upto)).drop("epoch")
+    merged = rollup.rollup_merge(fresh) if snap is None else rollup.rollup_merge(snap, fresh)
+    (merged.withColumn("through_epoch", F.lit(upto)).write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy("through_epoch")
+     .parquet(f"{dst_dir}/rollup_compacted"))
+    return upto
 
 
 SPAN_STATE_SCHEMA = (
