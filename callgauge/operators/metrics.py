@@ -103,20 +103,37 @@ def by_error_type(events: DataFrame, range_key: str, as_of: str) -> DataFrame:
                         "sample").orderBy(F.desc("count"))
 
 
+def exact_percentiles(df: DataFrame, value: str, ps: dict[str, float], count_name: str | None = None) -> DataFrame:
+    """Exact percentile_cont of ``value`` in two stages: a parallel
+    ``groupBy(value).count()`` (partial aggregation, hash-partitioned by value),
+    then ``percentile(value, p, count)`` over the distinct values only. The
+    final merge handles each distinct value once, instead of one value->count
+    map per input partition."""
+    counts = df.groupBy(F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n")).filter("_v IS NOT NULL")
+    arr = ", ".join(repr(float(p)) for p in ps.values())
+    aggs = [F.expr(f"percentile(_v, array({arr}), _n)").alias("_p")]
+    if count_name:
+        aggs.append(F.expr("CAST(coalesce(sum(_n), 0) AS BIGINT)").alias(count_name))
+    g = counts.agg(*aggs)
+    return g.select(*[F.col("_p")[i].alias(n) for i, n in enumerate(ps)],
+                    *([count_name] if count_name else []))
+
+
 def latency_percentiles_raw(events: DataFrame, range_key: str, as_of: str, exact: bool = True) -> DataFrame:
     """Percentiles of raw latency over non-cancelled calls.
 
-    ``exact`` uses ``percentile`` (linear interpolation, = percentile_cont). Its
-    aggregation buffer is a value->count map, bounded by the number of distinct
-    latencies (integers capped at 3,600,000 ms by validation), so the partial
-    aggregates stay bounded whatever the row count. ``exact=False`` uses the
+    ``exact`` (= percentile_cont) uses :func:`exact_percentiles`: latencies are
+    integers capped at 3,600,000 ms by validation, so the distinct-value table
+    is bounded however many rows there are. ``exact=False`` uses the
     sketch-based ``percentile_approx``.
     """
     e = in_range(events, "created_at", range_key, as_of).filter("status <> 'cancelled'")
-    f = "percentile(latency_ms, {p})" if exact else "CAST(percentile_approx(latency_ms, {p}, 10000) AS DOUBLE)"
-    return e.agg(*[F.expr(f"round({f.format(p=p)}, 4)").alias(n)
-                   for n, p in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))],
-                 F.count(F.lit(1)).alias("samples"))
+    ps = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
+    if exact:
+        r = exact_percentiles(e, "latency_ms", ps, "samples")
+        return r.select(*[F.round(n, 4).alias(n) for n in ps], "samples")
+    return e.agg(*[F.expr(f"round(CAST(percentile_approx(latency_ms, {p}, 10000) AS DOUBLE), 4)").alias(n)
+                   for n, p in ps.items()], F.count(F.lit(1)).alias("samples"))
 
 
 LAG_MS = "(unix_micros(ingested_at) - unix_micros(client_ts)) / 1000.0D"
@@ -124,11 +141,16 @@ LAG_MS = "(unix_micros(ingested_at) - unix_micros(client_ts)) / 1000.0D"
 
 def ingest_lag(events: DataFrame, range_key: str, as_of: str) -> DataFrame:
     """Median and max of ingested_at - client_ts in ms (rounded half-even, as a
-    float->int cast does), and total redaction hits."""
+    float->int cast does), and total redaction hits. The median is the
+    two-stage exact percentile over distinct lag values."""
     e = in_range(events, "created_at", range_key, as_of).selectExpr(f"{LAG_MS} AS _lag", "redaction_hits")
-    return e.agg(F.expr("CAST(rint(percentile(_lag, 0.5)) AS INT)").alias("median_lag_ms"),
-                 F.expr("CAST(rint(max(_lag)) AS INT)").alias("max_lag_ms"),
-                 F.expr("CAST(coalesce(sum(redaction_hits), 0) AS BIGINT)").alias("redaction_hits"))
+    med = exact_percentiles(e, "_lag", {"_med": 0.5}).selectExpr("_med", "NULL AS _max", "NULL AS _hits")
+    rest = e.agg(F.max("_lag").alias("_max"), F.sum("redaction_hits").alias("_hits")).selectExpr(
+        "CAST(NULL AS DOUBLE) AS _med", "_max", "_hits")
+    return med.unionByName(rest, allowMissingColumns=True).agg(
+        F.expr("CAST(rint(max(_med)) AS INT)").alias("median_lag_ms"),
+        F.expr("CAST(rint(max(_max)) AS INT)").alias("max_lag_ms"),
+        F.expr("CAST(coalesce(sum(_hits), 0) AS BIGINT)").alias("redaction_hits"))
 
 
 def events_by_layer(events: DataFrame, range_key: str, as_of: str) -> DataFrame:
