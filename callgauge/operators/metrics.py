@@ -160,18 +160,23 @@ def events_by_layer(events: DataFrame, range_key: str, as_of: str) -> DataFrame:
 
 def ingest_health(events: DataFrame, dlq: DataFrame, range_key: str, as_of: str) -> DataFrame:
     """Lag, redaction hits, events per capture layer and pending DLQ count in
-    one row. Both inputs feed one aggregate over a tagged union — no join."""
+    one row. Every part is a one-row aggregate; they are combined by
+    aggregating their tagged union — no join. The median is the two-stage
+    exact percentile."""
     e = in_range(events, "created_at", range_key, as_of).selectExpr(
-        f"{LAG_MS} AS _lag", "redaction_hits", "captured_by", "0 AS _pending")
-    d = dlq.filter("replayed_at IS NULL").selectExpr(
-        "CAST(NULL AS DOUBLE) AS _lag", "CAST(NULL AS INT) AS redaction_hits",
-        "CAST(NULL AS STRING) AS captured_by", "1 AS _pending")
-    return e.unionByName(d).agg(
-        F.expr("CAST(sum(_pending) AS INT)").alias("dlq_pending"),
-        F.expr("CAST(coalesce(sum(redaction_hits), 0) AS BIGINT)").alias("redaction_hits"),
-        F.expr("CAST(rint(percentile(_lag, 0.5)) AS INT)").alias("median_lag_ms"),
-        F.expr("CAST(rint(max(_lag)) AS INT)").alias("max_lag_ms"),
-        *[F.expr(f"CAST(count_if(captured_by = '{layer}') AS INT)").alias(f"layer_{layer}")
+        f"{LAG_MS} AS _lag", "redaction_hits", "captured_by")
+    med = exact_percentiles(e, "_lag", {"_med": 0.5})
+    ev = e.agg(F.max("_lag").alias("_max"), F.sum("redaction_hits").alias("_hits"),
+               *[F.count_if(F.col("captured_by") == layer).alias(f"_l_{layer}")
+                 for layer in ("loader", "manual", "proxy")])
+    pend = dlq.filter("replayed_at IS NULL").agg(F.count(F.lit(1)).alias("_pending"))
+    u = med.unionByName(ev, allowMissingColumns=True).unionByName(pend, allowMissingColumns=True)
+    return u.agg(
+        F.expr("CAST(coalesce(max(_pending), 0) AS INT)").alias("dlq_pending"),
+        F.expr("CAST(coalesce(max(_hits), 0) AS BIGINT)").alias("redaction_hits"),
+        F.expr("CAST(rint(max(_med)) AS INT)").alias("median_lag_ms"),
+        F.expr("CAST(rint(max(_max)) AS INT)").alias("max_lag_ms"),
+        *[F.expr(f"CAST(coalesce(max(_l_{layer}), 0) AS INT)").alias(f"layer_{layer}")
           for layer in ("loader", "manual", "proxy")])
 
 
@@ -182,21 +187,20 @@ def known_models(rollup: DataFrame, range_key: str, as_of: str) -> DataFrame:
 def rollup_vs_raw_gap(rollup: DataFrame, events: DataFrame, range_key: str, as_of: str) -> DataFrame:
     """Bucketed p95 (rollup; includes cancelled), exact p95 (raw; excludes
     cancelled), exact p95 over the rollup's own population, sample count and
-    relative gaps. One aggregate over a tagged union of both inputs — no join."""
-    r = in_range(rollup, "bucket", range_key, as_of).selectExpr(
-        "hist_latency", "CAST(NULL AS INT) AS latency_ms", "CAST(NULL AS STRING) AS status", "false AS _raw")
-    e = in_range(events, "created_at", range_key, as_of).selectExpr(
-        "CAST(NULL AS array<bigint>) AS hist_latency", "latency_ms", "status", "true AS _raw")
-    g = r.unionByName(e).agg(
-        hist_sum("hist_latency").alias("_h"),
-        F.expr("percentile(IF(_raw AND status <> 'cancelled', latency_ms, NULL), 0.95)").alias("_exact"),
-        F.expr("percentile(IF(_raw, latency_ms, NULL), 0.95)").alias("_exact_all"),
-        F.expr("count_if(_raw AND status <> 'cancelled')").alias("samples"))
-    g = with_percentiles(g, "_h", {"bucketed_p95": 0.95}, round_to_int=True)
+    relative gaps. One-row parts combined through a tagged union — no join."""
+    h = in_range(rollup, "bucket", range_key, as_of).agg(hist_sum("hist_latency").alias("_h"))
+    h = with_percentiles(h, "_h", {"_bucketed": 0.95}, round_to_int=True).select("_bucketed")
+    e = in_range(events, "created_at", range_key, as_of)
+    served = exact_percentiles(e.filter("status <> 'cancelled'"), "latency_ms", {"_exact": 0.95}, "_samples")
+    every = exact_percentiles(e, "latency_ms", {"_exact_all": 0.95})
+    u = h.unionByName(served, allowMissingColumns=True).unionByName(every, allowMissingColumns=True)
+    g = u.agg(*[F.max(c).alias(c) for c in ("_bucketed", "_exact", "_exact_all")],
+              F.expr("CAST(coalesce(max(_samples), 0) AS BIGINT)").alias("samples"))
     return g.selectExpr(
-        "bucketed_p95", "round(_exact, 4) AS exact_p95", "round(_exact_all, 4) AS exact_p95_same_population",
-        "samples", "round((bucketed_p95 - _exact) / _exact, 4) AS relative_gap",
-        "round((bucketed_p95 - _exact_all) / _exact_all, 4) AS relative_gap_same_population")
+        "_bucketed AS bucketed_p95", "round(_exact, 4) AS exact_p95",
+        "round(_exact_all, 4) AS exact_p95_same_population", "samples",
+        "round((_bucketed - _exact) / _exact, 4) AS relative_gap",
+        "round((_bucketed - _exact_all) / _exact_all, 4) AS relative_gap_same_population")
 
 
 def mean_latency_ttft(rollup: DataFrame, range_key: str, as_of: str) -> DataFrame:
