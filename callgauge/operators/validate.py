@@ -77,12 +77,12 @@ class Field:
         ok_type, ok_value, what = self._checks(v, ty)
         parts = []
         if self.required:
-            parts.append(f"WHEN {absent} THEN 'Required'")
+            parts.append(f"WHEN {absent} THEN 'missing'")
         else:
             parts.append(f"WHEN {absent} THEN NULL")
         if self.nullable:
             parts.append(f"WHEN {is_null} THEN NULL")
-        parts.append(f"WHEN NOT ({ok_type}) THEN 'Expected {what}'")
+        parts.append(f"WHEN NOT ({ok_type}) THEN 'not a {what}'")
         if ok_value:
             parts.append(f"WHEN NOT ({ok_value}) THEN {_s(self._value_message())}")
         return f"(CASE {' '.join(parts)} ELSE NULL END)"
@@ -125,20 +125,20 @@ class Field:
     def _value_message(self) -> str:
         k, kw = self.kind, self.kw
         if k == "enum":
-            return "Invalid enum value"
+            return "not one of the allowed values"
         if k == "string" and "pattern" in kw:
-            return kw.get("pattern_message", "Invalid")
+            return kw.get("pattern_message", "bad format")
         if k == "string":
-            return "String length out of range"
+            return "length out of range"
         if k == "int":
-            return "Expected integer in range"
+            return "not an integer in range"
         if k == "literal":
-            return f"Invalid literal value, expected {kw['value']}"
-        return "Number out of range"
+            return f"must be {kw['value']}"
+        return "out of range"
 
 
-UUID = dict(pattern=UUID_RE, pattern_message="Invalid uuid")
-ISO = dict(pattern=ISO_OFFSET_RE, pattern_message="Invalid datetime")
+UUID = dict(pattern=UUID_RE, pattern_message="not a uuid")
+ISO = dict(pattern=ISO_OFFSET_RE, pattern_message="not an ISO-8601 time with offset")
 
 # Field rules of one inference event (wire names, in declaration order).
 EVENT_FIELDS = [
@@ -215,12 +215,11 @@ def cross_field_reasons_sql(v: str) -> str:
     started = f"try_cast(try_variant_get({v}, '$.startedAt', 'string') AS TIMESTAMP)"
     ended = f"try_cast(try_variant_get({v}, '$.endedAt', 'string') AS TIMESTAMP)"
     return ("array("
-            f"IF({status} = 'error' AND {etype} IS NULL, 'errorType: errorType is required when status is "
-            f"\"error\" - use \"unknown\" rather than omitting it', NULL), "
-            f"IF({status} = 'ok' AND {etype} IS NOT NULL, 'errorType: errorType must be null when status is "
-            f"\"ok\"', NULL), "
-            f"IF({ttft} IS NOT NULL AND {ttft} > {lat}, 'ttftMs: ttftMs cannot exceed latencyMs', NULL), "
-            f"IF({ended} < {started}, 'endedAt: endedAt precedes startedAt', NULL))")
+            f"IF({status} = 'error' AND {etype} IS NULL, 'errorType: missing for a failed call (send unknown "
+            f"when the cause is not known)', NULL), "
+            f"IF({status} = 'ok' AND {etype} IS NOT NULL, 'errorType: set on a successful call', NULL), "
+            f"IF({ttft} IS NOT NULL AND {ttft} > {lat}, 'ttftMs: first token after the end of the call', NULL), "
+            f"IF({ended} < {started}, 'endedAt: earlier than startedAt', NULL))")
 
 
 def validate_envelopes(lines: DataFrame, body_col: str = "body") -> DataFrame:
@@ -238,21 +237,19 @@ def validate_envelopes(lines: DataFrame, body_col: str = "body") -> DataFrame:
     ty_sdk = f"schema_of_variant(variant_get({v}, '$.sdk', 'variant'))"
     dropped = Field("droppedSinceLastBatch", "int", default=0, min=0)
     rules = [
-        f"IF({v} IS NULL OR NOT _is_obj, '<root>: Expected object', NULL)",
-        f"IF(_is_obj AND size({unknown_keys_sql(body_col, ENVELOPE_KEYS)}) > 0, concat('<root>: Unrecognized "
-        f"key(s) in object: ', array_join({unknown_keys_sql(body_col, ENVELOPE_KEYS)}, ', ')), NULL)",
-        f"IF({ty_sdk} IS NULL OR NOT startswith({ty_sdk}, 'OBJECT'), 'sdk: Required object', NULL)",
+        f"IF({v} IS NULL OR NOT _is_obj, '<root>: not an object', NULL)",
+        f"IF(_is_obj AND size({unknown_keys_sql(body_col, ENVELOPE_KEYS)}) > 0, concat('<root>: unknown keys: ', array_join({unknown_keys_sql(body_col, ENVELOPE_KEYS)}, ', ')), NULL)",
+        f"IF({ty_sdk} IS NULL OR NOT startswith({ty_sdk}, 'OBJECT'), 'sdk: missing or not an object', NULL)",
         *[_reason(f.key, f.rule(v)) for f in SDK_FIELDS],
         _reason("sentAt", Field("sentAt", "string", required=True, **ISO).rule(v)),
-        f"CASE WHEN NOT _ev_present THEN 'events: Required' "
-        f"WHEN _ev_arr IS NULL THEN 'events: Expected array' "
-        f"WHEN size(_ev_arr) < 1 THEN 'events: Array must contain at least 1 element(s)' "
-        f"WHEN size(_ev_arr) > {MAX_BATCH_EVENTS} THEN 'events: Array must contain at most {MAX_BATCH_EVENTS} "
-        f"element(s)' END",
+        f"CASE WHEN NOT _ev_present THEN 'events: missing' "
+        f"WHEN _ev_arr IS NULL THEN 'events: not an array' "
+        f"WHEN size(_ev_arr) < 1 THEN 'events: empty' "
+        f"WHEN size(_ev_arr) > {MAX_BATCH_EVENTS} THEN 'events: more than {MAX_BATCH_EVENTS}' END",
         _reason("droppedSinceLastBatch", dropped.rule(v)),
     ]
     df = df.withColumn("envelope_reasons", F.expr(
-        f"IF({v} IS NULL, array('<root>: Invalid JSON'), array_compact(array({', '.join(rules)})))"))
+        f"IF({v} IS NULL, array('<root>: not JSON'), array_compact(array({', '.join(rules)})))"))
     return df.withColumns({
         "sdk_name": F.expr(f"try_variant_get({v}, '$.sdk.name', 'string')"),
         "sdk_version": F.expr(f"try_variant_get({v}, '$.sdk.version', 'string')"),
@@ -300,15 +297,15 @@ def validate_events(events: DataFrame, v: str = "event") -> DataFrame:
     df = df.withColumns({k: F.expr(e) for k, e in stage.items()})
     df = df.withColumn("field_reasons", F.expr(
         f"IF(_is_obj, array_compact({field_reasons_sql(v, STAGED_EVENT_FIELDS)}), "
-        "array('<root>: Expected object'))"))
+        "array('<root>: not an object'))"))
     df = df.withColumn("unknown_keys", F.expr(
         f"IF(_is_obj, {unknown_keys_sql('raw', EVENT_KEYS)}, CAST(array() AS array<string>))"))
     df = df.withColumn("cross_reasons", F.expr(
         f"IF(_is_obj AND size(field_reasons) = 0, array_compact({cross_field_reasons_sql(v)}), "
         "CAST(array() AS array<string>))"))
     df = df.withColumn("reasons", F.expr(
-        "concat(field_reasons, IF(size(unknown_keys) > 0, array(concat('<root>: Unrecognized key(s) in "
-        "object: ', array_join(unknown_keys, ', '))), CAST(array() AS array<string>)), cross_reasons)"))
+        "concat(field_reasons, IF(size(unknown_keys) > 0, array(concat('<root>: unknown keys: ', "
+        "array_join(unknown_keys, ', '))), CAST(array() AS array<string>)), cross_reasons)"))
     df = df.drop(*stage.keys())
     return df.drop("_is_obj")
 
