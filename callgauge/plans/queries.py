@@ -572,12 +572,17 @@ def q_stream_rollup(spark, sf_dir):
 
 @register("stream_dedup")
 def q_stream_dedup(spark, sf_dir):
-    """At-least-once delivery (every tenth event twice) de-duplicated within the
-    watermark before the rollup: totals count each event once."""
+    """At-least-once delivery (every tenth event twice) arriving as four files
+    in event-time order, one file per micro-batch: watermarked de-duplication
+    and window state carry across batches; totals count each event once."""
     from callgauge.streaming import jobs
-    ev = adapters.events_to_inference(jobs.events_stream(spark, sf_dir), dense=True)
-    t = jobs.run_to_table(spark, jobs.stream_rollup(adapters.replay_input(ev)), ["bucket", "provider", "model"],
-                          "stream-dedup")
+    src = jobs.scratch(spark, "stream-dedup-src")
+    ev = adapters.replay_input(adapters.inference_events(spark, sf_dir, dense=True))
+    slice_ = F.expr(f"least((unix_micros(created_at) - {adapters.EPOCH_2024_US}) div {90 * 60 * 1000000}, 3)")
+    for i in range(4):  # written one after another, so file order follows event time
+        ev.filter(slice_ == i).coalesce(1).write.mode("append").parquet(src)
+    stream = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    t = jobs.run_to_table(spark, jobs.stream_rollup(stream), ["bucket", "provider", "model"], "stream-dedup")
     return _rollup_out(t)
 
 
