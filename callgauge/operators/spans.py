@@ -15,7 +15,6 @@ from pyspark.sql.window import Window
 from callgauge.constants import SPAN_TEXT_LIMIT
 from callgauge.functions.timebin import round_div_sql
 from callgauge.operators.errors import classify_error_sql
-from callgauge.sources.tables import spread_for_cpu
 
 
 def _num(v: str, path: str) -> str:
@@ -96,7 +95,7 @@ def parse_chunks(chunks: DataFrame, provider_col: str = "provider") -> DataFrame
     reason; OpenAI: choices[0].delta.content, choices[0].finish_reason and a
     usage object (no cache usage on streams)."""
     v = "_c"
-    df = spread_for_cpu(chunks).withColumn(v, F.expr("try_parse_json(payload)"))
+    df = chunks.withColumn(v, F.expr("try_parse_json(payload)"))
     ty = f"try_variant_get({v}, '$.type', 'string')"
     is_a = f"{provider_col} = 'anthropic'"
     oa_text = _str(v, "$.choices[0].delta.content")

@@ -321,7 +321,9 @@ def chunk_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         "call_id", "size(words) + 2 AS seq",
         "CASE WHEN call_id % 10 = 8 THEN 'return' WHEN call_id % 10 = 9 THEN 'error' ELSE 'done' END AS kind",
         "CAST(NULL AS STRING) AS payload")
-    allc = text_chunks.unionByName(heads).unionByName(tails).unionByName(terms)
+    # clustered by call, as a call-keyed chunk log is stored: parsing runs on
+    # every core and the per-call aggregation reuses this partitioning
+    allc = text_chunks.unionByName(heads).unionByName(tails).unionByName(terms).repartition("call_id")
     return allc.selectExpr(
         "call_id", "seq",
         f"timestamp_micros({EPOCH_2024_US} + call_id * 1000000 + seq * 35000) AS ts",

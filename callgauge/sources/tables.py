@@ -33,7 +33,10 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def spread_for_cpu(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     """Ensure CPU-heavy per-row work (regex, JSON/variant parsing) runs on at
-    least as many tasks as the cluster has cores.
+    least as many tasks as the cluster has cores. Call it on a scan (before
+    any shuffle): there the partition count is known without running
+    anything, whereas after a shuffle adaptive execution would have to run the
+    upstream stages to report it.
 
     Large inputs already arrive as many file splits and pass through untouched
     (no shuffle). A small input read as a few splits — e.g. one Parquet row
