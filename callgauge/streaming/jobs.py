@@ -109,28 +109,11 @@ def start_ingest(spark: SparkSession, src_dir: str, dst_dir: str, checkpoint: st
     itself), then inserted rows, the rollup delta and the dead letters are each
     written with dynamic partition overwrite of ``epoch=N``.
     """
-    log_path, roll_path, dlq_path = f"{dst_dir}/events", f"{dst_dir}/rollup_delta", f"{dst_dir}/dlq"
     src = (spark.readStream.schema("value string").option("maxFilesPerTrigger", max_files)
            .text(src_dir))
 
     def handle(df: DataFrame, epoch: int) -> None:
-        lines = df.selectExpr("xxhash64(value) AS batch_id", "value AS body")
-        try:
-            log = spark.read.parquet(log_path).filter(F.col("epoch") != epoch)
-        except Exception:  # noqa: BLE001 - first epoch: no log yet
-            log = None
-        ins = ingest_plan.ingest(lines, log=log, now=now)
-        flagged = ins.flagged.persist()  # validated once, read by the three writes
-        try:
-            (ins.inserted.withColumn("epoch", F.lit(epoch))
-             .withColumn("event_month", F.date_format("created_at", "yyyy-MM"))
-             .write.mode("overwrite").partitionBy("epoch", "event_month").parquet(log_path))
-            (ins.rollup_delta.withColumn("epoch", F.lit(epoch))
-             .write.mode("overwrite").partitionBy("epoch").parquet(roll_path))
-            (ins.dlq.withColumn("epoch", F.lit(epoch))
-             .write.mode("overwrite").partitionBy("epoch").parquet(dlq_path))
-        finally:
-            flagged.unpersist()
+        load_direct(spark, df.selectExpr("xxhash64(value) AS batch_id", "value AS body"), dst_dir, epoch, now)
 
     w = src.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="200 milliseconds")
@@ -150,6 +133,45 @@ def _latest_snapshot(spark: SparkSession, dst_dir: str):
     return snaps.filter(F.col("through_epoch") == through).drop("through_epoch"), int(through)
 
 
+def _existing_log(spark: SparkSession, log_path: str, epoch: int):
+    """Stored log rows of *earlier* loads (a retried load is not deduplicated
+    against its own partial output); None before the first load."""
+    try:
+        return spark.read.parquet(log_path).filter(F.col("epoch") != epoch)
+    except Exception:  # noqa: BLE001 - first load: no log yet
+        return None
+
+
+def load_direct(spark: SparkSession, lines: DataFrame, dst_dir: str, epoch: int, now: str | None = None):
+    """Batch (direct-sink) load of envelope lines (``batch_id``, ``body``) as
+    load number ``epoch``: validated, priced, de-duplicated against earlier
+    loads, then the inserted events (partitioned by epoch and event month),
+    the rollup delta and the dead letters are each written with a dynamic
+    overwrite of ``epoch=N`` — re-running a load rewrites the same partitions.
+    The per-batch acknowledgements go to ``ack/epoch=N`` (nothing is pulled to
+    the driver); every output is computed from the persisted flags, so
+    validation runs once."""
+    log_path, roll_path, dlq_path = f"{dst_dir}/events", f"{dst_dir}/rollup_delta", f"{dst_dir}/dlq"
+    ins = ingest_plan.ingest(lines, log=_existing_log(spark, log_path, epoch), now=now)
+    flagged = ins.flagged.persist()  # validated once, read by every write below
+    try:
+        (ins.inserted.withColumn("epoch", F.lit(epoch))
+         .withColumn("event_month", F.date_format("created_at", "yyyy-MM"))
+         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("epoch", "event_month").parquet(log_path))
+        (ins.rollup_delta.withColumn("epoch", F.lit(epoch))
+         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("epoch").parquet(roll_path))
+        (ins.dlq.withColumn("epoch", F.lit(epoch))
+         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("epoch").parquet(dlq_path))
+        (ins.ack.withColumn("epoch", F.lit(epoch))
+         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("epoch").parquet(f"{dst_dir}/ack"))
+    finally:
+        flagged.unpersist()
+
+
 def read_rollup(spark: SparkSession, dst_dir: str) -> DataFrame:
     """Stored rollup = newest compacted snapshot merged with the delta
     partitions written after it (groupBy + sum)."""

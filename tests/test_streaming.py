@@ -40,3 +40,18 @@ def test_stream_spans_equal_batch_assembly(spark):
     s = REGISTRY["stream_spans"](spark, SF_SMALL)
     b = REGISTRY["assemble_spans"](spark, SF_SMALL)
     assert sorted(map(tuple, s.collect())) == sorted(map(tuple, b.select(*s.columns).collect()))
+
+
+def test_load_direct_is_idempotent_and_acks(spark):
+    dst = jobs.scratch(spark, "t-direct")
+    lines = adapters.envelope_lines(spark, SF_SMALL)
+    jobs.load_direct(spark, lines, dst, 0, now="2024-02-01 00:00:00")
+    n = spark.read.parquet(f"{dst}/events").count()
+    jobs.load_direct(spark, lines, dst, 0, now="2024-02-01 00:00:00")    # retried load 0
+    assert spark.read.parquet(f"{dst}/events").count() == n
+    jobs.load_direct(spark, lines, dst, 1, now="2024-02-01 00:05:00")    # redelivery as load 1
+    assert spark.read.parquet(f"{dst}/events").count() == n
+    acks = spark.read.parquet(f"{dst}/ack")
+    a1 = acks.filter("epoch = 1").agg(F.sum("accepted"), F.sum("duplicates")).first()
+    assert a1[0] == 0 and a1[1] == n
+    assert jobs.read_rollup(spark, dst).agg(F.sum("calls")).first()[0] == n
