@@ -46,3 +46,21 @@ def test_dashboard_bundle(spark):
     tot = panels["totals"].first()
     assert tot.calls == sum(r.calls for r in panels["timeseries"].collect())
     assert panels["known_models"].count() == panels["by_model"].count()
+
+
+@pytest.mark.parametrize("name", ["ingest_ack", "dedup_events", "buffer_overflow_loss", "latency_percentiles_raw"])
+def test_no_window_on_possibly_hot_keys(spark, name):
+    """First delivery, dedup, per-producer loss and percentiles are aggregates
+    (partial aggregation + AQE skew handling), never a window over a key that
+    may hold a third of all rows."""
+    p = _plan(REGISTRY[name](spark, SF_SMALL))
+    assert "Window [" not in p and "WindowGroupLimit" not in p
+
+
+@pytest.mark.parametrize("name", ["context_window", "micro_batches", "assign_seq", "replay_messages"])
+def test_group_windows_are_bucketed(spark, name):
+    """Per-group ranks / running sums partition their big window by (group, bucket)."""
+    import re
+    p = _plan(REGISTRY[name](spark, SF_SMALL))
+    parts = re.findall(r"Window \[.*?\], \[([^\]]*)\]", p)
+    assert parts and any("_bk" in x for x in parts)
