@@ -292,3 +292,23 @@ def stream_spans(chunks: DataFrame, watermark: str = "1 hour") -> DataFrame:
     g = p.groupBy("call_id").applyInPandasWithState(
         _span_fold, SPAN_OUT_SCHEMA, SPAN_STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout)
     return spans.finish_spans(g)
+
+
+def progress_health(query, lag_limit_s: int = 60) -> dict:
+    """Live health of a running ingest from its last progress report (G5,
+    live form): batch id, input vs processed rows/s, trigger duration, event
+    time watermark, and ``degraded`` when processing falls behind the input
+    rate or one trigger takes longer than the lag limit. No data is read."""
+    p = query.lastProgress or {}
+    inp = float(p.get("inputRowsPerSecond") or 0.0)
+    proc = float(p.get("processedRowsPerSecond") or 0.0)
+    trig_ms = int((p.get("durationMs") or {}).get("triggerExecution") or 0)
+    return {
+        "batch_id": p.get("batchId"),
+        "input_rows_per_sec": inp,
+        "processed_rows_per_sec": proc,
+        "trigger_ms": trig_ms,
+        "watermark": (p.get("eventTime") or {}).get("watermark"),
+        "rows": int(p.get("numInputRows") or 0),
+        "degraded": (inp > 0 and proc < inp) or trig_ms > lag_limit_s * 1000,
+    }

@@ -21,6 +21,8 @@ def test_ingest_replay_is_idempotent(spark):
     q = jobs.start_ingest(spark, src, dst, f"{dst}/_ck", max_files=1, now="2024-02-01 00:00:00")
     q.awaitTermination(600)
     assert q.exception() is None
+    h = jobs.progress_health(q)
+    assert h["batch_id"] is not None and {"degraded", "trigger_ms", "processed_rows_per_sec"} <= set(h)
     n1 = spark.read.parquet(f"{dst}/events").count()
     r1 = jobs.read_rollup(spark, dst).agg(F.sum("calls")).first()[0]
     # redeliver every envelope verbatim (a queue retry) as new files
