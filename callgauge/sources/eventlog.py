@@ -27,10 +27,12 @@ def route_overflow(events: DataFrame, known_months: list[str], col: str = "creat
 
 def write_event_log(events: DataFrame, path: str, known_months: list[str] | None = None,
                     batch_col: str = "batch_id") -> None:
-    """Append-only write partitioned by (event_month, batch). Dynamic partition
-    overwrite makes a retried batch replace exactly its own partitions; rows
-    are sorted by ``created_at`` inside each file so Parquet min/max
-    statistics prune time-range scans (the equivalent of a BRIN index)."""
+    """Append-only write partitioned by (event_month, load id). Dynamic
+    partition overwrite makes a retried load replace exactly its own
+    partitions; rows are sorted by ``created_at`` inside each file so Parquet
+    min/max statistics prune time-range scans (the equivalent of a BRIN
+    index). Use a load-level id (a micro-batch / load number) for
+    ``batch_col`` at scale: a per-envelope id would make many tiny files."""
     ev = (route_overflow(events, known_months) if known_months is not None
           else events.withColumn("event_month", month_of("created_at")))
     (ev.repartition("event_month", batch_col).sortWithinPartitions("created_at")
