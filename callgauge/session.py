@@ -53,11 +53,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
     ``DataFrame.checkpoint()`` works.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        d = spark.sparkContext._jsc.sc().getCheckpointDir()
-        d = d.get() if d.isDefined() else None
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - Spark Connect: the server owns the checkpoint folder
+        sc = None
+    if not d and sc is not None:
+        cur = sc._jsc.sc().getCheckpointDir()
+        d = cur.get() if cur.isDefined() else None
     if not d:
         d = tempfile.mkdtemp(prefix="callgauge-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
+    if sc is not None:
+        sc.setCheckpointDir(d)
     return d

@@ -45,7 +45,9 @@ def spread_for_cpu(df: DataFrame, min_partitions: int | None = None) -> DataFram
     round-robin partitioning)."""
     if df.isStreaming:  # micro-batches are split by the source; nothing to count up front
         return df
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
-    return df
+    try:
+        target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+        parts = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - e.g. a Spark Connect session: leave the input as is
+        return df
+    return df.repartition(target) if parts < target else df
