@@ -2,14 +2,30 @@
 
 from __future__ import annotations
 
+from callgauge.llm import warc
+from callgauge.llm.decontaminate import op3_decontamination
+from callgauge.llm.fingerprints import op10_fingerprints
+from callgauge.llm.licenses import op9_licenses
+from callgauge.llm.mixing import op4_mixing
+from callgauge.llm.ngram_join import op1_ngram_join
 from callgauge.llm.quality import op7_quality
+from callgauge.llm.secrets import op2_secrets
 from callgauge.llm.token_store import op5_token_store
 from callgauge.llm.toxicity import op6_toxicity
 
 REGISTRY = {
+    "op1_ngram_join": op1_ngram_join,
+    "op2_secrets": op2_secrets,
+    "op3_decontamination": op3_decontamination,
+    "op4_mixing": op4_mixing,
     "op5_token_store": op5_token_store,
     "op6_toxicity": op6_toxicity,
     "op7_quality": op7_quality,
+    "op8_warc": warc.op8_warc,
+    "op9_licenses": op9_licenses,
+    "op10_fingerprints": op10_fingerprints,
 }
 
-ORACLE: dict[str, str] = {}
+#: The other operators' methods choose, score or hash in ways that SQL doesn't express; their
+#: tests hold them against brute force, round trips or held-out labels.
+ORACLE: dict[str, str] = {"op8_warc": warc.ORACLE}

@@ -108,6 +108,23 @@ class Words:
         return b" ".join(_LOWER[self.data[s:e]].tobytes() for s, e in zip(self.starts[i:j], self.ends[i:j]))
 
 
+class HashSet:
+    """A sorted set of hashes; finds its members among many hashes."""
+
+    def __init__(self, hashes: np.ndarray, bits: int = 20):
+        self.sorted, self.shift = np.unique(hashes), U64(64 - bits)
+        self.filter = np.zeros(1 << bits, dtype=bool)
+        self.filter[self.sorted >> self.shift] = True
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places in ``hashes`` and their places in the sorted set."""
+        at = np.flatnonzero(self.filter[hashes >> self.shift])
+        k = np.searchsorted(self.sorted, hashes[at])
+        k[k == len(self.sorted)] = 0
+        same = self.sorted[k] == hashes[at] if len(self.sorted) else np.zeros(len(at), bool)
+        return at[same], k[same]
+
+
 def windows(hashes: np.ndarray, first: np.ndarray, k: int, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all k consecutive words and the n + 1 offsets of each text's; a text of fewer
     than k words has none."""
