@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import math
 import os
+import re
 import uuid
 import zlib
 from array import array
@@ -82,59 +83,54 @@ def decode_ranks(control: bytes, data: bytes, n: int) -> np.ndarray:
 # --- tokenising -------------------------------------------------------------------------------
 
 _TAIL = b".,!?;:%$&#*"
+#: Letters besides ASCII that no normaliser step of the tokenizer changes but for lower-casing one by one.
+_LETTERS = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
 
 
-class ChunkEncoder:
-    """Whole-text encoding by a word-level tokenizer, one white-space chunk at a time.
+class ChunkEncoder(dict):
+    """Whole-text encoding by a word-level tokenizer, one white-space chunk at a time: chunk -> ids.
 
     The tokenizer drops white space and lets no token span it, so a text's ids are its chunks'
-    ids in order; a chunk that was met before is looked up. On a miss, ASCII letters are
-    lower-cased (as the tokenizer does) and closing punctuation after a letter is encoded apart
-    (the tokenizer ends a run of letters there), which makes more chunks equal. A chunk that
-    may hold a special token is left as it is. Every id comes from the tokenizers library."""
-
-    def __init__(self, path: str, limit: int = 400_000):
+    ids in order; a chunk that was met before is looked up. On a miss, closing punctuation after
+    a letter is encoded apart (the tokenizer ends a run of letters there), and a run of Latin
+    letters goes straight to the tokenizer's model, lower-cased and in its byte alphabet. A chunk
+    that may hold a special token, or any other, is encoded as it stands. All ids come from the
+    tokenizers library."""
+
+    def __init__(self, path: str, limit: int = 1_000_000):
+        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.limit, self.known = Tokenizer.from_file(path), limit, {}
+        self.tokenizer, self.limit = Tokenizer.from_file(path), limit
         self.model = self.tokenizer.model
-
-    def _learn(self, chunks: set[bytes]) -> None:
-        known, cut, apart = self.known, [], set()
-        for c in chunks:
-            if b"<|" in c:
-                apart.add(c)
-                continue
-            core = c.rstrip(_TAIL)
-            tail = c[len(core):] if core[-1:].isalpha() else b""
-            core = (core if tail else c).lower()
-            cut.append((c, core, tail))
-            if core not in known:
-                if core.isalpha():  # ASCII letters: one pre-token that no normaliser changes
-                    known[core] = array("I", [t.id for t in self.model.tokenize(core.decode())]).tobytes()
-                else:
-                    apart.add(core)
-            if tail and tail not in known:
-                apart.add(tail)
-        new = list(apart)
-        got = self.tokenizer.encode_batch_fast([p.decode("utf-8", "replace") for p in new], add_special_tokens=False)
-        for p, e in zip(new, got):
-            known[p] = array("I", e.ids).tobytes()
-        for c, core, tail in cut:
-            if c not in known:
-                known[c] = known[core] + known[tail] if tail else known[core]
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Ids (unsigned 32 bits) of each text."""
-        split = [t.split() for t in texts]
-        if len(self.known) > self.limit:
-            self.known = {}
-        missing = set().union(*split) - self.known.keys()
-        if missing:
-            self._learn(missing)
-        look = self.known.__getitem__
-        return [b"".join(map(look, chunks)) for chunks in split]
+        self.kind = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"  # unsigned 16 or 32 bits
+
+    def __missing__(self, chunk: bytes) -> bytes:
+        core = chunk.rstrip(_TAIL)
+        if len(core) < len(chunk) and core[-1:].isalpha() and b"<|" not in chunk:
+            ids = self[core] + self[chunk[len(core):]]
+        else:
+            text = chunk.decode("utf-8", "replace")
+            if _LETTERS.fullmatch(text):
+                word = text.lower()
+                ids = [t.id for t in self.model.tokenize(word if word.isascii() else word.encode().decode("latin-1").translate(_BYTE_LETTERS))]
+            else:
+                ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+            ids = array(self.kind, ids).tobytes()
+        self[chunk] = ids
+        return ids
+
+    def encode(self, text: bytes) -> bytes:
+        """The ids of a text, as unsigned integers of this encoder's kind."""
+        if len(self) > self.limit:
+            self.clear()
+        return b"".join(map(self.__getitem__, text.split()))
+
+
+#: The byte alphabet of byte-level tokenizers: bytes without a printable Latin-1 character get the letters from U+0100 on.
+_PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_BYTE_LETTERS = {b: 0x100 + k for k, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
 
 
 @lru_cache(maxsize=1)
@@ -148,21 +144,22 @@ def _bytes(col) -> list[bytes]:
 
 
 def tokenize(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:
-    """doc_id, n_ids and ids (unsigned 32 bits) of every text, the end id included."""
-    end = np.array([end_id], dtype="<u4").tobytes()
-
+    """doc_id, width (bytes an id), and ids (unsigned, little-endian) of every text, the end id included."""
     def run(batches):
         encoder = _encoder(tokenizer)
+        end = array(encoder.kind, [end_id])
         for batch in batches:
-            texts, done = _bytes(batch.column("text")), []
-            for k in range(0, len(texts), 64):
-                done += [x + end for x in encoder.encode(texts[k: k + 64])]
+            done = [encoder.encode(t) + end.tobytes() for t in _bytes(batch.column("text"))]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([len(x) // 4 for x in done], pa.int64()), pa.array(done, pa.binary())],
-                names=["doc_id", "n_ids", "ids"])
+                [batch.column("doc_id"), pa.array([end.itemsize] * len(done), pa.int32()), pa.array(done, pa.binary())], names=["doc_id", "width", "ids"])
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return slim.mapInArrow(run, "doc_id long, n_ids long, ids binary")
+    return slim.mapInArrow(run, "doc_id long, width int, ids binary")
+
+
+def _ids(batch) -> Iterator[np.ndarray]:
+    for width, x in zip(batch.column("width").to_pylist(), batch.column("ids")):
+        yield np.frombuffer(x.as_buffer(), dtype=f"<u{width}")
 
 
 def frequencies(tokens: DataFrame) -> DataFrame:
@@ -170,14 +167,14 @@ def frequencies(tokens: DataFrame) -> DataFrame:
     def count(batches):
         total = np.zeros(0, dtype=np.int64)
         for batch in batches:
-            for x in batch.column("ids"):
-                c = np.bincount(np.frombuffer(x.as_buffer(), dtype="<u4"), minlength=len(total))
+            for x in _ids(batch):
+                c = np.bincount(x, minlength=len(total))
                 c[: len(total)] += total
                 total = c
         ids = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(total[ids])], names=["id", "n"])
 
-    return tokens.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return tokens.select("width", "ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 # --- shards -----------------------------------------------------------------------------------
@@ -296,7 +293,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID
     rank_of[id_of] = np.arange(len(id_of))
     fs, folder = _open(path)
     fs.create_dir(folder, recursive=True)
-    with fs.open_output_stream(f"{folder}/ranks.bin") as f:
+    with fs.open_output_stream(f"{folder}/ranks.bin", compression=None) as f:
         f.write(id_of.tobytes())
     ranks = spark.sparkContext.broadcast(rank_of)
     shards = max(1, math.ceil(sum(n for _, n in counted) / ids_per_shard))
@@ -306,17 +303,17 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID
         fs, folder = _open(path)
         name = f"shard-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.bin"
         for batch in batches:
-            for doc, ids in zip(batch.column("doc_id").to_pylist(), batch.column("ids")):
+            for doc, ids in zip(batch.column("doc_id").to_pylist(), _ids(batch)):
                 if writer is None:
-                    out = fs.open_output_stream(f"{folder}/{name}")
+                    out = fs.open_output_stream(f"{folder}/{name}", compression=None)
                     writer = ShardWriter(out, ranks.value)
-                writer.add(doc, np.frombuffer(ids.as_buffer(), dtype="<u4"))
+                writer.add(doc, ids)
         if writer is not None:
             n = writer.close()
             out.close()
             yield pa.RecordBatch.from_pylist([{"shard": TaskContext.get().partitionId(), "path": f"{path}/{name}", "n_docs": len(writer.sizes), "n_ids": n}])
 
-    rows = (tokens.repartitionByRange(shards, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "ids")
+    rows = (tokens.repartitionByRange(shards, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "width", "ids")
             .mapInArrow(write, "shard long, path string, n_docs long, n_ids long"))
     return TokenStore(path, common.stored(rows, "token-manifest"))
 
@@ -333,7 +330,7 @@ def read_store(spark: SparkSession, store: TokenStore) -> DataFrame:
             for row in batch.to_pylist():
                 if id_of is None:
                     fs, path = _open(ranks_path)
-                    with fs.open_input_stream(path) as f:
+                    with fs.open_input_stream(path, compression=None) as f:
                         id_of = np.frombuffer(f.read(), dtype="<u4")
                 shard, out = ShardReader(row["path"]), []
                 for (doc, start, pieces), size in zip(shard.documents(id_of), shard.sizes.tolist()):
