@@ -26,8 +26,8 @@ from callgauge.llm.textbytes import _IS_WORD, _LOWER, flat
 
 BITS = 18
 SIZES = (3, 4, 5, 6)
-TRAIN_ROWS = 12_000
-TRAIN_FEATURES = 40_000_000
+TRAIN_ROWS = 8_000
+TRAIN_FEATURES = 24_000_000
 FOLDS, HELD_OUT = 5, 0
 
 _TO_GRAM = np.where(_IS_WORD, _LOWER, 32).astype(np.uint32)
