@@ -146,12 +146,14 @@ def mark(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES)
         rows = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block).collect()  # about block_bytes
         index = BenchmarkIndex([(r["item"], r["text"]) for r in rows])
         if index.texts:
-            marked = _pass(marked, index.order(_counted(docs, index)))
-    return _digested(marked, own)
+            index.order(_counted(docs, index))
+        marked = _pass(marked, index, own if block == blocks - 1 else None)
+    return marked
 
 
-def _pass(marked: DataFrame, index: BenchmarkIndex) -> DataFrame:
-    """Add one block's hit words (a bit a word) and items to each document."""
+def _pass(marked: DataFrame, index: BenchmarkIndex, own: list[str] | None) -> DataFrame:
+    """Add one block's hit words (a bit a word) and items to each document; after the last
+    block (``own``: the columns to keep) the result columns take their place."""
     shared = marked.sparkSession.sparkContext.broadcast(index)
     kept = len(marked.columns) - 2
 
@@ -159,6 +161,9 @@ def _pass(marked: DataFrame, index: BenchmarkIndex) -> DataFrame:
         index = shared.value
         for batch in batches:
             w = Words(*flat(batch.column("__text")))
+            if not index.texts:
+                yield as_wanted(batch, w, batch.column("__hit").to_pylist(), batch.column("__items").to_pylist())
+                continue
             text, start, window = index.matches(w)
             edge = np.zeros(len(w.hashes) + 1, dtype=np.int64)
             np.add.at(edge, start, 1)
@@ -173,23 +178,19 @@ def _pass(marked: DataFrame, index: BenchmarkIndex) -> DataFrame:
                 lo, hi = np.searchsorted(text, [t, t + 1])
                 more = {i for x in np.unique(window[lo:hi]).tolist() for i in index.owners[x]}
                 found[t] = sorted(more.union(found[t] or ()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:kept], pa.array(bits, pa.binary()), pa.array(found, pa.list_(pa.string()))], names=batch.schema.names)
-
-    return marked.mapInArrow(run, marked.schema)
-
-
-def _digested(marked: DataFrame, own: list[str]) -> DataFrame:
-    kept = len(own)
-
-    def run(batches):
-        for batch in batches:
-            words = Words(*flat(batch.column("__text")), hashed=False).counts()
-            hit = np.array([0 if b is None else int(np.unpackbits(np.frombuffer(b, np.uint8)).sum()) for b in batch.column("__hit").to_pylist()], dtype=np.int64)
-            items = [x or [] for x in batch.column("__items").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:kept], pa.array(words, pa.int64()), pa.array(hit), pa.array([len(x) for x in items], pa.int64()), pa.array(items, pa.list_(pa.string())),
-                 pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in items]), pa.array((hit > 0) & (20 * hit >= words))], names=[*own, *RESULTS])
-
+            yield as_wanted(batch, w, bits, found)
+
+    def as_wanted(batch, w, bits, found):
+        if own is None:
+            return pa.RecordBatch.from_arrays([*batch.columns[:kept], pa.array(bits, pa.binary()), pa.array(found, pa.list_(pa.string()))], names=batch.schema.names)
+        words, items = w.counts(), [x or [] for x in found]
+        hit = np.array([0 if b is None else int(np.unpackbits(np.frombuffer(b, np.uint8)).sum()) for b in bits], dtype=np.int64)
+        return pa.RecordBatch.from_arrays(
+            [*batch.columns[: len(own)], pa.array(words, pa.int64()), pa.array(hit), pa.array([len(x) for x in items], pa.int64()), pa.array(items, pa.list_(pa.string())),
+             pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in items]), pa.array((hit > 0) & (20 * hit >= words))], names=[*own, *RESULTS])
+
+    if own is None:
+        return marked.mapInArrow(run, marked.schema)
     kinds = dict(zip(RESULTS, (LongType(), LongType(), LongType(), ArrayType(StringType()), StringType(), "boolean")))
     schema = StructType([f for f in marked.schema if f.name in own])
     for name, kind in kinds.items():
