@@ -30,9 +30,13 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def _own_scratch(spark: SparkSession) -> str:
+    return f"{scratch_root(spark)}/callgauge-llm/{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder; each call gives another one."""
-    return f"{scratch_root(spark)}/callgauge-llm/{name}-{uuid.uuid4().hex}"
+    return f"{_own_scratch(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -40,14 +44,26 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     and a lost executor costs the readers nothing."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete ``stored`` tables that nothing will read again."""
+    for table_ in tables:
+        _delete(table_.sparkSession, table_.scratch_path)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete all that this application's operators left in the shared folder. Call it when their
+    results have been written: results read their scratch tables."""
+    _delete(spark, _own_scratch(spark))
 
 
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Delete a table or folder that this subpackage wrote in the shared folder."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
