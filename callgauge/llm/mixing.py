@@ -30,7 +30,7 @@ SEED = 20
 MOST_PASSES = 3
 #: Largest budget that the dynamic programme fits; what is above goes to the longest documents first.
 KNAPSACK = 1 << 16
-RANGE_ROWS = 2048
+RANGE_ROWS = 256
 RESULTS = ("size", "source_size", "target", "times", "taken")
 
 
