@@ -161,12 +161,12 @@ def mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
               .withColumn("k", F.row_number().over(Window.partitionBy(*group, "range").orderBy("lot", "doc_id"))))
     last = ranked.where("k = rank").select(F.col("source").alias("__s3"), F.col("size").alias("__z3"), F.col("lot").alias("last_lot"), F.coalesce("doc_id", F.lit("")).alias("last_id"))
     rule = (planned.join(last, F.col("source").eqNullSafe(F.col("__s3")) & (F.col("size") == F.col("__z3")), "left")
-            .select(F.col("source").alias("__source"), F.col("size").alias("__size"), "source_size", "target", "passes", "n", "pick", "last_lot", "last_id"))
+            .select("source_size", "target", *(F.col(c).alias(f"__{c}") for c in ("source", "size", "passes", "n", "pick", "last_lot", "last_id"))))
     rule = common.stored(rule, "mix-rule")
-    once_more = ((F.col("pick") > 0) & ((F.col("pick") == F.col("n")) | (F.col("__lot") < F.col("last_lot"))
-                 | ((F.col("__lot") == F.col("last_lot")) & (F.coalesce(F.col("doc_id").cast("string"), F.lit("")) <= F.col("last_id")))))
+    once_more = ((F.col("__pick") > 0) & ((F.col("__pick") == F.col("__n")) | (F.col("__lot") < F.col("__last_lot"))
+                 | ((F.col("__lot") == F.col("__last_lot")) & (F.coalesce(F.col("doc_id").cast("string"), F.lit("")) <= F.col("__last_id")))))
     return (docs.withColumn("__lot", lot).join(rule, F.col("source").cast("string").eqNullSafe(F.col("__source")) & (F.col("size") == F.col("__size")))
-            .withColumn("times", F.col("passes") + F.coalesce(once_more, F.lit(False)).cast("long"))
+            .withColumn("times", F.col("__passes") + F.coalesce(once_more, F.lit(False)).cast("long"))
             .select(*own, "size", "source_size", "target", "times", (F.col("times") * F.col("size")).alias("taken")))
 
 

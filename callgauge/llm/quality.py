@@ -141,8 +141,10 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, fold
         w, bias, prior = fit(np.vstack(parts[1] or none), np.vstack(parts[0] or none))
         yield pa.RecordBatch.from_arrays([pa.array([w.astype(np.float64).tobytes()], pa.binary()), pa.array([bias]), pa.array([prior])], names=["w", "bias", "prior"])
 
-    model = sample.mapInArrow(run, "w binary, bias double, prior double").collect()[0]
-    return np.frombuffer(bytes(model["w"]), np.float64), model["bias"], model["prior"]
+    model = sample.mapInArrow(run, "w binary, bias double, prior double").collect()
+    if not model:  # empty samples have no task
+        return fit(np.zeros((0, DIMS)), np.zeros((0, DIMS)))
+    return np.frombuffer(bytes(model[0]["w"]), np.float64), model[0]["bias"], model[0]["prior"]
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float, float]) -> DataFrame:

@@ -3,7 +3,8 @@
 A text's features are the distinct n-grams of 3 to 6 bytes within its words (lower-cased ASCII,
 a space at either end of a word), hashed into ``2**BITS`` places. Let p and q be the smoothed
 shares of toxic and of other training texts that hold a feature; each feature is scaled by
-``log(p / q)``, and a logistic regression is fitted on the scaled features.
+``log(p / q)``, and a logistic regression is fitted on the scaled features that depend on the
+label at all (a chi-square above ``MIN_CHI_SQUARE``; the others would be most of the work).
 
 The model is fitted on a bounded sample of labelled rows (``train_rows`` rows and
 ``train_features`` features, both parameters; the rows with the smallest hash of doc_id), in one
@@ -28,6 +29,7 @@ BITS = 18
 SIZES = (3, 4, 5, 6)
 TRAIN_ROWS = 8_000
 TRAIN_FEATURES = 24_000_000
+MIN_CHI_SQUARE = 4.0
 FOLDS, HELD_OUT = 5, 0
 
 _TO_GRAM = np.where(_IS_WORD, _LOWER, 32).astype(np.uint32)
@@ -59,18 +61,20 @@ def gram_features(data: np.ndarray) -> np.ndarray:
     return np.flatnonzero(seen).astype(np.uint32)
 
 
-def fit(rows: list[tuple[np.ndarray, int]], rounds: int = 60, decay: float = 2e-4) -> tuple[np.ndarray, float]:
+def fit(rows: list[tuple[np.ndarray, int]], rounds: int = 400, rate: float = 0.3, decay: float = 2e-4) -> tuple[np.ndarray, float]:
     """Weights (ratio times coefficient) and bias from (features, label) rows."""
     dims = 1 << BITS
     y = np.array([label for _, label in rows], dtype=np.float64)
     if not rows or y.min() == y.max():
         return np.zeros(dims, np.float32), -20.0
-    counts = [np.ones(dims), np.ones(dims)]
+    counts = [np.zeros(dims), np.zeros(dims)]
     for f, label in rows:
         counts[label][f] += 1
-    ratio = np.log(counts[1] / (y.sum() + 2)) - np.log(counts[0] / ((1 - y).sum() + 2))
-    # A ratio near 0 says next to nothing; such features would be most of the work.
-    kept = np.abs(ratio) >= 1
+    toxic, n = y.sum(), len(y)
+    ratio = np.log((counts[1] + 1) / (toxic + 2)) - np.log((counts[0] + 1) / (n - toxic + 2))
+    both = counts[0] + counts[1]
+    expected = both * toxic / n
+    kept = (counts[1] - expected) ** 2 * n > MIN_CHI_SQUARE * expected * (1 - both / n) * (n - toxic)
     place = np.cumsum(kept) - 1
     index = [place[f[kept[f]]] for f, _ in rows]
     bounds = np.concatenate([[0], np.cumsum([len(i) for i in index])])
@@ -84,8 +88,8 @@ def fit(rows: list[tuple[np.ndarray, int]], rounds: int = 60, decay: float = 2e-
         g = weight * (1 / (1 + np.exp(-np.clip(margin, -40, 40))) - y)
         grad = np.bincount(flat_index, weights=g[row], minlength=len(r)) * r + decay * w
         square, square_b = square + grad**2, square_b + g.sum() ** 2
-        w -= 0.1 * grad / np.sqrt(square)
-        bias -= 0.1 * g.sum() / np.sqrt(square_b)
+        w -= rate * grad / np.sqrt(square)
+        bias -= rate * g.sum() / np.sqrt(square_b)
     out = np.zeros(dims, np.float32)
     out[kept] = w * r
     return out, float(bias)
@@ -113,6 +117,8 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, trai
         yield pa.RecordBatch.from_arrays([pa.array([w.tobytes()], pa.binary()), pa.array([bias])], names=["w", "bias"])
 
     model = sample.mapInArrow(run, "w binary, bias double").collect()
+    if not model:  # an empty sample has no task
+        return fit([])
     return np.frombuffer(bytes(model[0]["w"]), np.float32), model[0]["bias"]
 
 
