@@ -44,11 +44,10 @@ DEFAULT_RANGE = "1h"
 
 # Enum domains.
 STATUSES = ["ok", "error", "cancelled"]
-ERROR_TYPES = ["rate_limit", "timeout", "server_error", "auth", "invalid_request",
-               "context_length", "content_filter", "network", "unknown"]
+ERROR_TYPES = ["rate_limit", "timeout", "auth", "content_filter", "context_length",
+               "invalid_request", "server_error", "network", "unknown"]
 OPERATIONS = ["chat", "completion", "embedding"]
 CAPTURE_LAYERS = ["manual", "proxy", "loader"]
-ROLES = ["system", "user", "assistant"]
 CONVERSATION_STATUSES = ["active", "archived", "deleted"]
 RETRYABLE_ERROR_TYPES = ["rate_limit", "timeout", "server_error", "network"]
 
@@ -61,17 +60,12 @@ DEFAULT_BATCH_EVENTS = 50
 MAX_QUEUE = 1000
 QUEUE_MAX_ATTEMPTS = 5
 READINESS_LAG_SECONDS = 60
-DLQ_LIST_MAX = 500
-DLQ_REPLAY_BATCH = 100
-SPAN_TEXT_LIMIT = 8192
 CONTEXT_CHARS_PER_TOKEN = 4
 CONTEXT_DEFAULT_TOKEN_BUDGET = 8000
 CONTEXT_MIN_TURNS = 4
 TITLE_MAX = 60
 TITLE_CUT = 57
 LIST_CONVERSATIONS_DEFAULT = 50
-LIST_CONVERSATIONS_MAX = 200
-REPLAY_MESSAGES_LIMIT = 200
 ERROR_SAMPLE_CHARS = 160
 RETENTION_DAYS = {"raw": 90, "rollup": 400, "dlq": 30}
 DRIFT_TOLERANCE = 0.001

@@ -51,22 +51,30 @@ def reprice(events: DataFrame, prices_a=PRICES, prices_b=PRICES, version_a: str
     return g.withColumn("diff", F.col("cost_b") - F.col("cost_a"))
 
 
-def id_order_check(df: DataFrame, id_col: str, order_cols=("created_at",), buckets: int = 1000) -> DataFrame:
+def id_order_check(df: DataFrame, id_col: str, order_cols=("created_at",), range_rows: int = 100_000) -> DataFrame:
     """Whether ``id_col`` strictly increases along the order of ``order_cols``
     (the reference's ``bool_and(id > lag(id))``), computed without a global
-    single-task window: rows are split into ~``buckets`` contiguous ranges of
-    the first order column at sampled quantiles; ``lag`` runs inside each
+    single-task window: rows are split into contiguous ranges of about
+    ``range_rows`` of the first order column at sampled quantiles; ``lag`` runs inside each
     range, and consecutive ranges are stitched through their first/last ids
-    (a table of at most ``buckets`` rows)."""
+    (a row a range)."""
     first = order_cols[0]
     key = f"unix_micros({first})" if first.endswith("_at") or first == "ts" else first
-    # Range boundaries from a sampled quantile sketch: a fixed-size array of
-    # at most buckets-1 numbers (the same device Spark's range partitioner
-    # uses), inlined as a literal.
-    qs = ", ".join(str(i / buckets) for i in range(1, buckets))
-    bounds = df.agg(F.expr(f"percentile_approx({key}, array({qs}), 1000)").alias("b")).first()["b"] or []
-    lit = "array(" + ", ".join(str(int(x)) for x in sorted(set(bounds))) + ")" if bounds else "array()"
-    b = df.withColumn("_bucket", F.expr(f"size(filter(CAST({lit} AS array<bigint>), x -> x < {key}))"))
+    # Range boundaries from a quantile sketch (the same device Spark's range
+    # partitioner uses), inlined as a literal and searched by halving.
+    buckets = max(1, min(1 << 16, df.count() // range_rows))
+    bounds = []
+    if buckets > 1:
+        qs = ", ".join(str(i / buckets) for i in range(1, buckets))
+        bounds = df.agg(F.expr(f"percentile_approx({key}, array({qs}), {20 * buckets})").alias("b")).first()["b"] or []
+    bounds = sorted({int(x) for x in bounds})
+    if bounds:
+        steps = ", ".join(str(1 << i) for i in reversed(range(len(bounds).bit_length())))
+        found = (f"aggregate(array({steps}), 0, (i, s) -> IF(i + s <= {len(bounds)} AND "
+                 f"element_at(_bounds, least(i + s, {len(bounds)})) < {key}, i + s, i))")
+        b = df.withColumn("_bounds", F.lit(bounds)).withColumn("_bucket", F.expr(found)).drop("_bounds")
+    else:
+        b = df.withColumn("_bucket", F.lit(0))
     order = ", ".join(order_cols)
     w = Window.partitionBy("_bucket").orderBy(*order_cols)
     inner = (b.withColumn("_prev", F.lag(id_col).over(w))

@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from callgauge.constants import (CONTEXT_CHARS_PER_TOKEN, CONTEXT_DEFAULT_TOKEN_BUDGET,
-                                 CONTEXT_MIN_TURNS, LIST_CONVERSATIONS_DEFAULT, LIST_CONVERSATIONS_MAX,
-                                 REPLAY_MESSAGES_LIMIT, TITLE_CUT, TITLE_MAX)
+                                 CONTEXT_MIN_TURNS, LIST_CONVERSATIONS_DEFAULT,
+                                 TITLE_CUT, TITLE_MAX)
 from callgauge.functions.redact import JS_SPACE_CLASS, sql_str
 from callgauge.operators.running import running_sums
 
@@ -44,20 +44,21 @@ def conversation_counters(messages: DataFrame) -> DataFrame:
 def list_conversations(conversations: DataFrame, messages: DataFrame, user_id: str | None = None,
                        before: str | None = None, limit: int = LIST_CONVERSATIONS_DEFAULT) -> DataFrame:
     """Non-deleted conversations, optionally for one user and before a keyset
-    timestamp, newest activity first (NULLs last), at most min(limit, 200)."""
-    n = min(int(limit), LIST_CONVERSATIONS_MAX)
+    timestamp, newest activity first (NULLs last): a page of ``limit`` rows."""
     c = conversations.filter("status <> 'deleted'")
     if user_id is not None:
         c = c.filter(F.col("user_id").eqNullSafe(F.lit(user_id)))
     c = c.join(conversation_counters(messages), c["id"] == F.col("conversation_id"), "left").drop("conversation_id")
     if before is not None:
         c = c.filter(F.col("last_message_at") < F.lit(before).cast("timestamp"))
-    return c.orderBy(F.desc_nulls_last("last_message_at"), F.desc("created_at"), F.desc("id")).limit(n)
+    return c.orderBy(F.desc_nulls_last("last_message_at"), F.desc("created_at"), F.desc("id")).limit(int(limit))
 
 
-def replay_messages(messages: DataFrame, limit: int = REPLAY_MESSAGES_LIMIT) -> DataFrame:
-    """The first ``limit`` messages of every conversation, by seq (bucketed
-    running count, so a very long conversation is not one task)."""
+def replay_messages(messages: DataFrame, limit: int | None = None) -> DataFrame:
+    """The messages of every conversation, or the first ``limit`` of each by seq
+    (bucketed running count, so a very long conversation is not one task)."""
+    if limit is None:
+        return messages
     r = running_sums(messages, ["conversation_id"], "seq div 1024", ["seq"], {"_rn": "1"})
     return r.filter(F.col("_rn") <= limit).drop("_rn")
 

@@ -5,25 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callgauge.constants import DLQ_LIST_MAX, DLQ_REPLAY_BATCH
 from callgauge.operators import validate
 
 
 def dlq_pending(dlq: DataFrame, limit: int = 100) -> DataFrame:
-    """Unreplayed rows, newest first, at most min(limit, 500) (a bounded top-k)."""
-    n = min(int(limit), DLQ_LIST_MAX)
+    """The newest ``limit`` unreplayed rows (a bounded top-k)."""
     return (dlq.filter("replayed_at IS NULL")
-            .orderBy(F.desc("first_seen_at"), F.desc("dlq_id")).limit(n))
+            .orderBy(F.desc("first_seen_at"), F.desc("dlq_id")).limit(int(limit)))
 
 
 def dlq_pending_count(dlq: DataFrame) -> DataFrame:
     return dlq.filter("replayed_at IS NULL").agg(F.count(F.lit(1)).cast("int").alias("dlq_pending"))
 
 
-def replay_candidates(dlq: DataFrame, limit: int = DLQ_REPLAY_BATCH) -> DataFrame:
-    """The next ``limit`` pending payloads, each wrapped as a one-event envelope
-    from sdk 'replay' / '0' (envelope-stage payloads are replayed as they are)."""
-    pend = dlq_pending(dlq, limit)
+def replay_candidates(dlq: DataFrame, after: str | None = None, limit: int | None = None) -> DataFrame:
+    """All pending payloads, each wrapped as a one-event envelope from sdk
+    'replay' / '0' (envelope-stage payloads are replayed as they are). For a
+    paged replay, ``after`` and ``limit`` give the next page by dlq_id: rows
+    that keep failing never hold back the others."""
+    pend = dlq.filter("replayed_at IS NULL")
+    if after is not None:
+        pend = pend.filter(F.col("dlq_id") > after)
+    if limit is not None:
+        pend = pend.orderBy("dlq_id").limit(int(limit))
     return pend.selectExpr(
         "dlq_id AS batch_id",
         "IF(stage = 'envelope', payload, concat('{\"sdk\":{\"name\":\"replay\",\"version\":\"0\"},"
@@ -31,13 +35,14 @@ def replay_candidates(dlq: DataFrame, limit: int = DLQ_REPLAY_BATCH) -> DataFram
         "'\",\"events\":[', payload, ']}')) AS body")
 
 
-def dlq_replay(dlq: DataFrame, log: DataFrame | None, now: str, limit: int = DLQ_REPLAY_BATCH):
+def dlq_replay(dlq: DataFrame, log: DataFrame | None, now: str, after: str | None = None,
+               limit: int | None = None):
     """Re-drive pending payloads through validation; a row is marked replayed
     when its payload now yields an accepted or duplicate event. A failing
     replay does not park a second copy. Returns (updated dlq, accepted rows,
     per-row outcome)."""
     from callgauge.operators import rollup
-    cand = replay_candidates(dlq, limit)          # batch_id = dlq_id
+    cand = replay_candidates(dlq, after, limit)   # batch_id = dlq_id
     envs = validate.validate_envelopes(cand)
     checked = validate.validate_events(validate.explode_envelopes(envs))
     typed = validate.typed_events(checked.filter("size(reasons) = 0"), ingested_at=now)

@@ -6,9 +6,8 @@ from decimal import Decimal
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from callgauge.constants import PRICES, PRICING_VERSION, RETRYABLE_ERROR_TYPES
+from callgauge.constants import PRICES, PRICING_VERSION
 from callgauge.functions.pricing import is_priced, normalise_model, with_cost
 from callgauge.functions.timebin import round_div
 
@@ -24,16 +23,13 @@ def price_events(events: DataFrame, prices=PRICES, version: str = PRICING_VERSIO
 def pricing_coverage(events: DataFrame, prices=PRICES) -> DataFrame:
     """Models with no price: calls and share of all calls.
 
-    One aggregation pass; the total is a window over the per-model result, whose
-    size is the number of distinct model names.
+    Calls by model are a partial aggregate; their total and the unpriced models
+    (a row each) are one more.
     """
     per_model = events.groupBy("model").agg(F.count(F.lit(1)).alias("calls"))
-    return (per_model
-            .withColumn("total_calls", F.sum("calls").over(Window.partitionBy()))
-            .filter(~is_priced("model", prices))
+    both = per_model.agg(F.sum("calls").alias("total_calls"),
+                         F.collect_list(F.when(~is_priced("model", prices), F.struct("model", "calls"))).alias("_m"))
+    return (both.select("total_calls", F.inline("_m"))
             .select("model", normalise_model("model").alias("normalised_model"), "calls",
                     round_div("calls * 100", "total_calls", 2).alias("share_pct")))
 
-
-def retryable(error_type: str = "error_type"):
-    return F.coalesce(F.col(error_type).isin(*RETRYABLE_ERROR_TYPES), F.lit(False))

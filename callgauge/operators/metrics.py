@@ -136,7 +136,8 @@ def latency_percentiles_raw(events: DataFrame, range_key: str, as_of: str, exact
                    for n, p in ps.items()], F.count(F.lit(1)).alias("samples"))
 
 
-LAG_MS = "(unix_micros(ingested_at) - unix_micros(client_ts)) / 1000.0D"
+#: Whole milliseconds: distinct lags, which the exact median counts, stay few.
+LAG_MS = "CAST(floor((unix_micros(ingested_at) - unix_micros(client_ts)) / 1000) AS BIGINT)"
 
 
 def ingest_lag(events: DataFrame, range_key: str, as_of: str) -> DataFrame:
@@ -144,7 +145,7 @@ def ingest_lag(events: DataFrame, range_key: str, as_of: str) -> DataFrame:
     float->int cast does), and total redaction hits. The median is the
     two-stage exact percentile over distinct lag values."""
     e = in_range(events, "created_at", range_key, as_of).selectExpr(f"{LAG_MS} AS _lag", "redaction_hits")
-    med = exact_percentiles(e, "_lag", {"_med": 0.5}).selectExpr("_med", "NULL AS _max", "NULL AS _hits")
+    med = exact_percentiles(e, "_lag", {"_med": 0.5}).selectExpr("_med", "CAST(NULL AS BIGINT) AS _max", "CAST(NULL AS BIGINT) AS _hits")
     rest = e.agg(F.max("_lag").alias("_max"), F.sum("redaction_hits").alias("_hits")).selectExpr(
         "CAST(NULL AS DOUBLE) AS _med", "_max", "_hits")
     return med.unionByName(rest, allowMissingColumns=True).agg(

@@ -64,12 +64,15 @@ def micro_batches(events: DataFrame, producer: str = "session_id", order=("creat
         F.max_by("event_id", F.struct(*order)).alias("last_event_id"))
 
 
-def buffer_loss(events: DataFrame, producer: str = "provider", max_queue: int = MAX_QUEUE) -> DataFrame:
-    """A bounded client buffer that overflows drops the OLDEST events: per
-    producer, kept = min(n, max_queue) and dropped = the rest. A plain
-    (partial) aggregate — a hot producer costs nothing extra."""
-    g = events.groupBy(producer).agg(F.count(F.lit(1)).alias("_n"))
-    return g.selectExpr(producer, f"least(_n, {int(max_queue)}) AS kept", f"_n - least(_n, {int(max_queue)}) AS dropped")
+def buffer_loss(events: DataFrame, producer: str = "provider", max_queue: int = MAX_QUEUE,
+                ts: str = "created_at") -> DataFrame:
+    """How many events a client buffer of ``max_queue`` that is flushed every
+    minute would keep and drop: per producer and minute, what exceeds the
+    buffer is lost. Two partial aggregates — a hot producer costs nothing extra."""
+    g = events.groupBy(producer, F.date_trunc("minute", ts).alias("_m")).agg(F.count(F.lit(1)).alias("_n"))
+    return g.groupBy(producer).agg(
+        F.expr(f"CAST(sum(least(_n, {int(max_queue)})) AS BIGINT)").alias("kept"),
+        F.expr(f"CAST(sum(_n - least(_n, {int(max_queue)})) AS BIGINT)").alias("dropped"))
 
 
 def buffer_kept_rows(events: DataFrame, producer: str = "provider", order=("created_at", "event_id"),

@@ -22,8 +22,8 @@ def redact_text(df: DataFrame, text_col: str = "text", keep=("doc_id",),
 
 def preview_text(df: DataFrame, text_col: str = "text", max_chars: int = PREVIEW_CHARS,
                  keep=("doc_id",), salt: str = DEFAULT_REDACTION_SALT) -> DataFrame:
-    """Redact first, then truncate (truncating first could cut an identifier in
-    half and leave an unmatchable but still sensitive fragment)."""
+    """Short previews: the redacted text, cut to ``max_chars``. Detectors see the
+    whole text, so the cut never hides part of a match from them."""
     r = with_preview(df.select(*keep, text_col), text_col, max_chars, "preview", salt)
     return r.select(*keep, "preview", "preview_hits")
 

@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from callgauge.constants import SPAN_TEXT_LIMIT
 from callgauge.functions.timebin import round_div_sql
 from callgauge.operators.errors import classify_error_sql
 
@@ -93,7 +92,8 @@ def parse_chunks(chunks: DataFrame, provider_col: str = "provider") -> DataFrame
     anthropic: message_start carries input and cache usage, content_block_delta
     text_delta carries text, message_delta carries output usage and the stop
     reason; OpenAI: choices[0].delta.content, choices[0].finish_reason and a
-    usage object (no cache usage on streams)."""
+    usage object (no cache usage on streams). The payload of an 'error' marker
+    may carry the error's name, code and message."""
     v = "_c"
     df = chunks.withColumn(v, F.expr("try_parse_json(payload)"))
     ty = f"try_variant_get({v}, '$.type', 'string')"
@@ -113,59 +113,62 @@ def parse_chunks(chunks: DataFrame, provider_col: str = "provider") -> DataFrame
         f"AS cache_write_tokens",
         f"IF({is_a}, IF({ty} = 'message_delta', {_str(v, '$.delta.stop_reason')}, NULL), "
         f"{_str(v, '$.choices[0].finish_reason')}) AS finish_reason",
+        *[f"IF(kind = 'error', try_variant_get({v}, '$.{k}', 'string'), NULL) AS error_{k}" for k in ("name", "code", "message")],
     ).drop(v)
 
 
-def assemble_spans(parsed: DataFrame, limit: int = SPAN_TEXT_LIMIT) -> DataFrame:
-    """One call record per ``call_id`` from its parsed chunks and terminal
-    marker (kind 'done' -> ok, 'return' -> cancelled, 'error' -> classified;
-    no marker -> cancelled).
+TERMINALS = "('done', 'return', 'error')"
+
 
-    TTFT = first text chunk - call start (seq 0), capped at latency; latency =
-    terminal time - start (last chunk if no marker); usage = last non-NULL
-    number per field; finish reason = last non-empty one; text appended only
-    while the accumulated length is below ``limit``; tokens/s rounded to 2 dp.
+def assemble_spans(parsed: DataFrame, text_limit: int | None = None) -> DataFrame:
+    """One call record per ``call_id`` from its parsed chunks and terminal
+    marker (kind 'done' -> ok, 'return' -> cancelled, 'error' -> classified by
+    the error's name, code, HTTP status and message; no marker -> cancelled).
+
+    The first terminal marker (by seq) ends the call: chunks behind it count
+    for nothing. TTFT = first text chunk - call start, capped at latency;
+    latency = terminal time - start (last chunk if no marker); usage = last
+    non-NULL number per field; finish reason = last non-empty one. Text is the
+    chunks' text in seq order, whole unless ``text_limit`` is given: then it is
+    appended only while its length is below the limit. Tokens/s has 2 dp.
     """
-    w = (Window.partitionBy("call_id").orderBy("seq")
-         .rowsBetween(Window.unboundedPreceding, -1))
-    p = parsed.withColumn("_before", F.coalesce(F.sum(F.length("text")).over(w), F.lit(0)))
+    call = Window.partitionBy("call_id")  # the chunks of one call
+    p = (parsed.withColumn("_end_seq", F.min(F.expr(f"IF(kind IN {TERMINALS}, seq, NULL)")).over(call))
+         .filter("_end_seq IS NULL OR seq <= _end_seq"))
+    keep = "text IS NOT NULL"
+    if text_limit is not None:
+        so_far = call.orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+        p = p.withColumn("_before", F.coalesce(F.sum(F.length("text")).over(so_far), F.lit(0)))
+        keep += f" AND _before < {int(text_limit)}"
     g = p.groupBy("call_id").agg(
         F.first("provider").alias("provider"),
         F.min("ts").alias("started_at"),
         F.min(F.when(F.col("text").isNotNull() & (F.col("text") != ""), F.col("ts"))).alias("_first_text"),
-        F.min_by("kind", "seq").alias("_k0"),
-        F.expr("min_by(kind, seq) FILTER (WHERE kind IN ('done', 'return', 'error'))").alias("terminal"),
-        F.expr("min_by(ts, seq) FILTER (WHERE kind IN ('done', 'return', 'error'))").alias("_end"),
-        F.expr("min_by(http_status, seq) FILTER (WHERE kind = 'error')").alias("http_status"),
+        F.expr(f"min_by(kind, seq) FILTER (WHERE kind IN {TERMINALS})").alias("terminal"),
+        F.expr(f"min_by(ts, seq) FILTER (WHERE kind IN {TERMINALS})").alias("_end"),
+        *[F.expr(f"min_by({c}, seq) FILTER (WHERE kind = 'error')").alias(c)
+          for c in ("http_status", "error_name", "error_code", "error_message")],
         F.max("ts").alias("_last"),
         *[F.expr(f"max_by({c}, seq) FILTER (WHERE {c} IS NOT NULL)").alias(c)
           for c in ("input_tokens", "output_tokens", "cache_read_tokens", "cache_write_tokens")],
         F.expr("max_by(finish_reason, seq) FILTER (WHERE finish_reason IS NOT NULL AND finish_reason <> '')")
         .alias("finish_reason"),
-        F.expr(f"array_join(transform(array_sort(collect_list(IF(text IS NOT NULL AND _before < {int(limit)}, "
-               f"named_struct('s', seq, 't', text), NULL))), x -> x.t), '')").alias("output_text"),
+        F.expr(f"array_join(transform(array_sort(collect_list(IF({keep}, named_struct('s', seq, 't', text), NULL))), "
+               "x -> x.t), '')").alias("output_text"),
     )
     return finish_spans(g)
 
 
-def finish_spans(g: DataFrame, from_parts: bool = False, limit: int = SPAN_TEXT_LIMIT) -> DataFrame:
-    """Status, latency, TTFT, text and throughput from per-call aggregates.
-    With ``from_parts`` the text is folded from collected (seq, text) parts
-    exactly as the client does: append while the accumulated length is below
-    ``limit``."""
-    if from_parts:
-        g = g.withColumn("output_text", F.expr(
-            f"aggregate(array_sort(_parts), named_struct('n', 0L, 'txt', ''), "
-            f"(acc, x) -> IF(acc.n < {int(limit)}, named_struct('n', acc.n + x.l, 'txt', concat(acc.txt, x.t)), "
-            f"acc)).txt")).drop("_parts")
-    lat = "CAST((unix_micros(coalesce(_end, _last)) - unix_micros(started_at)) / 1000 AS BIGINT)"
-    g = g.withColumn("latency_ms", F.expr(lat))
-    err_type = classify_error_sql("provider", "'APIError'", "CAST(NULL AS STRING)", "http_status", "''")
-    return g.selectExpr(
-        "call_id", "provider", "started_at",
-        "CASE terminal WHEN 'done' THEN 'ok' WHEN 'error' THEN IF(" + err_type + " = 'cancelled', "
-        "'cancelled', 'error') ELSE 'cancelled' END AS status",
-        f"IF(terminal = 'error', {err_type}, NULL) AS error_type",
+def finish_spans(g: DataFrame) -> DataFrame:
+    """Status, error, latency, TTFT and throughput from per-call aggregates."""
+    g = g.withColumn("ended_at", F.expr("coalesce(_end, _last)"))
+    g = g.withColumn("latency_ms", F.expr("CAST((unix_micros(ended_at) - unix_micros(started_at)) / 1000 AS BIGINT)"))
+    err_type = classify_error_sql("provider", "coalesce(error_name, '')", "error_code", "http_status", "coalesce(error_message, '')")
+    return g.withColumn("_type", F.expr(f"IF(terminal = 'error', {err_type}, NULL)")).selectExpr(
+        "call_id", "provider", "started_at", "ended_at",
+        "CASE terminal WHEN 'done' THEN 'ok' WHEN 'error' THEN IF(_type = 'cancelled', 'cancelled', 'error') "
+        "ELSE 'cancelled' END AS status",
+        "nullif(_type, 'cancelled') AS error_type", "error_message",
         "latency_ms",
         "least(CAST((unix_micros(_first_text) - unix_micros(started_at)) / 1000 AS BIGINT), latency_ms) AS ttft_ms",
         "input_tokens", "output_tokens", "cache_read_tokens", "cache_write_tokens", "finish_reason",

@@ -99,6 +99,8 @@ class Field:
                 conds.append(f"length({s}) <= {kw['max']}")
             if "pattern" in kw:
                 conds.append(f"{s} RLIKE {_s(kw['pattern'])}")
+            if kw.get("time"):  # the form alone would admit 30 February
+                conds.append(f"try_cast({s} AS TIMESTAMP) IS NOT NULL")
             return f"{ty} = 'STRING'", " AND ".join(conds) or None, "string"
         if k == "enum":
             return f"{ty} = 'STRING'", f"{s} IN ({_in(kw['values'])})", "string"
@@ -137,7 +139,8 @@ class Field:
 
 
 UUID = dict(pattern=UUID_RE, pattern_message="not a uuid")
-ISO = dict(pattern=ISO_OFFSET_RE, pattern_message="not an ISO-8601 time with offset")
+ISO = dict(pattern=ISO_OFFSET_RE, pattern_message="not an ISO-8601 time with offset", time=True)
+INT_MAX = 2_147_483_647  # the event log stores these fields as 32-bit integers
 
 # Field rules of one inference event (wire names, in declaration order).
 EVENT_FIELDS = [
@@ -160,16 +163,16 @@ EVENT_FIELDS = [
     Field("endedAt", "string", required=True, **ISO),
     Field("latencyMs", "int", required=True, min=0, max=MAX_LATENCY_MS),
     Field("ttftMs", "int", nullable=True, min=0, max=MAX_LATENCY_MS),
-    Field("inputTokens", "int", nullable=True, min=0),
-    Field("outputTokens", "int", nullable=True, min=0),
-    Field("cacheReadTokens", "int", nullable=True, min=0),
-    Field("cacheWriteTokens", "int", nullable=True, min=0),
+    Field("inputTokens", "int", nullable=True, min=0, max=INT_MAX),
+    Field("outputTokens", "int", nullable=True, min=0, max=INT_MAX),
+    Field("cacheReadTokens", "int", nullable=True, min=0, max=INT_MAX),
+    Field("cacheWriteTokens", "int", nullable=True, min=0, max=INT_MAX),
     Field("inputPreview", "string", nullable=True, max=MAX_PREVIEW_CHARS),
     Field("outputPreview", "string", nullable=True, max=MAX_PREVIEW_CHARS),
-    Field("redactionHits", "int", default=0, min=0),
+    Field("redactionHits", "int", default=0, min=0, max=INT_MAX),
     Field("temperature", "number", nullable=True, min=0, max=2),
-    Field("maxTokens", "int", nullable=True, gt=0),
-    Field("messageCount", "int", nullable=True, min=0),
+    Field("maxTokens", "int", nullable=True, gt=0, max=INT_MAX),
+    Field("messageCount", "int", nullable=True, min=0, max=INT_MAX),
     Field("attributes", "object", default="{}"),
 ]
 EVENT_KEYS = [f.key for f in EVENT_FIELDS]
@@ -274,9 +277,10 @@ def explode_envelopes(envelopes: DataFrame) -> DataFrame:
 def explode_all(envelopes: DataFrame) -> DataFrame:
     """Like :func:`explode_envelopes` but keeps every envelope: a rejected
     envelope yields exactly one row with NULL position and event, so a single
-    pass carries both envelope and event verdicts."""
+    pass carries both envelope and event verdicts. The columns that a load adds
+    to its lines (``copies``, ``_line``) are kept."""
     return envelopes.select(
-        "batch_id", "body", "sdk_name", "sdk_version", "sdk_runtime", "sent_at", "envelope_reasons",
+        *[c for c in envelopes.columns if c in ("copies", "_line")], "batch_id", "body", "sdk_name", "sdk_version", "sdk_runtime", "sent_at", "envelope_reasons",
         F.expr("coalesce(dropped, 0D)").alias("dropped"),
         F.expr("size(envelope_reasons) = 0").alias("envelope_ok"),
         F.expr("posexplode_outer(IF(size(envelope_reasons) = 0, _ev_arr, NULL))").alias("position", "event"))
@@ -348,18 +352,18 @@ def typed_events(valid: DataFrame, v: str = "event", ingested_at: str | None = N
         f"{g('finishReason', 'string')} AS finish_reason",
         f"{g('errorType', 'string')} AS error_type",
         f"{g('errorMessage', 'string')} AS error_message",
-        f"CAST({g('latencyMs', 'double')} AS INT) AS latency_ms",
-        f"CAST({g('ttftMs', 'double')} AS INT) AS ttft_ms",
-        f"CAST({g('inputTokens', 'double')} AS INT) AS input_tokens",
-        f"CAST({g('outputTokens', 'double')} AS INT) AS output_tokens",
-        f"CAST({g('cacheReadTokens', 'double')} AS INT) AS cache_read_tokens",
-        f"CAST({g('cacheWriteTokens', 'double')} AS INT) AS cache_write_tokens",
-        f"CAST({g('temperature', 'double')} AS FLOAT) AS temperature",
-        f"CAST({g('maxTokens', 'double')} AS INT) AS max_tokens",
-        f"CAST({g('messageCount', 'double')} AS INT) AS message_count",
+        f"try_cast({g('latencyMs', 'double')} AS INT) AS latency_ms",
+        f"try_cast({g('ttftMs', 'double')} AS INT) AS ttft_ms",
+        f"try_cast({g('inputTokens', 'double')} AS INT) AS input_tokens",
+        f"try_cast({g('outputTokens', 'double')} AS INT) AS output_tokens",
+        f"try_cast({g('cacheReadTokens', 'double')} AS INT) AS cache_read_tokens",
+        f"try_cast({g('cacheWriteTokens', 'double')} AS INT) AS cache_write_tokens",
+        f"try_cast({g('temperature', 'double')} AS FLOAT) AS temperature",
+        f"try_cast({g('maxTokens', 'double')} AS INT) AS max_tokens",
+        f"try_cast({g('messageCount', 'double')} AS INT) AS message_count",
         f"{g('inputPreview', 'string')} AS input_preview",
         f"{g('outputPreview', 'string')} AS output_preview",
-        f"CAST(coalesce({g('redactionHits', 'double')}, 0) AS INT) AS redaction_hits",
+        f"try_cast(coalesce({g('redactionHits', 'double')}, 0) AS INT) AS redaction_hits",
         f"{started} AS client_ts",
         f"{ing} AS ingested_at",
         "sdk_version",
@@ -373,7 +377,7 @@ def quarantine(envelopes: DataFrame, checked: DataFrame, now: str | None = None)
     """Dead-letter rows: one per rejected envelope (stage 'envelope', whole body
     kept) and one per rejected event (stage 'validate', event JSON kept; the
     event id is kept whenever it is a string, even a malformed one). The error
-    text is capped at 2,000 chars."""
+    text is kept whole."""
     ts = f"TIMESTAMP '{now}'" if now else "current_timestamp()"
     env = envelopes.filter("size(envelope_reasons) > 0").selectExpr(
         "concat('b', CAST(batch_id AS STRING)) AS dlq_id", "batch_id", "CAST(NULL AS INT) AS position",
@@ -383,6 +387,6 @@ def quarantine(envelopes: DataFrame, checked: DataFrame, now: str | None = None)
         "concat('b', CAST(batch_id AS STRING), '-', CAST(position AS STRING)) AS dlq_id", "batch_id",
         "position", "raw AS payload", "event_id", "'validate' AS stage", "reasons", "sdk_version")
     return env.unionByName(ev).selectExpr(
-        "*", f"substring(array_join(reasons, '; '), 1, {MAX_ERROR_MESSAGE_CHARS}) AS error",
+        "*", "array_join(reasons, '; ') AS error",
         "1 AS attempts", f"{ts} AS first_seen_at", f"{ts} AS last_seen_at",
         "CAST(NULL AS TIMESTAMP) AS replayed_at")

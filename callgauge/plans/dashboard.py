@@ -1,13 +1,11 @@
 """The dashboard bundle (E11): every panel for one (range, model) request.
 
-The rollup slice for the range is selected once and persisted, since four
-panels read it; raw-event panels read the time-filtered events. All panels are
-independent lazy DataFrames — the caller runs them concurrently or one by one.
+All panels are independent lazy DataFrames — the caller runs them concurrently
+or one by one; nothing is kept in memory between them.
 """
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
 from callgauge.constants import DEFAULT_RANGE, RANGES
@@ -21,7 +19,7 @@ def dashboard(rollup: DataFrame, events: DataFrame, dlq: DataFrame, range_key: s
     an empty model means no filter."""
     rk = range_key if range_key in RANGES else DEFAULT_RANGE
     m = model or None
-    slice_ = metrics.in_range(rollup, "bucket", rk, as_of).persist(StorageLevel.MEMORY_AND_DISK)
+    slice_ = metrics.in_range(rollup, "bucket", rk, as_of)
     return {
         "timeseries": metrics.timeseries(slice_, rk, as_of, m),
         "totals": metrics.totals(slice_, rk, as_of, m),

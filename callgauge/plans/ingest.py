@@ -16,9 +16,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callgauge.constants import MAX_ERROR_MESSAGE_CHARS
 from callgauge.operators import enrich, redaction, rollup, validate
-from callgauge.session import checkpoint_dir
+from callgauge.sources.eventlog import OVERFLOW
 
 EVENT_LOG_COLUMNS = [
     "event_id", "created_at", "conversation_id", "message_id", "session_id", "user_id", "provider", "model",
@@ -39,82 +38,123 @@ class IngestResult:
     dlq: DataFrame           # dead-lettered envelopes and events
 
 
-def flag_rows(lines: DataFrame, log: DataFrame | None = None, now: str | None = None,
-              cut_lineage: bool = True) -> DataFrame:
-    """Validate envelopes and events in one pass and flag first deliveries.
+def _checked(lines: DataFrame, now: str | None) -> DataFrame:
+    """One row per event of an accepted envelope and one per rejected envelope, validated and typed."""
+    rows = validate.validate_events(validate.explode_all(validate.validate_envelopes(lines)))
+    typed = validate.typed_events(rows, ingested_at=now, keep=True)
+    return typed.withColumn("valid", F.expr("envelope_ok AND event IS NOT NULL AND size(reasons) = 0"))
+
+
+DELIVERY = ["batch_id", "position", "_line"]
+
+
+def _log_keys(log: DataFrame, rows: DataFrame) -> DataFrame:
+    """Keys of ``log``, read only from the months in which ``rows`` (valid events) fall: a
+    semi-join on the partition column lets dynamic partition pruning skip the rest."""
+    key = rollup.DEDUP_KEY
+    if "event_month" not in log.columns:
+        return log.select(*key)
+    months = rows.select(F.date_format("created_at", "yyyy-MM").alias("event_month")).distinct()
+    # rows of months without a partition of their own are stored under the overflow name
+    months = months.unionByName(months.select(F.lit(OVERFLOW).alias("event_month")).distinct())
+    return log.select(*key, "event_month").join(months, "event_month", "left_semi").select(*key)
+
+
+def checked_rows(lines: DataFrame, now: str | None = None) -> DataFrame:
+    """The validated rows of a load. Verbatim copies of an envelope become one,
+    with their number in ``copies`` (a partial aggregate; nothing depends on
+    the order or the partitioning of the lines)."""
+    once = lines.groupBy("batch_id", "body").agg(F.count("*").alias("copies"))
+    return _checked(once.withColumn("_line", F.sha2("body", 256)), now).drop("event")
+
 
-    ``is_new`` holds for a valid event that is the earliest (batch_id,
-    position) copy of its (event_id, created_at) in this load and is absent
-    from ``log``. The earliest copy is found by a partial aggregate on the
-    dedup key joined back, so a hot key never forms a single-task window.
+def flag_rows(lines: DataFrame, log: DataFrame | None = None, now: str | None = None) -> DataFrame:
+    """Validate envelopes and events and flag first deliveries (see :func:`flag_new`). Nothing is run here."""
+    return flag_new(checked_rows(lines, now), log)
+
+
+def flag_new(typed: DataFrame, log: DataFrame | None = None) -> DataFrame:
+    """``is_new`` holds for the earliest delivery (batch_id, position, then the
+    envelope's hash) of a valid event's (event_id, created_at) in this load, if
+    the key is absent from ``log``. The earliest delivery is found by a partial
+    aggregate on the dedup key joined back, so a hot key never forms a
+    single-task window. The rows are read more than once: a loader persists them.
     """
-    envs = validate.validate_envelopes(lines)
-    rows = validate.validate_events(validate.explode_all(envs))
-    typed = validate.typed_events(rows, ingested_at=now, keep=True)
-    typed = typed.withColumn("valid", F.expr("envelope_ok AND event IS NOT NULL AND size(reasons) = 0"))
-    if cut_lineage:
-        # The validated rows feed two shuffles (first-delivery aggregate and
-        # the join back); a reliable checkpoint in the shared checkpoint folder
-        # makes validation run once and survives executor loss.
-        checkpoint_dir(typed.sparkSession)
-        typed = typed.drop("event").checkpoint(eager=True)
     key = rollup.DEDUP_KEY
-    # earliest delivery per key: a partial aggregate joined back (skew-safe)
-    first = (typed.filter("valid").groupBy(*key)
-             .agg(F.min(F.struct("batch_id", "position")).alias("_first")))
+    first = typed.filter("valid").groupBy(*key).agg(F.min(F.struct(*DELIVERY)).alias("_first"))
+    if log is not None:
+        seen = _log_keys(log, typed.filter("valid"))
+        first = first.join(seen, key, "left_anti")
     typed = typed.join(first, key, "left")
+    return typed.withColumn("is_new", F.coalesce(F.col("valid") & (F.struct(*DELIVERY) == F.col("_first")), F.lit(False))).drop("_first", "_line")
+
+
+def acks(lines: DataFrame, log: DataFrame | None = None, now: str | None = None, with_errors: bool = False) -> DataFrame:
+    """The acknowledgements of a load (as :func:`ack_of` gives them) without its rows: verdicts are
+    counted by (key, envelope) in one shuffle of narrow rows, and both the first delivery of
+    each key and the counts of each envelope are aggregates of that table."""
+    key = rollup.DEDUP_KEY
+    rows = _checked(lines, now).select(
+        "batch_id", "position", F.when(F.col("valid"), F.col("event_id")).alias("event_id"),
+        F.when(F.col("valid"), F.col("created_at")).alias("created_at"), "valid", "envelope_ok", "envelope_reasons", "wire_event_id", "reasons")
+    by_key = rows.groupBy("batch_id", *key).agg(
+        F.count_if("valid").alias("_valid"), *_rejections("1L"), *([_error_list("1")] if with_errors else []))
+    new = by_key.filter("_valid > 0").groupBy(*key).agg(F.min("batch_id").alias("batch_id"))
     if log is not None:
-        keys = log.select(*key, *(["event_month"] if "event_month" in log.columns else []))
-        if "event_month" in keys.columns:
-            # Read only the log months this load touches: a semi-join on the
-            # partition column lets dynamic partition pruning skip the rest.
-            months = (typed.filter("valid")
-                      .select(F.date_format("created_at", "yyyy-MM").alias("event_month")).distinct())
-            keys = keys.join(months, "event_month", "left_semi")
-        seen = keys.select(*key).distinct().withColumn("_seen", F.lit(True))
-        typed = typed.join(seen, key, "left")
-    else:
-        typed = typed.withColumn("_seen", F.lit(None).cast("boolean"))
-    return (typed.withColumn("is_new", F.expr(
-                "valid AND struct(batch_id, position) = _first AND _seen IS NULL"))
-            .drop("_first", "_seen"))
+        new = new.join(_log_keys(log, by_key.filter("_valid > 0")), key, "left_anti")
+    counts = by_key.select("batch_id", F.lit(0).alias("_new"), "_valid", "_rej_env", "_rej", *(["_errs"] if with_errors else []))
+    u = counts.unionByName(new.select("batch_id", F.lit(1).alias("_new")), allowMissingColumns=True)
+    g = u.groupBy("batch_id").agg(
+        F.sum("_new").alias("accepted"), F.sum("_valid").alias("_valid"), F.sum("_rej_env").alias("_rej_env"), F.sum("_rej").alias("_rej"),
+        *([F.expr("array_sort(flatten(collect_list(_errs)))").alias("_errs")] if with_errors else []))
+    return _ack_columns(g, with_errors)
 
 
-def ack_of(flagged: DataFrame, with_errors: bool = False) -> DataFrame:
-    """Per batch: accepted (new rows), duplicates (valid but already seen),
-    rejected and dead-lettered (invalid events, or 1 for a rejected envelope).
+def _rejections(copies: str) -> list:
+    return [F.expr(f"sum(IF(envelope_ok, 0L, {copies}))").alias("_rej_env"),
+            F.expr(f"sum(IF(envelope_ok AND position IS NOT NULL AND NOT valid, {copies}, 0L))").alias("_rej")]
 
-    ``with_errors`` adds ``errors`` = [{event_id, reason}] for the rejected
-    events (event id when it is a string) or one {NULL, 'invalid batch
-    envelope'} entry; bounded by the batch size (<= 500)."""
-    aggs = [
-        F.count_if("is_new").alias("accepted"),
-        F.count_if("valid").alias("_valid"),
-        F.count_if(~F.col("envelope_ok")).alias("_rej_env"),
-        F.count_if(F.col("envelope_ok") & F.col("position").isNotNull() & ~F.col("valid")).alias("_rej")]
-    if with_errors:
-        aggs.append(F.expr(
-            "array_sort(collect_list(CASE WHEN NOT envelope_ok THEN named_struct('position', -1, "
-            "'event_id', CAST(NULL AS STRING), 'reason', 'invalid batch envelope') "
-            "WHEN position IS NOT NULL AND NOT valid THEN named_struct('position', position, "
-            "'event_id', wire_event_id, 'reason', array_join(reasons, '; ')) END))").alias("_errs"))
-    g = flagged.groupBy("batch_id").agg(*aggs)
+
+def _error_list(copies: str):
+    return F.expr(
+        "array_sort(flatten(collect_list(array_repeat(CASE WHEN NOT envelope_ok THEN named_struct('position', -1, "
+        "'event_id', CAST(NULL AS STRING), 'reason', 'invalid batch envelope', 'paths', envelope_reasons) "
+        "WHEN position IS NOT NULL AND NOT valid THEN named_struct('position', position, "
+        "'event_id', wire_event_id, 'reason', array_join(reasons, '; '), 'paths', reasons) END, IF(envelope_ok AND (position IS NULL OR valid), 0, CAST(" + copies + " AS INT))))))").alias("_errs")
+
+
+def _ack_columns(g: DataFrame, with_errors: bool) -> DataFrame:
     cols = ["batch_id", "CAST(accepted AS BIGINT) AS accepted",
             "CAST(_valid - accepted AS BIGINT) AS duplicates",
             "CAST(_rej_env + _rej AS BIGINT) AS rejected",
             "CAST(_rej_env + _rej AS BIGINT) AS dead_lettered"]
     if with_errors:
-        cols.append("transform(_errs, e -> named_struct('event_id', e.event_id, 'reason', e.reason)) AS errors")
+        cols.append("transform(_errs, e -> named_struct('event_id', e.event_id, 'reason', e.reason, "
+                    "'paths', array_sort(array_distinct(transform(e.paths, r -> substring_index(r, ': ', 1)))))) AS errors")
     return g.selectExpr(*cols)
 
 
+def ack_of(flagged: DataFrame, with_errors: bool = False) -> DataFrame:
+    """Per batch: accepted (new rows), duplicates (valid but already seen),
+    rejected and dead-lettered (invalid events, or 1 for a rejected envelope).
+
+    ``with_errors`` adds ``errors`` = [{event_id, reason, paths}] for the
+    rejected events (event id when it is a string) or one {NULL, 'invalid batch
+    envelope'} entry a delivery; bounded by the batch size (<= 500)."""
+    aggs = [F.count_if("is_new").alias("accepted"), F.expr("sum(IF(valid, copies, 0L))").alias("_valid"), *_rejections("copies")]
+    if with_errors:
+        aggs.append(_error_list("copies"))
+    return _ack_columns(flagged.groupBy("batch_id").agg(*aggs), with_errors)
+
+
 def dlq_of(flagged: DataFrame, now: str | None = None) -> DataFrame:
     """Dead-letter rows: a rejected envelope keeps its whole body (stage
     'envelope'); a rejected event keeps its JSON and its id when that is a
-    string (stage 'validate'). Error text is capped at 2,000 chars."""
+    string (stage 'validate'). The error text is whole; verbatim copies of an
+    envelope park their rejects once, with the number of copies as attempts."""
     ts = f"TIMESTAMP '{now}'" if now else "current_timestamp()"
     bad = flagged.filter("NOT envelope_ok OR (position IS NOT NULL AND NOT valid)")
-    return bad.selectExpr(
+    return merge_dlq(bad.selectExpr(
         "IF(envelope_ok, concat('b', CAST(batch_id AS STRING), '-', CAST(position AS STRING)), "
         "concat('b', CAST(batch_id AS STRING))) AS dlq_id",
         "batch_id", "position",
@@ -123,10 +163,9 @@ def dlq_of(flagged: DataFrame, now: str | None = None) -> DataFrame:
         "IF(envelope_ok, 'validate', 'envelope') AS stage",
         "IF(envelope_ok, reasons, envelope_reasons) AS reasons",
         "sdk_version",
-        f"substring(array_join(IF(envelope_ok, reasons, envelope_reasons), '; '), 1, {MAX_ERROR_MESSAGE_CHARS}) "
-        "AS error",
-        "1 AS attempts", f"{ts} AS first_seen_at", f"{ts} AS last_seen_at",
-        "CAST(NULL AS TIMESTAMP) AS replayed_at")
+        "array_join(IF(envelope_ok, reasons, envelope_reasons), '; ') AS error",
+        "copies AS attempts", f"{ts} AS first_seen_at", f"{ts} AS last_seen_at",
+        "CAST(NULL AS TIMESTAMP) AS replayed_at"))
 
 
 def merge_dlq(*dlqs: DataFrame) -> DataFrame:
@@ -149,7 +188,14 @@ def merge_dlq(*dlqs: DataFrame) -> DataFrame:
 def ingest(lines: DataFrame, log: DataFrame | None = None, now: str | None = None,
            redaction_mode: str = "both", preview_chars: int = redaction.PREVIEW_CHARS) -> IngestResult:
     """Full write path for envelope lines (``batch_id``, ``body``)."""
-    flagged = flag_rows(lines, log, now)
+    return ingest_checked(checked_rows(lines, now), log, now, redaction_mode, preview_chars)
+
+
+def ingest_checked(checked: DataFrame, log: DataFrame | None = None, now: str | None = None,
+                   redaction_mode: str = "both", preview_chars: int = redaction.PREVIEW_CHARS,
+                   keep=lambda df: df) -> IngestResult:
+    """The write path from checked rows on; ``keep`` is applied to the flagged rows (a loader persists them)."""
+    flagged = keep(flag_new(checked, log))
     new = flagged.filter("is_new")
     new = enrich.price_events(new)
     if redaction_mode in ("ingest", "both"):
@@ -158,20 +204,3 @@ def ingest(lines: DataFrame, log: DataFrame | None = None, now: str | None = Non
             redaction_mode, preview_chars, "_in", "_out")
     inserted = new.select(*EVENT_LOG_COLUMNS)
     return IngestResult(flagged, inserted, rollup.rollup_1m(inserted), ack_of(flagged), dlq_of(flagged, now))
-
-
-def ingest_ack(envelopes: DataFrame, checked: DataFrame, typed: DataFrame, inserted: DataFrame) -> DataFrame:
-    """Ack from separately computed parts (kept for callers that already hold
-    them): one aggregate over a tagged union — no joins."""
-    env = envelopes.selectExpr("batch_id", "IF(size(envelope_reasons) > 0, 1, 0) AS _rej_env",
-                               "0 AS _rej", "0 AS _valid", "0 AS _new")
-    bad = checked.selectExpr("batch_id", "0 AS _rej_env", "IF(size(reasons) > 0, 1, 0) AS _rej",
-                             "0 AS _valid", "0 AS _new")
-    val = typed.selectExpr("batch_id", "0 AS _rej_env", "0 AS _rej", "1 AS _valid", "0 AS _new")
-    new = inserted.selectExpr("batch_id", "0 AS _rej_env", "0 AS _rej", "0 AS _valid", "1 AS _new")
-    u = env.unionByName(bad).unionByName(val).unionByName(new)
-    g = u.groupBy("batch_id").agg(F.sum("_rej_env").alias("_re"), F.sum("_rej").alias("_r"),
-                                  F.sum("_valid").alias("_v"), F.sum("_new").alias("accepted"))
-    return g.selectExpr("batch_id", "CAST(accepted AS BIGINT) AS accepted",
-                        "CAST(_v - accepted AS BIGINT) AS duplicates",
-                        "CAST(_re + _r AS BIGINT) AS rejected", "CAST(_re + _r AS BIGINT) AS dead_lettered")

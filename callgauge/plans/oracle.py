@@ -645,15 +645,23 @@ SELECT 'callgauge-fixture' AS sdk_name, sdk_version, CAST(sum(batch_id % 5) AS B
 FROM b WHERE batch_id % 4 = 0 AND batch_id % 5 > 0 GROUP BY sdk_version"""
 
 
-def ingest_ack_sql() -> str:
-    return f"""WITH {wire_cte()}
-SELECT batch_id,
-       CAST(count(*) FILTER (WHERE env_ok AND ev_ok) AS BIGINT) AS accepted,
-       CAST(0 AS BIGINT) AS duplicates,
-       CAST(CASE WHEN bool_and(env_ok) THEN count(*) FILTER (WHERE NOT ev_ok) ELSE 1 END AS BIGINT) AS rejected,
-       CAST(CASE WHEN bool_and(env_ok) THEN count(*) FILTER (WHERE NOT ev_ok) ELSE 1 END AS BIGINT)
-         AS dead_lettered
-FROM wv GROUP BY batch_id"""
+def ingest_ack_copies_sql() -> str:
+    """Every fifth envelope is delivered twice: its accepted events come again as duplicates, its rejects twice."""
+    return f"""WITH {wire_cte()},
+a AS (SELECT batch_id, bool_and(env_ok) AS env,
+       count(*) FILTER (WHERE env_ok AND ev_ok) AS ok, count(*) FILTER (WHERE env_ok AND NOT ev_ok) AS bad,
+       list(coalesce(wire_id, '') || ' ' || array_to_string(reason_paths, ',') ORDER BY position)
+         FILTER (WHERE env_ok AND NOT ev_ok) AS errs,
+       CASE WHEN batch_id % 5 = 0 THEN 2 ELSE 1 END AS k
+  FROM wv GROUP BY batch_id)
+SELECT batch_id, CAST(CASE WHEN env THEN ok ELSE 0 END AS BIGINT) AS accepted,
+       CAST(CASE WHEN env THEN (k - 1) * ok ELSE 0 END AS BIGINT) AS duplicates,
+       CAST(k * CASE WHEN env THEN bad ELSE 1 END AS BIGINT) AS rejected,
+       CAST(k * CASE WHEN env THEN bad ELSE 1 END AS BIGINT) AS dead_lettered,
+       CASE WHEN env THEN coalesce(flatten(list_transform(errs, lambda x: list_resize([x], k, x))), CAST([] AS VARCHAR[]))
+            ELSE list_resize([CASE batch_id % 53 WHEN 1 THEN ' sentAt' ELSE ' events' END], k,
+                             CASE batch_id % 53 WHEN 1 THEN ' sentAt' ELSE ' events' END) END AS errors
+FROM a"""
 
 
 ORACLE.update({
@@ -668,7 +676,7 @@ ORACLE.update({
     "quarantine_split": quarantine_split_sql(),
     "dlq_by_sdk": dlq_by_sdk_sql(),
     "client_loss": client_loss_sql(),
-    "ingest_ack": ingest_ack_sql(),
+    "ingest_ack": ingest_ack_copies_sql(),
 })
 
 
@@ -722,13 +730,13 @@ cnt AS (SELECT conversation_id, count(*) AS message_count, max(created_at) AS la
 j AS (SELECT * FROM conv LEFT JOIN cnt ON conv.id = cnt.conversation_id)
 SELECT id, user_id, status, message_count, strftime(last_message_at, '%Y-%m-%d %H:%M:%S') AS last_message_at
 FROM j WHERE status <> 'deleted'{uf}{bf}
-ORDER BY j.last_message_at DESC NULLS LAST, created_at DESC, id DESC LIMIT {min(limit, 200)}"""
+ORDER BY j.last_message_at DESC NULLS LAST, created_at DESC, id DESC LIMIT {limit}"""
 
 
 def replay_messages_sql() -> str:
     return f"""WITH {msg_cte()},
 r AS (SELECT *, row_number() OVER (PARTITION BY conversation_id ORDER BY seq) AS rn FROM msg)
-SELECT conversation_id, seq, role, length(content) AS chars FROM r WHERE rn <= 200"""
+SELECT conversation_id, seq, role, length(content) AS chars FROM r"""
 
 
 def _ctx_cte(budget_tokens: int) -> str:
@@ -853,7 +861,7 @@ FROM e"""
 
 
 def dlq_pending_sql(limit: int = 100) -> str:
-    return f"""SELECT * FROM ({quarantine_split_sql()}) q ORDER BY dlq_id DESC LIMIT {min(limit, 500)}""".replace(
+    return f"""SELECT * FROM ({quarantine_split_sql()}) q ORDER BY dlq_id DESC LIMIT {limit}""".replace(
         "SELECT * FROM (", "SELECT dlq_id, stage, event_id FROM (", 1)
 
 
@@ -1011,8 +1019,6 @@ FROM calls WHERE call_id % 10 <> 8"""
 
 
 def assemble_spans_sql() -> str:
-    chars = ("CASE WHEN length(text) <= 8192 THEN length(text) "
-             "ELSE coalesce(8191 + nullif(strpos(substring(text, 8192), ' '), 0), length(text)) END")
     return f"""WITH {_calls_cte()},
 s AS (
   SELECT call_id, provider, n, text, call_id % 10 AS t, CAST((n + 2) * 35 AS BIGINT) AS latency_ms FROM calls)
@@ -1024,7 +1030,7 @@ SELECT call_id,
        CASE WHEN t <> 8 THEN CAST(n AS BIGINT) END AS output_tokens,
        CASE WHEN provider = 'anthropic' THEN CAST(call_id % 7 AS BIGINT) END AS cache_read_tokens,
        CASE WHEN t = 8 THEN NULL WHEN provider = 'anthropic' THEN 'end_turn' ELSE 'stop' END AS finish_reason,
-       {chars} AS text_chars,
+       length(text) AS text_chars,
        CASE WHEN t <> 8 AND n > 0 THEN {round_div_sql('n * 1000', 'latency_ms', 2)} END AS tokens_per_sec
 FROM s"""
 
@@ -1045,8 +1051,16 @@ ORACLE.update({
 # ---------------------------------------------------------------------------
 
 def stream_ingest_sql() -> str:
-    return _valid_rows() + """
-SELECT event_id, strftime(created_at, '%Y-%m-%d %H:%M:%S.%g') AS created_at FROM t"""
+    return _valid_rows() + f""",
+d AS (SELECT event_id AS key, stage || ' ' || array_to_string(reason_paths, ',') AS detail,
+             CASE WHEN CAST(regexp_extract(dlq_id, 'b([0-9]+)', 1) AS BIGINT) % 5 = 0 THEN 2 ELSE 1 END AS n
+      FROM ({quarantine_split_sql()}) q)
+SELECT 'event' AS kind, event_id AS key, strftime(created_at, '%Y-%m-%d %H:%M:%S.%g') AS detail, CAST(1 AS BIGINT) AS n FROM t
+UNION ALL
+SELECT 'rollup', provider || ' ' || model, strftime(date_trunc('minute', created_at), '%Y-%m-%d %H:%M:%S'), count(*)
+FROM t GROUP BY 2, 3
+UNION ALL
+SELECT 'dlq', coalesce(key, ''), detail, CAST(sum(n) AS BIGINT) FROM d GROUP BY 2, 3"""
 
 
 def stream_spans_sql() -> str:
@@ -1055,14 +1069,15 @@ def stream_spans_sql() -> str:
 
 def event_log_sink_sql() -> str:
     return f"""WITH {ie_cte(False)}
-SELECT strftime(created_at, '%Y-%m') AS event_month, CAST(event_id AS BIGINT) // 50 AS batch_id,
+SELECT strftime(created_at, '%Y-%m') AS event_month, CAST(event_id AS BIGINT) // 20000 AS batch_id,
        count(*) AS rows
 FROM ie GROUP BY ALL"""
 
 
 def overflow_routing_sql() -> str:
     return f"""WITH {ie_cte(False)}
-SELECT CASE WHEN strftime(ingested_at, '%Y-%m') = '2024-01' THEN '2024-01' ELSE 'overflow' END AS event_month,
+SELECT CASE WHEN strftime(CASE WHEN CAST(event_id AS BIGINT) % 97 = 5 THEN created_at + INTERVAL 40 DAY
+                           ELSE created_at END, '%Y-%m') = '2024-01' THEN '2024-01' ELSE 'overflow' END AS event_month,
        count(*) AS rows
 FROM ie GROUP BY 1"""
 
@@ -1096,15 +1111,14 @@ FROM ie WHERE created_at >= TIMESTAMP '{RAW_AS_OF}' - INTERVAL 7 DAY"""
 
 
 def sink_select_sql() -> str:
-    return f"""WITH {ie_cte(False)},
-b AS (SELECT * FROM ie UNION ALL SELECT * FROM ie WHERE CAST(event_id AS BIGINT) % 10 = 0)
-SELECT 'direct' AS sink, CAST((SELECT count(*) FROM (SELECT DISTINCT event_id, created_at FROM b)) AS BIGINT)
-         AS accepted,
-       CAST(count(*) - (SELECT count(*) FROM (SELECT DISTINCT event_id, created_at FROM b)) AS BIGINT) AS duplicates,
-       false AS deferred
-FROM b
-UNION ALL
-SELECT 'queue', CAST(count(*) AS BIGINT), CAST(0 AS BIGINT), true FROM b"""
+    return f"""WITH {wire_cte()},
+a AS (SELECT batch_id, bool_and(env_ok) AS env, count(*) FILTER (WHERE env_ok AND ev_ok) AS ok,
+             count(*) FILTER (WHERE NOT ev_ok) AS bad, CASE WHEN batch_id % 5 = 0 THEN 2 ELSE 1 END AS k
+      FROM wv GROUP BY batch_id),
+s AS (SELECT CAST(sum(ok) FILTER (WHERE env) AS BIGINT) AS accepted,
+             CAST(sum((k - 1) * ok) FILTER (WHERE env) AS BIGINT) AS duplicates,
+             CAST(sum(k * CASE WHEN env THEN bad ELSE 1 END) AS BIGINT) AS rejected FROM a)
+SELECT unnest(['direct', 'queue']) AS sink, accepted, duplicates, rejected FROM s"""
 
 
 ORACLE.update({
@@ -1172,8 +1186,9 @@ FROM r GROUP BY 1, 2"""
 
 def buffer_overflow_loss_sql() -> str:
     return f"""WITH {ie_cte(False)}
-SELECT provider, least(count(*), 1000) AS kept, count(*) - least(count(*), 1000) AS dropped
-FROM ie GROUP BY 1"""
+,m AS (SELECT provider, date_trunc('minute', created_at) AS m, count(*) AS n FROM ie GROUP BY 1, 2)
+SELECT provider, CAST(sum(least(n, 1000)) AS BIGINT) AS kept, CAST(sum(n - least(n, 1000)) AS BIGINT) AS dropped
+FROM m GROUP BY 1"""
 
 
 def rollup_reconcile_sql() -> str:
@@ -1241,7 +1256,7 @@ FROM ie GROUP BY 1, 2"""
 
 def dlq_replay_sql() -> str:
     return f"""SELECT dlq_id, CAST(0 AS BIGINT) AS accepted, CAST(0 AS BIGINT) AS duplicates, false AS replayed
-FROM ({quarantine_split_sql()}) q ORDER BY dlq_id DESC LIMIT 100"""
+FROM ({quarantine_split_sql()}) q"""
 
 
 def orphan_refs_sql() -> str:
@@ -1290,3 +1305,17 @@ FROM ({quarantine_split_sql()}) q"""
 
 
 ORACLE["dlq_attempts"] = dlq_attempts_sql()
+
+
+def dashboard_bundle_sql() -> str:
+    def part(panel, key, item, calls="NULL", p95="NULL"):
+        return (f"SELECT '{panel}' AS panel, {item} AS item, CAST({calls} AS BIGINT) AS calls, CAST({p95} AS BIGINT) AS p95 "
+                f"FROM ({ORACLE[key].rstrip()}) q")
+    return "\nUNION ALL\n".join([
+        part("timeseries", "timeseries", "bucket", "calls", "p95"), part("totals", "totals", "'all'", "calls", "p95"),
+        part("by_model", "by_model", "provider || ' ' || model", "calls", "p95"), part("by_error_type", "by_error_type", "error_type", '"count"'),
+        part("ingest_health", "ingest_health", "'median lag'", "median_lag_ms"), part("ingest_health", "ingest_health", "'dead letters'", "dlq_pending"),
+        part("known_models", "known_models", "model"), part("latency_percentiles_raw", "latency_percentiles_raw", "'all'", "samples", "floor(p95)")])
+
+
+ORACLE["dashboard_bundle"] = dashboard_bundle_sql()

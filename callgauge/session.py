@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -23,7 +22,7 @@ REQUIRED_CONF = {
 
 
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
-              app_name: str = "callgauge") -> SparkSession:
+              app_name: str = "callgauge", conf: dict[str, str] | None = None) -> SparkSession:
     """Return (or create) a session with the library's required settings.
 
     On a cluster the session already exists and ``master`` is ignored; we only
@@ -36,6 +35,8 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
                .config("spark.ui.enabled", "false")
                .config("spark.driver.memory", os.environ.get("CALLGAUGE_DRIVER_MEMORY", "16g"))
                .config("spark.sql.execution.arrow.pyspark.enabled", "true"))
+    for k, v in (conf or {}).items():
+        builder = builder.config(k, v)
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark = builder.getOrCreate()
@@ -46,11 +47,12 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder named by ``spark.checkpoint.dir``.
+    """The shared folder named by ``spark.checkpoint.dir``, registered for
+    ``DataFrame.checkpoint()``.
 
-    On a cluster this is set by the operator to a shared filesystem. Only when it
-    is unset (local tests) do we create one, and then register it so
-    ``DataFrame.checkpoint()`` works.
+    On a cluster the operator sets it to a shared filesystem. Where it is
+    unset (a local session), a folder in the warehouse is used, which driver and
+    executors share as well; no machine-local temporary folder ever is.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     try:
@@ -61,8 +63,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
         cur = sc._jsc.sc().getCheckpointDir()
         d = cur.get() if cur.isDefined() else None
     if not d:
-        d = tempfile.mkdtemp(prefix="callgauge-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
+        d = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
     if sc is not None:
         sc.setCheckpointDir(d)
     return d

@@ -10,10 +10,12 @@ same rows.
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callgauge.sources.tables import read_table, spread_for_cpu
+from callgauge.sources.tables import read_table
 
 # Adapter parameters (fixture definition).
 EPOCH_2024_US = 1704067200000000          # 2024-01-01T00:00:00Z in microseconds
@@ -23,14 +25,23 @@ RAW_AS_OF = "2024-01-30 12:00:00"         # as_of for 24h / 7d over the raw tabl
 ERROR_KINDS = ["rate_limit", "timeout", "server_error", "context_length", "network"]
 
 
-def inference_events(spark: SparkSession, sf_dir: str, dense: bool = False) -> DataFrame:
-    """Canonical ``inference_events`` rows derived from the ``events`` table.
+def inference_events(spark: SparkSession, sf_dir: str, dense: bool = False, since: str | None = None) -> DataFrame:
+    """Canonical ``inference_events`` rows derived from the ``events`` table,
+    or those with ``created_at >= since``: that bound is set on the stored
+    ``ts`` itself, so it reaches the Parquet scan.
 
     ``dense=True`` squeezes the 30 days into 6 hours so minute rollups compress.
     Cost and pricing version are *not* set here: pricing is the job of
     :func:`callgauge.operators.enrich.price_events`.
     """
-    return events_to_inference(read_table(spark, sf_dir, "events"), dense)
+    ev = read_table(spark, sf_dir, "events")
+    if since is not None:
+        at = datetime.fromisoformat(since)
+        if dense:  # created_at = epoch + (ts - epoch) div DENSE_FACTOR
+            epoch = datetime(2024, 1, 1)
+            at = epoch + (at - epoch) * DENSE_FACTOR
+        ev = ev.filter(F.col("ts") >= F.lit(at.isoformat(sep=" ")).cast("timestamp_ntz"))
+    return events_to_inference(ev, dense)
 
 
 def events_to_inference(ev: DataFrame, dense: bool = False) -> DataFrame:
@@ -84,6 +95,12 @@ def dense_for(range_key: str) -> bool:
     return range_key in ("15m", "1h", "6h")
 
 
+def with_far_clocks(events: DataFrame) -> DataFrame:
+    """Some clients' clocks are 40 days ahead (event_id % 97 = 5): their events fall outside the known months."""
+    return events.withColumn("created_at", F.expr(
+        "IF(CAST(event_id AS BIGINT) % 97 = 5, created_at + INTERVAL 40 DAYS, created_at)"))
+
+
 def replay_input(events: DataFrame) -> DataFrame:
     """At-least-once delivery: every tenth event is delivered twice."""
     return events.unionByName(events.filter(F.col("event_id").cast("bigint") % 10 == 0))
@@ -163,7 +180,7 @@ REDACTION_LITERALS = [
 def redaction_input(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, source, text): every document plus the fixture strings
     (negative ids, source 'fixture')."""
-    docs = spread_for_cpu(read_table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     lits = spark.createDataFrame([(-(i + 1), "fixture", t) for i, t in enumerate(REDACTION_LITERALS)],
                                  "doc_id bigint, source string, text string").coalesce(1)
     return docs.unionByName(lits)

@@ -31,11 +31,13 @@ def write_event_log(events: DataFrame, path: str, known_months: list[str] | None
     partition overwrite makes a retried load replace exactly its own
     partitions; rows are sorted by ``created_at`` inside each file so Parquet
     min/max statistics prune time-range scans (the equivalent of a BRIN
-    index). Use a load-level id (a micro-batch / load number) for
-    ``batch_col`` at scale: a per-envelope id would make many tiny files."""
+    index). ``batch_col`` is a load-level id (a micro-batch or load number): a
+    per-envelope id would make many tiny files. Rows are rebalanced by
+    partition, so a large (month, load) is written by several tasks and small
+    ones share one."""
     ev = (route_overflow(events, known_months) if known_months is not None
           else events.withColumn("event_month", month_of("created_at")))
-    (ev.repartition("event_month", batch_col).sortWithinPartitions("created_at")
+    (ev.hint("rebalance", "event_month", batch_col).sortWithinPartitions("event_month", batch_col, "created_at")
      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("event_month", batch_col).parquet(path))
 

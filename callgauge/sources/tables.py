@@ -29,25 +29,3 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name in SCHEMAS:
         reader = reader.schema(SCHEMAS[name])
     return reader.parquet(path)
-
-
-def spread_for_cpu(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Ensure CPU-heavy per-row work (regex, JSON/variant parsing) runs on at
-    least as many tasks as the cluster has cores. Call it on a scan (before
-    any shuffle): there the partition count is known without running
-    anything, whereas after a shuffle adaptive execution would have to run the
-    upstream stages to report it.
-
-    Large inputs already arrive as many file splits and pass through untouched
-    (no shuffle). A small input read as a few splits — e.g. one Parquet row
-    group — is spread by a round-robin repartition, a shuffle of that small
-    input only (deterministic under task retry: Spark sorts before
-    round-robin partitioning)."""
-    if df.isStreaming:  # micro-batches are split by the source; nothing to count up front
-        return df
-    try:
-        target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-        parts = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - e.g. a Spark Connect session: leave the input as is
-        return df
-    return df.repartition(target) if parts < target else df

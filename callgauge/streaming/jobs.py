@@ -1,13 +1,15 @@
 """Structured Streaming jobs.
 
 * :func:`start_ingest` — G1/G2/G8: envelope files -> ``foreachBatch`` running
-  the batch ingest function; each micro-batch overwrites only its own
-  ``epoch`` partitions (event log, rollup delta, dead letters), so a replayed
-  epoch after a crash rewrites the same files and totals never double.
-* :func:`stream_rollup` — G2/G3: watermarked ``dropDuplicatesWithinWatermark``
-  then a tumbling one-minute window aggregation (update mode).
-* :func:`stream_spans` — G7: chunk stream grouped per call in a session
-  window; a call with no terminal marker closes as cancelled.
+  the batch ingest function.
+* :func:`start_rollup` — G2/G3: events -> stored keys and rollup deltas.
+* :func:`start_spans` — G7: chunks -> chunk log and call records.
+
+Each micro-batch overwrites only its own (source, epoch) partitions, so an
+epoch that is replayed after a crash rewrites the same files and totals never
+double. No job has a watermark that drops rows or a limit of time: late rows
+are held against the stored log like all others, and a drained query that did
+not end well raises.
 
 Checkpoints and outputs live under the shared ``spark.checkpoint.dir``.
 """
@@ -16,11 +18,10 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callgauge.functions.histogram import bucket_index_sql, histogram_counts_of_index
-from callgauge.constants import SPAN_TEXT_LIMIT
 from callgauge.operators import enrich, rollup, spans
 from callgauge.plans import ingest as ingest_plan
 from callgauge.session import checkpoint_dir
@@ -40,61 +41,74 @@ def events_stream(spark: SparkSession, sf_dir: str, max_files: int = 1) -> DataF
             .parquet(f"{sf_dir.rstrip('/')}/events*.parquet"))
 
 
-def rollup_aggs():
-    return [
-        F.count(F.lit(1)).alias("calls"),
-        F.count_if(F.col("status") == "error").alias("errors"),
-        F.count_if(F.col("status") == "cancelled").alias("cancelled"),
-        F.count_if(F.col("streamed")).alias("streamed_calls"),
-        F.expr("CAST(coalesce(sum(latency_ms), 0) AS BIGINT)").alias("sum_latency_ms"),
-        F.expr("CAST(coalesce(sum(ttft_ms), 0) AS BIGINT)").alias("sum_ttft_ms"),
-        F.count("ttft_ms").alias("ttft_count"),
-        F.expr("CAST(coalesce(sum(input_tokens), 0) AS BIGINT)").alias("input_tokens"),
-        F.expr("CAST(coalesce(sum(output_tokens), 0) AS BIGINT)").alias("output_tokens"),
-        F.expr("CAST(coalesce(sum(cost_usd), 0) AS DECIMAL(16,8))").alias("cost_usd"),
-        histogram_counts_of_index("_bl").alias("hist_latency"),
-        histogram_counts_of_index("_bt").alias("hist_ttft"),
-    ]
-
-
-def stream_rollup(events: DataFrame, watermark: str = "10 minutes", dedup: bool = True) -> DataFrame:
-    """Incremental one-minute rollup of an event stream.
-
-    The watermark bounds both the de-duplication state and the window state.
-    Rows arriving later than the watermark are dropped by the streaming
-    operators; the exactly-once path for arbitrarily late data is
-    :func:`start_ingest` (log anti-join), which never drops a row.
-    """
-    s = events.withWatermark("created_at", watermark)
-    if dedup:
-        s = s.dropDuplicatesWithinWatermark(rollup.DEDUP_KEY)
-    s = enrich.price_events(s).selectExpr(
-        "*", f"{bucket_index_sql('latency_ms')} AS _bl", f"{bucket_index_sql('ttft_ms')} AS _bt")
-    g = s.groupBy(F.window("created_at", "1 minute").alias("w"), "provider", "model").agg(*rollup_aggs())
-    return g.selectExpr("w.start AS bucket", *[c for c in g.columns if c != "w"])
-
-
-def run_to_table(spark: SparkSession, stream: DataFrame, key: list[str], name: str,
-                 output_mode: str = "update", timeout_s: int = 600) -> DataFrame:
-    """Drain ``stream`` with ``availableNow`` into parquet (one partition per
-    epoch, written by ``foreachBatch`` with partition overwrite, so a replayed
-    epoch is idempotent) and return the latest row per ``key``."""
-    base = scratch(spark, name)
-    out = f"{base}/table"
-
-    def write(df: DataFrame, epoch: int) -> None:
-        (df.withColumn("epoch", F.lit(epoch)).write.mode("overwrite")
-         .partitionBy("epoch").parquet(out))
-
-    q = (stream.writeStream.outputMode(output_mode).foreachBatch(write)
-         .option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start())
-    q.awaitTermination(timeout_s)
-    if q.exception() is not None:
-        raise q.exception()
-    t = spark.read.parquet(out)
-    cols = [c for c in t.columns if c not in key and c != "epoch"]
-    latest = t.groupBy(*key).agg(F.max_by(F.struct(*cols), "epoch").alias("_r"))
-    return latest.select(*key, *[F.col(f"_r.{c}").alias(c) for c in cols])
+def drained(query):
+    """Wait until an ``availableNow`` query has read all its input; raise what ended it early."""
+    query.awaitTermination()
+    if query.exception() is not None:
+        raise query.exception()
+    return query
+
+
+def _source_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id that a streaming query keeps in its checkpoint: it survives restarts, and a new
+    checkpoint (whose epochs begin at 0 again) has another one."""
+    return spark.read.text(f"{checkpoint}/metadata").select(F.get_json_object("value", "$.id")).first()[0]
+
+
+def _write_epoch(df: DataFrame, path: str, source: str, epoch: int, by: tuple[str, ...] = ()) -> None:
+    """Write one load's rows under its own (source, epoch): a retry replaces exactly these."""
+    (df.withColumn("source", F.lit(source)).withColumn("epoch", F.lit(epoch))
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("source", "epoch", *by).parquet(path))
+
+
+def _write_rollup(delta: DataFrame, dst_dir: str, source: str, epoch: int) -> None:
+    _write_epoch(delta.withColumn("bucket_day", F.date_format("bucket", "yyyy-MM-dd")), f"{dst_dir}/rollup_delta", source, epoch, ("bucket_day",))
+
+
+def _stored(spark: SparkSession, path: str):
+    """The table at ``path``; None if nothing was written there yet. Any other error is raised."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+
+
+def _others(table: DataFrame | None, source: str, epoch: int):
+    """The rows of other loads: a retried load is not held against its own output."""
+    return None if table is None else table.filter(~((F.col("source") == source) & (F.col("epoch") == epoch)))
+
+
+def start_rollup(events: DataFrame, dst_dir: str, checkpoint: str):
+    """Incremental one-minute rollup of an event stream in any order (G2, G3).
+
+    Per micro-batch: events that are repeated in it or whose key an earlier
+    load stored are dropped, then the new keys and the rollup delta of the new
+    events are written under the batch's own epoch. There is no watermark, so a
+    late event counts whenever it comes; the key table is read only in the
+    months of the batch. :func:`read_rollup` merges the deltas."""
+    spark = events.sparkSession
+
+    def handle(df: DataFrame, epoch: int) -> None:
+        source = _source_id(spark, checkpoint)
+        new = rollup.dedup_new(df, _others(_stored(spark, f"{dst_dir}/keys"), source, epoch)).persist()
+        try:
+            _write_epoch(new.select(*rollup.DEDUP_KEY, rollup.month_key(F.col("created_at")).alias("event_month")),
+                         f"{dst_dir}/keys", source, epoch, ("event_month",))
+            _write_rollup(rollup.rollup_1m(enrich.price_events(new)), dst_dir, source, epoch)
+        finally:
+            new.unpersist()
+
+    return events.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def stream_rollup(events: DataFrame, name: str = "stream-rollup") -> DataFrame:
+    """Drain ``events`` through :func:`start_rollup` and read the rollup."""
+    base = scratch(events.sparkSession, name)
+    drained(start_rollup(events, base, f"{base}/_checkpoint"))
+    return read_rollup(events.sparkSession, base)
 
 
 def start_ingest(spark: SparkSession, src_dir: str, dst_dir: str, checkpoint: str,
@@ -102,196 +116,132 @@ def start_ingest(spark: SparkSession, src_dir: str, dst_dir: str, checkpoint: st
     """Queue-drain ingest: envelope JSON lines -> event log + rollup deltas +
     dead letters, exactly once per event.
 
-    Each file line is one envelope; ``batch_id`` is a content hash of the line,
+    Each file line is one envelope; ``batch_id`` is the SHA-256 of the line,
     so a redelivered envelope gets the same id. Per micro-batch: the log rows
-    of *earlier* epochs are the dedup reference (the current epoch's own
-    partition is excluded, so a retried epoch is not deduplicated against
-    itself), then inserted rows, the rollup delta and the dead letters are each
-    written with dynamic partition overwrite of ``epoch=N``.
+    of *other* loads are the dedup reference (the current load's own partition
+    is excluded, so a retried epoch is not deduplicated against itself), then
+    inserted rows, the rollup delta, the dead letters and the acknowledgements
+    are each written with dynamic partition overwrite of (source, epoch), the
+    source being the query's own id.
     """
     src = (spark.readStream.schema("value string").option("maxFilesPerTrigger", max_files)
            .text(src_dir))
 
     def handle(df: DataFrame, epoch: int) -> None:
-        load_direct(spark, df.selectExpr("xxhash64(value) AS batch_id", "value AS body"), dst_dir, epoch, now)
+        load_direct(spark, df.selectExpr("sha2(value, 256) AS batch_id", "value AS body"), dst_dir, epoch, now,
+                    source=_source_id(spark, checkpoint))
 
     w = src.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="200 milliseconds")
     return w.start()
 
 
-def _latest_snapshot(spark: SparkSession, dst_dir: str):
-    """(snapshot DataFrame, through_epoch) of the newest compaction, or (None, -1)."""
-    path = f"{dst_dir}/rollup_compacted"
-    try:
-        snaps = spark.read.parquet(path)
-    except Exception:  # noqa: BLE001 - nothing compacted yet
-        return None, -1
-    through = snaps.agg(F.max("through_epoch")).first()[0]
-    if through is None:
-        return None, -1
-    return snaps.filter(F.col("through_epoch") == through).drop("through_epoch"), int(through)
-
-
-def _existing_log(spark: SparkSession, log_path: str, epoch: int):
-    """Stored log rows of *earlier* loads (a retried load is not deduplicated
-    against its own partial output); None before the first load."""
-    try:
-        return spark.read.parquet(log_path).filter(F.col("epoch") != epoch)
-    except Exception:  # noqa: BLE001 - first load: no log yet
-        return None
-
-
-def load_direct(spark: SparkSession, lines: DataFrame, dst_dir: str, epoch: int, now: str | None = None):
+def load_direct(spark: SparkSession, lines: DataFrame, dst_dir: str, epoch: int, now: str | None = None,
+                source: str = "batch"):
     """Batch (direct-sink) load of envelope lines (``batch_id``, ``body``) as
-    load number ``epoch``: validated, priced, de-duplicated against earlier
-    loads, then the inserted events (partitioned by epoch and event month),
-    the rollup delta and the dead letters are each written with a dynamic
-    overwrite of ``epoch=N`` — re-running a load rewrites the same partitions.
-    The per-batch acknowledgements go to ``ack/epoch=N`` (nothing is pulled to
-    the driver); every output is computed from the persisted flags, so
-    validation runs once."""
-    log_path, roll_path, dlq_path = f"{dst_dir}/events", f"{dst_dir}/rollup_delta", f"{dst_dir}/dlq"
-    ins = ingest_plan.ingest(lines, log=_existing_log(spark, log_path, epoch), now=now)
-    flagged = ins.flagged.persist()  # validated once, read by every write below
+    load number ``epoch`` of ``source``: validated, priced, de-duplicated
+    against all other loads, then the inserted events (by event month too), the
+    rollup delta, the dead letters and the per-batch acknowledgements are each
+    written under (source, epoch) — re-running a load rewrites the same
+    partitions, and loads of different sources never share one. Every output is
+    computed from the persisted rows, so validation runs once."""
+    log = _others(_stored(spark, f"{dst_dir}/events"), source, epoch)
+    checked = ingest_plan.checked_rows(lines, now).persist()  # validated once, read by every step below
+    ins = ingest_plan.ingest_checked(checked, log, now, keep=lambda flagged: flagged.persist())
     try:
-        (ins.inserted.withColumn("epoch", F.lit(epoch))
-         .withColumn("event_month", F.date_format("created_at", "yyyy-MM"))
-         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("epoch", "event_month").parquet(log_path))
-        (ins.rollup_delta.withColumn("epoch", F.lit(epoch))
-         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("epoch").parquet(roll_path))
-        (ins.dlq.withColumn("epoch", F.lit(epoch))
-         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("epoch").parquet(dlq_path))
-        (ins.ack.withColumn("epoch", F.lit(epoch))
-         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("epoch").parquet(f"{dst_dir}/ack"))
+        _write_epoch(ins.inserted.withColumn("event_month", rollup.month_key(F.col("created_at"))),
+                     f"{dst_dir}/events", source, epoch, ("event_month",))
+        _write_rollup(ins.rollup_delta, dst_dir, source, epoch)
+        _write_epoch(ins.dlq, f"{dst_dir}/dlq", source, epoch)
+        _write_epoch(ins.ack, f"{dst_dir}/ack", source, epoch)
     finally:
-        flagged.unpersist()
+        ins.flagged.unpersist()
+        checked.unpersist()
 
 
-def read_rollup(spark: SparkSession, dst_dir: str) -> DataFrame:
-    """Stored rollup = newest compacted snapshot merged with the delta
-    partitions written after it (groupBy + sum)."""
-    snap, through = _latest_snapshot(spark, dst_dir)
-    deltas = spark.read.parquet(f"{dst_dir}/rollup_delta").filter(F.col("epoch") > through).drop("epoch")
-    return rollup.rollup_merge(deltas) if snap is None else rollup.rollup_merge(snap, deltas)
+_LOAD = ["source", "epoch"]
 
 
-def compact_rollup(spark: SparkSession, dst_dir: str, through_epoch: int | None = None) -> int:
-    """Fold the delta partitions up to ``through_epoch`` (default: the newest)
-    into a new snapshot ``rollup_compacted/through_epoch=N``, so a read merges
-    one snapshot plus the few newer deltas however many micro-batches ran.
-    Snapshots are written to their own partition (overwrite of that partition
-    only), so a retried compaction is idempotent and readers never see a
-    half-written snapshot as the newest one until it is complete."""
-    deltas = spark.read.parquet(f"{dst_dir}/rollup_delta")
-    newest = deltas.agg(F.max("epoch")).first()[0]
+def _snapshot(spark: SparkSession, dst_dir: str):
+    """(rows, loads) of the newest compaction: its rollup rows and the loads folded into it; (None, None) before one."""
+    snaps = _stored(spark, f"{dst_dir}/rollup_compacted")
+    newest = None if snaps is None else snaps.agg(F.max("version")).first()[0]
     if newest is None:
-        return -1
-    upto = int(newest if through_epoch is None else through_epoch)
-    snap, through = _latest_snapshot(spark, dst_dir)
-    if upto <= through:
-        return through
-    fresh = deltas.filter((F.col("epoch") > through) & (F.col("epoch") <= upto)).drop("epoch")
-    merged = rollup.rollup_merge(fresh) if snap is None else rollup.rollup_merge(snap, fresh)
-    (merged.withColumn("through_epoch", F.lit(upto)).write.mode("overwrite")
-     .option("partitionOverwriteMode", "dynamic").partitionBy("through_epoch")
+        return None, None
+    loads = spark.read.parquet(f"{dst_dir}/rollup_compacted_loads").filter(F.col("version") == newest)
+    return snaps.filter(F.col("version") == newest), loads
+
+
+def read_rollup(spark: SparkSession, dst_dir: str, since: str | None = None) -> DataFrame:
+    """Stored rollup = newest compacted snapshot merged with the deltas of the
+    loads that are not folded into it (groupBy + sum). With ``since`` only the
+    buckets from then on, read from the day partitions that hold them."""
+    def part(df):
+        if since is not None:
+            df = df.filter((F.col("bucket_day") >= F.lit(since[:10]).cast("date")) & (F.col("bucket") >= F.lit(since).cast("timestamp")))
+        return df.drop("bucket_day")
+    deltas = spark.read.parquet(f"{dst_dir}/rollup_delta")
+    snap, loads = _snapshot(spark, dst_dir)
+    if snap is None:
+        return rollup.rollup_merge(part(deltas).drop(*_LOAD))
+    fresh = part(deltas).join(loads.select(*_LOAD), _LOAD, "left_anti").drop(*_LOAD)
+    return rollup.rollup_merge(part(snap).drop("version"), fresh)
+
+
+def compact_rollup(spark: SparkSession, dst_dir: str) -> int:
+    """Fold all deltas written so far into a new snapshot version, so a read
+    merges one snapshot plus the newer deltas however many micro-batches ran.
+    The list of folded loads is written before the rows: readers take the newest
+    version that has rows, and a retried compaction writes a newer one.
+    Returns the version."""
+    deltas = spark.read.parquet(f"{dst_dir}/rollup_delta").drop("bucket_day")
+    loads = deltas.select(*_LOAD).distinct()
+    snap, known = _snapshot(spark, dst_dir)
+    version = 0 if snap is None else known.agg(F.max("version")).first()[0] + 1
+    (loads.withColumn("version", F.lit(version)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("version").parquet(f"{dst_dir}/rollup_compacted_loads"))
+    folded = spark.read.parquet(f"{dst_dir}/rollup_compacted_loads").filter(F.col("version") == version).select(*_LOAD)
+    merged = rollup.rollup_merge(deltas.join(folded, _LOAD, "left_semi").drop(*_LOAD))
+    (merged.withColumn("version", F.lit(version)).withColumn("bucket_day", F.date_format("bucket", "yyyy-MM-dd"))
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("version", "bucket_day")
      .parquet(f"{dst_dir}/rollup_compacted"))
-    return upto
-
-
-SPAN_STATE_SCHEMA = (
-    "provider string, started_us long, first_text_us long, last_us long, terminal string, end_us long, "
-    "http_status int, in_v long, in_s long, out_v long, out_s long, cr_v long, cr_s long, cw_v long, "
-    "cw_s long, fin_v string, fin_s long, text string")
-SPAN_OUT_SCHEMA = (
-    "call_id long, provider string, started_at timestamp, _first_text timestamp, terminal string, "
-    "_end timestamp, http_status int, _last timestamp, input_tokens long, output_tokens long, "
-    "cache_read_tokens long, cache_write_tokens long, finish_reason string, output_text string")
-TERMINALS = ("done", "return", "error")
-
-
-def _span_fold(key, pdfs, state):
-    """Per-call state machine (runs in Arrow batches): fold chunks in seq order
-    into running facts; emit when the terminal marker arrives, or — when the
-    event-time timeout fires (no chunk for ``gap`` past the watermark) — emit
-    the call as abandoned (cancelled)."""
-    import pandas as pd
-
-    (call_id,) = key
-    names = ["provider", "started_us", "first_text_us", "last_us", "terminal", "end_us", "http_status",
-             "in_v", "in_s", "out_v", "out_s", "cr_v", "cr_s", "cw_v", "cw_s", "fin_v", "fin_s", "text"]
-    st = dict(zip(names, state.get)) if state.exists else dict.fromkeys(names)
-    if st["text"] is None:
-        st["text"] = ""
-
-    def emit():
-        def ts(us):
-            return None if us is None else pd.Timestamp(int(us), unit="us")
-        row = {"call_id": call_id, "provider": st["provider"], "started_at": ts(st["started_us"]),
-               "_first_text": ts(st["first_text_us"]), "terminal": st["terminal"], "_end": ts(st["end_us"]),
-               "http_status": st["http_status"], "_last": ts(st["last_us"]), "input_tokens": st["in_v"],
-               "output_tokens": st["out_v"], "cache_read_tokens": st["cr_v"], "cache_write_tokens": st["cw_v"],
-               "finish_reason": st["fin_v"], "output_text": st["text"]}
-        state.remove()
-        return pd.DataFrame([row])
-
-    if state.hasTimedOut:
-        yield emit()
-        return
-    for pdf in pdfs:
-        pdf = pdf.sort_values("seq")
-        for r in pdf.itertuples(index=False):
-            us = int(pd.Timestamp(r.ts).value // 1000)
-            st["provider"] = st["provider"] or r.provider
-            st["started_us"] = us if st["started_us"] is None else min(st["started_us"], us)
-            st["last_us"] = us if st["last_us"] is None else max(st["last_us"], us)
-            if r.kind in TERMINALS:
-                if st["terminal"] is None:
-                    st["terminal"], st["end_us"] = r.kind, us
-                    if r.kind == "error" and pd.notna(r.http_status):
-                        st["http_status"] = int(r.http_status)
-                continue
-            if isinstance(r.text, str) and r.text:
-                st["first_text_us"] = us if st["first_text_us"] is None else min(st["first_text_us"], us)
-                if len(st["text"]) < SPAN_TEXT_LIMIT:
-                    st["text"] += r.text
-            for v, sk, col in (("in_v", "in_s", "input_tokens"), ("out_v", "out_s", "output_tokens"),
-                               ("cr_v", "cr_s", "cache_read_tokens"), ("cw_v", "cw_s", "cache_write_tokens")):
-                val = getattr(r, col)
-                if pd.notna(val) and (st[sk] is None or r.seq >= st[sk]):
-                    st[v], st[sk] = int(val), int(r.seq)
-            if isinstance(r.finish_reason, str) and r.finish_reason and (st["fin_s"] is None or r.seq >= st["fin_s"]):
-                st["fin_v"], st["fin_s"] = r.finish_reason, int(r.seq)
-    if st["terminal"] is not None:
-        yield emit()
-        return
-    state.update(tuple(st[n] for n in names))
-    wm = state.getCurrentWatermarkMs()
-    state.setTimeoutTimestamp(max(int(st["last_us"] // 1000), int(wm)) + _SPAN_GAP_MS)
-
-
-_SPAN_GAP_MS = 30_000
-
-
-def stream_spans(chunks: DataFrame, watermark: str = "1 hour") -> DataFrame:
-    """Live span assembly (G7): parsed chunks grouped by call through a
-    stateful operator; one record per call, also for a call abandoned without
-    a terminal marker (closed by event-time timeout as cancelled). State per
-    open call is bounded: a few counters plus at most 8,192 characters of text.
-    The watermark delay must exceed the longest call (chunks of one call span
-    its whole duration). Chunks of one call are expected in order, as a client
-    reads them; usage and finish fields are order-insensitive (by seq)."""
-    from pyspark.sql.streaming.state import GroupStateTimeout
-    p = spans.parse_chunks(chunks).select(
-        "call_id", "seq", "ts", "kind", "http_status", "provider", "text", "input_tokens", "output_tokens",
-        "cache_read_tokens", "cache_write_tokens", "finish_reason").withWatermark("ts", watermark)
-    g = p.groupBy("call_id").applyInPandasWithState(
-        _span_fold, SPAN_OUT_SCHEMA, SPAN_STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout)
-    return spans.finish_spans(g)
+    return version
+
+
+def start_spans(chunks: DataFrame, dst_dir: str, checkpoint: str):
+    """Live span assembly (G7) of a chunk stream in any order.
+
+    Per micro-batch the chunks are appended to the chunk log (one epoch each),
+    and the calls that the batch touched are assembled again from all of their
+    logged chunks: late, repeated and reordered chunks give the record that the
+    whole call gives, and a chunk behind the terminal marker changes nothing.
+    A call without a marker shows as cancelled until one comes."""
+    spark = chunks.sparkSession
+
+    def handle(df: DataFrame, epoch: int) -> None:
+        source = _source_id(spark, checkpoint)
+        _write_epoch(spans.parse_chunks(df).drop("payload"), f"{dst_dir}/chunks", source, epoch)
+        log = spark.read.parquet(f"{dst_dir}/chunks")
+        touched = log.filter((F.col("source") == source) & (F.col("epoch") == epoch)).select("call_id").distinct()
+        mine = log.join(touched, "call_id", "left_semi").dropDuplicates(["call_id", "seq"])
+        _write_epoch(spans.assemble_spans(mine), f"{dst_dir}/spans", source, epoch)
+
+    return chunks.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def read_spans(spark: SparkSession, dst_dir: str) -> DataFrame:
+    """The newest record of every call."""
+    t = spark.read.parquet(f"{dst_dir}/spans")
+    cols = [c for c in t.columns if c not in ("call_id", *_LOAD)]
+    latest = t.groupBy("call_id").agg(F.max_by(F.struct(*cols), "epoch").alias("_r"))
+    return latest.select("call_id", *[F.col(f"_r.{c}").alias(c) for c in cols])
+
+
+def stream_spans(chunks: DataFrame, name: str = "stream-spans") -> DataFrame:
+    """Drain ``chunks`` through :func:`start_spans` and read the spans."""
+    base = scratch(chunks.sparkSession, name)
+    drained(start_spans(chunks, base, f"{base}/_checkpoint"))
+    return read_spans(chunks.sparkSession, base)
 
 
 def progress_health(query, lag_limit_s: int = 60) -> dict:

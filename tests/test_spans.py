@@ -48,7 +48,28 @@ def test_abandoned_call_is_cancelled(spark):
     assert s.status == "cancelled"
 
 
-def test_text_cap(spark):
+def test_text_is_whole_unless_a_limit_is_given(spark):
     big = ("chunk", {"type": "content_block_delta", "delta": {"type": "text_delta", "text": "x" * 5000}}, None)
-    s = _span(spark, [START, big, big, big, ("done", None, None)])
-    assert len(s.output_text) == 10000   # appended while accumulated < 8192
+    rows = [START, big, big, big, ("done", None, None)]
+    assert len(_span(spark, rows).output_text) == 15000
+    cut = spans.assemble_spans(spans.parse_chunks(_chunks(spark, rows)), text_limit=8192).first()
+    assert len(cut.output_text) == 10000   # appended while accumulated < 8192
+
+
+def test_chunks_behind_the_terminal_marker_count_for_nothing(spark):
+    s = _span(spark, [START, HELLO, DELTA, ("done", None, None), WORLD,
+                      ("chunk", {"type": "message_delta", "delta": {"stop_reason": "late"}, "usage": {"output_tokens": 99}}, None),
+                      ("error", None, 500)])
+    assert (s.status, s.output_text, s.output_tokens, s.finish_reason, s.latency_ms) == ("ok", "Hello", 5, "end_turn", 300)
+
+
+def test_errors_are_classified_by_name_code_and_message(spark):
+    def end(status, **facts):
+        s = _span(spark, [START, HELLO, ("error", facts, status)])
+        return s.status, s.error_type, s.error_message
+    assert end(None, name="APIConnectionError", message="reset") == ("error", "network", "reset")
+    assert end(None, name="APIConnectionTimeoutError") == ("error", "timeout", None)
+    assert end(None, name="APIUserAbortError") == ("cancelled", None, None)
+    assert end(400, name="APIError", message="prompt is too long") == ("error", "context_length", "prompt is too long")
+    assert end(400, name="APIError", message="bad") == ("error", "invalid_request", "bad")
+    assert end(None) == ("error", "unknown", None)

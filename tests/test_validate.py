@@ -95,3 +95,32 @@ def test_ack_errors_list(spark):
     acks = {r.batch_id: r for r in ingest.ack_of(ingest.flag_rows(lines), with_errors=True).collect()}
     assert [(e.event_id, e.reason.split(":")[0]) for e in acks[1].errors] == [(bad["eventId"], "latencyMs")]
     assert [(e.event_id, e.reason) for e in acks[2].errors] == [(None, "invalid batch envelope")]
+
+
+WRONG = {  # each field once, with a value that its rule refuses
+    "eventId": "x", "schemaVersion": 2, "conversationId": "x", "messageId": 5, "sessionId": "s" * 129, "userId": "u" * 129, "provider": "",
+    "model": "m" * 129, "operation": "sing", "streamed": "yes", "capturedBy": "nobody", "status": "fine", "finishReason": "f" * 65,
+    "errorType": "odd", "errorMessage": "e" * 2001, "startedAt": "2024-02-30T10:00:00Z", "endedAt": "2024-01-01T25:61:00Z", "latencyMs": 1e12,
+    "ttftMs": -1, "inputTokens": 3e9, "outputTokens": -1, "cacheReadTokens": 1.5, "cacheWriteTokens": "7", "inputPreview": 1,
+    "outputPreview": "p" * 2001, "redactionHits": -1, "temperature": 2.5, "maxTokens": 0, "messageCount": 2**31, "attributes": [1],
+}
+
+
+def test_every_field_rule_once(spark):
+    assert set(WRONG) == set(V.EVENT_KEYS)
+    assert _paths(spark, [{k: v} for k, v in WRONG.items()]) == [[k] for k in WRONG]
+    nullable = {f.key for f in V.EVENT_FIELDS if f.nullable}
+    assert _paths(spark, [{k: None} for k in WRONG]) == [[] if k in nullable else [k] for k in WRONG]
+
+
+def test_offsets_of_times(spark):
+    good = ["2026-07-31T16:22:01+02:00", "2026-07-31T14:22:01Z", "2026-07-31T09:22:01.5-05:00"]
+    assert _paths(spark, [{"startedAt": t} for t in good]) == [[]] * 3
+    assert _paths(spark, [{"startedAt": t} for t in ("2026-07-31", "2026-13-01T00:00:00Z", "now", "2026-07-31T14:22:01")]) == [["startedAt"]] * 4
+
+
+def test_envelope_sdk_limits(spark):
+    sdk = [{"name": "n" * 65, "version": "1"}, {"name": "t", "version": "v" * 33}, {"name": "t", "version": "1", "runtime": "r" * 65}, {"name": "t"}]
+    lines = spark.createDataFrame([(i, _env([BASE], sdk=x)) for i, x in enumerate(sdk)], "batch_id long, body string")
+    got = {r.batch_id: r.p for r in V.validate_envelopes(lines).select("batch_id", V.reason_paths("envelope_reasons").alias("p")).collect()}
+    assert got == {0: ["sdk.name"], 1: ["sdk.version"], 2: ["sdk.runtime"], 3: ["sdk.version"]}
