@@ -29,7 +29,7 @@ BITS = 18
 SIZES = (3, 4, 5, 6)
 TRAIN_ROWS = 8_000
 TRAIN_FEATURES = 24_000_000
-MIN_CHI_SQUARE = 4.0
+MIN_CHI_SQUARE = 15.0
 FOLDS, HELD_OUT = 5, 0
 
 _TO_GRAM = np.where(_IS_WORD, _LOWER, 32).astype(np.uint32)
@@ -75,21 +75,27 @@ def fit(rows: list[tuple[np.ndarray, int]], rounds: int = 400, rate: float = 0.3
     both = counts[0] + counts[1]
     expected = both * toxic / n
     kept = (counts[1] - expected) ** 2 * n > MIN_CHI_SQUARE * expected * (1 - both / n) * (n - toxic)
-    place = np.cumsum(kept) - 1
+    place = (np.cumsum(kept) - 1).astype(np.int32)
     index = [place[f[kept[f]]] for f, _ in rows]
-    bounds = np.concatenate([[0], np.cumsum([len(i) for i in index])])
-    flat_index, row = np.concatenate(index), np.repeat(np.arange(len(rows)), np.diff(bounds))
+    # rows go through each step in blocks, which bounds what a step takes beside the indices
+    blocks = [(lo, np.concatenate(index[lo: lo + 256]), np.array([len(i) for i in index[lo: lo + 256]])) for lo in range(0, n, 256)]
+    del index
     r = ratio[kept] / 4
     w, bias = np.zeros(len(r)), 0.0
     weight = np.where(y == 1, 0.5 / y.sum(), 0.5 / (1 - y).sum())  # classes count alike
     square, square_b = np.full(len(r), 1e-8), 1e-8
     for _ in range(rounds):  # full-batch gradient steps, scaled by each feature's past gradients
-        margin = np.bincount(row, weights=(w * r)[flat_index], minlength=len(rows)) + bias
-        g = weight * (1 / (1 + np.exp(-np.clip(margin, -40, 40))) - y)
-        grad = np.bincount(flat_index, weights=g[row], minlength=len(r)) * r + decay * w
-        square, square_b = square + grad**2, square_b + g.sum() ** 2
+        grad, sum_g = decay * w, 0.0
+        scaled = w * r
+        for lo, i, lengths in blocks:
+            row = np.repeat(np.arange(len(lengths)), lengths)
+            margin = np.bincount(row, weights=scaled[i], minlength=len(lengths)) + bias
+            g = weight[lo: lo + 256] * (1 / (1 + np.exp(-np.clip(margin, -40, 40))) - y[lo: lo + 256])
+            grad += np.bincount(i, weights=g[row], minlength=len(r)) * r
+            sum_g += g.sum()
+        square, square_b = square + grad**2, square_b + sum_g**2
         w -= rate * grad / np.sqrt(square)
-        bias -= rate * g.sum() / np.sqrt(square_b)
+        bias -= rate * sum_g / np.sqrt(square_b)
     out = np.zeros(dims, np.float32)
     out[kept] = w * r
     return out, float(bias)
