@@ -143,7 +143,7 @@ def mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
     common.prepare(spark)
     own = [c for c in docs.columns if c not in RESULTS]
     docs = with_size(docs.select(*own))
-    lot = F.xxhash64(F.lit(seed), F.col("doc_id").cast("string"))
+    lot = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("doc_id").cast("string")), 1)  # 63 bits: ranges, ranks and the rule have one order
     slim = common.stored(docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("source").cast("string").alias("source"), "size"), "sizes")
     planned = common.stored(plan(slim.select("source", "size")), "mix-plan")
 
@@ -151,7 +151,7 @@ def mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
     some = planned.where("pick > 0 and pick < n").select(F.col("source").alias("__s"), F.col("size").alias("__z"), "n", "pick")
     drawn = (slim.withColumn("lot", lot).join(some, F.col("source").eqNullSafe(F.col("__s")) & (F.col("size") == F.col("__z")))
              .withColumn("ranges", F.ceil(F.col("n") / RANGE_ROWS))
-             .withColumn("range", F.floor(F.expr("shiftrightunsigned(lot, 33) / 2147483648D") * F.col("ranges"))))
+             .withColumn("range", F.floor(F.expr("shiftright(lot, 32) / 2147483648D") * F.col("ranges"))))
     group = ["source", "size"]
     so_far = Window.partitionBy(*group).orderBy("range")  # a row for each RANGE_ROWS documents
     edge = (drawn.groupBy(*group, "range").agg(F.count("*").alias("c"), F.first("pick").alias("pick"))

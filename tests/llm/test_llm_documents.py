@@ -217,6 +217,13 @@ def test_mixing(spark, docs, rows, empty):
     assert mixing.mix(empty).count() == 0
 
 
+def test_mixing_of_many_documents_of_a_size(spark):
+    """More documents of a (source, size) than a hash range holds, less and more than half of them taken."""
+    df = spark.createDataFrame([(i, "x x x x x", "ab"[i % 2]) for i in range(8000)], "doc_id long, text string, source string")
+    got = {r.source: (r.target, r.taken) for r in mixing.mix(df).groupBy("source").agg(F.first("target").alias("target"), F.sum("taken").alias("taken")).collect()}
+    assert set(got) == {"a", "b"} and all(0 <= round(target) - taken < 5 for target, taken in got.values()), got
+
+
 def test_budget_is_the_best_subset_sum():
     rng = random.Random(3)
     for _ in range(60):
