@@ -7,8 +7,9 @@ its source's size, and the excess is shared again by weight until none is above.
 A source whose target is r whole passes and a remaining budget takes each document r times, and
 some of them once more. Documents are counted by exact size; from each size the budget's share of
 its count is taken (which keeps the mix of sizes), and the rest of the budget is fitted by
-bounded-knapsack dynamic programming over the counts that are left. Only these counts reach the
-fitting task, one row a source. The documents of a size are chosen by a seeded hash of doc_id: a
+bounded-knapsack dynamic programming over the counts that are left. What that leaves of a budget
+is searched again over all sums, which is exact up to ``SUMS`` different ones and in steps of a
+``SUMS``-th of the budget from there on. Only these counts reach the fitting task, one row a source. The documents of a size are chosen by a seeded hash of doc_id: a
 histogram of hash ranges finds the range where the count is reached, and only that range is ranked.
 
 Defined results: a null text has size 0 and takes no words; a null source is a source of its own,
@@ -19,6 +20,8 @@ Columns named like a result column (size, source_size, target, times, taken) are
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -30,6 +33,8 @@ SEED = 20
 MOST_PASSES = 3
 #: Largest budget that the dynamic programme fits; what is above goes to the longest documents first.
 KNAPSACK = 1 << 16
+#: Different sums that are kept one by one; of more, one is kept in each step of a SUMS-th of the budget.
+SUMS = 1 << 16
 RANGE_ROWS = 256
 RESULTS = ("size", "source_size", "target", "times", "taken")
 
@@ -59,20 +64,67 @@ def targets(sizes: DataFrame) -> DataFrame:
 def fit_budget(sizes: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     """How many documents of each size to take, for a sum of ``budget`` or the nearest sum below
     that is found: first with each size's whole share, else with less of it, which leaves the
-    dynamic programme more to choose from (without shares, it is exact up to its largest budget)."""
+    dynamic programme more to choose from (without shares, it is exact up to its largest budget);
+    where documents are too long for that, from a search over the sums of all of them."""
     sizes, counts = sizes.astype(object), counts.astype(object)  # exact for any corpus
     total = sum(sizes * counts)
+    unit = math.gcd(*(int(x) for x in sizes)) or 1
+    most = min(budget // unit * unit, total)  # no sum is nearer
     best = None
     for eighths in (8, 7, 4, 0):
         share = [int(c) * budget * eighths // (8 * total) if s else 0 for s, c in zip(sizes, counts)] if total else counts * 0
         take = _fitted(sizes, counts, budget, np.array(share, dtype=object))
         if best is None or sum(take * sizes) > sum(best * sizes):
             best = take
-        if sum(best * sizes) == budget:
-            break
+        if sum(best * sizes) == most:
+            return best
+    if budget > 2 * KNAPSACK:
+        for eighths in (8, 4, 0):
+            share = np.array([int(c) * budget * eighths // (8 * total) if s else 0 for s, c in zip(sizes, counts)], dtype=object)
+            take = _fitted(sizes, counts, budget, _searched(sizes, counts, budget, share))
+            if sum(take * sizes) > sum(best * sizes):
+                best = take
+            if sum(best * sizes) == most:
+                break
     return best
 
 
+def _searched(sizes: np.ndarray, counts: np.ndarray, budget: int, take: np.ndarray) -> np.ndarray:
+    """``take`` with more documents, for the largest sum found up to the budget, the longest documents first."""
+    take = take.copy()
+    left = int(budget - sum(take * sizes))
+    sums, last, before = (np.full(1, x, dtype=np.int64) for x in (0, -1, -1))  # a sum, its last part and the sum it stands on
+    parts: list[tuple[int, int]] = []
+    width, full = 1, None  # from SUMS sums on: the width of a step, and the steps that have a sum
+    for i in sorted(range(len(sizes)), key=lambda i: -sizes[i]):
+        spare, k = min(int(counts[i] - take[i]), int(left // sizes[i])) if sizes[i] else 0, 1
+        while spare > 0 and sums.max() < left and (full is None or not full[-1]):  # counts in binary parts; a taken last step ends it
+            n = min(k, spare)
+            under = np.flatnonzero(sums <= left - n * int(sizes[i]))
+            new = sums[under] + n * int(sizes[i])
+            fresh = ~np.isin(new, sums) if full is None else ~full[new // width]
+            under, new = under[fresh], new[fresh]
+            if full is not None:
+                new, at = new[::-1], under[::-1]
+                _, first = np.unique(new // width, return_index=True)
+                new, under = new[first], at[first]
+            sums, before = np.append(sums, new), np.append(before, under)
+            last = np.append(last, np.full(len(new), len(parts)))
+            parts.append((i, n))
+            if full is None and len(sums) > SUMS:
+                width = left // SUMS + 1
+                full = np.zeros(left // width + 1, dtype=bool)
+            if full is not None:
+                full[sums // width] = True
+            spare, k = spare - n, 2 * k
+    at = int(sums.argmax())
+    while at:
+        i, n = parts[last[at]]
+        take[i] += n
+        at = int(before[at])
+    return take
+
+
 def _fitted(sizes: np.ndarray, counts: np.ndarray, budget: int, take: np.ndarray) -> np.ndarray:
     """``take`` with more documents, towards the budget."""
     left = budget - sum(take * sizes)

@@ -238,6 +238,34 @@ def test_budget_is_the_best_subset_sum():
         assert all(0 <= t <= c for t, c in zip(take, counts)) and sum(take * sizes) == max(x for x in sums if x <= budget)
 
 
+def test_budget_of_very_long_documents():
+    """Documents longer than the dynamic programme's largest budget, against brute force."""
+    def brute(sizes, counts, budget):
+        sums = {0}
+        for s, c in zip(sizes, counts):
+            for _ in range(c):
+                sums |= {x + int(s) for x in sums if x + int(s) <= budget}
+        return max(sums)
+
+    def taken(sizes, counts, budget):
+        take = mixing.fit_budget(np.array(sizes), np.array(counts), budget)
+        assert all(0 <= t <= c for t, c in zip(take, counts))
+        return sum(int(t) * s for t, s in zip(take, sizes))
+
+    assert taken([280_000, 285_000, 290_000], [1, 1, 1], 300_000) == 290_000
+    assert taken([150_000, 200_000], [2, 1], 300_000) == 300_000
+    rng = random.Random(5)
+    for _ in range(20):
+        sizes = sorted(rng.sample(range(1, 900_000), rng.randint(1, 7)))
+        counts = [rng.randint(1, 2) for _ in sizes]
+        budget = rng.randint(0, sum(s * c for s, c in zip(sizes, counts)))
+        assert taken(sizes, counts, budget) == brute(sizes, counts, budget)
+    # too many sums to keep them all: within a thousandth
+    sizes = sorted(rng.sample(range(140_000, 900_000), 60))
+    for budget in (3_000_000, 11_000_000):
+        assert 0.999 * budget < taken(sizes, [1] * 60, budget) <= budget
+
+
 # --- token ids --------------------------------------------------------------------------------
 
 
