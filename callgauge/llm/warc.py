@@ -39,6 +39,7 @@ SPLIT_BYTES = 8 << 20
 PIECE = 1 << 18
 HEAD_LIMIT = 1 << 20
 MAGIC = b"\x1f\x8b\x08"
+VERSION = b"WARC/1."
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -124,7 +125,7 @@ class _File:
         while start < end:
             piece = self.at(start)
             if len(piece) < len(what) and start + len(piece) < self.size:
-                self.base, self.data = start, self.file.read_at(PIECE, start)
+                self.base, self.data = start, self.file.read_at(max(PIECE, len(what)), start)
                 piece = self.data
             k = piece.find(what)
             if k >= 0:
@@ -171,9 +172,11 @@ def read_record(file: _File, offset: int, with_payload: bool = False) -> dict |
         nonlocal data
         while mark not in data:
             more = member.read(4096)
-            if not more or len(data) > HEAD_LIMIT or not (data + more).startswith(b"WARC/1.") and mark == b"\r\n\r\n" and not head:
+            if not more or len(data) > HEAD_LIMIT:
                 raise ValueError
             data += more
+            if not head and data[:len(VERSION)] != VERSION[:len(data)]:  # a piece may end after a few bytes
+                raise ValueError
         found, _, data = data.partition(mark)
         return found
 
@@ -259,6 +262,16 @@ def read_archives(archives: DataFrame, split_bytes: int = SPLIT_BYTES, with_payl
     return splits.repartition(max(n, 1), "path", "start").select("path", "start", "end").mapInArrow(read, schema)
 
 
+def checked(records: DataFrame, manifest: DataFrame) -> DataFrame:
+    """``records``, stored; raises where an archive gave another number of them than ``manifest`` (path, n_records) says."""
+    records = common.stored(records, "warc-records")
+    wrong = (manifest.select("path", "n_records").join(records.groupBy("path").agg(F.count("*").alias("n_read")), "path", "left")
+             .where("coalesce(n_read, 0) != n_records").select("path", F.coalesce("n_read", F.lit(0)).alias("n_read"), "n_records").limit(5).collect())
+    if wrong:
+        raise RuntimeError("archives read in part: " + "; ".join(f"{r.n_read} of {r.n_records} records of {r.path}" for r in wrong))
+    return records
+
+
 def _page(col: str):
     """The page id in a record id; null for a page without one."""
     return F.expr(f"try_cast(regexp_extract({col}, '<urn:x-page:(-?[0-9]+)>', 1) as bigint)")
@@ -266,7 +279,7 @@ def _page(col: str):
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = write_archives(common.table(spark, sf_dir, "pages"), common.scratch_path(spark, "warc"))
-    return read_archives(manifest).select(_page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", _page("refers_to_id").alias("refers_to"))
+    return checked(read_archives(manifest), manifest).select(_page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", _page("refers_to_id").alias("refers_to"))
 
 
 ORACLE = """

@@ -65,6 +65,29 @@ def test_foreign_bytes_are_skipped(tmp_path, monkeypatch):
         assert [r["payload_bytes"] for r in found] == [1800, 1800]
 
 
+def test_pieces_of_any_size(tmp_path, monkeypatch):
+    """A piece may end anywhere, also right behind the first bytes of a record's head."""
+    import zlib
+    rng, data = random.Random(9), b""
+    for i in range(12):
+        payload = bytes(rng.choice(b"abcdefgh <>") for _ in range(rng.choice([0, 40, 700])))
+        packer = zlib.compressobj(4, zlib.DEFLATED, 31)
+        data += packer.compress(warc.record(i, f"http://x/{i}", payload, hashlib.sha256(payload).hexdigest(), "response", None, "2020-01-01T00:00:00Z")) + packer.flush()
+    path = tmp_path / "a.warc.gz"
+    path.write_bytes(data)
+    for piece in range(1, 400):
+        monkeypatch.setattr(warc, "PIECE", piece)
+        assert [r["record_id"] for r in warc.read_range(str(path), 0, len(data))] == [warc._record_id(i) for i in range(12)], piece
+
+
+def test_a_lost_record_raises(spark, pages, tmp_path):
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    manifest = warc.write_archives(df, str(tmp_path / "w"))
+    assert warc.checked(warc.read_archives(manifest), manifest).count() == len(pages)
+    with pytest.raises(RuntimeError, match="read in part"):
+        warc.checked(warc.read_archives(manifest).where("offset > 0"), manifest)
+
+
 def test_empty(spark, tmp_path):
     df = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.read_archives(warc.write_archives(df, str(tmp_path / "w"))).count() == 0
