@@ -37,7 +37,6 @@ REVISIT_BYTES = 100
 FILE_BYTES = 64 << 20
 SPLIT_BYTES = 8 << 20
 PIECE = 1 << 18
-HEAD_LIMIT = 1 << 20
 MAGIC = b"\x1f\x8b\x08"
 VERSION = b"WARC/1."
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -168,25 +167,28 @@ def read_record(file: _File, offset: int, with_payload: bool = False) -> dict |
     """The record whose gzip member starts at ``offset``; None if there is none. ``next``: the offset after it."""
     member, data = _Member(file, offset), b""
 
-    def until(mark: bytes) -> bytes:
+    def until(mark: bytes, most: float) -> bytes:
+        """The bytes before ``mark``, which is looked for in ``most`` bytes."""
         nonlocal data
-        while mark not in data:
+        seen, at = bytearray(data), 0
+        while (k := seen.find(mark, at)) < 0:
+            at = max(0, len(seen) - len(mark) + 1)
             more = member.read(4096)
-            if not more or len(data) > HEAD_LIMIT:
+            if not more or len(seen) > most:
                 raise ValueError
-            data += more
-            if not head and data[:len(VERSION)] != VERSION[:len(data)]:  # a piece may end after a few bytes
+            seen += more
+            if not head and seen[:len(VERSION)] != VERSION[:len(seen)]:  # a piece may end after a few bytes
                 raise ValueError
-        found, _, data = data.partition(mark)
-        return found
+        data = bytes(seen[k + len(mark):])
+        return bytes(seen[:k])
 
     head = b""
     try:
-        head = until(b"\r\n\r\n")
+        head = until(b"\r\n\r\n", float("inf"))  # a target URI may have any length
         fields = _fields(head)
         left, http = int(fields["content-length"]), {}
         if fields.get("content-type", "").startswith("application/http"):
-            http_head = until(b"\r\n\r\n")
+            http_head = until(b"\r\n\r\n", float("inf"))  # a target URI may have any length
             left -= len(http_head) + 4
             http = _fields(http_head)
         n, digest, kept = 0, hashlib.sha256(), []

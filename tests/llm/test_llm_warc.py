@@ -80,6 +80,17 @@ def test_pieces_of_any_size(tmp_path, monkeypatch):
         assert [r["record_id"] for r in warc.read_range(str(path), 0, len(data))] == [warc._record_id(i) for i in range(12)], piece
 
 
+def test_a_very_long_target_uri(tmp_path):
+    import zlib
+    url = "http://x/" + "é" * 400_000  # a head of 2.4 MB
+    packer = zlib.compressobj(4, zlib.DEFLATED, 31)
+    data = packer.compress(warc.record(1, url, b"hello", hashlib.sha256(b"hello").hexdigest(), "response", None, "2020-01-01T00:00:00Z")) + packer.flush()
+    path = tmp_path / "a.warc.gz"
+    path.write_bytes(data)
+    found = list(warc.read_range(str(path), 0, len(data)))
+    assert [(r["payload_bytes"], len(r["target_uri"])) for r in found] == [(5, 9 + 6 * 400_000)]
+
+
 def test_a_lost_record_raises(spark, pages, tmp_path):
     df = spark.createDataFrame(pages, "page_id long, url string, html string")
     manifest = warc.write_archives(df, str(tmp_path / "w"))
