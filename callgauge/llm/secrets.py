@@ -1,7 +1,8 @@
 """Secret scans: a random forest removes false findings, in DataFrame and SQL operations only.
 
 Candidates are all runs of 16 or more of ``[A-Za-z0-9_+/-]`` with up to two ``=`` after them,
-anywhere in a whole text. Their features:
+anywhere in a whole text, and values of any length and form right after a credential's name and
+an assignment (up to white space, a quote, a bracket, a comma or a semicolon). Their features:
 
 * length, and the shares of digits, of upper and lower case and of distinct characters;
 * character transitions: changes of character class, and the mean log-probability of adjacent
@@ -9,8 +10,9 @@ anywhere in a whole text. Their features:
 * dictionary coverage: the share of characters in parts that are words of the corpus (letters
   only, 3 to 24, seen at least ``dictionary_min`` times over all documents);
 * path: depth, whether it looks like a test or an example, and one of 16 hash buckets;
-* neighbouring words: a credential's name before, an assignment or a quote right before, words
-  for checksums and for samples on either side.
+* neighbouring words, in the 48 characters on either side, other candidates included: a
+  credential's name before, an assignment or a quote right before, words for checksums and for
+  samples on either side.
 
 The forest (Spark's own) is fitted on a bounded sample of labelled findings: ``train_rows`` of
 each label, those with the smallest hash. Labelled findings are a parameter (doc_id, ordinal,
@@ -37,7 +39,10 @@ from pyspark.sql import functions as F
 
 from callgauge.llm import common
 
-CANDIDATE = r"[A-Za-z0-9_+/\\-]{16,}={0,2}"
+#: In SQL strings, so backslashes and quotes are doubled or written as codes. A value's place is tested for an assignment first, which is cheap.
+CANDIDATE = (r"[A-Za-z0-9_+/\\-]{16,}={0,2}|(?<=[=:]\\s{0,2}[\\x22\\x27]?)"
+             r"(?<=(?i:passw(?:or)?d|passwd|pwd|passphrase|secret|token|api[_-]?key|access[_-]?key|bearer|credentials?)(?:[_-][A-Za-z0-9_-]{1,16})?[\\x22\\x27]?\\s{0,2}[=:]\\s{0,2}[\\x22\\x27]?)"
+             r"[^\\s\\x22\\x27\\x60,;()<>{}\\[\\]=:][^\\s\\x22\\x27\\x60,;()<>{}\\[\\]]*")
 CONTEXT = 48
 TRAIN_ROWS = 5_000
 TREES, DEPTH, SEED = 24, 6, 11
@@ -54,8 +59,14 @@ def candidates(docs: DataFrame, path: str = "source") -> DataFrame:
     """fid (unique), doc_id, path, ordinal, value, before and after of every candidate, as a stored table."""
     texts = docs.select("doc_id", F.coalesce(F.col(path).cast("string"), F.lit("")).alias("path"), F.col("text").cast("string").alias("text"))
     found = texts.select("doc_id", "path", F.expr(f"regexp_extract_all(text, '{CANDIDATE}', 0)").alias("values"), F.expr(f"split(text, '{CANDIDATE}', -1)").alias("between"))
+    # p holds, for each candidate, the last characters up to its end and the first from its start on; a
+    # candidate has a character at least, so that CONTEXT neighbours always cover the context
+    ends = f"transform(values, (v, i) -> right(concat(right(between[i], {CONTEXT}), v), {CONTEXT}))"
+    starts = f"transform(values, (v, i) -> left(concat(v, left(between[i + 1], {CONTEXT})), {CONTEXT}))"
+    before = f"right(concat(array_join(slice(p.ends, greatest(i - {CONTEXT}, 0) + 1, least(i, {CONTEXT})), ''), right(between[i], {CONTEXT})), {CONTEXT})"
+    after = f"left(concat(left(between[i + 1], {CONTEXT}), array_join(slice(p.starts, i + 2, {CONTEXT}), '')), {CONTEXT})"
     rows = found.where(F.size("values") > 0).select("doc_id", "path", F.posexplode(F.expr(
-        f"transform(values, (v, i) -> struct(v as value, right(between[i], {CONTEXT}) as before, left(between[i + 1], {CONTEXT}) as after))")).alias("ordinal", "c"))
+        f"transform(array(struct({ends} as ends, {starts} as starts)), p -> transform(values, (v, i) -> struct(v as value, {before} as before, {after} as after)))[0]")).alias("ordinal", "c"))
     return common.stored(rows.select("doc_id", "path", "ordinal", "c.*").withColumn("fid", F.monotonically_increasing_id()), "candidates")
 
 
@@ -82,7 +93,7 @@ def with_features(found: DataFrame, words: DataFrame, dictionary_min: int = DICT
     found = found.join(covered, "fid", "left").withColumn("__chars", F.expr("split(value, '')")).withColumn("__pairs", F.lit(table))
     logp = f"""aggregate(zip_with(slice(__chars, 1, length(value) - 1), slice(__chars, 2, length(value) - 1),
         (a, b) -> if(lower(a) between 'a' and 'z' and lower(b) between 'a' and 'z', element_at(__pairs, cast((ascii(lower(a)) - 97) * 26 + ascii(lower(b)) - 96 as int)), {neutral}D)),
-        0D, (s, x) -> s + x) / (length(value) - 1)"""
+        0D, (s, x) -> s + x) / greatest(length(value) - 1, 1)"""
 
     def share(chars: str):
         return f"regexp_count(value, '{chars}') / length(value)"
@@ -102,7 +113,7 @@ def with_features(found: DataFrame, words: DataFrame, dictionary_min: int = DICT
 def rule_labels(found: DataFrame) -> DataFrame:
     """doc_id, ordinal and label (1 or 0) of the findings whose form leaves no doubt."""
     key = F.col("value").rlike("^(AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9_-]{20,}|xox[abpr]-[A-Za-z0-9-]{10,})$")
-    assigned = F.col("before").rlike(_NAMES + "[A-Za-z_-]*\\s*[=:]\\s*[\"']?$") & F.col("value").rlike("[0-9]")
+    assigned = F.col("before").rlike(_NAMES + "[A-Za-z_-]*[\"']?\\s*[=:]\\s*[\"']?$") & F.col("value").rlike("[0-9]") & ((F.length("value") >= 16) | F.col("value").rlike("[A-Za-z]"))
     word = ~F.col("value").rlike("[0-9]") & ~F.col("before").rlike("[=:]\\s*[\"']?$")
     named_sum = F.col("before").rlike(_SUMS + "\\s*[=:]?\\s*[\"']?$")
     label = F.when((key | assigned) & ~named_sum, 1).when(word | named_sum, 0)

@@ -449,6 +449,28 @@ def test_secrets_found_and_words_left_alone(spark):
     assert {(r.doc_id, r.secret_sha256) for r in got} == planted
 
 
+def test_secrets_context_and_short_values(spark):
+    long = "wJalrXUtnFEMIK7MDENGbPxRfiCYzzEXKEY0" + "/+9"
+    texts = [f"a AWS_SECRET_ACCESS_KEY={long} b", f'aws_secret_access_key = "{long}"', "x password=hunter2! y", '{"db_password": "p@ss w", "n": 1}', "pwd=a,pwd=b;api_key: 'k3y'",
+             "author: Smith, secretary: Jones, the token ring", " ".join(f"é𝄞 {c * 17}" for c in "abcdefgh"), "A" * 16 + "==" + "B" * 90 + " " + "C" * 20, "x" * 60 + " token=" + "y" * 60 + "=z"]
+    df = spark.createDataFrame([(i, t, "p") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    stored = secrets.candidates(df)
+    found = collections.defaultdict(list)
+    for r in stored.orderBy("doc_id", "ordinal").collect():
+        found[r.doc_id].append(r)
+    for i, text in enumerate(texts):  # contexts by position, from the whole text
+        at = 0
+        for r in found[i]:
+            at = text.index(r.value, at)
+            assert (r.before, r.after) == (text[max(0, at - 48): at], text[at + len(r.value):][:48])
+            at += len(r.value)
+    assert [[r.value for r in found[i]] for i in range(6)] == [["AWS_SECRET_ACCESS_KEY=", long], ["aws_secret_access_key", long], ["hunter2!"], ["p@ss"], ["a", "b", "k3y"], []]
+    labels = {(r.doc_id, r.ordinal): r.label for r in secrets.rule_labels(stored).collect()}
+    assert labels[0, 1] == labels[1, 1] == labels[2, 0] == 1 and labels[0, 0] == 0
+    features = {(r.doc_id, r.ordinal): r for r in secrets.with_features(stored, secrets.corpus_words(df)).collect()}
+    assert (features[0, 1].named, features[0, 1].assigned) == (1, 1) and (features[1, 1].named, features[1, 1].quoted) == (1, 1)
+
+
 def test_secrets_edges(spark, docs, empty):
     assert secrets.scan(empty).count() == 0
     assert secrets.scan(docs).where("score < 0.5").count() == 0
