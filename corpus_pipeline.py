@@ -5,7 +5,7 @@ again as the next one's docs. All but the last return the columns of documents:
 
 1. toxicity: documents scored 0.5 or more go;
 2. near_duplicates: of each class of texts linked by a five-word Jaccard similarity of 0.8 or more,
-   the document with the least doc_id stays (rows without a doc_id stay if a class has no other);
+   one row stays: that of the least doc_id (null last) and text key;
 3. decontamination: documents of which a twentieth or more of the words lies in benchmark windows go;
 4. mixing: each document comes as many times as the mix to the sources' targets takes it;
 5. token_ids: binary shards of frequency-ranked ids; a row a document from what the shards hold.
@@ -26,10 +26,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = ngram_join.similar_documents(docs)
-    stay = found.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    kept = docs.join(stay, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    return kept.withColumn("__h", F.xxhash64("text")).dropDuplicates(["doc_id", "__h"]).drop("__h")
+    heads = (ngram_join.similar_documents(docs).where("is_head").groupBy(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"))
+             .agg(F.when(F.max("copies") > 1, F.count("*")).otherwise(1).alias("__rows")))
+    key = ngram_join.text_key(F.col("text").cast("string"))
+    kept = docs.join(heads, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (key == F.col("__key")))
+    repeated = kept.where("__rows > 1").dropDuplicates(["__id", "__key"])  # rows of equal doc_id and text
+    return kept.where("__rows = 1").unionByName(repeated).select(*(docs[c] for c in docs.columns))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -55,12 +55,12 @@ def empty(docs):
 
 
 def brute_links(texts, threshold=0.8):
-    """For each text the number of others that are alike, and the least index of its class."""
+    """The similarities of all pairs of texts that are alike, and the least index of each text's class."""
     sets = []
     for t in texts:
         w = words(t)
         sets.append({tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
-    links, root = [0] * len(texts), list(range(len(texts)))
+    links, root = {}, list(range(len(texts)))
 
     def top(i):
         while root[i] != i:
@@ -70,26 +70,33 @@ def brute_links(texts, threshold=0.8):
     for i, a in enumerate(sets):
         for j, b in enumerate(sets[:i]):
             if a and b and len(a & b) >= threshold * len(a | b) - 1e-9:
-                links[i] += 1
-                links[j] += 1
+                links[i, j] = links[j, i] = len(a & b) / len(a | b)
                 root[max(top(i), top(j))] = min(top(i), top(j))
     return links, [top(i) for i in range(len(texts))]
 
 
 def test_join_edges(spark, docs, rows, empty):
-    got = {r.doc_id: r for r in ngram_join.similar_documents(docs).collect()}
-    assert ngram_join.similar_documents(docs).count() == len(rows)
+    found = ngram_join.similar_documents(docs).collect()
+    got = {r.doc_id: r for r in found}
+    assert len(found) == len(rows)
     assert [got[k].class_id for k in (1, 2, 3, None)] == [1, 2, 3, None]
-    assert got[4].class_id == got[5].class_id == 4 and got[4].n_links == 1
-    assert {got[k].class_id for k in (7, 8, 9)} == {7} and {got[k].n_links for k in (7, 8, 9)} == {3} and got[9].class_size == 4
-    assert got[6].class_id == got[10].class_id == 6
+    assert got[4].class_id == got[5].class_id == 4 and got[4].copies == 2 and got[4].link_id is None
+    assert {got[k].class_id for k in (7, 8, 9)} == {7} and got[9].class_size == 4
+    assert got[9].link_id == 7 and got[8].link_id == got[7].link_id == 9 and got[7].copies == 3
+    assert got[6].class_id == got[10].class_id == 6 and got[6].link_id == 10 and got[10].link_id == 6
+    heads = collections.Counter(r.class_id for r in found if r.is_head)
+    assert heads.pop(7) == 2 and set(heads.values()) == {1}  # both rows of document 7
     assert ngram_join.similar_documents(empty).count() == 0
 
 
-def test_join_against_brute_force(spark):
+@pytest.mark.parametrize("block_rows, slice_rows", [(256, 4096), (24, 40)])
+def test_join_against_brute_force(spark, monkeypatch, block_rows, slice_rows):
+    """Whole components at once, and several rounds, blocks and slices."""
+    monkeypatch.setattr(ngram_join, "BLOCK_ROWS", block_rows)
+    monkeypatch.setattr(ngram_join, "SLICE_ROWS", slice_rows)
     rng = random.Random(9)
     texts = []
-    for _ in range(12):  # families of edited copies, some large enough for several blocks
+    for _ in range(12):  # families of edited copies: some of each are linked, some by others only, some not at all
         base = prose(rng, rng.choice([8, 40, 200, 600]), 5000).split()
         for _ in range(rng.choice([1, 2, 5, 90])):
             t = list(base)
@@ -100,23 +107,52 @@ def test_join_against_brute_force(spark):
     links, root = brute_links(texts)
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
     got = {r.doc_id: r for r in ngram_join.similar_documents(df).collect()}
-    assert [got[i].n_links for i in range(len(texts))] == links
     assert [got[i].class_id for i in range(len(texts))] == root
+    assert collections.Counter(root) == {k: got[k].class_size for k in set(root)}
+    for i in range(len(texts)):  # a text has a link exactly if another text of its class differs from it
+        others = {texts[j] for j in range(len(texts)) if root[j] == root[i]} - {texts[i]}
+        assert (got[i].link_id is not None) == bool(others)
+        if others:
+            assert got[i].similarity == pytest.approx(links[i, got[i].link_id])
 
 
-def test_prefixes_shorten_until_the_recall(spark, monkeypatch):
-    """Links just above the threshold are the likeliest to be missed: they make the join use shorter prefixes."""
-    rng = random.Random(10)
-    texts = []
-    for _ in range(60):
-        base = prose(rng, 100, 9000).split()
-        texts += [" ".join(base), " ".join(base[:81])]  # 77 of 96 shingles
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    depths = []
-    real = ngram_join._candidate_components
-    monkeypatch.setattr(ngram_join, "_candidate_components", lambda reps, depth: depths.append(depth) or real(reps, depth))
-    got = {r.doc_id: r.n_links for r in ngram_join.similar_documents(df).collect()}
-    assert depths == [6, 5] and set(got.values()) == {1}
+def test_a_tight_family_needs_one_round_of_pivots(spark, monkeypatch):
+    """300 texts that are all alike: none is compared outside the first round's pivots."""
+    monkeypatch.setattr(ngram_join, "BLOCK_ROWS", 8)
+    rng = random.Random(12)
+    base, texts = prose(rng, 200, 9000).split(), []
+    for i in range(300):
+        texts.append(" ".join(base[:-1] + [f"only{i}"]))
+    compared = []
+    real = ngram_join._compared
+    monkeypatch.setattr(ngram_join, "_compared", lambda placed, sets, threshold: compared.append(placed.count()) or real(placed, sets, threshold))
+    got = ngram_join.similar_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {(r.class_id, r.class_size) for r in got} == {(0, 300)} and compared == [300]
+
+
+def test_prefixes_shorten_until_the_recall():
+    """A text that shares most of its whole paths keeps them; one that shares few shortens them to what the threshold needs."""
+    need = [ngram_join.depth_for(m, 0.8, ngram_join.RECALL) for m in range(ngram_join.TREES + 1)]
+    assert need[0] == 6 and need[-1] == ngram_join.DEPTH and need == sorted(need)
+    for m, d in enumerate(need):
+        s = max(0.8, (m / ngram_join.TREES) ** (1 / ngram_join.DEPTH))
+        assert ngram_join.recall_at(s, d, ngram_join.TREES) >= ngram_join.RECALL
+        assert d == ngram_join.DEPTH or ngram_join.recall_at(s, d + 1, ngram_join.TREES) < ngram_join.RECALL
+
+
+def test_trie_keeps_every_shared_path(spark):
+    """The sorted, pruned trie holds all paths that share a node, across ranges and batches."""
+    rng = np.random.default_rng(3)
+    values = rng.integers(0, 3, (400, ngram_join.TREES * ngram_join.DEPTH)).astype("<u2")  # few values: many shared prefixes
+    df = spark.createDataFrame([(i, bytearray(v.tobytes())) for i, v in enumerate(values)], "rep long, sig binary")
+    got = {(r.path[0], r.rep): r.depth for r in ngram_join._trie(df.repartition(5), 4).collect()}
+    paths = values.reshape(400, ngram_join.TREES, ngram_join.DEPTH)
+    for tree in range(ngram_join.TREES):
+        for d in (4, 5, 6, 7):
+            groups = collections.Counter(paths[i, tree, :d].tobytes() for i in range(400))
+            for i in range(400):
+                if groups[paths[i, tree, :d].tobytes()] > 1:
+                    assert got[tree, i] >= d
 
 
 def test_word_bytes_match_the_pattern():
