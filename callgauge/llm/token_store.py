@@ -25,18 +25,20 @@ no row. Texts of any length are encoded whole; columns other than doc_id and tex
 
 from __future__ import annotations
 
+import json
 import math
 import os
 import re
 import uuid
 import zlib
-from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -82,55 +84,124 @@ def decode_ranks(control: bytes, data: bytes, n: int) -> np.ndarray:
 
 # --- tokenising -------------------------------------------------------------------------------
 
-_TAIL = b".,!?;:%$&#*"
+_TAIL = ".,!?;:%$&#*"
 #: Letters besides ASCII that no normaliser step of the tokenizer changes but for lower-casing one by one.
-_LETTERS = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
-
-
-class ChunkEncoder(dict):
-    """Whole-text encoding by a word-level tokenizer, one white-space chunk at a time: chunk -> ids.
-
-    The tokenizer drops white space and lets no token span it, so a text's ids are its chunks'
-    ids in order; a chunk that was met before is looked up. On a miss, closing punctuation after
-    a letter is encoded apart (the tokenizer ends a run of letters there), and a run of Latin
-    letters goes straight to the tokenizer's model, lower-cased and in its byte alphabet. A chunk
-    that may hold a special token, or any other, is encoded as it stands. All ids come from the
-    tokenizers library."""
-
-    def __init__(self, path: str, limit: int = 400_000):
-        super().__init__()
+_LATIN = "^[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+$"
+_WORD = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
+_SPACE = re.compile("[ \t-\r]")
+
+
+#: The parts of a tokenizer file that make its ids those of its white-space chunks, one by one.
+_NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+_SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+
+
+def splits_at_white_space(path: str) -> bool:
+    """Whether the tokenizer of this file composes and lower-cases characters, drops white space,
+    cuts words from digits and punctuation and encodes each piece by a plain BPE over bytes: then
+    no id depends on more than its white-space chunk."""
+    with open(path, encoding="utf-8") as f:
+        t = json.load(f)
+    pre = (t["pre_tokenizer"] or {}).get("pretokenizers", [])
+    model = t["model"]
+    return ((t["normalizer"] or {}).get("normalizers") == _NORMALIZERS and len(pre) == 2
+            and pre[0] == {"type": "Split", "pattern": {"Regex": _SPLIT}, "behavior": "Removed", "invert": True}
+            and pre[1]["type"] == "ByteLevel" and not pre[1]["add_prefix_space"] and not pre[1]["use_regex"]
+            and model["type"] == "BPE" and not model.get("dropout") and not model.get("byte_fallback") and t["truncation"] is None and t["padding"] is None
+            and all(a["content"].startswith("<|") and not (a["lstrip"] or a["rstrip"] or a["single_word"]) and not re.search(r"\s", a["content"]) for a in t["added_tokens"]))
+
+
+def _laid_out(ids: np.ndarray, first: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of pieces ``at`` one after the other, and the len(at) + 1 offsets of the pieces;
+    piece k's ids are ``ids[first[k]: first[k + 1]]``."""
+    begin = first[at]
+    upto = np.concatenate([[0], np.cumsum(first[at + 1] - begin)])
+    return ids[np.repeat(begin - upto[:-1], np.diff(upto)) + np.arange(upto[-1])], upto
+
+
+class ChunkEncoder:
+    """Whole-text encoding by a word-level tokenizer, each different piece of a text once.
+
+    The tokenizer drops white space and lets no token span it, so a text's ids are its white-space
+    chunks' ids in order. It also ends a run of letters at closing punctuation and lower-cases, so
+    a chunk of Latin letters and closing punctuation is cut into a lower-cased word and the rest.
+    Arrow splits texts, numbers the different chunks and pieces and finds the pieces that were met
+    before; the others are encoded, and numpy lays all ids out. A word goes straight to the
+    tokenizer's model, in its byte alphabet; any other piece is encoded as it stands. All ids come
+    from the tokenizers library. With a tokenizer file of another kind
+    (``splits_at_white_space``), whole texts are encoded as they stand."""
+
+    def __init__(self, path: str, limit: int = 1_500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
         self.model = self.tokenizer.model
-        self.kind = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"  # unsigned 16 or 32 bits
-
-    def __missing__(self, chunk: bytes) -> bytes:
-        core = chunk.rstrip(_TAIL)
-        if len(core) < len(chunk) and core[-1:].isalpha() and b"<|" not in chunk:
-            ids = self[core] + self[chunk[len(core):]]
-        else:
-            text = chunk.decode("utf-8", "replace")
-            if _LETTERS.fullmatch(text):
-                word = text.lower()
-                ids = [t.id for t in self.model.tokenize(word if word.isascii() else word.encode().decode("latin-1").translate(_BYTE_LETTERS))]
-            else:
-                ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-            ids = array(self.kind, ids).tobytes()
-        self[chunk] = ids
-        return ids
-
-    def encode(self, text: bytes) -> bytes:
-        """The ids of a text, as unsigned integers of this encoder's kind."""
-        if len(self) > self.limit:
-            self.clear()
-        return b"".join(map(self.__getitem__, text.split()))
+        self.by_chunk = splits_at_white_space(path)
+        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self._forget()
+
+    def _forget(self) -> None:
+        """Known pieces (the first is empty), the ids of all of them, and where each one's begin."""
+        self.known, self.ids, self.first = pa.array([""], pa.large_string()), np.zeros(0, self.dtype), np.zeros(2, dtype=np.int64)
+
+    def _ids_of(self, piece: str) -> list[int]:
+        if _WORD.fullmatch(piece):
+            return [t.id for t in self.model.tokenize(piece if piece.isascii() else piece.encode().decode("latin-1").translate(_BYTE_LETTERS))]
+        return self.tokenizer.encode(piece, add_special_tokens=False).ids
+
+    def _find(self, pieces: pa.LargeStringArray) -> np.ndarray:
+        """The places of different pieces among the known ones; new ones are encoded and become known."""
+        at = pc.index_in(pieces, value_set=self.known)
+        if at.null_count and len(self.known) + at.null_count > self.limit:
+            self._forget()
+            at = pc.index_in(pieces, value_set=self.known)
+        if at.null_count:
+            new = pieces.filter(at.is_null())
+            ids = [self._ids_of(c) for c in new.to_pylist()]
+            at = at.fill_null(-1).to_numpy().copy()
+            at[at < 0] = np.arange(len(self.known), len(self.known) + len(new))
+            self.first = np.concatenate([self.first, self.first[-1] + np.cumsum([len(x) for x in ids])])
+            self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(ids), self.dtype)])
+            self.known = pa.concat_arrays([self.known, new])
+            return at
+        return at.to_numpy()
+
+    def _of_chunks(self, chunks: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of different chunks, and their offsets."""
+        core = pc.ascii_rtrim(chunks, characters=_TAIL)
+        worded = pc.match_substring_regex(core, _LATIN)
+        closed = pc.and_(worded, pc.not_equal(pc.binary_length(core), pc.binary_length(chunks)))
+        tails = pc.replace_substring_regex(chunks.filter(closed), "^[^" + _TAIL + "]+", "")
+        words, tails = (pc.dictionary_encode(x) for x in (pc.if_else(worded, pc.utf8_lower(core), chunks), tails))
+        both = pc.dictionary_encode(pa.concat_arrays([words.dictionary, tails.dictionary]))
+        place = self._find(both.dictionary)[both.indices.to_numpy()]
+        at = np.zeros((len(chunks), 2), dtype=np.int64)  # the word and the rest, which is empty for most
+        at[:, 0] = place[words.indices.to_numpy()]
+        at[closed.to_numpy(zero_copy_only=False), 1] = place[len(words.dictionary):][tails.indices.to_numpy()]
+        ids, upto = _laid_out(self.ids, self.first, at.ravel())
+        return ids, upto[::2]
+
+    def encode(self, texts: pa.LargeStringArray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, each followed by ``end_id``, and the n + 1 offsets of the texts' ids."""
+        if not self.by_chunk:
+            done = [np.array([*e.ids, end_id], dtype=self.dtype) for e in self.tokenizer.encode_batch(texts.to_pylist(), add_special_tokens=False)]
+            return np.concatenate(done), np.concatenate([[0], np.cumsum([len(x) for x in done])])
+        lists = pc.ascii_split_whitespace(texts)
+        chunks = pc.dictionary_encode(lists.flatten())
+        ids, first = self._of_chunks(chunks.dictionary)
+        ids, first = np.append(ids, self.dtype.type(end_id)), np.append(first, len(ids) + 1)  # the end id is one more chunk
+        bounds = lists.offsets.to_numpy().astype(np.int64)
+        bounds -= bounds[0]
+        out, upto = _laid_out(ids, first, np.insert(chunks.indices.to_numpy(), bounds[1:], len(first) - 2))
+        return out, upto[bounds + np.arange(len(bounds))]
 
 
 #: The byte alphabet of byte-level tokenizers: bytes without a printable Latin-1 character get the letters from U+0100 on.
 _PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 _BYTE_LETTERS = {b: 0x100 + k for k, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
+#: Bytes of texts that are encoded at once.
+PIECE = 1 << 23
 
 
 @lru_cache(maxsize=1)
@@ -139,19 +210,59 @@ def _encoder(path: str) -> ChunkEncoder:
     return ChunkEncoder(path)
 
 
-def _bytes(col) -> list[bytes]:
-    return [b"" if x is None else x for x in col.cast(pa.binary()).to_pylist()]
+def _pieces(text: str, size: int) -> Iterator[str]:
+    """``text`` in pieces of about ``size`` characters that end at ASCII white space."""
+    while len(text) > size:
+        cut = _SPACE.search(text, size)
+        if cut is None:
+            break
+        yield text[: cut.start()]
+        text = text[cut.start():]
+    yield text
+
+
+def _encoded(encoder: ChunkEncoder, col, end_id: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Number of texts, ids and offsets, for some texts at a time; a long text comes alone, by its pieces."""
+    texts = pc.fill_null(col.cast(pa.large_string()), "")
+    upto = np.cumsum(pc.binary_length(texts).to_numpy())
+    i = 0
+    while i < len(texts):
+        before = upto[i - 1] if i else 0
+        n = max(1, int(np.searchsorted(upto, before + PIECE, "right")) - i)
+        if upto[i] - before > PIECE and encoder.by_chunk:
+            parts = [encoder.encode(pa.array([p], pa.large_string()), end_id)[0] for p in _pieces(texts[i].as_py(), PIECE)]
+            ids = np.concatenate([p[:-1] for p in parts] + [parts[-1][-1:]])
+            yield 1, ids, np.array([0, len(ids)])
+        else:
+            yield n, *encoder.encode(texts.slice(i, n), end_id)
+        i += n
+
+
+def _gathered(batches, size: int):
+    """Batches of about ``size`` bytes from smaller ones."""
+    held, total = [], 0
+    for batch in batches:
+        held.append(batch)
+        total += batch.nbytes
+        if total >= size:
+            yield pa.concat_batches(held)
+            held, total = [], 0
+    if held:
+        yield pa.concat_batches(held)
 
 
 def tokenize(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:
     """doc_id, width (bytes an id), and ids (unsigned, little-endian) of every text, the end id included."""
     def run(batches):
         encoder = _encoder(tokenizer)
-        end = array(encoder.kind, [end_id])
-        for batch in batches:
-            done = [encoder.encode(t) + end.tobytes() for t in _bytes(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([end.itemsize] * len(done), pa.int32()), pa.array(done, pa.binary())], names=["doc_id", "width", "ids"])
+        width = encoder.dtype.itemsize
+        for batch in _gathered(batches, PIECE):
+            at = 0
+            for n, ids, offsets in _encoded(encoder, batch.column("text"), end_id):
+                done = pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer((offsets * width).astype(np.int64)), pa.py_buffer(ids)])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id").slice(at, n), pa.array([width] * n, pa.int32()), done.cast(pa.binary())], names=["doc_id", "width", "ids"])
+                at += n
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return slim.mapInArrow(run, "doc_id long, width int, ids binary")

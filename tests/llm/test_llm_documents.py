@@ -321,14 +321,44 @@ def test_token_store_round_trip(spark, docs, rows, empty, tmp_path):
     assert token_store.read_store(spark, none).count() == 0
 
 
-def test_chunk_encoder_equals_the_library():
+def encoded(encoder, texts):
+    import pyarrow as pa
+    out = []
+    for n, ids, offsets in token_store._encoded(encoder, pa.array(texts, pa.string()), 2):
+        out += [ids[offsets[i]: offsets[i + 1]].tolist() for i in range(n)]
+    return out
+
+
+def test_chunk_encoder_equals_the_library(monkeypatch):
     from public_tokenizers import path
     encoder = token_store.ChunkEncoder(path("word_bpe_49k.json"))
     rng = random.Random(1)
     alphabet = [*"aAbBsStTÀÖØöÿßŒž'’.,!<|>é É́̇İßΣσ9٣ \t\n\x0b\x0c\r\x1c\x85\xa0 中$%", "<|endoftext|>", "'s", "'RE", "<|ENDOFTEXT|>"]
-    for _ in range(4000):
-        text = "".join(rng.choice(alphabet) for _ in range(rng.randrange(40)))
-        assert encoder.encode(text.encode()) == np.array(encoder.tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(40))) for _ in range(4000)] + [None, "", " ", "x" * 3000]
+    want = [[*encoder.tokenizer.encode(t or "", add_special_tokens=False).ids, 2] for t in texts]
+    assert encoded(encoder, texts) == want
+    encoder.limit = 50  # known pieces are forgotten again and again
+    assert encoded(encoder, texts) == want
+    monkeypatch.setattr(token_store, "PIECE", 20)  # most texts are longer than a piece
+    assert encoded(encoder, texts) == want
+
+
+def test_chunk_encoder_on_the_documents():
+    import pyarrow.parquet as pq
+    from public_tokenizers import path
+    encoder = token_store.ChunkEncoder(path("word_bpe_49k.json"))
+    texts = pq.read_table("/root/testdata/sf0.01/documents.parquet").column("text").to_pylist()[:1000]
+    want = [[*e.ids, 2] for e in encoder.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    assert encoder.by_chunk and encoded(encoder, texts) == want
+
+
+def test_another_tokenizer_encodes_whole_texts():
+    """A file whose ids depend on white space isn't cut at it."""
+    from public_tokenizers import path
+    encoder = token_store.ChunkEncoder(path("byte_bpe_50k.json"))
+    texts = ["two  words", " a\n\n b", "", None]
+    assert not encoder.by_chunk
+    assert encoded(encoder, texts) == [[*encoder.tokenizer.encode(t or "", add_special_tokens=False).ids, 2] for t in texts]
 
 
 def test_rank_coding_round_trip():
