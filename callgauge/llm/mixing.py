@@ -7,14 +7,21 @@ its source's size, and the excess is shared again by weight until none is above.
 A source whose target is r whole passes and a remaining budget takes each document r times, and
 some of them once more. Documents are counted by exact size; from each size the budget's share of
 its count is taken (which keeps the mix of sizes), and the rest of the budget is fitted by
-bounded-knapsack dynamic programming over the counts that are left. What that leaves of a budget
-is searched again over all sums, which is exact up to ``SUMS`` different ones and in steps of a
-``SUMS``-th of the budget from there on. Only these counts reach the fitting task, one row a source. The documents of a size are chosen by a seeded hash of doc_id: a
-histogram of hash ranges finds the range where the count is reached, and only that range is ranked.
+bounded-knapsack dynamic programming over the counts that are left. A budget of up to
+``exact_words`` words (in units of the sizes' greatest common divisor) is so fitted exactly: no
+choice of documents comes nearer to it from below. Of a larger one, the longest documents are taken
+first until the rest is below ``exact_words``; this is exact wherever documents can make up that rest, and
+falls short by less than the least document that is left otherwise; then all sums are searched too, which is exact up
+to ``SUMS`` different ones. Only the counts reach the fitting task, one row a source.
+
+The documents of a size are chosen by lot, a seeded hash of the row: a histogram of ranges of lots
+finds the range where the count is reached, and the counts of that range's lots the last one.
+Rows of the last lot (rows equal in all columns) are numbered, so that exactly the count is taken.
 
 Defined results: a null text has size 0 and takes no words; a null source is a source of its own,
-the last; rows with the same doc_id, source and size are chosen together; with no words at all
-every target is 0; an empty table gives no row. Reruns agree.
+the last; of equal rows any, but exactly as many as the fit says, are taken; with no words at all
+every target is 0; an empty table gives no row. Reruns agree. Columns that can't be hashed (maps,
+variants) are not part of the lot.
 Columns named like a result column (size, source_size, target, times, taken) are replaced.
 """
 
@@ -33,6 +40,8 @@ SEED = 20
 MOST_PASSES = 3
 #: Largest budget that the dynamic programme fits; what is above goes to the longest documents first.
 KNAPSACK = 1 << 16
+#: Largest budget that is always fitted exactly; a fitting task holds some 7 bytes a unit of it.
+EXACT_WORDS = 1 << 24
 #: Different sums that are kept one by one; of more, one is kept in each step of a SUMS-th of the budget.
 SUMS = 1 << 16
 RANGE_ROWS = 256
@@ -61,31 +70,33 @@ def targets(sizes: DataFrame) -> DataFrame:
     return sources.select("source", "source_size", F.least(F.col("weight") * F.lit(share), (MOST_PASSES * F.col("source_size")).cast("double")).alias("target"))
 
 
-def fit_budget(sizes: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
-    """How many documents of each size to take, for a sum of ``budget`` or the nearest sum below
-    that is found: first with each size's whole share, else with less of it, which leaves the
-    dynamic programme more to choose from (without shares, it is exact up to its largest budget);
-    where documents are too long for that, from a search over the sums of all of them."""
+def fit_budget(sizes: np.ndarray, counts: np.ndarray, budget: int, exact_words: int = EXACT_WORDS) -> np.ndarray:
+    """How many documents of each size to take, for a sum of ``budget`` or the nearest sum below it
+    (the nearest that is found, for more than ``exact_words`` units of the sizes' common divisor):
+    first with each size's whole share, else with less of it, which leaves the dynamic programme
+    more to choose from; at last without shares, by the dynamic programme alone."""
     sizes, counts = sizes.astype(object), counts.astype(object)  # exact for any corpus
-    total = sum(sizes * counts)
     unit = math.gcd(*(int(x) for x in sizes)) or 1
-    most = min(budget // unit * unit, total)  # no sum is nearer
-    best = None
-    for eighths in (8, 7, 4, 0):
-        share = [int(c) * budget * eighths // (8 * total) if s else 0 for s, c in zip(sizes, counts)] if total else counts * 0
-        take = _fitted(sizes, counts, budget, np.array(share, dtype=object))
-        if best is None or sum(take * sizes) > sum(best * sizes):
+    sizes, budget = sizes // unit, budget // unit
+    total = sum(sizes * counts)
+    most = min(budget, total)  # no sum is nearer
+    none = counts * 0
+
+    def share(eighths):
+        return np.array([int(c) * budget * eighths // (8 * total) if s else 0 for s, c in zip(sizes, counts)], dtype=object) if total else none
+
+    tries = [lambda e=e: _fitted(sizes, counts, budget, share(e), KNAPSACK) for e in (8, 7, 4, 0)]
+    if budget > KNAPSACK:
+        tries.append(lambda: _fitted(sizes, counts, budget, none.copy(), exact_words // 2))
+    if budget > exact_words:
+        tries += [lambda e=e: _fitted(sizes, counts, budget, _searched(sizes, counts, budget, share(e)), KNAPSACK) for e in (8, 4, 0)]
+    best = none
+    for attempt in tries:
+        take = attempt()
+        if sum(take * sizes) > sum(best * sizes):
             best = take
         if sum(best * sizes) == most:
-            return best
-    if budget > 2 * KNAPSACK:
-        for eighths in (8, 4, 0):
-            share = np.array([int(c) * budget * eighths // (8 * total) if s else 0 for s, c in zip(sizes, counts)], dtype=object)
-            take = _fitted(sizes, counts, budget, _searched(sizes, counts, budget, share))
-            if sum(take * sizes) > sum(best * sizes):
-                best = take
-            if sum(best * sizes) == most:
-                break
+            break
     return best
 
 
@@ -125,21 +136,24 @@ def _searched(sizes: np.ndarray, counts: np.ndarray, budget: int, take: np.ndarr
     return take
 
 
-def _fitted(sizes: np.ndarray, counts: np.ndarray, budget: int, take: np.ndarray) -> np.ndarray:
-    """``take`` with more documents, towards the budget."""
+def _fitted(sizes: np.ndarray, counts: np.ndarray, budget: int, take: np.ndarray, window: int) -> np.ndarray:
+    """``take`` with more documents, towards the budget: the longest until less than twice the
+    window is left, and exactly from there."""
+    take = take.copy()
     left = budget - sum(take * sizes)
-    for i in sorted(range(len(sizes)), key=lambda i: -sizes[i]):
-        if left <= KNAPSACK:
-            break
-        more = min(counts[i] - take[i], (left - KNAPSACK // 2) // sizes[i]) if sizes[i] else 0
-        take[i] += max(0, more)
-        left -= max(0, more) * sizes[i]
+    if left > 2 * window:
+        for i in sorted(range(len(sizes)), key=lambda i: -sizes[i]):
+            if left <= window:
+                break
+            more = min(counts[i] - take[i], (left - window // 2) // sizes[i]) if sizes[i] else 0
+            take[i] += max(0, more)
+            left -= max(0, more) * sizes[i]
     if left <= 0:
         return take
-    left = min(left, 2 * KNAPSACK)
+    left = min(left, 2 * window)
     reached = np.zeros(int(left) + 1, dtype=bool)
     reached[0] = True
-    by = np.full(int(left) + 1, -1, dtype=np.int64)
+    by = np.full(int(left) + 1, -1, dtype=np.int32)
     parts: list[tuple[int, int]] = []
     for i, size in enumerate(sizes):
         spare, k = min(int(counts[i] - take[i]), int(left // size)) if size else 0, 1
@@ -148,8 +162,7 @@ def _fitted(sizes: np.ndarray, counts: np.ndarray, budget: int, take: np.ndarray
             step = n * int(size)
             if step <= left:
                 new = np.zeros_like(reached)
-                new[step:] = reached[: len(reached) - step]
-                new &= ~reached
+                np.greater(reached[: len(reached) - step], reached[step:], out=new[step:])
                 by[new] = len(parts)
                 reached |= new
                 parts.append((i, n))
@@ -164,7 +177,7 @@ def _fitted(sizes: np.ndarray, counts: np.ndarray, budget: int, take: np.ndarray
     return take
 
 
-def plan(sizes: DataFrame) -> DataFrame:
+def plan(sizes: DataFrame, exact_words: int = EXACT_WORDS) -> DataFrame:
     """source, size, source_size, target, passes, n and pick: of the n documents of a source and
     size, ``pick`` are taken once more than ``passes`` times."""
     goal = targets(sizes)
@@ -178,7 +191,7 @@ def plan(sizes: DataFrame) -> DataFrame:
                 size, n = (np.array(x, dtype=np.int64) for x in zip(*counts))
                 goal, whole = round(row["target"]), row["source_size"]
                 passes = goal // whole if whole else 0
-                pick = fit_budget(size, n, goal - passes * whole)
+                pick = fit_budget(size, n, goal - passes * whole, exact_words)
                 k = len(size)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([row["source"]] * k, pa.string()), pa.array(size), pa.array([whole] * k, pa.int64()), pa.array([row["target"]] * k, pa.float64()),
@@ -189,37 +202,56 @@ def plan(sizes: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "source string, size long, source_size long, target double, passes long, n long, pick long")
 
 
-def mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
+def mix(docs: DataFrame, seed: int = SEED, exact_words: int = EXACT_WORDS) -> DataFrame:
     """Every document with its size, its source's size and target, how many times the mix takes it, and the words taken."""
     spark = docs.sparkSession
     common.prepare(spark)
     own = [c for c in docs.columns if c not in RESULTS]
     docs = with_size(docs.select(*own))
-    lot = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("doc_id").cast("string")), 1)  # 63 bits: ranges, ranks and the rule have one order
-    slim = common.stored(docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("source").cast("string").alias("source"), "size"), "sizes")
-    planned = common.stored(plan(slim.select("source", "size")), "mix-plan")
+    hashed = [f.name for f in docs.schema if f.name in own and not any(k in f.dataType.simpleString() for k in ("map<", "variant"))]
+    lot = F.shiftrightunsigned(F.xxhash64(F.lit(seed), *hashed), 1)  # 63 bits: ranges and the rule have one order
+    slim = common.stored(docs.select(lot.alias("lot"), F.col("source").cast("string").alias("source"), "size"), "sizes")
+    planned = common.stored(plan(slim.select("source", "size"), exact_words), "mix-plan")
 
-    # Where only some documents of a size are taken: the lot and id of the last one.
+    # Where only some documents of a size are taken: the last lot, and how many of its rows.
     some = planned.where("pick > 0 and pick < n").select(F.col("source").alias("__s"), F.col("size").alias("__z"), "n", "pick")
-    drawn = (slim.withColumn("lot", lot).join(some, F.col("source").eqNullSafe(F.col("__s")) & (F.col("size") == F.col("__z")))
+    drawn = (slim.join(some, F.col("source").eqNullSafe(F.col("__s")) & (F.col("size") == F.col("__z")))
              .withColumn("ranges", F.ceil(F.col("n") / RANGE_ROWS))
              .withColumn("range", F.floor(F.expr("shiftright(lot, 32) / 2147483648D") * F.col("ranges"))))
     group = ["source", "size"]
-    so_far = Window.partitionBy(*group).orderBy("range")  # a row for each RANGE_ROWS documents
-    edge = (drawn.groupBy(*group, "range").agg(F.count("*").alias("c"), F.first("pick").alias("pick"))
-            .withColumn("upto", F.sum("c").over(so_far)).where("upto >= pick and upto - c < pick")
-            .select(F.col("source").alias("__s2"), F.col("size").alias("__z2"), F.col("range").alias("__r"), (F.col("pick") - F.col("upto") + F.col("c")).alias("rank")))
-    ranked = (drawn.join(edge, F.col("source").eqNullSafe(F.col("__s2")) & (F.col("size") == F.col("__z2")) & (F.col("range") == F.col("__r")))
-              .withColumn("k", F.row_number().over(Window.partitionBy(*group, "range").orderBy("lot", "doc_id"))))
-    last = ranked.where("k = rank").select(F.col("source").alias("__s3"), F.col("size").alias("__z3"), F.col("lot").alias("last_lot"), F.coalesce("doc_id", F.lit("")).alias("last_id"))
+
+    def reached(counts: DataFrame, by: str, within: list[str], goal: str) -> DataFrame:
+        """Of each group, the row of ``counts`` at which the running count c reaches the goal, and what the goal has left there."""
+        so_far = Window.partitionBy(*within).orderBy(by)  # a row for each RANGE_ROWS documents, or a lot of one range
+        return counts.withColumn("upto", F.sum("c").over(so_far)).where(f"upto >= {goal} and upto - c < {goal}").withColumn("left", F.expr(f"{goal} - upto + c"))
+
+    edge = (reached(drawn.groupBy(*group, "range").agg(F.count("*").alias("c"), F.first("pick").alias("pick")), "range", group, "pick")
+            .select(F.col("source").alias("__s2"), F.col("size").alias("__z2"), F.col("range").alias("__r"), F.col("left").alias("goal")))
+    lots = (drawn.join(edge, F.col("source").eqNullSafe(F.col("__s2")) & (F.col("size") == F.col("__z2")) & (F.col("range") == F.col("__r")))
+            .groupBy(*group, "goal", "lot").agg(F.count("*").alias("c")))
+    last = reached(lots, "lot", group, "goal").select(F.col("source").alias("__s3"), F.col("size").alias("__z3"), F.col("lot").alias("last_lot"), "left", "c")
     rule = (planned.join(last, F.col("source").eqNullSafe(F.col("__s3")) & (F.col("size") == F.col("__z3")), "left")
-            .select("source_size", "target", *(F.col(c).alias(f"__{c}") for c in ("source", "size", "passes", "n", "pick", "last_lot", "last_id"))))
+            .select("source_size", "target", *(F.col(c).alias(f"__{c}") for c in ("source", "size", "passes", "n", "pick", "last_lot", "left", "c"))))
     rule = common.stored(rule, "mix-rule")
-    once_more = ((F.col("__pick") > 0) & ((F.col("__pick") == F.col("__n")) | (F.col("__lot") < F.col("__last_lot"))
-                 | ((F.col("__lot") == F.col("__last_lot")) & (F.coalesce(F.col("doc_id").cast("string"), F.lit("")) <= F.col("__last_id")))))
-    return (docs.withColumn("__lot", lot).join(rule, F.col("source").cast("string").eqNullSafe(F.col("__source")) & (F.col("size") == F.col("__size")))
-            .withColumn("times", F.col("__passes") + F.coalesce(once_more, F.lit(False)).cast("long"))
-            .select(*own, "size", "source_size", "target", "times", (F.col("times") * F.col("size")).alias("taken")))
+    ruled = docs.withColumn("__lot", lot).join(rule, F.col("source").cast("string").eqNullSafe(F.col("__source")) & (F.col("size") == F.col("__size")))
+    numbered = F.coalesce((F.col("__lot") == F.col("__last_lot")) & (F.col("__left") < F.col("__c")), F.lit(False))
+    once_more = (F.col("__pick") > 0) & ((F.col("__pick") == F.col("__n")) | (F.col("__lot") <= F.col("__last_lot")))
+
+    def taken(rows: DataFrame, more) -> DataFrame:
+        return (rows.withColumn("times", F.col("__passes") + F.coalesce(more, F.lit(False)).cast("long"))
+                .select(*own, "size", "source_size", "target", "times", (F.col("times") * F.col("size")).alias("taken")))
+
+    if rule.where("__left < __c").isEmpty():
+        return taken(ruled, once_more)
+    # Equal rows of a last lot that is taken in part: numbered part by part.
+    ties = common.stored(ruled.where(numbered).withColumn("__row", F.monotonically_increasing_id()), "mix-ties").withColumn("__part", F.shiftright("__row", 33))
+    keys = ["__source", "__size", "__part"]
+    before = (ties.groupBy(*keys).agg(F.count("*").alias("c"))
+              .withColumn("__before", F.sum("c").over(Window.partitionBy("__source", "__size").orderBy("__part")) - F.col("c"))  # a row a part
+              .select(*(F.col(k).alias(f"{k}_") for k in keys), "__before"))
+    ties = (ties.withColumn("__k", F.row_number().over(Window.partitionBy(*keys).orderBy("__row")))
+            .join(before, F.col("__source").eqNullSafe(F.col("__source_")) & (F.col("__size") == F.col("__size_")) & (F.col("__part") == F.col("__part_"))))
+    return taken(ruled.where(~numbered), once_more).unionByName(taken(ties, F.col("__before") + F.col("__k") <= F.col("__left")))
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
