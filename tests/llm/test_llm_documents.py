@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from callgauge.llm import decontaminate, fingerprints, licenses, mixing, ngram_join, quality, secrets, token_store, toxicity
+from callgauge.llm.components import connected
 from callgauge.llm.textbytes import Words, flat
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -140,6 +141,28 @@ def test_prefixes_shorten_until_the_recall():
         assert d == ngram_join.DEPTH or ngram_join.recall_at(s, d + 1, ngram_join.TREES) < ngram_join.RECALL
 
 
+def test_components(spark):
+    """Paths in the order of their ids, a hub, loops, parallel edges, and no edges."""
+    rng = random.Random(8)
+    edges = [(i, i + 1) for i in range(300)] + [(1000, 1001 + i) for i in range(500)] + [(2000, 2000), (2001, 2002), (2002, 2001)]
+    edges += [(rng.randrange(3000, 3400), rng.randrange(3000, 3400)) for _ in range(220)]
+    root = {x: x for e in edges for x in e}
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for u, v in edges:
+        root[max(top(u), top(v))] = min(top(u), top(v))
+    got = connected(spark.createDataFrame(edges, "u long, v long")).collect()
+    assert sorted(r.node for r in got) == sorted({x for e in edges if e[0] != e[1] for x in e})
+    of = {r.node: r.root for r in got}
+    assert all(of[r] == r and top(n) == top(r) for n, r in of.items())
+    assert len(set(of.values())) == len({top(n) for n in of})
+    assert connected(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
 def test_trie_keeps_every_shared_path(spark):
     """The sorted, pruned trie holds all paths that share a node, across ranges and batches."""
     rng = np.random.default_rng(3)
