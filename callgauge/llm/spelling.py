@@ -64,7 +64,7 @@ def _edges(words: DataFrame) -> DataFrame:
     parent's), letter, child, low and high (bits of the letters after the child), here (the word that ends
     at the child), only and tail (the only word below the child, and its rest from there)."""
     rows = (words.selectExpr("word", "inline(array(struct(0 as way, word as s), struct(1 as way, reverse(word) as s)))")
-            .selectExpr("word", "way", "s", "explode(sequence(3, char_length(s))) as k")  # no word starts above depth 2
+            .selectExpr("word", "way", "s", "explode(sequence(3, char_length(s) + 1)) as k")  # no word starts above depth 2; the last is the word's end
             .selectExpr("word", "k - 1 as depth", "xxhash64(way, substring(s, 1, k - 1)) as parent", "substring(s, k, 1) as letter",
                         "xxhash64(way, substring(s, 1, k)) as child", "substring(s, k + 1) as tail"))
     bit = _bit("tail")
@@ -72,8 +72,8 @@ def _edges(words: DataFrame) -> DataFrame:
         F.count("*").alias("c"), F.min("word").alias("only"), F.min("tail").alias("tail"), F.min(F.expr("if(tail = '', word, null)")).alias("here"),
         F.bit_or(F.expr(f"if(tail <> '' and {bit} < 63, shiftleft(1L, {bit}), 0L)")).alias("low"),
         F.bit_or(F.expr(f"if(tail <> '' and {bit} >= 63, shiftleft(1L, {bit} - 63), 0L)")).alias("high"))
-    below = F.sum("c").over(Window.partitionBy("parent"))  # at most one edge a letter
-    return (edges.withColumn("below", below).where("below > 1")
+    below = F.sum("c").over(Window.partitionBy("parent"))  # at most one edge a letter, and the end of a word
+    return (edges.withColumn("below", below).where("below > 1 and letter <> ''")
             .select("parent", "letter", "child", "low", "high", "here", F.expr("if(c = 1, only, null)").alias("only"), F.expr("if(c = 1, tail, null)").alias("tail"), "depth"))
 
 

@@ -84,10 +84,10 @@ def test_variants_against_brute_force(spark):
         w = "".join(rng.choice("abé") for _ in range(rng.choice([5, 5, 6, 6, 7, 8, 9])))
         counts[w] = rng.randint(3, 60)
     for w in list(counts)[:100]:
-        counts[w + "tail" * 30] = rng.randint(3, 60)
-        counts[w + "tail" * 29 + "tai"] = rng.randint(3, 60)
+        counts[w + "tail" * 3] = rng.randint(3, 60)
+        counts[w + "tail" * 2 + "tai"] = rng.randint(3, 60)
         counts["ÿ" + w] = 4
-    for k in range(5, 30):
+    for k in range(5, 20):
         counts["a" * k] = 3 * k
     df = spark.createDataFrame(list(counts.items()), "word string, n long")
     assert as_rows(spelling.variants(df)) == brute_variants(counts)
@@ -208,7 +208,7 @@ def test_patterns_discover_unseen_identifiers(spark):
         texts.append(f"the order number {rng.randrange(10**9, 10**10)} was shipped from 10.0.{i}.7 today")
     texts += ["you can phone me (555) 123-4567 after lunch", "or write to jo (at) example (dot) org when ready", "it says 555.123.4567 somewhere", "nothing 998877665544 here"]
     texts += ["ring back 555 123 4567 tonight", "ring back 555 222 3333 tonight", "you can phone me 555 222 3333 after lunch"] * 2
-    texts += [f"ring back 555 999 {k:04d} tonight" for k in range(2)] + [f"you can phone me 555 999 {k:04d} after lunch" for k in range(2)] + ["ring back 555 999 7777 tonight"]
+    texts += [f"ring back 555 999 {k:04d} tonight" for k in range(30)] + [f"you can phone me 555 999 {k:04d} after lunch" for k in range(30)] + ["ring back 555 999 7777 tonight"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: r for r in personal.find_personal(df).collect()}
     accepted = brute_discovered(texts)
