@@ -206,9 +206,10 @@ def test_patterns_discover_unseen_identifiers(spark):
         texts.append(f"you can phone me +1 555 {rng.randrange(100, 999)} {rng.randrange(1000, 9999)} after lunch")
         texts.append(f"or write to user{i}@mail.example.org when ready")
         texts.append(f"the order number {rng.randrange(10**9, 10**10)} was shipped from 10.0.{i}.7 today")
+    texts += [f"you can phone me +1 555 {k:07d} after lunch" for k in range(120)]
     texts += ["you can phone me (555) 123-4567 after lunch", "or write to jo (at) example (dot) org when ready", "it says 555.123.4567 somewhere", "nothing 998877665544 here"]
     texts += ["ring back 555 123 4567 tonight", "ring back 555 222 3333 tonight", "you can phone me 555 222 3333 after lunch"] * 2
-    texts += [f"ring back 555 999 {k:04d} tonight" for k in range(30)] + [f"you can phone me 555 999 {k:04d} after lunch" for k in range(30)] + ["ring back 555 999 7777 tonight"]
+    texts += [f"ring back 555 999 {k:04d} tonight" for k in range(15)] + [f"you can phone me 555 999 {k:04d} after lunch" for k in range(15)] + ["ring back 555 999 7777 tonight"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: r for r in personal.find_personal(df).collect()}
     accepted = brute_discovered(texts)
