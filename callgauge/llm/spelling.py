@@ -37,9 +37,10 @@ RUN = "[A-Za-z\u00C0-\u00FF]+"
 DELETED = 97
 
 
-def runs(docs: DataFrame) -> DataFrame:
-    """doc_id and run: every maximal run of letters, lower-cased."""
+def runs(docs: DataFrame, least_length: int = 1) -> DataFrame:
+    """doc_id and run: every maximal run of that many letters or more, lower-cased."""
     found = docs.select("doc_id", F.explode(F.regexp_extract_all(F.col("text").cast("string"), F.lit(RUN), F.lit(0))).alias("run"))
+    found = found.where(F.char_length("run") >= least_length)
     ascii_ = F.octet_length("run") == F.char_length("run")  # lower() changes other letters as well
     return found.withColumn("run", F.when(ascii_, F.lower("run")).otherwise(F.translate("run", UPPER, UPPER.lower())))
 
@@ -78,13 +79,12 @@ def _edges(words: DataFrame) -> DataFrame:
 
 
 _FIRST = _bit("rest")
-#: What an edge does to a state: rest and edits behind it.
-_MOVES = """inline(filter(array(
-    if(s_rest <> '' and letter = substring(s_rest, 1, 1), struct(substring(s_rest, 2) as rest, s_edits as edits), null),
-    if(s_edits = 0 and s_rest <> '' and letter <> substring(s_rest, 1, 1), struct(substring(s_rest, 2) as rest, 1 as edits), null),
-    if(s_edits = 0, struct(s_rest as rest, 1 as edits), null),
-    if(s_edits = 0 and char_length(s_rest) > 1 and letter = substring(s_rest, 2, 1), struct(substring(s_rest, 3) as rest, 1 as edits), null)),
-    x -> x is not null))"""
+#: What an edge does to a state: it matches the next letter (1), replaces it (2), is inserted (3), or matches the one after it (4).
+_MOVES = """case move when 1 then s_rest <> '' and letter = substring(s_rest, 1, 1)
+    when 2 then s_edits = 0 and s_rest <> '' and letter <> substring(s_rest, 1, 1)
+    when 3 then s_edits = 0
+    else s_edits = 0 and char_length(s_rest) > 1 and letter = substring(s_rest, 2, 1) end"""
+_REST = "substring(s_rest, case move when 3 then 1 when 4 then 3 else 2 end)"
 #: A word found: the only one below the child, the one that ends there, or the state's own without its last letter.
 _NEAR = """case when edits = 1 and only is not null then if(rest = tail, only, null)
     when edits = 1 and rest = '' then here
@@ -112,7 +112,8 @@ def near_words(words: DataFrame) -> DataFrame:
             states = alive if states is None else states.unionByName(alive)
         level = edges.where(F.col("depth") == k).drop("depth")
         moved = (states.join(level, (F.col("node") == F.col("parent")) & ((F.col("s_edits") == 0) | (F.col("letter") == F.substring("s_rest", 1, 1))))
-                 .selectExpr("word", "child", "low", "high", "here", "only", "tail", _MOVES)
+                 .withColumn("move", F.explode(F.array(*map(F.lit, range(1, 5))))).where(_MOVES)
+                 .selectExpr("word", "child", "low", "high", "here", "only", "tail", f"{_REST} as rest", "if(move = 1, s_edits, 1) as edits")
                  .selectExpr("word", "rest", "child", "edits", f"{_NEAR} as near", f"coalesce({_ALIVE}, false) as alive").where("alive or near is not null"))
         moved = common.stored(moved, f"trie-level-{k}")
         pairs.append(moved.where("near is not null").select("word", "near"))
@@ -184,4 +185,4 @@ SELECT word, form, root, n, n_near, form_n FROM formed JOIN last USING (word)
 def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     common.prepare(spark)
     docs = common.table(spark, sf_dir, "documents")
-    return variants(word_counts(misspelt(runs(docs))))
+    return variants(word_counts(misspelt(runs(docs, LEAST_LENGTH))))  # a run only gets shorter
