@@ -33,30 +33,55 @@ def normalise_model(model: str) -> Column:
     return F.expr(normalise_model_sql(model))
 
 
+#: Largest rate (USD per token) that RATE_TYPE holds.
+MOST_RATE = Decimal(10) ** 6
+
+
 def per_token_rates(prices=PRICES, input_scale: Decimal = Decimal(1)):
-    """(model, r_in, r_out, r_cache_write, r_cache_read) in USD per token, exact."""
+    """(model, r_in, r_out, r_cache_write, r_cache_read) in USD per token, exact. A row whose
+    figures aren't numbers from 0 up is an error here; :func:`checked_rates` tells it apart."""
+    out = []
+    for model, rates, error in checked_rates(prices, input_scale):
+        if error is not None:
+            raise ValueError(error)
+        out.append((model, *rates))
+    return out
+
+
+def checked_rates(prices=PRICES, input_scale: Decimal = Decimal(1)):
+    """(model, (r_in, r_out, r_cache_write, r_cache_read), None) of each price row, or
+    (model, None, what is wrong with it)."""
     out = []
     mill = Decimal(1_000_000)
-    for model, pin, pout, mw, mr in prices:
-        pin_d = Decimal(pin) * input_scale
-        out.append((model, pin_d / mill, Decimal(pout) / mill,
-                    pin_d * Decimal(mw) / mill, pin_d * Decimal(mr) / mill))
+    for model, *figures in prices:
+        try:
+            pin, pout, mw, mr = (Decimal(str(x)) for x in figures)
+            pin *= input_scale
+            rates = (pin / mill, pout / mill, pin * mw / mill, pin * mr / mill)
+            if not all(r.is_finite() and 0 <= r < MOST_RATE for r in rates):
+                raise ValueError
+            out.append((model, rates, None))
+        except (ArithmeticError, ValueError):
+            out.append((model, None, f"pricing: the price list has no valid rates for {model}"))
     return out
 
 
-def rate_map_sql(prices=PRICES, input_scale: Decimal = Decimal(1)) -> str:
+def rate_map_sql(prices=PRICES, input_scale: Decimal = Decimal(1), strict: bool = True) -> str:
     entries = []
-    for model, rin, rout, rcw, rcr in per_token_rates(prices, input_scale):
-        rates = ", ".join(f"'{n}', CAST('{r}' AS {RATE_TYPE})"
-                          for n, r in zip(("r_in", "r_out", "r_cw", "r_cr"), (rin, rout, rcw, rcr)))
-        entries.append(f"{_sql_str(model)}, named_struct({rates})")
+    for model, found, error in checked_rates(prices, input_scale):
+        if strict and error is not None:
+            raise ValueError(error)
+        rates = ", ".join(f"'{n}', CAST({_sql_str(str(r)) if r is not None else 'NULL'} AS {RATE_TYPE})"
+                          for n, r in zip(("r_in", "r_out", "r_cw", "r_cr"), found or (None,) * 4))
+        problem = "" if strict else f", 'error', CAST({_sql_str(error) if error is not None else 'NULL'} AS STRING)"
+        entries.append(f"{_sql_str(model)}, named_struct({rates}{problem})")
     return f"map({', '.join(entries)})"
 
 
-def price_of_sql(model: str, prices=PRICES, input_scale: Decimal = Decimal(1)) -> str:
+def price_of_sql(model: str, prices=PRICES, input_scale: Decimal = Decimal(1), strict: bool = True) -> str:
     """Rate struct: exact model name first, else the normalised name; NULL when
     neither is listed."""
-    m = rate_map_sql(prices, input_scale)
+    m = rate_map_sql(prices, input_scale, strict)
     return f"coalesce(try_element_at({m}, {model}), try_element_at({m}, {normalise_model_sql(model)}))"
 
 
@@ -76,7 +101,7 @@ def cost_from_rates_sql(rates: str, input_tokens: str = "input_tokens",
 
     total = " + ".join([term(input_tokens, "r_in"), term(output_tokens, "r_out"),
                         term(cache_write_tokens, "r_cw"), term(cache_read_tokens, "r_cr")])
-    return f"IF({rates} IS NULL, CAST(NULL AS {COST_TYPE}), CAST(round({total}, 8) AS {COST_TYPE}))"
+    return f"IF({rates} IS NULL, CAST(NULL AS {COST_TYPE}), try_cast(round({total}, 8) AS {COST_TYPE}))"
 
 
 def with_cost(df: DataFrame, out_col: str = "cost_usd", model: str = "model", prices=PRICES,
@@ -88,5 +113,14 @@ def with_cost(df: DataFrame, out_col: str = "cost_usd", model: str = "model", pr
             .drop("_rates"))
 
 
+def with_cost_or_error(df: DataFrame, out_col: str = "cost_usd", error_col: str = "enrich_error", model: str = "model", prices=PRICES) -> DataFrame:
+    """Add ``out_col`` and, where a listed model has no valid rates or the cost doesn't fit its
+    type, ``error_col``: one bad price row or count fails its own events only."""
+    staged = (df.withColumn("_rates", F.expr(price_of_sql(model, prices, strict=False)))
+              .withColumn(out_col, F.expr(cost_from_rates_sql("_rates"))))
+    error = f"CASE WHEN _rates.error IS NOT NULL THEN _rates.error WHEN _rates IS NOT NULL AND {out_col} IS NULL THEN concat('pricing: the cost of this call is out of range for ', {model}) END"
+    return staged.withColumn(error_col, F.expr(error)).drop("_rates")
+
+
 def pricing_version_lit(version: str = PRICING_VERSION) -> Column:
     return F.lit(version)

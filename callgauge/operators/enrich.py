@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from callgauge.constants import PRICES, PRICING_VERSION
-from callgauge.functions.pricing import is_priced, normalise_model, with_cost
+from callgauge.functions.pricing import is_priced, normalise_model, with_cost, with_cost_or_error
 from callgauge.functions.timebin import round_div
 
 
@@ -20,6 +20,12 @@ def price_events(events: DataFrame, prices=PRICES, version: str = PRICING_VERSIO
         "pricing_version", F.lit(version))
 
 
+def try_price_events(events: DataFrame, prices=PRICES, version: str = PRICING_VERSION) -> DataFrame:
+    """Like :func:`price_events`, with ``enrich_error`` for events that can't be priced: no price
+    row or count ends the job. (Redaction has no input that it fails on.)"""
+    return with_cost_or_error(events, "cost_usd", "enrich_error", "model", prices).withColumn("pricing_version", F.lit(version))
+
+
 def pricing_coverage(events: DataFrame, prices=PRICES) -> DataFrame:
     """Models with no price: calls and share of all calls.
 

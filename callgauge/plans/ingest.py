@@ -16,6 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from callgauge.constants import PRICES
 from callgauge.operators import enrich, redaction, rollup, validate
 from callgauge.sources.eventlog import OVERFLOW
 
@@ -38,11 +39,16 @@ class IngestResult:
     dlq: DataFrame           # dead-lettered envelopes and events
 
 
-def _checked(lines: DataFrame, now: str | None) -> DataFrame:
-    """One row per event of an accepted envelope and one per rejected envelope, validated and typed."""
+def _checked(lines: DataFrame, now: str | None, prices=PRICES) -> DataFrame:
+    """One row per event of an accepted envelope and one per rejected envelope, validated, typed
+    and priced. An event that is well-formed but can't be priced has an ``enrich_error`` and is
+    not ``valid``: it alone is parked, and the job goes on."""
     rows = validate.validate_events(validate.explode_all(validate.validate_envelopes(lines)))
     typed = validate.typed_events(rows, ingested_at=now, keep=True)
-    return typed.withColumn("valid", F.expr("envelope_ok AND event IS NOT NULL AND size(reasons) = 0"))
+    typed = typed.withColumn("well_formed", F.expr("envelope_ok AND event IS NOT NULL AND size(reasons) = 0"))
+    priced = enrich.try_price_events(typed, prices)
+    priced = priced.withColumn("enrich_error", F.when(F.col("well_formed"), F.col("enrich_error")))
+    return priced.withColumn("valid", F.col("well_formed") & F.col("enrich_error").isNull())
 
 
 DELIVERY = ["batch_id", "position", "_line"]
@@ -60,12 +66,12 @@ def _log_keys(log: DataFrame, rows: DataFrame) -> DataFrame:
     return log.select(*key, "event_month").join(months, "event_month", "left_semi").select(*key)
 
 
-def checked_rows(lines: DataFrame, now: str | None = None) -> DataFrame:
+def checked_rows(lines: DataFrame, now: str | None = None, prices=PRICES) -> DataFrame:
     """The validated rows of a load. Verbatim copies of an envelope become one,
     with their number in ``copies`` (a partial aggregate; nothing depends on
     the order or the partitioning of the lines)."""
     once = lines.groupBy("batch_id", "body").agg(F.count("*").alias("copies"))
-    return _checked(once.withColumn("_line", F.sha2("body", 256)), now).drop("event")
+    return _checked(once.withColumn("_line", F.sha2("body", 256)), now, prices).drop("event")
 
 
 def flag_rows(lines: DataFrame, log: DataFrame | None = None, now: str | None = None) -> DataFrame:
@@ -86,84 +92,74 @@ def flag_new(typed: DataFrame, log: DataFrame | None = None) -> DataFrame:
         seen = _log_keys(log, typed.filter("valid"))
         first = first.join(seen, key, "left_anti")
     typed = typed.join(first, key, "left")
-    return typed.withColumn("is_new", F.coalesce(F.col("valid") & (F.struct(*DELIVERY) == F.col("_first")), F.lit(False))).drop("_first", "_line")
+    return typed.withColumn("is_new", F.coalesce(F.col("valid") & (F.struct(*DELIVERY) == F.col("_first")), F.lit(False))).drop("_first")
 
 
-def acks(lines: DataFrame, log: DataFrame | None = None, now: str | None = None, with_errors: bool = False) -> DataFrame:
-    """The acknowledgements of a load (as :func:`ack_of` gives them) without its rows: verdicts are
-    counted by (key, envelope) in one shuffle of narrow rows, and both the first delivery of
-    each key and the counts of each envelope are aggregates of that table."""
+def acks(lines: DataFrame, log: DataFrame | None = None, now: str | None = None, with_errors: bool = False, prices=PRICES) -> DataFrame:
+    """The acknowledgements of a load of envelope lines, without its rows."""
+    return ack_of(_checked(lines, now, prices).withColumn("copies", F.lit(1).cast("long")), log, with_errors)
+
+
+def ack_of(checked: DataFrame, log: DataFrame | None = None, with_errors: bool = False) -> DataFrame:
+    """Per batch: accepted (new rows), duplicates (valid but already seen),
+    rejected and dead-lettered (events that are invalid or can't be priced, or 1 for a rejected envelope).
+
+    Verdicts are counted by (key, envelope, error) in one shuffle of narrow rows; the first delivery of
+    each key and the counts of each envelope are aggregates of that table.
+    ``with_errors`` adds ``errors`` = [{event_id, reason, paths, copies}], an entry
+    a different rejected event (event id when it is a string) or rejected envelope ({NULL,
+    'invalid batch envelope'}) with the number of its deliveries, so that however often one
+    comes, the list has no more entries than different bodies of the batch have events."""
     key = rollup.DEDUP_KEY
-    rows = _checked(lines, now).select(
-        "batch_id", "position", F.when(F.col("valid"), F.col("event_id")).alias("event_id"),
-        F.when(F.col("valid"), F.col("created_at")).alias("created_at"), "valid", "envelope_ok", "envelope_reasons", "wire_event_id", "reasons")
-    by_key = rows.groupBy("batch_id", *key).agg(
-        F.count_if("valid").alias("_valid"), *_rejections("1L"), *([_error_list("1")] if with_errors else []))
+    error = F.expr(
+        "CASE WHEN NOT envelope_ok THEN named_struct('position', -1, 'event_id', CAST(NULL AS STRING), 'reason', 'invalid batch envelope', 'paths', envelope_reasons) "
+        "WHEN position IS NOT NULL AND NOT valid THEN named_struct('position', position, 'event_id', wire_event_id, "
+        "'reason', coalesce(enrich_error, array_join(reasons, '; ')), 'paths', IF(enrich_error IS NULL, reasons, array(enrich_error))) END")
+    rows = checked.select(
+        "batch_id", F.when(F.col("valid"), F.col("event_id")).alias("event_id"), F.when(F.col("valid"), F.col("created_at")).alias("created_at"),
+        "valid", "envelope_ok", "position", "copies", *([error.alias("_err")] if with_errors else []))
+    by_key = rows.groupBy("batch_id", *key, *(["_err"] if with_errors else [])).agg(
+        F.expr("sum(IF(valid, copies, 0L))").alias("_valid"), F.expr("sum(IF(envelope_ok, 0L, copies))").alias("_rej_env"),
+        F.expr("sum(IF(envelope_ok AND position IS NOT NULL AND NOT valid, copies, 0L))").alias("_rej"))
     new = by_key.filter("_valid > 0").groupBy(*key).agg(F.min("batch_id").alias("batch_id"))
     if log is not None:
         new = new.join(_log_keys(log, by_key.filter("_valid > 0")), key, "left_anti")
-    counts = by_key.select("batch_id", F.lit(0).alias("_new"), "_valid", "_rej_env", "_rej", *(["_errs"] if with_errors else []))
+    entry = F.expr("IF(_err IS NULL, NULL, named_struct('position', _err.position, 'event_id', _err.event_id, 'reason', _err.reason, 'paths', _err.paths, 'copies', _rej_env + _rej))")
+    counts = by_key.select("batch_id", F.lit(0).alias("_new"), "_valid", "_rej_env", "_rej", *([entry.alias("_err")] if with_errors else []))
     u = counts.unionByName(new.select("batch_id", F.lit(1).alias("_new")), allowMissingColumns=True)
     g = u.groupBy("batch_id").agg(
         F.sum("_new").alias("accepted"), F.sum("_valid").alias("_valid"), F.sum("_rej_env").alias("_rej_env"), F.sum("_rej").alias("_rej"),
-        *([F.expr("array_sort(flatten(collect_list(_errs)))").alias("_errs")] if with_errors else []))
-    return _ack_columns(g, with_errors)
-
-
-def _rejections(copies: str) -> list:
-    return [F.expr(f"sum(IF(envelope_ok, 0L, {copies}))").alias("_rej_env"),
-            F.expr(f"sum(IF(envelope_ok AND position IS NOT NULL AND NOT valid, {copies}, 0L))").alias("_rej")]
-
-
-def _error_list(copies: str):
-    return F.expr(
-        "array_sort(flatten(collect_list(array_repeat(CASE WHEN NOT envelope_ok THEN named_struct('position', -1, "
-        "'event_id', CAST(NULL AS STRING), 'reason', 'invalid batch envelope', 'paths', envelope_reasons) "
-        "WHEN position IS NOT NULL AND NOT valid THEN named_struct('position', position, "
-        "'event_id', wire_event_id, 'reason', array_join(reasons, '; '), 'paths', reasons) END, IF(envelope_ok AND (position IS NULL OR valid), 0, CAST(" + copies + " AS INT))))))").alias("_errs")
-
-
-def _ack_columns(g: DataFrame, with_errors: bool) -> DataFrame:
+        *([F.expr("array_sort(collect_list(_err))").alias("_errs")] if with_errors else []))
     cols = ["batch_id", "CAST(accepted AS BIGINT) AS accepted",
             "CAST(_valid - accepted AS BIGINT) AS duplicates",
             "CAST(_rej_env + _rej AS BIGINT) AS rejected",
             "CAST(_rej_env + _rej AS BIGINT) AS dead_lettered"]
     if with_errors:
         cols.append("transform(_errs, e -> named_struct('event_id', e.event_id, 'reason', e.reason, "
-                    "'paths', array_sort(array_distinct(transform(e.paths, r -> substring_index(r, ': ', 1)))))) AS errors")
+                    "'paths', array_sort(array_distinct(transform(e.paths, r -> substring_index(r, ': ', 1)))), 'copies', e.copies)) AS errors")
     return g.selectExpr(*cols)
 
 
-def ack_of(flagged: DataFrame, with_errors: bool = False) -> DataFrame:
-    """Per batch: accepted (new rows), duplicates (valid but already seen),
-    rejected and dead-lettered (invalid events, or 1 for a rejected envelope).
-
-    ``with_errors`` adds ``errors`` = [{event_id, reason, paths}] for the
-    rejected events (event id when it is a string) or one {NULL, 'invalid batch
-    envelope'} entry a delivery; bounded by the batch size (<= 500)."""
-    aggs = [F.count_if("is_new").alias("accepted"), F.expr("sum(IF(valid, copies, 0L))").alias("_valid"), *_rejections("copies")]
-    if with_errors:
-        aggs.append(_error_list("copies"))
-    return _ack_columns(flagged.groupBy("batch_id").agg(*aggs), with_errors)
-
-
 def dlq_of(flagged: DataFrame, now: str | None = None) -> DataFrame:
     """Dead-letter rows: a rejected envelope keeps its whole body (stage
     'envelope'); a rejected event keeps its JSON and its id when that is a
-    string (stage 'validate'). The error text is whole; verbatim copies of an
-    envelope park their rejects once, with the number of copies as attempts."""
+    string (stage 'validate'), and so does a well-formed one that can't be
+    priced (stage 'enrich'). The error text is whole; verbatim copies of an
+    envelope park their rejects once, with the number of copies as attempts.
+    ``dlq_id`` names the batch, the position and the envelope's hash: different
+    bodies of one batch_id park their own."""
     ts = f"TIMESTAMP '{now}'" if now else "current_timestamp()"
     bad = flagged.filter("NOT envelope_ok OR (position IS NOT NULL AND NOT valid)")
-    return merge_dlq(bad.selectExpr(
-        "IF(envelope_ok, concat('b', CAST(batch_id AS STRING), '-', CAST(position AS STRING)), "
-        "concat('b', CAST(batch_id AS STRING))) AS dlq_id",
+    return merge_dlq(bad.withColumn(
+        "_why", F.expr("CASE WHEN NOT envelope_ok THEN envelope_reasons WHEN well_formed THEN array(enrich_error) ELSE reasons END")).selectExpr(
+        "concat_ws('-', concat('b', CAST(batch_id AS STRING)), IF(envelope_ok, CAST(position AS STRING), NULL), left(_line, 32)) AS dlq_id",
         "batch_id", "position",
         "IF(envelope_ok, raw, body) AS payload",
         "IF(envelope_ok, wire_event_id, NULL) AS event_id",
-        "IF(envelope_ok, 'validate', 'envelope') AS stage",
-        "IF(envelope_ok, reasons, envelope_reasons) AS reasons",
+        "CASE WHEN NOT envelope_ok THEN 'envelope' WHEN well_formed THEN 'enrich' ELSE 'validate' END AS stage",
+        "_why AS reasons",
         "sdk_version",
-        "array_join(IF(envelope_ok, reasons, envelope_reasons), '; ') AS error",
+        "array_join(_why, '; ') AS error",
         "copies AS attempts", f"{ts} AS first_seen_at", f"{ts} AS last_seen_at",
         "CAST(NULL AS TIMESTAMP) AS replayed_at"))
 
@@ -186,9 +182,9 @@ def merge_dlq(*dlqs: DataFrame) -> DataFrame:
 
 
 def ingest(lines: DataFrame, log: DataFrame | None = None, now: str | None = None,
-           redaction_mode: str = "both", preview_chars: int = redaction.PREVIEW_CHARS) -> IngestResult:
+           redaction_mode: str = "both", preview_chars: int = redaction.PREVIEW_CHARS, prices=PRICES) -> IngestResult:
     """Full write path for envelope lines (``batch_id``, ``body``)."""
-    return ingest_checked(checked_rows(lines, now), log, now, redaction_mode, preview_chars)
+    return ingest_checked(checked_rows(lines, now, prices), log, now, redaction_mode, preview_chars)
 
 
 def ingest_checked(checked: DataFrame, log: DataFrame | None = None, now: str | None = None,
@@ -197,10 +193,9 @@ def ingest_checked(checked: DataFrame, log: DataFrame | None = None, now: str |
     """The write path from checked rows on; ``keep`` is applied to the flagged rows (a loader persists them)."""
     flagged = keep(flag_new(checked, log))
     new = flagged.filter("is_new")
-    new = enrich.price_events(new)
     if redaction_mode in ("ingest", "both"):
         new = redaction.redaction_second_pass(
             new.withColumnRenamed("input_preview", "_in").withColumnRenamed("output_preview", "_out"),
             redaction_mode, preview_chars, "_in", "_out")
     inserted = new.select(*EVENT_LOG_COLUMNS)
-    return IngestResult(flagged, inserted, rollup.rollup_1m(inserted), ack_of(flagged), dlq_of(flagged, now))
+    return IngestResult(flagged, inserted, rollup.rollup_1m(inserted), ack_of(checked, log), dlq_of(flagged, now))

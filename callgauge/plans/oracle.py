@@ -1319,3 +1319,55 @@ def dashboard_bundle_sql() -> str:
 
 
 ORACLE["dashboard_bundle"] = dashboard_bundle_sql()
+
+
+#: The model whose row of the price list is bad in the queries of stage 'enrich'.
+UNPRICED = "model = 'claude-haiku-4-5' OR regexp_replace(model, '-\\d{8}$', '') = 'claude-haiku-4-5'"
+
+
+def quarantine_enrich_sql() -> str:
+    return f"""{quarantine_split_sql()}
+UNION ALL
+SELECT 'b' || CAST(batch_id AS VARCHAR) || '-' || CAST(position AS VARCHAR), 'enrich', wire_id, ['pricing']
+FROM wv WHERE env_ok AND ev_ok AND ({UNPRICED})"""
+
+
+def dlq_replay_stored_sql() -> str:
+    return f"""WITH {wire_cte()},
+d AS (SELECT DISTINCT batch_id, -1 AS position, 'envelope' AS what FROM wv WHERE NOT env_ok
+      UNION ALL SELECT batch_id, position, 'validate' FROM wv WHERE env_ok AND NOT ev_ok
+      UNION ALL SELECT batch_id, position, 'enrich' FROM wv WHERE env_ok AND ev_ok AND ({UNPRICED})),
+k AS (SELECT count(*) AS ok, count(*) FILTER (WHERE {UNPRICED}) AS late FROM wv WHERE env_ok AND ev_ok)
+SELECT what, count(*) AS rows, count(*) FILTER (WHERE what <> 'enrich') AS pending FROM d GROUP BY what
+UNION ALL SELECT 'events of batch 0', ok - late, 0 FROM k
+UNION ALL SELECT 'events of replay 0', late, 0 FROM k WHERE late > 0
+UNION ALL SELECT 'rollup calls', ok, 0 FROM k"""
+
+
+def _log_state_sql(erased: str, detached: str) -> str:
+    return f"""WITH {conv_cte()}, {ie_cte(False)},
+e AS (SELECT *, conversation_id IN (SELECT id FROM conv WHERE status = 'deleted') AS gone FROM ie)
+SELECT strftime(created_at, '%Y-%m') AS event_month, count(*) AS events, count(*) FILTER (WHERE NOT ({erased} AND gone)) AS previews,
+       count(user_id) FILTER (WHERE NOT ({erased} AND gone)) AS users, count(*) FILTER (WHERE NOT ({detached} AND gone)) AS references,
+       CAST(sum(latency_ms) AS BIGINT) AS sum_latency_ms, count(*) AS rollup_calls
+FROM e GROUP BY 1"""
+
+
+def retention_drop_sql() -> str:
+    """Events of January are past 90 days on 2 May; those 40 days ahead are not. Rollup days stay; the dead letters of 1 February are past 30 days."""
+    return f"""WITH {ie_cte(False)},
+e AS (SELECT created_at + CASE WHEN CAST(event_id AS BIGINT) % 97 = 5 THEN INTERVAL 40 DAY ELSE INTERVAL 0 DAY END AS t, provider, model FROM ie),
+p AS (SELECT 'events' AS table_name, strftime(t, '%Y-%m') AS part, count(*) AS rows FROM e
+      WHERE date_trunc('month', t) + INTERVAL 1 MONTH > TIMESTAMP '2024-05-02 00:00:00' - INTERVAL 90 DAY GROUP BY 2
+      UNION ALL
+      SELECT 'rollup_delta', strftime(t, '%Y-%m-%d'), count(DISTINCT (date_trunc('minute', t), provider, model)) FROM e GROUP BY 2)
+SELECT table_name, part, rows, rows AS held FROM p"""
+
+
+ORACLE.update({
+    "quarantine_enrich": quarantine_enrich_sql(),
+    "dlq_replay_stored": dlq_replay_stored_sql(),
+    "erase_stored": _log_state_sql("true", "false"),
+    "delete_stored": _log_state_sql("false", "true"),
+    "retention_drop": retention_drop_sql(),
+})

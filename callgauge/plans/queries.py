@@ -13,6 +13,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from callgauge.constants import PRICES
 from callgauge.functions.histogram import bucket_index, hist_sum, histogram_of, with_percentiles
 from callgauge.functions.histogram import hist_add
 from callgauge.functions.timebin import PLAIN, PLAIN_US, fmt
@@ -141,8 +142,38 @@ def _since(range_key):
     return (datetime.fromisoformat(adapters.as_of_for(range_key)) - timedelta(minutes=minutes)).isoformat(sep=" ")
 
 
+#: Stored logs of this application: (application, what, tables) -> folder.
+_STORES: dict[tuple, str] = {}
+
+
+def _stored(spark, sf_dir, what, fill) -> str:
+    """A folder with the stored log ``what`` of these tables, filled by a load when it is first asked for."""
+    from callgauge.streaming import jobs
+    key = (spark.sparkContext.applicationId, what, sf_dir)
+    if key not in _STORES:
+        dst = jobs.scratch(spark, f"store-{what}")
+        fill(dst)
+        _STORES[key] = dst
+    return _STORES[key]
+
+
+def event_store(spark, sf_dir, dense: bool) -> str:
+    """The stored event log and minute rollup of the events table."""
+    from callgauge.streaming import jobs
+    return _stored(spark, sf_dir, "dense" if dense else "raw",
+                   lambda dst: jobs.store_events(spark, adapters.inference_events(spark, sf_dir, dense), dst))
+
+
+def ingest_store(spark, sf_dir) -> str:
+    """What the direct loader stored of the envelopes."""
+    from callgauge.streaming import jobs
+    return _stored(spark, sf_dir, "ingest", lambda dst: jobs.load_direct(spark, adapters.envelope_lines(spark, sf_dir), dst, 0, now=LOAD_TIME))
+
+
 def _range_rollup(spark, sf_dir, range_key):
-    return rollup_table(spark, sf_dir, adapters.dense_for(range_key), _since(range_key))
+    """The range's buckets of the stored rollup; no event is read."""
+    from callgauge.streaming import jobs
+    return jobs.read_rollup(spark, event_store(spark, sf_dir, adapters.dense_for(range_key)), _since(range_key))
 
 
 def _range_events(spark, sf_dir, range_key):
@@ -214,7 +245,7 @@ def q_known_models(spark, sf_dir):
 def q_rollup_vs_raw_gap(spark, sf_dir):
     dense, as_of = _rng("6h")
     ev = priced_events(spark, sf_dir, dense, _since("6h"))
-    return metrics.rollup_vs_raw_gap(rollup.rollup_1m(ev), ev, "6h", as_of)
+    return metrics.rollup_vs_raw_gap(_range_rollup(spark, sf_dir, "6h"), ev, "6h", as_of)
 
 
 @register("mean_latency_ttft")
@@ -393,9 +424,9 @@ def q_client_loss(spark, sf_dir):
 @register("ingest_ack")
 def q_ingest_ack(spark, sf_dir):
     """Acknowledgements of a first load (no prior log) in which every fifth
-    envelope comes twice; errors as text: event id and reason paths."""
+    envelope comes twice; errors as text, once a delivery: event id and reason paths."""
     a = ingest.acks(_lines_with_copies(spark, sf_dir), now=LOAD_TIME, with_errors=True)
-    return a.withColumn("errors", F.expr("transform(errors, e -> concat(coalesce(e.event_id, ''), ' ', array_join(e.paths, ',')))"))
+    return a.withColumn("errors", F.expr("flatten(transform(errors, e -> array_repeat(concat(coalesce(e.event_id, ''), ' ', array_join(e.paths, ',')), CAST(e.copies AS INT))))"))
 
 
 # --- F: conversations -------------------------------------------------------
@@ -642,11 +673,11 @@ def q_stream_ingest(spark, sf_dir):
     src = _write_lines(spark, sf_dir, "stream-ingest-src")
     dst = jobs.scratch(spark, "stream-ingest-dst")
     jobs.drained(jobs.start_ingest(spark, src, dst, f"{dst}/_checkpoint", max_files=1, now=LOAD_TIME))
-    log = spark.read.parquet(f"{dst}/events").selectExpr(
+    log = jobs.read_events(spark, dst).selectExpr(
         "'event' AS kind", "event_id AS key", "date_format(created_at, 'yyyy-MM-dd HH:mm:ss.SSS') AS detail", "1L AS n")
     roll = jobs.read_rollup(spark, dst).select(
         F.lit("rollup").alias("kind"), F.concat_ws(" ", "provider", "model").alias("key"), fmt("bucket", PLAIN).alias("detail"), F.col("calls").alias("n"))
-    dlq = ingest.merge_dlq(spark.read.parquet(f"{dst}/dlq")).select(
+    dlq = jobs.read_dlq(spark, dst).select(
         F.lit("dlq").alias("kind"), F.coalesce("event_id", F.lit("")).alias("key"),
         F.concat(F.col("stage"), F.lit(" "), F.array_join(validate.reason_paths("reasons"), ",")).alias("detail"), F.col("attempts").cast("bigint").alias("n"))
     return log.unionByName(roll).unionByName(dlq).groupBy("kind", "key", "detail").agg(F.sum("n").alias("n"))
@@ -725,7 +756,7 @@ def q_sink_select(spark, sf_dir):
     jobs.drained(jobs.start_ingest(spark, src, queued, f"{queued}/_checkpoint", max_files=2, now=LOAD_TIME))
 
     def answered(dst, sink):
-        return spark.read.parquet(f"{dst}/ack").agg(
+        return jobs.read_acks(spark, dst).agg(
             F.lit(sink).alias("sink"), F.sum("accepted").alias("accepted"), F.sum("duplicates").alias("duplicates"),
             F.sum("rejected").alias("rejected"))
     return answered(direct, "direct").unionByName(answered(queued, "queue"))
@@ -765,8 +796,8 @@ def q_buffer_overflow_loss(spark, sf_dir):
 def q_rollup_reconcile(spark, sf_dir):
     """Stored rollup = what the ingest path stored (rejected events missing);
     raw = the event table; one day reconciled."""
-    flagged = ingest.flag_rows(adapters.envelope_lines(spark, sf_dir), now=LOAD_TIME)
-    stored = rollup.rollup_1m(enrich.price_events(flagged.filter("is_new")))
+    from callgauge.streaming import jobs
+    stored = jobs.read_rollup(spark, ingest_store(spark, sf_dir), "2024-01-15 00:00:00")
     raw = priced_events(spark, sf_dir, dense=False, since="2024-01-15 00:00:00")
     r = audit.reconcile(stored, raw, "2024-01-15")
     return r.select(fmt("bucket", PLAIN).alias("bucket"), "provider", "model", "stored_calls", "raw_calls",
@@ -811,12 +842,114 @@ def q_capture_layer_proof(spark, sf_dir):
 
 # --- B9 / B10 ---------------------------------------------------------------------
 
+def _item(dlq_id="dlq_id"):
+    """A stored dead letter's name without its envelope's hash, as the fixture's oracle gives it."""
+    return F.regexp_replace(dlq_id, "-[0-9a-f]{32}$", "")
+
+
 @register("dlq_replay")
 def q_dlq_replay(spark, sf_dir):
-    """Re-drive all pending dead letters against the stored log."""
-    log = ingest.flag_rows(adapters.envelope_lines(spark, sf_dir), now=LOAD_TIME).filter("is_new")
-    _, _, outcome = dlq_ops.dlq_replay(_dlq(spark, sf_dir), log, "2024-02-02 00:00:00")
-    return outcome
+    """Re-drive all pending dead letters of the stored log; the outcome of each."""
+    from callgauge.streaming import jobs
+    dst = jobs.scratch(spark, "dlq-replay")
+    jobs.load_direct(spark, adapters.envelope_lines(spark, sf_dir), dst, 0, now=LOAD_TIME)
+    jobs.replay_dlq(spark, dst, 0, "2024-02-02 00:00:00")
+    return jobs.read_acks(spark, dst).where("source = 'replay'").select(
+        _item("batch_id").alias("dlq_id"), "accepted", "duplicates", (F.col("accepted") + F.col("duplicates") > 0).alias("replayed"))
+
+
+#: The price list with one row that has no valid rates.
+BAD_PRICES = [(m, "n/a", *rest) if m == "claude-haiku-4-5" else (m, i, *rest) for m, i, *rest in PRICES]
+
+
+@register("quarantine_enrich")
+def q_quarantine_enrich(spark, sf_dir):
+    """A load with one bad row in the price list: what is parked, by stage. Only the events of
+    that row's model are, besides the malformed ones."""
+    from callgauge.streaming import jobs
+    dst = jobs.scratch(spark, "quarantine-enrich")
+    jobs.load_direct(spark, adapters.envelope_lines(spark, sf_dir), dst, 0, now=LOAD_TIME, prices=BAD_PRICES)
+    return jobs.read_dlq(spark, dst).select(_item().alias("dlq_id"), "stage", "event_id", validate.reason_paths("reasons").alias("reason_paths"))
+
+
+@register("dlq_replay_stored")
+def q_dlq_replay_stored(spark, sf_dir):
+    """The same load, then two replays through the store with the right price list: per stage the
+    items and those still pending; and what the loads and replays inserted."""
+    from callgauge.streaming import jobs
+    dst = jobs.scratch(spark, "dlq-replay-stored")
+    jobs.load_direct(spark, adapters.envelope_lines(spark, sf_dir), dst, 0, now=LOAD_TIME, prices=BAD_PRICES)
+    for k, now in enumerate(("2024-02-02 00:00:00", "2024-02-03 00:00:00")):
+        jobs.replay_dlq(spark, dst, k, now)
+    items = jobs.read_dlq(spark, dst).groupBy(F.col("stage").alias("what")).agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if(F.col("replayed_at").isNull()).alias("pending"))
+    events = jobs.read_events(spark, dst).groupBy(F.concat_ws(" ", F.lit("events of"), "source", "epoch").alias("what")).agg(
+        F.count(F.lit(1)).alias("rows"), F.lit(0).cast("bigint").alias("pending"))
+    calls = jobs.read_rollup(spark, dst).agg(F.lit("rollup calls").alias("what"), F.sum("calls").alias("rows"), F.lit(0).cast("bigint").alias("pending"))
+    return items.unionByName(events).unionByName(calls)
+
+
+def _conversation_store(spark, sf_dir, name):
+    """The events, with previews, stored as three loads by conversation."""
+    from callgauge.streaming import jobs
+    dst = jobs.scratch(spark, name)
+    ev = adapters.inference_events(spark, sf_dir).withColumns({"input_preview": F.concat(F.lit("asked "), "event_id"), "output_preview": F.concat(F.lit("told "), "event_id"),
+                                                               "message_id": F.concat_ws("-", "conversation_id", "message_turn")})
+    for k in range(3):
+        jobs.store_events(spark, ev.where(F.col("conversation_id") % 3 == k), dst, k)
+    return dst
+
+
+def _log_state(spark, dst):
+    from callgauge.streaming import jobs
+    log = jobs.read_events(spark, dst).groupBy("event_month").agg(
+        F.count(F.lit(1)).alias("events"), F.count("input_preview").alias("previews"), F.count("user_id").alias("users"), F.count("conversation_id").alias("references"),
+        F.sum("latency_ms").cast("bigint").alias("sum_latency_ms"))
+    calls = jobs.read_rollup(spark, dst).groupBy(F.date_format("bucket", "yyyy-MM").alias("event_month")).agg(F.sum("calls").alias("rollup_calls"))
+    return log.join(calls, "event_month", "full")
+
+
+@register("erase_stored")
+def q_erase_stored(spark, sf_dir):
+    """Erasure in the stored log: what deleted conversations said is gone, numbers and rollup stay."""
+    from callgauge.sources import loads
+    dst = _conversation_store(spark, sf_dir, "erase-stored")
+    loads.erase_conversations(spark, dst, _convs(spark, sf_dir).filter("status = 'deleted'").select("id"))
+    return _log_state(spark, dst)
+
+
+@register("delete_stored")
+def q_delete_stored(spark, sf_dir):
+    """Deletion in the stored log: events of deleted conversations keep everything but the reference."""
+    from callgauge.sources import loads
+    dst = _conversation_store(spark, sf_dir, "delete-stored")
+    loads.delete_conversations(spark, dst, _convs(spark, sf_dir).filter("status = 'deleted'").select("id"))
+    return _log_state(spark, dst)
+
+
+@register("retention_drop")
+def q_retention_drop(spark, sf_dir):
+    """Retention on the stored log, run twice: the partitions that are left and their rows, as the
+    manifest says and as the files hold."""
+    from callgauge.sources import loads
+    from callgauge.streaming import jobs
+    dst = jobs.scratch(spark, "retention-drop")
+    jobs.store_events(spark, adapters.with_far_clocks(adapters.inference_events(spark, sf_dir)), dst)
+    jobs.load_direct(spark, adapters.envelope_lines(spark, sf_dir).where("batch_id % 53 = 1"), dst, 0, now=LOAD_TIME)  # rejected envelopes only
+    for _ in range(2):
+        loads.drop_expired(spark, dst, RETENTION_AS_OF)
+    noted = loads.live_parts(spark, dst).where(F.col("table_name").isin(*loads.AGING)).groupBy("table_name", "part").agg(F.sum("rows").alias("rows"))
+    held = None
+    for table, column in loads.PARTS.items():
+        rows = loads.read_table(spark, dst, table)
+        if rows is not None:
+            rows = rows.groupBy(F.col(column).cast("string").alias("part")).agg(F.count(F.lit(1)).alias("held")).withColumn("table_name", F.lit(table))
+            held = rows if held is None else held.unionByName(rows)
+    return noted.join(held, ["table_name", "part"], "full").select("table_name", "part", "rows", "held")
+
+
+#: By then January's events, and the dead letters of the load, are behind their retention; the rollup isn't.
+RETENTION_AS_OF = "2024-05-02 00:00:00"
 
 
 @register("orphan_refs")
@@ -868,9 +1001,9 @@ def q_sql_call_cost(spark, sf_dir):
 def q_dlq_attempts(spark, sf_dir):
     """The same envelopes delivered twice: every parked item is counted once
     with attempts = 2 (first and last seen from the two loads)."""
-    lines = adapters.envelope_lines(spark, sf_dir)
-    first = ingest.dlq_of(ingest.flag_rows(lines, now=LOAD_TIME), now=LOAD_TIME)
-    again = ingest.dlq_of(ingest.flag_rows(lines, now="2024-02-01 00:10:00"), now="2024-02-01 00:10:00")
-    m = ingest.merge_dlq(first, again)
-    return m.select("dlq_id", "stage", "event_id", "attempts", fmt("first_seen_at", PLAIN).alias("first_seen_at"),
-                    fmt("last_seen_at", PLAIN).alias("last_seen_at"))
+    from callgauge.streaming import jobs
+    dst = jobs.scratch(spark, "dlq-attempts")
+    for k, now in enumerate((LOAD_TIME, "2024-02-01 00:10:00")):
+        jobs.load_direct(spark, adapters.envelope_lines(spark, sf_dir), dst, k, now=now)
+    return jobs.read_dlq(spark, dst).select(
+        _item().alias("dlq_id"), "stage", "event_id", "attempts", fmt("first_seen_at", PLAIN).alias("first_seen_at"), fmt("last_seen_at", PLAIN).alias("last_seen_at"))

@@ -5,9 +5,9 @@
 * :func:`start_rollup` — G2/G3: events -> stored keys and rollup deltas.
 * :func:`start_spans` — G7: chunks -> chunk log and call records.
 
-Each micro-batch overwrites only its own (source, epoch) partitions, so an
-epoch that is replayed after a crash rewrites the same files and totals never
-double. No job has a watermark that drops rows or a limit of time: late rows
+Each micro-batch is one commit of all its tables (:mod:`callgauge.sources.loads`),
+so an epoch that is replayed after a crash is stored once, and readers see a
+load whole or not at all. No job has a watermark that drops rows or a limit of time: late rows
 are held against the stored log like all others, and a drained query that did
 not end well raises.
 
@@ -18,13 +18,14 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callgauge.operators import enrich, rollup, spans
+from callgauge.constants import PRICES
+from callgauge.operators import dlq, enrich, rollup, spans
 from callgauge.plans import ingest as ingest_plan
 from callgauge.session import checkpoint_dir
+from callgauge.sources import loads
 from callgauge.sources.tables import SCHEMAS
 
 EVENTS_SCHEMA = SCHEMAS["events"]
@@ -55,30 +56,12 @@ def _source_id(spark: SparkSession, checkpoint: str) -> str:
     return spark.read.text(f"{checkpoint}/metadata").select(F.get_json_object("value", "$.id")).first()[0]
 
 
-def _write_epoch(df: DataFrame, path: str, source: str, epoch: int, by: tuple[str, ...] = ()) -> None:
-    """Write one load's rows under its own (source, epoch): a retry replaces exactly these."""
-    (df.withColumn("source", F.lit(source)).withColumn("epoch", F.lit(epoch))
-     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("source", "epoch", *by).parquet(path))
+def _with_month(events: DataFrame) -> DataFrame:
+    return events.withColumn("event_month", rollup.month_key(F.col("created_at")))
 
 
-def _write_rollup(delta: DataFrame, dst_dir: str, source: str, epoch: int) -> None:
-    _write_epoch(delta.withColumn("bucket_day", F.date_format("bucket", "yyyy-MM-dd")), f"{dst_dir}/rollup_delta", source, epoch, ("bucket_day",))
-
-
-def _stored(spark: SparkSession, path: str):
-    """The table at ``path``; None if nothing was written there yet. Any other error is raised."""
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException as e:
-        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            return None
-        raise
-
-
-def _others(table: DataFrame | None, source: str, epoch: int):
-    """The rows of other loads: a retried load is not held against its own output."""
-    return None if table is None else table.filter(~((F.col("source") == source) & (F.col("epoch") == epoch)))
+def _with_day(delta: DataFrame) -> DataFrame:
+    return delta.withColumn("bucket_day", F.date_format("bucket", "yyyy-MM-dd"))
 
 
 def start_rollup(events: DataFrame, dst_dir: str, checkpoint: str):
@@ -88,16 +71,18 @@ def start_rollup(events: DataFrame, dst_dir: str, checkpoint: str):
     load stored are dropped, then the new keys and the rollup delta of the new
     events are written under the batch's own epoch. There is no watermark, so a
     late event counts whenever it comes; the key table is read only in the
-    months of the batch. :func:`read_rollup` merges the deltas."""
+    months of the batch. Both are one commit. :func:`read_rollup` merges the deltas."""
     spark = events.sparkSession
 
     def handle(df: DataFrame, epoch: int) -> None:
         source = _source_id(spark, checkpoint)
-        new = rollup.dedup_new(df, _others(_stored(spark, f"{dst_dir}/keys"), source, epoch)).persist()
+        if loads.is_committed(spark, dst_dir, source, epoch):
+            return
+        new = rollup.dedup_new(df, loads.read_table(spark, dst_dir, "keys")).persist()
         try:
-            _write_epoch(new.select(*rollup.DEDUP_KEY, rollup.month_key(F.col("created_at")).alias("event_month")),
-                         f"{dst_dir}/keys", source, epoch, ("event_month",))
-            _write_rollup(rollup.rollup_1m(enrich.price_events(new)), dst_dir, source, epoch)
+            loads.write_load(spark, dst_dir, source, epoch, {
+                "keys": _with_month(new.select(*rollup.DEDUP_KEY)),
+                "rollup_delta": _with_day(rollup.rollup_1m(enrich.price_events(new)))})
         finally:
             new.unpersist()
 
@@ -112,24 +97,21 @@ def stream_rollup(events: DataFrame, name: str = "stream-rollup") -> DataFrame:
 
 
 def start_ingest(spark: SparkSession, src_dir: str, dst_dir: str, checkpoint: str,
-                 max_files: int = 10, available_now: bool = True, now: str | None = None):
+                 max_files: int = 10, available_now: bool = True, now: str | None = None, prices=PRICES):
     """Queue-drain ingest: envelope JSON lines -> event log + rollup deltas +
     dead letters, exactly once per event.
 
     Each file line is one envelope; ``batch_id`` is the SHA-256 of the line,
-    so a redelivered envelope gets the same id. Per micro-batch: the log rows
-    of *other* loads are the dedup reference (the current load's own partition
-    is excluded, so a retried epoch is not deduplicated against itself), then
-    inserted rows, the rollup delta, the dead letters and the acknowledgements
-    are each written with dynamic partition overwrite of (source, epoch), the
-    source being the query's own id.
+    so a redelivered envelope gets the same id. Each micro-batch is a load of
+    :func:`load_direct`, the source being the query's own id, so an epoch that comes
+    again after a crash is stored once.
     """
     src = (spark.readStream.schema("value string").option("maxFilesPerTrigger", max_files)
            .text(src_dir))
 
     def handle(df: DataFrame, epoch: int) -> None:
         load_direct(spark, df.selectExpr("sha2(value, 256) AS batch_id", "value AS body"), dst_dir, epoch, now,
-                    source=_source_id(spark, checkpoint))
+                    source=_source_id(spark, checkpoint), prices=prices)
 
     w = src.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="200 milliseconds")
@@ -137,75 +119,100 @@ def start_ingest(spark: SparkSession, src_dir: str, dst_dir: str, checkpoint: st
 
 
 def load_direct(spark: SparkSession, lines: DataFrame, dst_dir: str, epoch: int, now: str | None = None,
-                source: str = "batch"):
+                source: str = "batch", prices=PRICES) -> bool:
     """Batch (direct-sink) load of envelope lines (``batch_id``, ``body``) as
     load number ``epoch`` of ``source``: validated, priced, de-duplicated
-    against all other loads, then the inserted events (by event month too), the
-    rollup delta, the dead letters and the per-batch acknowledgements are each
-    written under (source, epoch) — re-running a load rewrites the same
-    partitions, and loads of different sources never share one. Every output is
-    computed from the persisted rows, so validation runs once."""
-    log = _others(_stored(spark, f"{dst_dir}/events"), source, epoch)
-    checked = ingest_plan.checked_rows(lines, now).persist()  # validated once, read by every step below
+    against all stored events; then the inserted events, the rollup delta, the
+    dead letters and the acknowledgements are stored as one commit. Readers see
+    all four tables of a load or none, and a load that is stored already is
+    not run again (False). Every output is computed from the persisted rows, so
+    validation runs once."""
+    log = loads.stored(spark, f"{dst_dir}/events")  # raises on a log that can't be read
+    if loads.is_committed(spark, dst_dir, source, epoch):
+        return False
+    log = None if log is None else loads.read_table(spark, dst_dir, "events")
+    lines = lines.withColumn("batch_id", F.col("batch_id").cast("string"))  # one type in the store, whatever the source's
+    checked = ingest_plan.checked_rows(lines, now, prices).persist()  # validated once, read by every step below
     ins = ingest_plan.ingest_checked(checked, log, now, keep=lambda flagged: flagged.persist())
     try:
-        _write_epoch(ins.inserted.withColumn("event_month", rollup.month_key(F.col("created_at"))),
-                     f"{dst_dir}/events", source, epoch, ("event_month",))
-        _write_rollup(ins.rollup_delta, dst_dir, source, epoch)
-        _write_epoch(ins.dlq, f"{dst_dir}/dlq", source, epoch)
-        _write_epoch(ins.ack, f"{dst_dir}/ack", source, epoch)
+        return loads.write_load(spark, dst_dir, source, epoch, {
+            "events": _with_month(ins.inserted), "rollup_delta": _with_day(ins.rollup_delta),
+            "dlq": ins.dlq.withColumn("seen_day", F.date_format("first_seen_at", "yyyy-MM-dd")), "ack": ins.ack})
     finally:
         ins.flagged.unpersist()
         checked.unpersist()
 
 
-_LOAD = ["source", "epoch"]
-
-
-def _snapshot(spark: SparkSession, dst_dir: str):
-    """(rows, loads) of the newest compaction: its rollup rows and the loads folded into it; (None, None) before one."""
-    snaps = _stored(spark, f"{dst_dir}/rollup_compacted")
-    newest = None if snaps is None else snaps.agg(F.max("version")).first()[0]
-    if newest is None:
-        return None, None
-    loads = spark.read.parquet(f"{dst_dir}/rollup_compacted_loads").filter(F.col("version") == newest)
-    return snaps.filter(F.col("version") == newest), loads
+def read_events(spark: SparkSession, dst_dir: str) -> DataFrame | None:
+    """The stored event log as of the last commit."""
+    return loads.read_table(spark, dst_dir, "events")
+
+
+def read_acks(spark: SparkSession, dst_dir: str) -> DataFrame | None:
+    return loads.read_table(spark, dst_dir, "ack")
+
+
+def read_dlq(spark: SparkSession, dst_dir: str) -> DataFrame:
+    """The stored dead letters: a row an item, from all its parkings, with ``replayed_at`` of its
+    newest replay mark. An item that was parked again behind its mark is pending again."""
+    parked = ingest_plan.merge_dlq(loads.read_table(spark, dst_dir, "dlq").drop(*loads.LOAD, "seen_day"))
+    marks = loads.read_table(spark, dst_dir, "dlq_marks")
+    if marks is None:
+        return parked
+    newest = marks.groupBy("dlq_id").agg(F.max("replayed_at").alias("_marked"))
+    known = F.greatest("replayed_at", F.when(F.col("_marked") >= F.col("last_seen_at"), F.col("_marked")))
+    return parked.join(newest, "dlq_id", "left").withColumn("replayed_at", known).drop("_marked")
+
+
+def replay_dlq(spark: SparkSession, dst_dir: str, replay: int, now: str, prices=PRICES,
+               after: str | None = None, limit: int | None = None) -> bool:
+    """Re-drive the pending dead letters of the store (or a page of them by dlq_id) as load
+    ``replay`` of the source "replay". What is valid now is inserted like any load's
+    events, and an item that gave an accepted or duplicate event gets a replay mark: events, rollup,
+    marks and the outcome per item (the load's acknowledgements, by dlq_id) are one
+    commit, so a replay happens whole or not at all. Items that fail again stay
+    pending as they are; no second copy is parked."""
+    if loads.is_committed(spark, dst_dir, "replay", replay):
+        return False
+    lines = dlq.replay_candidates(read_dlq(spark, dst_dir), after, limit)
+    checked = ingest_plan.checked_rows(lines, now, prices).persist()
+    ins = ingest_plan.ingest_checked(checked, read_events(spark, dst_dir), now, keep=lambda flagged: flagged.persist())
+    marks = ins.ack.where("accepted + duplicates > 0").select(F.col("batch_id").alias("dlq_id"), F.lit(now).cast("timestamp").alias("replayed_at"))
+    try:
+        return loads.write_load(spark, dst_dir, "replay", replay, {
+            "events": _with_month(ins.inserted), "rollup_delta": _with_day(ins.rollup_delta), "dlq_marks": marks, "ack": ins.ack})
+    finally:
+        ins.flagged.unpersist()
+        checked.unpersist()
 
 
 def read_rollup(spark: SparkSession, dst_dir: str, since: str | None = None) -> DataFrame:
-    """Stored rollup = newest compacted snapshot merged with the deltas of the
-    loads that are not folded into it (groupBy + sum). With ``since`` only the
-    buckets from then on, read from the day partitions that hold them."""
-    def part(df):
-        if since is not None:
-            df = df.filter((F.col("bucket_day") >= F.lit(since[:10]).cast("date")) & (F.col("bucket") >= F.lit(since).cast("timestamp")))
-        return df.drop("bucket_day")
-    deltas = spark.read.parquet(f"{dst_dir}/rollup_delta")
-    snap, loads = _snapshot(spark, dst_dir)
-    if snap is None:
-        return rollup.rollup_merge(part(deltas).drop(*_LOAD))
-    fresh = part(deltas).join(loads.select(*_LOAD), _LOAD, "left_anti").drop(*_LOAD)
-    return rollup.rollup_merge(part(snap).drop("version"), fresh)
+    """Stored rollup: the deltas of all loads and compactions, merged (groupBy + sum). With
+    ``since`` only the buckets from then on, read from the day partitions that hold them."""
+    deltas = loads.read_table(spark, dst_dir, "rollup_delta")
+    if since is not None:
+        deltas = deltas.filter((F.col("bucket_day") >= F.lit(since[:10]).cast("date")) & (F.col("bucket") >= F.lit(since).cast("timestamp")))
+    return rollup.rollup_merge(deltas.drop("bucket_day", *loads.LOAD))
 
 
 def compact_rollup(spark: SparkSession, dst_dir: str) -> int:
-    """Fold all deltas written so far into a new snapshot version, so a read
-    merges one snapshot plus the newer deltas however many micro-batches ran.
-    The list of folded loads is written before the rows: readers take the newest
-    version that has rows, and a retried compaction writes a newer one.
-    Returns the version."""
-    deltas = spark.read.parquet(f"{dst_dir}/rollup_delta").drop("bucket_day")
-    loads = deltas.select(*_LOAD).distinct()
-    snap, known = _snapshot(spark, dst_dir)
-    version = 0 if snap is None else known.agg(F.max("version")).first()[0] + 1
-    (loads.withColumn("version", F.lit(version)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("version").parquet(f"{dst_dir}/rollup_compacted_loads"))
-    folded = spark.read.parquet(f"{dst_dir}/rollup_compacted_loads").filter(F.col("version") == version).select(*_LOAD)
-    merged = rollup.rollup_merge(deltas.join(folded, _LOAD, "left_semi").drop(*_LOAD))
-    (merged.withColumn("version", F.lit(version)).withColumn("bucket_day", F.date_format("bucket", "yyyy-MM-dd"))
-     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("version", "bucket_day")
-     .parquet(f"{dst_dir}/rollup_compacted"))
-    return version
+    """Fold the deltas of each day into one, so that a read merges few rows however many
+    micro-batches ran. Returns the number of the compaction."""
+    return loads.compact(spark, dst_dir, "rollup_delta", lambda rows: _with_day(rollup.rollup_merge(rows.drop("bucket_day"))))
+
+
+def compact_dlq(spark: SparkSession, dst_dir: str) -> int:
+    """Fold the dead letters that several loads parked on one day."""
+    return loads.compact(spark, dst_dir, "dlq", lambda rows: ingest_plan.merge_dlq(rows.drop("seen_day"))
+                         .withColumn("seen_day", F.date_format("first_seen_at", "yyyy-MM-dd")))
+
+
+def store_events(spark: SparkSession, events: DataFrame, dst_dir: str, epoch: int = 0, source: str = "events") -> bool:
+    """Load event rows that are valid already: priced, de-duplicated, and stored with their rollup delta in one commit."""
+    if loads.is_committed(spark, dst_dir, source, epoch):
+        return False
+    new = enrich.price_events(rollup.dedup_new(events, read_events(spark, dst_dir)))
+    return loads.write_load(spark, dst_dir, source, epoch, {"events": _with_month(new), "rollup_delta": _with_day(rollup.rollup_1m(new))})
 
 
 def start_spans(chunks: DataFrame, dst_dir: str, checkpoint: str):
@@ -220,20 +227,22 @@ def start_spans(chunks: DataFrame, dst_dir: str, checkpoint: str):
 
     def handle(df: DataFrame, epoch: int) -> None:
         source = _source_id(spark, checkpoint)
-        _write_epoch(spans.parse_chunks(df).drop("payload"), f"{dst_dir}/chunks", source, epoch)
-        log = spark.read.parquet(f"{dst_dir}/chunks")
-        touched = log.filter((F.col("source") == source) & (F.col("epoch") == epoch)).select("call_id").distinct()
+        loads.write_load(spark, f"{dst_dir}/chunk_log", source, epoch, {"chunks": spans.parse_chunks(df).drop("payload")})
+        log = loads.read_table(spark, f"{dst_dir}/chunk_log", "chunks")
+        touched = log.filter((F.col("source").cast("string") == source) & (F.col("epoch") == epoch)).select("call_id").distinct()
         mine = log.join(touched, "call_id", "left_semi").dropDuplicates(["call_id", "seq"])
-        _write_epoch(spans.assemble_spans(mine), f"{dst_dir}/spans", source, epoch)
+        logged = mine.groupBy("call_id").agg(F.count(F.lit(1)).alias("logged"))
+        loads.write_load(spark, dst_dir, source, epoch, {"spans": spans.assemble_spans(mine).join(logged, "call_id")})
 
     return chunks.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def read_spans(spark: SparkSession, dst_dir: str) -> DataFrame:
-    """The newest record of every call."""
-    t = spark.read.parquet(f"{dst_dir}/spans")
-    cols = [c for c in t.columns if c not in ("call_id", *_LOAD)]
-    latest = t.groupBy("call_id").agg(F.max_by(F.struct(*cols), "epoch").alias("_r"))
+    """The newest record of every call: that of the most logged chunks (the log only grows,
+    whichever checkpoint wrote it), the latest of its source's epochs among equals, which are the same record."""
+    t = loads.read_table(spark, dst_dir, "spans")
+    cols = [c for c in t.columns if c not in ("call_id", "logged", *loads.LOAD)]
+    latest = t.groupBy("call_id").agg(F.max_by(F.struct(*cols), F.struct("logged", "epoch")).alias("_r"))
     return latest.select("call_id", *[F.col(f"_r.{c}").alias(c) for c in cols])
 
 

@@ -34,8 +34,15 @@ def test_time_range_scan_prunes_partitions(spark):
     assert "PushedFilters: [IsNotNull(created_at), GreaterThanOrEqual(created_at" in p
 
 
-@pytest.mark.parametrize("name", ["timeseries", "timeseries_24h", "totals", "by_model", "known_models", "mean_latency_ttft", "by_error_type",
-                                  "latency_percentiles_raw", "ingest_lag", "events_by_layer", "rollup_vs_raw_gap", "rollup_reconcile"])
+@pytest.mark.parametrize("name", ["timeseries", "timeseries_24h", "timeseries_model", "totals", "totals_model", "by_model", "known_models", "mean_latency_ttft"])
+def test_panels_read_the_stored_rollup(spark, name):
+    """No event is scanned, neither of the given tables nor of the stored log: only rollup deltas
+    in the range's days, and the manifest."""
+    p = _plan(REGISTRY[name](spark, SF_SMALL))
+    assert "events.parquet" not in p and "/events" not in p and "rollup_delta" in p and "bucket_day" in p
+
+
+@pytest.mark.parametrize("name", ["by_error_type", "latency_percentiles_raw", "ingest_lag", "events_by_layer", "rollup_vs_raw_gap", "rollup_reconcile"])
 def test_time_bound_reaches_the_scan(spark, name):
     p = _plan(REGISTRY[name](spark, SF_SMALL))
     assert "GreaterThanOrEqual(ts," in p
