@@ -1,10 +1,11 @@
 """Toxicity: a linear classifier over character n-grams scaled by naive Bayes log-count ratios.
 
-A text's features are the distinct n-grams of 3 to 6 bytes within its words (lower-cased ASCII,
-a space at either end of a word), hashed into ``2**BITS`` places. Let p and q be the smoothed
+A text's features are the distinct n-grams of 3 to 6 characters (code points) within its words
+(A-Z lower-cased, a space at either end of a word), hashed into ``2**BITS`` places. Let p and q be the smoothed
 shares of toxic and of other training texts that hold a feature; each feature is scaled by
 ``log(p / q)``, and a logistic regression is fitted on the scaled features that depend on the
-label at all (a chi-square above ``MIN_CHI_SQUARE``; the others would be most of the work).
+label at all: those with a chi-square above ``MIN_CHI_SQUARE`` (the others would be most of the
+work), and in any case the ``LEAST_FEATURES`` of the largest, so that a small sample keeps its best ones.
 
 The model is fitted on a bounded sample of labelled rows (``train_rows`` rows and
 ``train_features`` features, both parameters; the rows with the smallest hash of doc_id), in one
@@ -12,7 +13,8 @@ task. Scoring covers every whole text, slice by slice.
 
 Defined results: null, empty and wordless texts score the model's prior for a text without
 features; a null label or one besides 0 and 1 trains nothing; repeated doc_ids of the sample
-train once; without labelled rows of both classes every score is 0; an empty table gives no row.
+train once; without labelled rows of both classes, or without a feature that differs between
+them, every score is near 0 and no text is predicted toxic; an empty table gives no row.
 """
 
 from __future__ import annotations
@@ -29,20 +31,23 @@ BITS = 18
 SIZES = (3, 4, 5, 6)
 TRAIN_ROWS = 8_000
 TRAIN_FEATURES = 24_000_000
-MIN_CHI_SQUARE = 15.0
+MIN_CHI_SQUARE, LEAST_FEATURES = 15.0, 2_000
 FOLDS, HELD_OUT = 5, 0
+RESULTS = ("score", "predicted")
 
 _TO_GRAM = np.where(_IS_WORD, _LOWER, 32).astype(np.uint32)
 _FACTOR = np.uint32(0x9E3779B1)
 
 
 def gram_features(data: np.ndarray) -> np.ndarray:
-    """Distinct hashed n-grams of one text's bytes (sorted, uint32)."""
+    """Distinct hashed n-grams of one text's code points (sorted, uint32)."""
     seen = np.zeros(1 << BITS, dtype=bool)
     step = 1 << 20
     for at in range(0, len(data), step):  # a long text slice by slice, with an overlap
         b = np.full(min(step + max(SIZES), len(data) - at) + 2, 32, dtype=np.uint32)
-        part = _TO_GRAM[data[at: at + len(b) - 2]]
+        part = data[at: at + len(b) - 2].astype(np.uint32)
+        plain = part < 128
+        part[plain] = _TO_GRAM[part[plain]]
         b[1: 1 + len(part)] = part
         gap = b == 32
         h = np.zeros(len(b), dtype=np.uint32)
@@ -74,7 +79,14 @@ def fit(rows: list[tuple[np.ndarray, int]], rounds: int = 400, rate: float = 0.3
     ratio = np.log((counts[1] + 1) / (toxic + 2)) - np.log((counts[0] + 1) / (n - toxic + 2))
     both = counts[0] + counts[1]
     expected = both * toxic / n
-    kept = (counts[1] - expected) ** 2 * n > MIN_CHI_SQUARE * expected * (1 - both / n) * (n - toxic)
+    spread = expected * (1 - both / n) * (n - toxic)
+    chi_square = np.divide((counts[1] - expected) ** 2 * n, spread, out=np.zeros(dims), where=spread > 0)
+    kept = chi_square > MIN_CHI_SQUARE
+    if kept.sum() < LEAST_FEATURES:
+        best = np.argsort(-chi_square, kind="stable")[:LEAST_FEATURES]
+        kept[best[chi_square[best] > 1e-9]] = True
+    if not kept.any():
+        return np.zeros(dims, np.float32), -20.0
     place = (np.cumsum(kept) - 1).astype(np.int32)
     index = [place[f[kept[f]]] for f, _ in rows]
     # rows go through each step in blocks, which bounds what a step takes beside the indices
@@ -104,7 +116,8 @@ def fit(rows: list[tuple[np.ndarray, int]], rounds: int = 400, rate: float = 0.3
 def features(col) -> list[np.ndarray]:
     """The n-gram features of each text of an Arrow column."""
     data, offsets = flat(col)
-    return [gram_features(data[a:b]) for a, b in zip(offsets[:-1], offsets[1:])]
+    points = (data[a:b].tobytes().decode("utf-8", "replace").encode("utf-32-le") for a, b in zip(offsets[:-1], offsets[1:]))
+    return [gram_features(np.frombuffer(p, dtype="<u4")) for p in points]
 
 
 def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, train_features: int = TRAIN_FEATURES,

@@ -9,6 +9,12 @@ again as the next one's docs. All but the last return the columns of documents:
 3. decontamination: documents of which a twentieth or more of the words lies in benchmark windows go;
 4. mixing: each document comes as many times as the mix to the sources' targets takes it;
 5. token_ids: binary shards of frequency-ranked ids; a row a document from what the shards hold.
+
+Defined results: a null text is scored, kept and mixed like an empty one, and gives the end id alone;
+texts without words are near duplicates of none; rows with a null or a repeated doc_id are
+told apart by their text, and only rows of equal doc_id and text are one; an empty table goes
+through all stages and gives no row; columns of documents with names that an operator gives its
+results (score, size, ...) keep their own values; with too few labels to tell the classes apart nothing is toxic.
 """
 
 from __future__ import annotations
@@ -19,10 +25,20 @@ from pyspark.sql import functions as F
 from callgauge.llm import common, decontaminate, mixing, ngram_join, token_store, toxicity
 
 
+def _aside(docs: DataFrame, results: tuple[str, ...]) -> DataFrame:
+    """``docs`` with its own columns of an operator's result names out of the way."""
+    return docs.withColumnsRenamed({c: f"__own_{c}" for c in docs.columns if c in results})
+
+
+def _back(found: DataFrame, docs: DataFrame, results: tuple[str, ...]) -> DataFrame:
+    """The columns of ``docs`` of what an operator found."""
+    return found.select(*(F.col(f"__own_{c}").alias(c) if c in results else F.col(c) for c in docs.columns))
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     common.prepare(spark)
     model = toxicity.train(docs, common.table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).where("predicted = 0").select(docs.columns)
+    return _back(toxicity.score(_aside(docs, toxicity.RESULTS), model).where("predicted = 0"), docs, toxicity.RESULTS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,13 +51,13 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    marked = decontaminate.mark(docs, common.table(spark, sf_dir, "benchmark"))
-    return marked.where("not contaminated").select(docs.columns)
+    marked = decontaminate.mark(_aside(docs, decontaminate.RESULTS), common.table(spark, sf_dir, "benchmark"))
+    return _back(marked.where("not contaminated"), docs, decontaminate.RESULTS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(docs).where("times > 0")
-    return mixed.withColumn("__time", F.explode(F.expr("sequence(1L, times)"))).select(docs.columns)
+    mixed = mixing.mix(_aside(docs, mixing.RESULTS)).where("times > 0")
+    return _back(mixed.withColumn("__time", F.explode(F.expr("sequence(1L, times)"))), docs, mixing.RESULTS)
 
 
 def write_token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -396,6 +396,38 @@ def test_another_tokenizer_encodes_whole_texts():
     assert encoded(encoder, texts) == [[*encoder.tokenizer.encode(t or "", add_special_tokens=False).ids, 2] for t in texts]
 
 
+def brute_grams(text):
+    """The n-grams of a text's words, with a space at either end."""
+    out = set()
+    for w in words(text):
+        w = f" {w} "
+        out |= {w[i:i + n] for n in toxicity.SIZES for i in range(len(w) - n + 1)}
+    return out
+
+
+def test_grams_are_of_characters():
+    import pyarrow as pa
+    texts = ["ab", "Été", "これは毒です", "one two", "", "x" * 9, "毒 é"]
+    for text, f in zip(texts, toxicity.features(pa.array(texts))):
+        assert len(f) == len(brute_grams(text)), text  # no two of these few fall on one place
+
+
+@pytest.mark.parametrize("n", [2, 3, 4, 8, 14, 20, 40])
+def test_toxicity_of_few_labelled_rows(n):
+    """Small samples keep their best features; samples without any difference predict nothing toxic."""
+    import pyarrow as pa
+    rng = random.Random(n)
+    texts = [prose(rng, 30) + (" you vile awful fool" if i % 2 else " a kind and gentle day") for i in range(n + 20)]
+    f = toxicity.features(pa.array(texts))
+    w, bias = toxicity.fit([(f[i], i % 2) for i in range(n)])
+    scores = [1 / (1 + np.exp(-(w[x].sum() + bias))) for x in f[n:]]
+    right = sum((s >= 0.5) == bool((n + i) % 2) for i, s in enumerate(scores))
+    assert right >= (19 if n >= 4 else 10) and sum(s >= 0.5 for s in scores) <= 12
+    same = toxicity.features(pa.array(["same words"] * n))
+    w, bias = toxicity.fit([(same[i], i % 2) for i in range(n)])
+    assert not w.any() and bias < -10
+
+
 def test_rank_coding_round_trip():
     rng = np.random.default_rng(0)
     for n in (0, 1, 2, 3, 4, 5, 10_007):
