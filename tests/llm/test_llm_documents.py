@@ -117,6 +117,31 @@ def test_join_against_brute_force(spark, monkeypatch, block_rows, slice_rows):
             assert got[i].similarity == pytest.approx(links[i, got[i].link_id])
 
 
+def test_classes_of_pivots_and_members():
+    """Pairs, a chain and a pair that only a member joins, in any order of numbers."""
+    rng = np.random.default_rng(2)
+    for _ in range(30):
+        base = [np.arange(k * 1000, k * 1000 + 100, dtype=np.uint64) for k in range(4)]
+        sets = [base[0], base[0] + np.uint64(8), base[0] + np.uint64(16), base[1], base[1] + np.uint64(8), base[2], base[2] + np.uint64(16), base[3]]
+        classes = [0, 0, 0, 1, 1, 2, 2, 3]
+        reps = rng.permutation(8) * 10
+        order = np.argsort(reps)
+        stars = ngram_join.Stars([int(reps[i]) for i in order], [sets[i] for i in order], 0.8)
+        rep, root, link, similarity = stars.meet([500, 501], [base[2] + np.uint64(8), base[3] + np.uint64(1)])
+        edges = [(a, b) for a, b in zip(rep.tolist(), root.tolist())] + list(zip(*(x.tolist() for x in stars.pivots()[:2])))
+        top = {r: r for r in [*reps.tolist(), 500, 501]}
+
+        def find(x):
+            while top[x] != x:
+                x = top[x]
+            return x
+
+        for a, b in edges:
+            top[max(find(a), find(b))] = min(find(a), find(b))
+        of = dict(zip(reps.tolist(), classes)) | {500: 2, 501: 3}
+        assert all((find(a) == find(b)) == (of[a] == of[b]) for a in of for b in of)
+
+
 def test_a_tight_family_needs_one_round_of_pivots(spark, monkeypatch):
     """300 texts that are all alike: none is compared outside the first round's pivots."""
     monkeypatch.setattr(ngram_join, "BLOCK_ROWS", 8)
