@@ -152,10 +152,14 @@ def read_acks(spark: SparkSession, dst_dir: str) -> DataFrame | None:
     return loads.read_table(spark, dst_dir, "ack")
 
 
-def read_dlq(spark: SparkSession, dst_dir: str) -> DataFrame:
+def read_dlq(spark: SparkSession, dst_dir: str) -> DataFrame | None:
     """The stored dead letters: a row an item, from all its parkings, with ``replayed_at`` of its
-    newest replay mark. An item that was parked again behind its mark is pending again."""
-    parked = ingest_plan.merge_dlq(loads.read_table(spark, dst_dir, "dlq").drop(*loads.LOAD, "seen_day"))
+    newest replay mark. An item that was parked again behind its mark is pending again. None
+    where no dead letter is stored."""
+    parked = loads.read_table(spark, dst_dir, "dlq")
+    if parked is None:
+        return None
+    parked = ingest_plan.merge_dlq(parked.drop(*loads.LOAD, "seen_day"))
     marks = loads.read_table(spark, dst_dir, "dlq_marks")
     if marks is None:
         return parked
@@ -172,9 +176,10 @@ def replay_dlq(spark: SparkSession, dst_dir: str, replay: int, now: str, prices=
     marks and the outcome per item (the load's acknowledgements, by dlq_id) are one
     commit, so a replay happens whole or not at all. Items that fail again stay
     pending as they are; no second copy is parked."""
-    if loads.is_committed(spark, dst_dir, "replay", replay):
+    parked = read_dlq(spark, dst_dir)
+    if parked is None or loads.is_committed(spark, dst_dir, "replay", replay):
         return False
-    lines = dlq.replay_candidates(read_dlq(spark, dst_dir), after, limit)
+    lines = dlq.replay_candidates(parked, after, limit)
     checked = ingest_plan.checked_rows(lines, now, prices).persist()
     ins = ingest_plan.ingest_checked(checked, read_events(spark, dst_dir), now, keep=lambda flagged: flagged.persist())
     marks = ins.ack.where("accepted + duplicates > 0").select(F.col("batch_id").alias("dlq_id"), F.lit(now).cast("timestamp").alias("replayed_at"))
