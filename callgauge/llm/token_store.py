@@ -131,7 +131,7 @@ class ChunkEncoder:
     from the tokenizers library. With a tokenizer file of another kind
     (``splits_at_white_space``), whole texts are encoded as they stand."""
 
-    def __init__(self, path: str, limit: int = 1_500_000):
+    def __init__(self, path: str, limit: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -201,7 +201,7 @@ class ChunkEncoder:
 _PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 _BYTE_LETTERS = {b: 0x100 + k for k, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
 #: Bytes of texts that are encoded at once.
-PIECE = 1 << 23
+PIECE = 1 << 21
 
 
 @lru_cache(maxsize=1)
