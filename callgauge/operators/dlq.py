@@ -45,7 +45,7 @@ def dlq_replay(dlq: DataFrame, log: DataFrame | None, now: str, after: str | Non
     cand = replay_candidates(dlq, after, limit)   # batch_id = dlq_id
     envs = validate.validate_envelopes(cand)
     checked = validate.validate_events(validate.explode_envelopes(envs))
-    typed = validate.typed_events(checked.filter("size(reasons) = 0"), ingested_at=now)
+    typed = validate.typed_events(validate.rows_where(checked, "size(reasons) = 0"), ingested_at=now)
     fresh = rollup.dedup_new(typed, log)
     per = (typed.selectExpr("batch_id AS dlq_id", "1 AS _valid", "0 AS _new")
            .unionByName(fresh.selectExpr("batch_id AS dlq_id", "0 AS _valid", "1 AS _new"))
