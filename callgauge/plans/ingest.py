@@ -5,7 +5,8 @@ One pass produces a *flagged* row set — one row per event of an accepted
 envelope plus one row per rejected envelope — carrying the envelope verdict,
 the event verdict and whether the row is the first delivery of its
 (event_id, created_at). Every output (ack, inserted rows, rollup delta, DLQ)
-is a projection or aggregate of that row set, so validation runs once. The
+is a projection or aggregate of that row set, so validation runs once. A row has the text of its
+envelope only if that was rejected, and its own JSON only if it is not valid. The
 same function backs the batch loader and the streaming ``foreachBatch`` sink.
 """
 
@@ -48,7 +49,8 @@ def _checked(lines: DataFrame, now: str | None, prices=PRICES) -> DataFrame:
     typed = typed.withColumn("well_formed", F.expr("envelope_ok AND event IS NOT NULL AND size(reasons) = 0"))
     priced = enrich.try_price_events(typed, prices)
     priced = priced.withColumn("enrich_error", F.when(F.col("well_formed"), F.col("enrich_error")))
-    return priced.withColumn("valid", F.col("well_formed") & F.col("enrich_error").isNull())
+    priced = priced.withColumn("valid", F.col("well_formed") & F.col("enrich_error").isNull())
+    return priced.withColumn("raw", F.expr("IF(valid, NULL, raw)"))  # the JSON is for the dead letters only
 
 
 DELIVERY = ["batch_id", "position", "_line"]
@@ -66,12 +68,16 @@ def _log_keys(log: DataFrame, rows: DataFrame) -> DataFrame:
     return log.select(*key, "event_month").join(months, "event_month", "left_semi").select(*key)
 
 
-def checked_rows(lines: DataFrame, now: str | None = None, prices=PRICES) -> DataFrame:
+def checked_rows(lines: DataFrame, now: str | None = None, prices=PRICES, text_ids: bool = False) -> DataFrame:
     """The validated rows of a load. Verbatim copies of an envelope become one,
     with their number in ``copies`` (a partial aggregate; nothing depends on
-    the order or the partitioning of the lines)."""
+    the order or the partitioning of the lines). ``text_ids`` gives batch_id as text: behind the
+    aggregate, so that lines which lie together by batch_id are not dealt again."""
     once = lines.groupBy("batch_id", "body").agg(F.count("*").alias("copies"))
-    return _checked(once.withColumn("_line", F.sha2("body", 256)), now, prices).drop("event")
+    if text_ids:
+        once = once.withColumn("batch_id", F.col("batch_id").cast("string"))
+    rows = _checked(once.withColumn("_line", F.sha2("body", 256)), now, prices)
+    return rows.drop("event", "field_reasons", "unknown_keys", "cross_reasons")  # ``reasons`` has them all
 
 
 def flag_rows(lines: DataFrame, log: DataFrame | None = None, now: str | None = None) -> DataFrame:
@@ -79,6 +85,21 @@ def flag_rows(lines: DataFrame, log: DataFrame | None = None, now: str | None =
     return flag_new(checked_rows(lines, now), log)
 
 
+def _first_deliveries(typed: DataFrame, log: DataFrame | None) -> DataFrame:
+    """The earliest delivery of each valid event's key that is absent from ``log``."""
+    key = rollup.DEDUP_KEY
+    first = typed.filter("valid").groupBy(*key).agg(F.min(F.struct(*DELIVERY)).alias("_first"))
+    if log is not None:
+        first = first.join(_log_keys(log, typed.filter("valid")), key, "left_anti")
+    return first
+
+
+def new_rows(typed: DataFrame, log: DataFrame | None = None) -> DataFrame:
+    """The rows that :func:`flag_new` flags, and no other: a rejected row takes no part in the join."""
+    joined = typed.filter("valid").join(_first_deliveries(typed, log), rollup.DEDUP_KEY)
+    return joined.filter(F.struct(*DELIVERY) == F.col("_first")).drop("_first")
+
+
 def flag_new(typed: DataFrame, log: DataFrame | None = None) -> DataFrame:
     """``is_new`` holds for the earliest delivery (batch_id, position, then the
     envelope's hash) of a valid event's (event_id, created_at) in this load, if
@@ -86,12 +107,7 @@ def flag_new(typed: DataFrame, log: DataFrame | None = None) -> DataFrame:
     aggregate on the dedup key joined back, so a hot key never forms a
     single-task window. The rows are read more than once: a loader persists them.
     """
-    key = rollup.DEDUP_KEY
-    first = typed.filter("valid").groupBy(*key).agg(F.min(F.struct(*DELIVERY)).alias("_first"))
-    if log is not None:
-        seen = _log_keys(log, typed.filter("valid"))
-        first = first.join(seen, key, "left_anti")
-    typed = typed.join(first, key, "left")
+    typed = typed.join(_first_deliveries(typed, log), rollup.DEDUP_KEY, "left")
     return typed.withColumn("is_new", F.coalesce(F.col("valid") & (F.struct(*DELIVERY) == F.col("_first")), F.lit(False))).drop("_first")
 
 
@@ -188,14 +204,12 @@ def ingest(lines: DataFrame, log: DataFrame | None = None, now: str | None = Non
 
 
 def ingest_checked(checked: DataFrame, log: DataFrame | None = None, now: str | None = None,
-                   redaction_mode: str = "both", preview_chars: int = redaction.PREVIEW_CHARS,
-                   keep=lambda df: df) -> IngestResult:
-    """The write path from checked rows on; ``keep`` is applied to the flagged rows (a loader persists them)."""
-    flagged = keep(flag_new(checked, log))
-    new = flagged.filter("is_new")
+                   redaction_mode: str = "both", preview_chars: int = redaction.PREVIEW_CHARS) -> IngestResult:
+    """The write path from checked rows on."""
+    new = new_rows(checked, log)
     if redaction_mode in ("ingest", "both"):
         new = redaction.redaction_second_pass(
             new.withColumnRenamed("input_preview", "_in").withColumnRenamed("output_preview", "_out"),
             redaction_mode, preview_chars, "_in", "_out")
     inserted = new.select(*EVENT_LOG_COLUMNS)
-    return IngestResult(flagged, inserted, rollup.rollup_1m(inserted), ack_of(checked, log), dlq_of(flagged, now))
+    return IngestResult(flag_new(checked, log), inserted, rollup.rollup_1m(inserted), ack_of(checked, log), dlq_of(checked, now))

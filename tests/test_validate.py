@@ -124,3 +124,35 @@ def test_envelope_sdk_limits(spark):
     lines = spark.createDataFrame([(i, _env([BASE], sdk=x)) for i, x in enumerate(sdk)], "batch_id long, body string")
     got = {r.batch_id: r.p for r in V.validate_envelopes(lines).select("batch_id", V.reason_paths("envelope_reasons").alias("p")).collect()}
     assert got == {0: ["sdk.name"], 1: ["sdk.version"], 2: ["sdk.runtime"], 3: ["sdk.version"]}
+
+
+def test_event_rows_do_not_carry_their_envelope(spark):
+    """An envelope's text goes with its rejection only, an event's JSON with that of the event: a load
+    keeps as many bytes as its events have, and not each envelope once an event."""
+    bad = dict(BASE, latencyMs="x", eventId="0193b5e0-1c4a-7000-8000-000000000002")
+    lines = spark.createDataFrame([(1, _env([BASE, bad])), (2, "no json")], "batch_id long, body string")
+    rows = {(r.batch_id, r.position): (r.body, r.raw) for r in ingest.checked_rows(lines).select("batch_id", "position", "body", "raw").collect()}
+    assert rows[1, 0] == (None, None)
+    assert rows[1, 1][0] is None and json.loads(rows[1, 1][1]) == bad
+    assert rows[2, None] == ("no json", None)
+    assert {d.stage: d.payload for d in ingest.ingest(lines).dlq.collect()}["envelope"] == "no json"
+
+
+def test_a_body_is_parsed_once_per_scan(spark):
+    """No filter on a verdict is moved below the columns that make it, where it parses all bodies again."""
+    lines = spark.createDataFrame([(1, _env([BASE]))], "batch_id long, body string")
+    envs = V.validate_envelopes(lines)
+    checked = V.validate_events(V.explode_envelopes(envs))
+    one = [checked.select("event_id", "reasons"), V.rows_where(checked, "size(cross_reasons) > 0").select("event_id")]
+    for df, scans in [(d, 1) for d in one] + [(V.quarantine(envs, checked), 2)]:
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("parseJson(") + plan.count("parse_json(") == scans
+
+
+def test_odd_events(spark):
+    """Events that are no objects, members that are null, and keys with odd characters."""
+    e = dict(BASE)
+    rows = _check(spark, [1, None, "x", [], dict(e, **{"a.b": 1, "é": None}), dict(e, userId=None, provider=None), dict(e, attributes={"k": [1, None]})]).select(
+        "position", "event_id", "unknown_keys", V.reason_paths().alias("p")).collect()
+    assert [r.p for r in rows] == [["<root>"]] * 5 + [["provider"], []]
+    assert rows[4].unknown_keys == ["a.b", "é"] and [r.event_id is None for r in rows] == [True] * 4 + [False] * 3
