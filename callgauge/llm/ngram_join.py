@@ -11,25 +11,24 @@
    target: the share of trees in which it shares a whole path gives the similarity s of what it
    meets there, s**DEPTH (the threshold where that is less), and at a depth d trees find a partner
    with probability 1 - (1 - s**d)**TREES. Below a node at a representative's depth all are its candidates.
-4. Candidates are verified exactly, in stars. Of each component of candidates some are drawn as
-   pivots; every other member is compared with each pivot, and what is found alike is one class
-   from then on. A pivot that has met all others is done. A pair still matters only if its two
-   texts are in different classes and neither was a pivot, so the next round draws its pivots
-   from all but the largest class of the component; when that leaves none, the component is done. A family of n texts
-   that are alike costs n comparisons a pivot, whatever its size, and links inside a class are
-   not listed; texts that are like none of their candidates each have to be a pivot, in blocks of
-   ``BLOCK_ROWS``. The rounds double their number of blocks.
-5. Classes are the connected components of the links; they are those of comparing all candidates.
+4. Candidates are verified exactly. The components of candidates are cut into blocks of ``BLOCK_ROWS``
+   texts or ``BLOCK_SHINGLES`` shingles, a row each, and every text of a component is compared with every
+   other one: within its block, and block with block. So all links inside a component count, also those of
+   pairs that aren't candidates themselves. n texts of one component cost n x n / 2 comparisons, of bounded
+   memory and in any number of tasks, and (n / ``BLOCK_ROWS``)**2 / 2 rows that hold two blocks.
+5. Classes are the connected components of the links.
 
 Result of ``similar_documents``, a row a document: doc_id, class_id (least doc_id of its class),
-class_size (documents), copies (documents of an equal set, itself among them), link_id and
-similarity (a document of another set that was verified to be similar, the most similar of those
-that were its pivots or whose pivot it was; null if none), text_key (128 bits of the text) and is_head (whether the row
-is its class's first by doc_id, null last, then text_key). So links are given between
-representatives, and each document with its representative and class.
+class_size (documents), copies (documents of an equal set, itself among them), n_links (all other documents
+that are similar to it, copies among them), link_id and similarity (the most similar document of another set;
+null if none), text_key (128 bits of the text) and is_head (whether the row
+is its class's first by doc_id, null last, then text_key).
+
+The forest is the only step that may miss a link: of two texts at the threshold whose component nothing else
+joins, 4 in 10**8 if one of them meets no closer text, and 2 in 10**6 if both keep their whole paths.
 
 Defined results: null, empty and wordless texts have no shingles and are classes of their own
-(class_id is their doc_id); texts with equal words are copies; a class whose doc_ids are all
+(class_id is their doc_id) without links; texts with equal words are copies; a class whose doc_ids are all
 null has a null class_id; rows of equal doc_id and text are rows of one class, and all of them
 are heads if one is; an empty table gives no row. Other columns are not read.
 """
@@ -49,11 +48,10 @@ from callgauge.llm.textbytes import U64, Words, constants, flat, mix, windows
 
 SHINGLE = 5
 THRESHOLD = 0.8
-TREES, DEPTH = 28, 7
-RECALL = 0.9995
-BLOCK_ROWS, BLOCK_SHINGLES = 256, 1 << 18
-#: Members that one task compares with a block of pivots.
-SLICE_ROWS, SLICE_SHINGLES = 1024, 1 << 21
+TREES, DEPTH = 56, 7
+RECALL = 1 - 1e-7
+#: Texts of a component that are one row.
+BLOCK_ROWS, BLOCK_SHINGLES = 1024, 1 << 18
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int = SHINGLE) -> list[np.ndarray]:
@@ -79,18 +77,19 @@ def set_key(shingles: np.ndarray) -> bytes | None:
     return np.array(both, dtype="<u8").tobytes()
 
 
-_A, _B = constants(TREES * DEPTH, 31), constants(TREES * DEPTH, 32)
+_A, _B = ((c >> U64(32)).astype(np.uint32) for c in (constants(TREES * DEPTH, 31), constants(TREES * DEPTH, 32)))
+_A |= np.uint32(1)
 
 
 def signature(shingles: np.ndarray) -> bytes:
-    """``TREES * DEPTH`` MinHash values of 16 bits. The hash is monotone in its upper bits, so its
-    minimum is taken over 64 bits and then mixed."""
-    low = np.full(len(_A), ~U64(0))
+    """``TREES * DEPTH`` MinHash values of 16 bits, of the shingles' upper 32 bits. The hash is monotone in
+    its upper bits, so its minimum is taken over 32 bits and then mixed."""
+    low, short = np.full(len(_A), ~np.uint32(0)), (shingles >> U64(32)).astype(np.uint32)
     with np.errstate(over="ignore"):
-        for at in range(0, len(shingles), 512):
-            part = shingles[at: at + 512]
+        for at in range(0, len(short), 512):
+            part = short[at: at + 512]
             np.minimum(low, (part[None, :] * _A[:, None] + _B[:, None]).min(axis=1), out=low)
-        return (mix(low) >> U64(48)).astype("<u2").tobytes()
+        return (mix(low.astype(U64)) >> U64(48)).astype("<u2").tobytes()
 
 
 def recall_at(similarity: float, depth: int, trees: int) -> float:
@@ -204,128 +203,104 @@ def compare(sets: list[np.ndarray], split: int, threshold: float) -> np.ndarray:
     return found
 
 
-class Stars:
-    """One block of pivots and the classes that the members compared with it give it."""
-
-    def __init__(self, reps: list[int], sets: list[np.ndarray], threshold: float):
-        self.reps, self.sets, self.threshold = np.array(reps, dtype=np.int64), sets, threshold
-        self.root = self.reps.copy()
-        self.link, self.similarity = np.full(len(reps), -1, dtype=np.int64), np.zeros(len(reps))
-        if len(reps) > 1:
-            found = compare(sets, 0, threshold)
-            self._merge((found > 0) | np.eye(len(reps), dtype=bool))  # a pivot's row stands for itself as well
-            self._note(found, self.reps)
-
-    def _merge(self, linked: np.ndarray) -> None:
-        """Pivots that one row (of pivots or members) is linked to are of one class."""
-        while True:
-            least = np.where(linked, self.root[None, :], np.iinfo(np.int64).max).min(axis=1)
-            new = np.minimum(self.root, np.where(linked, least[:, None], np.iinfo(np.int64).max).min(axis=0))
-            _, group = np.unique(self.root, return_inverse=True)  # a class takes the least root of its pivots
-            lowest = np.full(group.max() + 1, np.iinfo(np.int64).max)
-            np.minimum.at(lowest, group, new)
-            if (lowest[group] == self.root).all():
-                return
-            self.root = lowest[group]
-
-    def _note(self, found: np.ndarray, reps: np.ndarray) -> None:
-        """Keep each pivot's most similar row."""
-        best = found.argmax(axis=0)
-        value = found[best, np.arange(found.shape[1])]
-        more = value > self.similarity
-        self.similarity[more], self.link[more] = value[more], reps[best[more]]
-
-    def meet(self, reps: list[int], sets: list[np.ndarray]):
-        """Compare members with all pivots; rows of the linked: rep, root, link, similarity."""
-        if not len(self.reps):
-            return self.pivots()
-        found = compare(self.sets + sets, len(self.sets), self.threshold).T
-        linked, reps = found > 0, np.array(reps, dtype=np.int64)
-        self._merge(linked)
-        self._note(found, reps)
+def classes(linked: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The classes of rows and of columns that a matrix of links joins, by the least row of each; ``same`` if
+    rows and columns are the same texts. Numbers of what has no link mean nothing."""
+    none = np.iinfo(np.int64).max
+    rows = np.arange(linked.shape[0])
+    while True:
+        columns = np.where(linked, rows[:, None], none).min(axis=0)
+        if same:
+            columns = np.minimum(columns, rows)
+        least = np.minimum(rows, np.where(linked, columns[None, :], none).min(axis=1))
+        if (least == rows).all():
+            return rows, columns
+        rows = least
+
+
+class Block:
+    """Some texts of a component, as one row."""
+
+    def __init__(self, reps: np.ndarray, copies: np.ndarray, sets: list[np.ndarray]):
+        self.reps, self.copies, self.sets = reps, copies, sets
+
+    def packed(self) -> list[bytes]:
+        """Different shingles are written once, and their numbers in each text."""
+        words, ids = np.unique(np.concatenate(self.sets), return_inverse=True)
+        sizes = np.array([len(x) for x in self.sets])
+        return [self.reps.astype("<i8").tobytes(), self.copies.astype("<i8").tobytes(), sizes.astype("<i4").tobytes(), words.astype("<u8").tobytes(), ids.astype("<u4").tobytes()]
+
+    @classmethod
+    def unpacked(cls, row: dict, prefix: str = "") -> Block:
+        reps, copies, sizes, words, ids = (np.frombuffer(row[prefix + c], dtype=t) for c, t in PACKED.items())
+        return cls(reps, copies, np.split(words[ids], np.cumsum(sizes)[:-1]))
+
+    def links(self, other: Block | None, threshold: float) -> pa.RecordBatch:
+        """Of every text that is linked to one of the other block (or of its own): rep, root (a text that these links
+        join it with), link (the most similar), similarity and the number of documents that it is linked to."""
+        found = compare(self.sets, 0, threshold) if other is None else compare(self.sets + other.sets, len(self.sets), threshold)
+        to = self if other is None else other
+        rows, columns = classes(found > 0, other is None)
+        parts = [self._linked(found, rows, self.reps, to)]
+        if other is not None:
+            parts.append(to._linked(found.T, columns, self.reps, self))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts)], names=[c.split()[0] for c in LINKS.split(", ")])
+
+    def _linked(self, found: np.ndarray, root: np.ndarray, roots: np.ndarray, to: Block):
+        linked = found > 0
         at = np.flatnonzero(linked.any(axis=1))
         best = found[at].argmax(axis=1)
-        return reps[at], self.root[best], self.reps[best], found[at, best]
-
-    def pivots(self):
-        at = np.flatnonzero(self.link >= 0)
-        return self.reps[at], self.root[at], self.link[at], self.similarity[at]
+        return self.reps[at], roots[root[at]], to.reps[best], found[at, best], linked[at] @ to.copies
 
 
-def _batch(rows) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(x) for x in rows], names=["rep", "root", "link", "similarity"])
+#: The columns of a packed block and their kinds.
+PACKED = {"reps": "<i8", "copies": "<i8", "sizes": "<i4", "words": "<u8", "ids": "<u4"}
+LINKS = "rep long, root long, link long, similarity double, documents long"
 
 
-def _compared(placed: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """rep, root, link and similarity of the linked rows of ``placed`` (comp, block, slice, side, rep):
-    pivots (side 0) and members (side 1) of each slice; root is a pivot of its class so far."""
-    cols = ["comp", "block", "slice"]
-    dealt = placed.join(sets, "rep").repartition(*cols).sortWithinPartitions(*cols, "side", "rep")
+def _blocks(dealt: DataFrame) -> DataFrame:
+    """comp, block, blocks and the packed texts, from rows of comp, block, blocks, rep, copies and shingles."""
+    cols = ["comp", "block", "blocks"]
+    dealt = dealt.repartition("comp", "block").sortWithinPartitions("comp", "block", "rep")
 
     def rows(batches):
         for batch in batches:
             keys = zip(*(batch.column(c).to_pylist() for c in cols))
-            for key, side, rep, s in zip(keys, batch.column("side").to_pylist(), batch.column("rep").to_pylist(), batch.column("shingles")):
-                yield key, side, rep, np.frombuffer(s.as_buffer(), dtype="<u8").copy()
-
-    def verify(batches):
-        for _, group in groupby(rows(batches), key=lambda r: r[0]):
-            stars, reps, members, size = None, [], [], 0
-            for _, side, rep, s in group:
-                if reps and reps[-1] == rep:  # rows of one doc_id and text give one set
-                    continue
-                if side and stars is None:
-                    stars, reps, members, size = Stars(reps, members, threshold), [], [], 0
-                reps.append(rep)
-                members.append(s)
-                size += len(s)
-                if side and (len(reps) >= BLOCK_ROWS or size >= BLOCK_SHINGLES):
-                    yield _batch(stars.meet(reps, members))
-                    reps, members, size = [], [], 0
-            if stars is None:
-                stars = Stars(reps, members, threshold)
-            elif reps:
-                yield _batch(stars.meet(reps, members))
-            yield _batch(stars.pivots())
-
-    return dealt.mapInArrow(verify, "rep long, root long, link long, similarity double")
-
-
-def _links(members: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """rep, root, link and similarity: the links found in rounds of pivots; members: comp, rep, n."""
-    members, tables, blocks = members.withColumn("label", F.col("rep")), [], 1
-    while True:
-        per_class = members.groupBy("comp", "label").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
-        largest = F.struct("c", "label")
-        per_comp = (per_class.groupBy("comp")
-                    .agg(F.max_by("label", largest).alias("top"), F.sum("c").alias("total"), F.sum("s").alias("all_n"),
-                         (F.sum("c") - F.max("c")).alias("p"), (F.sum("s") - F.max_by("s", largest)).alias("ps")).where("p > 0")
-                    .withColumn("blocks", F.greatest(F.ceil(F.col("p") / BLOCK_ROWS), F.ceil(F.col("ps") / BLOCK_SHINGLES)))
-                    .select("comp", "top", "blocks", F.least("blocks", F.lit(blocks)).alias("now"),
-                            F.greatest(F.ceil(F.col("total") / SLICE_ROWS), F.ceil(F.col("all_n") / SLICE_SHINGLES)).alias("slices")))
-        per_comp = common.stored(per_comp, "components")
-        if tables and per_comp.isEmpty():
-            return links
-        # a member of another class than the largest is a pivot of block ``own``, in this round if own < now
-        dealt = (members.join(per_comp, "comp")
-                 .withColumn("own", F.when(F.col("label") == F.col("top"), -1).otherwise(F.expr(f"pmod(xxhash64(rep, {blocks}), blocks)"))))
-        places = """flatten(transform(sequence(0L, now - 1), j -> if(own = j,
-            transform(sequence(0L, slices - 1), k -> named_struct('block', j, 'slice', k, 'side', 0)),
-            array(named_struct('block', j, 'slice', pmod(xxhash64(rep, 5L), slices), 'side', 1)))))"""
-        placed = dealt.select("comp", "rep", F.explode(F.expr(places)).alias("at")).select("comp", "at.*", "rep")
-        tables.append(common.stored(_compared(placed, sets, threshold), "links"))
-        links = tables[0]
-        for t in tables[1:]:
-            links = links.unionByName(t)
-        if per_comp.where("now < blocks").isEmpty():
-            return links
-        # a class so far: the least root of a member's links, and that root's own. It needn't be the whole
-        # component of the links: a class in two parts only gives more pivots
-        least = links.groupBy("rep").agg(F.min("root").alias("r"))
-        labels = least.join(least.select(F.col("rep").alias("r"), F.col("r").alias("r2")), "r", "left").select("rep", F.coalesce("r2", "r").alias("r"))
-        members = common.stored(dealt.where("now < blocks and (own < 0 or own >= now)").select("comp", "rep", "n").join(labels, "rep", "left")
-                                .select("comp", "rep", "n", F.coalesce("r", "rep").alias("label")), "members")
-        blocks *= 2
+            for key, rep, copies, x in zip(keys, batch.column("rep").to_pylist(), batch.column("copies").to_pylist(), batch.column("shingles")):
+                yield key, rep, copies, np.frombuffer(x.as_buffer(), dtype="<u8").copy()
+
+    def pack(batches):
+        for key, group in groupby(rows(batches), key=lambda r: r[0]):
+            texts = {rep: (copies, x) for _, rep, copies, x in group}  # rows of one doc_id and text give one set
+            block = Block(np.array(list(texts)), np.array([c for c, _ in texts.values()]), [x for _, x in texts.values()])
+            yield pa.RecordBatch.from_pylist([dict(zip([*cols, *PACKED], [*key, *block.packed()]))], schema=schema)
+
+    schema = pa.schema([(c, pa.int64()) for c in cols] + [(c, pa.binary()) for c in PACKED])
+    return dealt.mapInArrow(pack, ", ".join([f"{c} long" for c in cols] + [f"{c} binary" for c in PACKED]))
+
+
+def _links(blocks: DataFrame, threshold: float) -> DataFrame:
+    """The LINKS columns: a row a text and block that it has links in."""
+    def within(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                if len(row["reps"]) > 8:  # more than one text
+                    yield Block.unpacked(row).links(None, threshold)
+
+    def across(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                yield Block.unpacked(row).links(Block.unpacked(row, "other_"), threshold)
+
+    found = common.stored(blocks.mapInArrow(within, LINKS), "links")
+    cut = blocks.where("blocks > 1")
+    if cut.isEmpty():
+        return found
+    one = cut.where("block < blocks - 1").withColumn("other", F.explode(F.sequence(F.col("block") + 1, F.col("blocks") - 1)))
+    other = cut.select("comp", F.col("block").alias("other"), *[F.col(c).alias(f"other_{c}") for c in PACKED])
+    with common.arrow_rows(cut.sparkSession, 4):  # a row has some MB
+        pairs = one.join(other.hint("merge"), ["comp", "other"]).select(*PACKED, *[f"other_{c}" for c in PACKED])
+        return found.unionByName(common.stored(pairs.mapInArrow(across, LINKS), "links"))
 
 
 def text_key(text) -> Column:
@@ -334,7 +309,7 @@ def text_key(text) -> Column:
 
 
 def similar_documents(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """doc_id, text_key, class_id, class_size, copies, link_id, similarity and is_head of every document."""
+    """doc_id, text_key, class_id, class_size, copies, n_links, link_id, similarity and is_head of every document."""
     spark = docs.sparkSession
     common.prepare(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -344,33 +319,35 @@ def similar_documents(docs: DataFrame, threshold: float = THRESHOLD, recall: flo
     reps = common.stored(signed.where("skey is not null").groupBy("skey")
                          .agg(F.min(row).alias("head"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig"))
                          .withColumn("rep", F.monotonically_increasing_id()), "representatives")
-    members = common.stored(_candidates(reps, threshold, recall).join(reps.select("rep", "n", "head.doc_id", "head.text_key"), "rep"), "members")
+    members = common.stored(_candidates(reps, threshold, recall).join(reps.select("rep", "n", "copies", "head.doc_id", "head.text_key"), "rep"), "members")
+    per_comp = common.stored(members.groupBy("comp").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("blocks")), "components")
 
     def to_sets(batches):
-        seen = set()
         for batch in batches:
-            new = [k for k, rep in enumerate(batch.column("rep").to_pylist()) if rep not in seen and not seen.add(rep)]
-            batch = batch.take(pa.array(new, pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array([s.tobytes() for s in shingle_sets(*flat(batch.column("text")))], pa.binary())], names=["rep", "shingles"])
+            sets = pa.array([s.tobytes() for s in shingle_sets(*flat(batch.column("text")))], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in placed), sets], names=[*placed, "shingles"])
 
-    wanted = members.select("rep", F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"))
+    placed = ["comp", "block", "blocks", "rep", "copies"]
+    wanted = members.join(per_comp, "comp").select("comp", F.expr("pmod(xxhash64(rep, 5L), blocks)").alias("block"), "blocks", "rep", "copies",
+                                                   F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"))
     # merged at every size: the texts' one shuffle then grows with them
-    texts = docs.join(wanted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_key") == F.col("__key"))).select("rep", "text")
-    sets = common.stored(texts.mapInArrow(to_sets, "rep long, shingles binary"), "sets")
-    links = _links(members.select("comp", "rep", "n"), sets, threshold)
+    texts = docs.join(wanted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_key") == F.col("__key"))).select(*placed, "text")
+    blocks = common.stored(_blocks(texts.mapInArrow(to_sets, ", ".join(f"{c} long" for c in placed) + ", shingles binary")), "blocks")
+    links = _links(blocks, threshold)
 
     classes = connected(links.select(F.col("rep").alias("u"), F.col("root").alias("v"))).withColumnRenamed("node", "rep")
-    best = (links.groupBy("rep").agg(F.max(F.struct("similarity", (-F.col("link")).alias("l"))).alias("b")).select("rep", "b.similarity", (-F.col("b.l")).alias("link"))
+    best = (links.groupBy("rep").agg(F.max(F.struct("similarity", (-F.col("link")).alias("l"))).alias("b"), F.sum("documents").alias("documents"))
+            .select("rep", "b.similarity", (-F.col("b.l")).alias("link"), "documents")
             .join(reps.select(F.col("rep").alias("link"), F.col("head.doc_id").alias("link_id")), "link").drop("link"))
     known = reps.select("rep", "skey", "head", "copies").join(best, "rep", "left").join(classes, "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     # both written, so that the joins have two plain shuffles, of which AQE splits a large class's or set's
     of_class = common.stored(known.groupBy("root").agg(F.min("head").alias("first"), F.sum("copies").alias("class_size")), "classes")
-    known = common.stored(known.join(of_class, "root").select("skey", "first", "class_size", "copies", "link_id", "similarity"), "known")
-    result = ["doc_id", "text_key", "class_id", "class_size", "copies", "link_id", "similarity", "is_head"]
+    known = common.stored(known.join(of_class, "root").select("skey", "first", "class_size", "copies", (F.coalesce("documents", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "link_id", "similarity"), "known")
+    result = ["doc_id", "text_key", "class_id", "class_size", "copies", "n_links", "link_id", "similarity", "is_head"]
     worded = (signed.where("skey is not null").select("doc_id", "text_key", "skey").join(known, "skey")
               .withColumn("class_id", F.col("first.doc_id")).withColumn("is_head", row.eqNullSafe(F.col("first"))).select(*result))
     none, one = F.lit(None).cast("long"), F.lit(1).cast("long")
-    wordless = signed.where("skey is null").select("doc_id", "text_key", F.col("doc_id").alias("class_id"), one.alias("class_size"), one.alias("copies"),
+    wordless = signed.where("skey is null").select("doc_id", "text_key", F.col("doc_id").alias("class_id"), one.alias("class_size"), one.alias("copies"), F.lit(0).cast("long").alias("n_links"),
                                                    none.alias("link_id"), F.lit(None).cast("double").alias("similarity"), F.lit(True).alias("is_head"))
     return worded.unionByName(wordless)
 

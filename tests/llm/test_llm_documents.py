@@ -90,11 +90,10 @@ def test_join_edges(spark, docs, rows, empty):
     assert ngram_join.similar_documents(empty).count() == 0
 
 
-@pytest.mark.parametrize("block_rows, slice_rows", [(256, 4096), (24, 40)])
-def test_join_against_brute_force(spark, monkeypatch, block_rows, slice_rows):
-    """Whole components at once, and several rounds, blocks and slices."""
+@pytest.mark.parametrize("block_rows", [1024, 24])
+def test_join_against_brute_force(spark, monkeypatch, block_rows):
+    """Whole components at once, and in several blocks."""
     monkeypatch.setattr(ngram_join, "BLOCK_ROWS", block_rows)
-    monkeypatch.setattr(ngram_join, "SLICE_ROWS", slice_rows)
     rng = random.Random(9)
     texts = []
     for _ in range(12):  # families of edited copies: some of each are linked, some by others only, some not at all
@@ -110,50 +109,50 @@ def test_join_against_brute_force(spark, monkeypatch, block_rows, slice_rows):
     got = {r.doc_id: r for r in ngram_join.similar_documents(df).collect()}
     assert [got[i].class_id for i in range(len(texts))] == root
     assert collections.Counter(root) == {k: got[k].class_size for k in set(root)}
-    for i in range(len(texts)):  # a text has a link exactly if another text of its class differs from it
-        others = {texts[j] for j in range(len(texts)) if root[j] == root[i]} - {texts[i]}
+    assert {i: got[i].n_links for i in range(len(texts))} == {i: sum((i, j) in links for j in range(len(texts))) for i in range(len(texts))}
+    for i in range(len(texts)):  # the link is the most similar of those to other texts
+        others = [links[i, j] for j in range(len(texts)) if (i, j) in links and texts[j] != texts[i]]
         assert (got[i].link_id is not None) == bool(others)
         if others:
-            assert got[i].similarity == pytest.approx(links[i, got[i].link_id])
+            assert got[i].similarity == pytest.approx(max(others)) == pytest.approx(links[i, got[i].link_id])
 
 
-def test_classes_of_pivots_and_members():
-    """Pairs, a chain and a pair that only a member joins, in any order of numbers."""
+def test_links_of_a_document(spark, rows, docs):
+    """Rows of an equal set are links of each other; a text without words has none."""
+    got = {r.doc_id: r.n_links for r in ngram_join.similar_documents(docs).collect()}
+    assert got == {1: 0, 2: 0, 3: 0, 4: 1, 5: 1, 6: 1, 7: 3, 8: 3, 9: 3, 10: 1, None: 0, 11: 0, 12: 0, 13: 0}
+
+
+def test_classes_of_a_matrix():
+    """Classes within a block and across two, against one node after the other, and blocks that are packed and unpacked."""
     rng = np.random.default_rng(2)
-    for _ in range(30):
-        base = [np.arange(k * 1000, k * 1000 + 100, dtype=np.uint64) for k in range(4)]
-        sets = [base[0], base[0] + np.uint64(8), base[0] + np.uint64(16), base[1], base[1] + np.uint64(8), base[2], base[2] + np.uint64(16), base[3]]
-        classes = [0, 0, 0, 1, 1, 2, 2, 3]
-        reps = rng.permutation(8) * 10
-        order = np.argsort(reps)
-        stars = ngram_join.Stars([int(reps[i]) for i in order], [sets[i] for i in order], 0.8)
-        rep, root, link, similarity = stars.meet([500, 501], [base[2] + np.uint64(8), base[3] + np.uint64(1)])
-        edges = [(a, b) for a, b in zip(rep.tolist(), root.tolist())] + list(zip(*(x.tolist() for x in stars.pivots()[:2])))
-        top = {r: r for r in [*reps.tolist(), 500, 501]}
-
-        def find(x):
-            while top[x] != x:
-                x = top[x]
-            return x
-
-        for a, b in edges:
-            top[max(find(a), find(b))] = min(find(a), find(b))
-        of = dict(zip(reps.tolist(), classes)) | {500: 2, 501: 3}
-        assert all((find(a) == find(b)) == (of[a] == of[b]) for a in of for b in of)
-
-
-def test_a_tight_family_needs_one_round_of_pivots(spark, monkeypatch):
-    """300 texts that are all alike: none is compared outside the first round's pivots."""
+    for n, m in [(1, 1), (6, 4), (30, 30), (30, 17)] * 5:
+        linked, same = rng.random((n, m)) < 1.2 / n, n == m
+        if same:
+            linked = (linked | linked.T) & ~np.eye(n, dtype=bool)
+        rows, columns = ngram_join.classes(linked, same)
+        label = np.arange(n + m)
+        for i, j in [(i, j if same else n + j) for i, j in zip(*np.nonzero(linked))] * (n + m):
+            label[[i, j]] = label[[i, j]].min()
+        assert (rows[linked.any(axis=1)] == label[:n][linked.any(axis=1)]).all()
+        assert (columns[linked.any(axis=0)] == (label[:n] if same else label[n:])[linked.any(axis=0)]).all()
+    block = ngram_join.Block(np.array([3, 9]), np.array([1, 4]), [np.array([5, 2**64 - 1], dtype=np.uint64), np.array([5], dtype=np.uint64)])
+    again = ngram_join.Block.unpacked(dict(zip(ngram_join.PACKED, block.packed())))
+    assert again.reps.tolist() == [3, 9] and again.copies.tolist() == [1, 4] and [x.tolist() for x in again.sets] == [[5, 2**64 - 1], [5]]
+
+
+def test_all_links_of_a_tight_family_in_few_rows(spark, monkeypatch):
+    """300 texts that are all alike: each has 299 links, and 38 blocks are compared in 703 rows, not 300 x 300."""
     monkeypatch.setattr(ngram_join, "BLOCK_ROWS", 8)
     rng = random.Random(12)
     base, texts = prose(rng, 200, 9000).split(), []
     for i in range(300):
         texts.append(" ".join(base[:-1] + [f"only{i}"]))
-    compared = []
-    real = ngram_join._compared
-    monkeypatch.setattr(ngram_join, "_compared", lambda placed, sets, threshold: compared.append(placed.count()) or real(placed, sets, threshold))
+    blocks = []
+    real = ngram_join._links
+    monkeypatch.setattr(ngram_join, "_links", lambda packed, threshold: blocks.append(packed.count()) or real(packed, threshold))
     got = ngram_join.similar_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
-    assert {(r.class_id, r.class_size) for r in got} == {(0, 300)} and compared == [300]
+    assert {(r.class_id, r.class_size, r.n_links) for r in got} == {(0, 300, 299)} and blocks == [38]
 
 
 def test_prefixes_shorten_until_the_recall():
