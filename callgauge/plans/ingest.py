@@ -50,7 +50,7 @@ def _checked(lines: DataFrame, now: str | None, prices=PRICES) -> DataFrame:
     priced = enrich.try_price_events(typed, prices)
     priced = priced.withColumn("enrich_error", F.when(F.col("well_formed"), F.col("enrich_error")))
     priced = priced.withColumn("valid", F.col("well_formed") & F.col("enrich_error").isNull())
-    return priced.withColumn("raw", F.expr("IF(valid, NULL, raw)"))  # the JSON is for the dead letters only
+    return priced.withColumn("raw", F.expr("IF(valid, NULL, to_json(event))"))  # the JSON is for the dead letters only
 
 
 DELIVERY = ["batch_id", "position", "_line"]
@@ -163,10 +163,11 @@ def dlq_of(flagged: DataFrame, now: str | None = None) -> DataFrame:
     priced (stage 'enrich'). The error text is whole; verbatim copies of an
     envelope park their rejects once, with the number of copies as attempts.
     ``dlq_id`` names the batch, the position and the envelope's hash: different
-    bodies of one batch_id park their own."""
+    bodies of one batch_id park their own. As a load's copies are one row (:func:`checked_rows`), each
+    name comes once, and the payloads are not dealt again."""
     ts = f"TIMESTAMP '{now}'" if now else "current_timestamp()"
     bad = flagged.filter("NOT envelope_ok OR (position IS NOT NULL AND NOT valid)")
-    return merge_dlq(bad.withColumn(
+    return bad.withColumn(
         "_why", F.expr("CASE WHEN NOT envelope_ok THEN envelope_reasons WHEN well_formed THEN array(enrich_error) ELSE reasons END")).selectExpr(
         "concat_ws('-', concat('b', CAST(batch_id AS STRING)), IF(envelope_ok, CAST(position AS STRING), NULL), left(_line, 32)) AS dlq_id",
         "batch_id", "position",
@@ -176,8 +177,8 @@ def dlq_of(flagged: DataFrame, now: str | None = None) -> DataFrame:
         "_why AS reasons",
         "sdk_version",
         "array_join(_why, '; ') AS error",
-        "copies AS attempts", f"{ts} AS first_seen_at", f"{ts} AS last_seen_at",
-        "CAST(NULL AS TIMESTAMP) AS replayed_at"))
+        "CAST(copies AS INT) AS attempts", f"{ts} AS first_seen_at", f"{ts} AS last_seen_at",
+        "CAST(NULL AS TIMESTAMP) AS replayed_at")
 
 
 def merge_dlq(*dlqs: DataFrame) -> DataFrame:
