@@ -149,6 +149,34 @@ def test_a_body_is_parsed_once_per_scan(spark):
         assert plan.count("parseJson(") + plan.count("parse_json(") == scans
 
 
+def test_dead_letters_from_one_pass(spark):
+    """The dead letters of envelopes and events from rows that are parsed once, as from both sides."""
+    bad = dict(BASE, latencyMs="x")
+    lines = spark.createDataFrame([(1, _env([BASE, bad, None, 7])), (2, "no json"), (3, _env([])), (None, _env([bad])), (4, None), (1, _env([BASE]))], "batch_id long, body string")
+    envs = V.validate_envelopes(lines)
+    both = V.quarantine(envs, V.validate_events(V.explode_envelopes(envs)), now="2026-08-01 00:00:00")
+    one = V.quarantine_all(V.validate_events(V.explode_all(envs)), now="2026-08-01 00:00:00")
+    assert one.columns == both.columns
+    assert sorted(map(str, one.collect())) == sorted(map(str, both.collect())) and one.count() == 7
+    plan = one._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parseJson(") + plan.count("parse_json(") == 1
+
+
+def test_parked_payloads_are_not_dealt_again(spark):
+    """A load's dead letters are a projection of its rows: each name comes once without an aggregate."""
+    bad = dict(BASE, latencyMs="x")
+    lines = spark.createDataFrame([(1, _env([BASE, bad])), (1, _env([bad])), (2, "no json"), (2, "no json")], "batch_id long, body string")
+    rows = ingest.checked_rows(lines)
+    found = ingest.dlq_of(rows, now="2026-08-01 00:00:00")
+
+    def shuffles(df):
+        return df._jdf.queryExecution().sparkPlan().toString().count("Aggregate(")
+    assert shuffles(found) == shuffles(rows)
+    got = found.collect()
+    assert sorted((r.stage, r.position, r.attempts) for r in got if r.stage == "validate") == [("validate", 0, 1), ("validate", 1, 1)]
+    assert [r.attempts for r in got if r.stage == "envelope"] == [2] and len({r.dlq_id for r in got}) == 3
+
+
 def test_odd_events(spark):
     """Events that are no objects, members that are null, and keys with odd characters."""
     e = dict(BASE)
