@@ -120,7 +120,7 @@ def parse_chunks(chunks: DataFrame, provider_col: str = "provider") -> DataFrame
 TERMINALS = "('done', 'return', 'error')"
 
 
-def assemble_spans(parsed: DataFrame, text_limit: int | None = None) -> DataFrame:
+def assemble_spans(parsed: DataFrame, text_limit: int | None = None, count_as: str | None = None) -> DataFrame:
     """One call record per ``call_id`` from its parsed chunks and terminal
     marker (kind 'done' -> ok, 'return' -> cancelled, 'error' -> classified by
     the error's name, code, HTTP status and message; no marker -> cancelled).
@@ -130,9 +130,12 @@ def assemble_spans(parsed: DataFrame, text_limit: int | None = None) -> DataFram
     latency = terminal time - start (last chunk if no marker); usage = last
     non-NULL number per field; finish reason = last non-empty one. Text is the
     chunks' text in seq order, whole unless ``text_limit`` is given: then it is
-    appended only while its length is below the limit. Tokens/s has 2 dp.
+    appended only while its length is below the limit. Tokens/s has 2 dp. ``count_as``
+    names a column for the number of the call's chunks, those behind the marker among them.
     """
     call = Window.partitionBy("call_id")  # the chunks of one call
+    if count_as is not None:
+        parsed = parsed.withColumn("_n", F.count(F.lit(1)).over(call))
     p = (parsed.withColumn("_end_seq", F.min(F.expr(f"IF(kind IN {TERMINALS}, seq, NULL)")).over(call))
          .filter("_end_seq IS NULL OR seq <= _end_seq"))
     keep = "text IS NOT NULL"
@@ -155,12 +158,13 @@ def assemble_spans(parsed: DataFrame, text_limit: int | None = None) -> DataFram
         .alias("finish_reason"),
         F.expr(f"array_join(transform(array_sort(collect_list(IF({keep}, named_struct('s', seq, 't', text), NULL))), "
                "x -> x.t), '')").alias("output_text"),
+        *([] if count_as is None else [F.max("_n").alias(count_as)]),
     )
-    return finish_spans(g)
+    return finish_spans(g, [] if count_as is None else [count_as])
 
 
-def finish_spans(g: DataFrame) -> DataFrame:
-    """Status, error, latency, TTFT and throughput from per-call aggregates."""
+def finish_spans(g: DataFrame, carried: list[str] = ()) -> DataFrame:
+    """Status, error, latency, TTFT and throughput from per-call aggregates, and the columns ``carried``."""
     g = g.withColumn("ended_at", F.expr("coalesce(_end, _last)"))
     g = g.withColumn("latency_ms", F.expr("CAST((unix_micros(ended_at) - unix_micros(started_at)) / 1000 AS BIGINT)"))
     err_type = classify_error_sql("provider", "coalesce(error_name, '')", "error_code", "http_status", "coalesce(error_message, '')")
@@ -174,5 +178,5 @@ def finish_spans(g: DataFrame) -> DataFrame:
         "input_tokens", "output_tokens", "cache_read_tokens", "cache_write_tokens", "finish_reason",
         "output_text",
         f"IF(output_tokens > 0 AND latency_ms > 0, {round_div_sql('output_tokens * 1000', 'latency_ms', 2)}, NULL) "
-        "AS tokens_per_sec",
+        "AS tokens_per_sec", *carried,
     )

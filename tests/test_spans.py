@@ -33,6 +33,15 @@ def test_drained_stream(spark):
     assert s.output_text == "Hello world" and s.ttft_ms <= s.latency_ms and s.ttft_ms == 100
 
 
+def test_number_of_chunks(spark):
+    """All chunks of a call count, those behind its marker among them."""
+    seqs = [START, HELLO, ("done", None, None), WORLD]
+    both = spans.parse_chunks(_chunks(spark, seqs).unionByName(_chunks(spark, seqs[:2], 2)))
+    got = spans.assemble_spans(both, count_as="logged").collect()
+    assert {r.call_id: (r.logged, r.output_text) for r in got} == {1: (4, "Hello"), 2: (2, "Hello")}
+    assert "logged" not in spans.assemble_spans(both).columns
+
+
 def test_break_after_first_text_is_cancelled(spark):
     s = _span(spark, [START, HELLO, ("return", None, None)])
     assert (s.status, s.input_tokens, s.error_type, s.output_tokens) == ("cancelled", 42, None, None)
