@@ -125,11 +125,14 @@ def train(features: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS):
     rank = F.xxhash64("doc_id", "ordinal")
     chosen = [labels.where(F.col("label") == x).select("doc_id", "ordinal", F.lit(float(x)).alias("label")).distinct()
               .orderBy(rank, "doc_id", "ordinal").limit(train_rows) for x in (0, 1)]
-    known = common.stored(chosen[0].unionByName(chosen[1]).dropDuplicates(["doc_id", "ordinal"]), "labelled")
+    known = common.stored(chosen[0].unionByName(chosen[1]).groupBy("doc_id", "ordinal").agg(F.max("label").alias("label")), "labelled")
     if {r["label"] for r in known.select("label").distinct().collect()} != {0.0, 1.0}:
         return None
-    rows = features.drop("label").join(F.broadcast(known), ["doc_id", "ordinal"]).dropDuplicates(["doc_id", "ordinal"]).select("label", *FEATURES)  # known: at most 2 * train_rows rows
-    sample = common.stored(VectorAssembler(inputCols=FEATURES, outputCol="features").transform(rows).select("label", "features").repartition(4, "label", F.xxhash64("features")), "forest-sample")
+    rows = (features.drop("label").join(F.broadcast(known), ["doc_id", "ordinal"])  # known: at most 2 * train_rows rows
+            .groupBy("doc_id", "ordinal").agg(F.min(F.struct("label", *FEATURES)).alias("r")).select("r.*"))
+    # in one order: the forest draws its samples by the place of a row, and would differ from run to run
+    ordered = rows.repartition(1).sortWithinPartitions("label", *FEATURES)
+    sample = common.stored(VectorAssembler(inputCols=FEATURES, outputCol="features").transform(ordered).select("label", "features"), "forest-sample")
     return RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED).fit(sample)
 
 

@@ -628,6 +628,16 @@ def test_secrets_context_and_short_values(spark):
     assert (features[0, 1].named, features[0, 1].assigned) == (1, 1) and (features[1, 1].named, features[1, 1].quoted) == (1, 1)
 
 
+def test_secrets_do_not_depend_on_the_rows_order(spark):
+    """The forest draws its samples in one order, however the rows lie."""
+    rng = random.Random(5)
+    key = lambda n: "".join(rng.choice("abcdefghijkmnpqrstuvwxyzABCDEFGH0123456789") for _ in range(n))
+    texts = [f"{rng.choice(['password = ', 'token: ', 'sha256 ', 'see ', 'id='])}{key(rng.randrange(16, 30))} and {prose(rng, 3)}longplainwordswithoutdigits" for _ in range(300)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("source", F.lit("a"))
+    got = [sorted(map(tuple, secrets.scan(d).collect())) for d in (df.coalesce(1), df.repartition(7), df.orderBy(F.desc("doc_id")))]
+    assert got[0] and got[0] == got[1] == got[2]
+
+
 def test_secrets_edges(spark, docs, empty):
     assert secrets.scan(empty).count() == 0
     assert secrets.scan(docs).where("score < 0.5").count() == 0
