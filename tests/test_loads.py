@@ -121,8 +121,7 @@ def test_different_bodies_of_one_batch_park_their_own(spark):
 
 
 def test_a_replay_storm_gives_one_error_entry(spark):
-    from callgauge.plans import ingest
-    bad = _body(1, latencyMs="x")
+        bad = _body(1, latencyMs="x")
     row = ingest.acks(_lines(spark, *[bad] * 1000), with_errors=True).first()
     assert row.rejected == 1000 and [(e.copies, e.paths) for e in row.errors] == [(1000, ["latencyMs"])]
     checked = ingest.ack_of(ingest.checked_rows(_lines(spark, *[bad] * 1000)), with_errors=True).first()
@@ -195,3 +194,10 @@ def test_spans_of_two_checkpoints_on_one_store(spark):
         jobs.drained(jobs.start_spans(stream, dst, f"{dst}/_ck-{checkpoint}"))
     assert [(r.status, r.output_text) for r in jobs.read_spans(spark, dst).collect()] == [("ok", "abc")]
     assert os.path.isdir(f"{dst}/chunk_log")
+
+
+def test_the_fixture_deals_out_narrow_rows(spark):
+    from callgauge.sources import adapters
+    plan = adapters.envelope_lines(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("RepartitionByExpression"):]
+    assert "to_json" not in below and "date_format" not in below and "concat" not in below
