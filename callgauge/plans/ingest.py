@@ -12,6 +12,7 @@ same function backs the batch loader and the streaming ``foreachBatch`` sink.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -56,6 +57,11 @@ def _checked(lines: DataFrame, now: str | None, prices=PRICES) -> DataFrame:
 DELIVERY = ["batch_id", "position", "_line"]
 
 
+def _delivery():
+    """DELIVERY as a struct of the same order; the hash as bytes, half as long as its text."""
+    return F.struct("batch_id", "position", F.unhex("_line").alias("_line"))
+
+
 def _log_keys(log: DataFrame, rows: DataFrame) -> DataFrame:
     """Keys of ``log``, read only from the months in which ``rows`` (valid events) fall: a
     semi-join on the partition column lets dynamic partition pruning skip the rest."""
@@ -88,16 +94,30 @@ def flag_rows(lines: DataFrame, log: DataFrame | None = None, now: str | None =
 def _first_deliveries(typed: DataFrame, log: DataFrame | None) -> DataFrame:
     """The earliest delivery of each valid event's key that is absent from ``log``."""
     key = rollup.DEDUP_KEY
-    first = typed.filter("valid").groupBy(*key).agg(F.min(F.struct(*DELIVERY)).alias("_first"))
+    first = typed.filter("valid").groupBy(*key).agg(F.min(_delivery()).alias("_first"))
     if log is not None:
         first = first.join(_log_keys(log, typed.filter("valid")), key, "left_anti")
     return first
 
 
-def new_rows(typed: DataFrame, log: DataFrame | None = None) -> DataFrame:
-    """The rows that :func:`flag_new` flags, and no other: a rejected row takes no part in the join."""
-    joined = typed.filter("valid").join(_first_deliveries(typed, log), rollup.DEDUP_KEY)
-    return joined.filter(F.struct(*DELIVERY) == F.col("_first")).drop("_first")
+def repeated_keys(typed: DataFrame, log: DataFrame | None = None) -> DataFrame:
+    """The keys of valid events that come more than once or are in ``log``, with the delivery that counts
+    in ``_first``: the earliest, or NULL if ``log`` has the key."""
+    key = rollup.DEDUP_KEY
+    valid = typed.filter("valid")
+    keys = valid.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"), F.min(_delivery()).alias("_first"))
+    if log is None:
+        return keys.where("_n > 1").select(*key, "_first")
+    known = _log_keys(log, valid).groupBy(*key).agg(F.lit(True).alias("_known"))
+    return keys.join(known, key, "left").where("_n > 1 OR _known").select(*key, F.expr("IF(_known, NULL, _first)").alias("_first"))
+
+
+def new_rows(typed: DataFrame, log: DataFrame | None = None, store: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """The rows that :func:`flag_new` flags, and no other. Only the repeated keys are joined to the rows:
+    where these are ``store``d first and few, the wide rows are not dealt out again by key."""
+    seen = store(repeated_keys(typed, log)).withColumn("_seen", F.lit(True))
+    joined = typed.filter("valid").join(seen, rollup.DEDUP_KEY, "left")
+    return joined.where(F.col("_seen").isNull() | (_delivery() == F.col("_first"))).drop("_first", "_seen")
 
 
 def flag_new(typed: DataFrame, log: DataFrame | None = None) -> DataFrame:
@@ -108,7 +128,7 @@ def flag_new(typed: DataFrame, log: DataFrame | None = None) -> DataFrame:
     single-task window. The rows are read more than once: a loader persists them.
     """
     typed = typed.join(_first_deliveries(typed, log), rollup.DEDUP_KEY, "left")
-    return typed.withColumn("is_new", F.coalesce(F.col("valid") & (F.struct(*DELIVERY) == F.col("_first")), F.lit(False))).drop("_first")
+    return typed.withColumn("is_new", F.coalesce(F.col("valid") & (_delivery() == F.col("_first")), F.lit(False))).drop("_first")
 
 
 def acks(lines: DataFrame, log: DataFrame | None = None, now: str | None = None, with_errors: bool = False, prices=PRICES) -> DataFrame:
@@ -156,6 +176,17 @@ def ack_of(checked: DataFrame, log: DataFrame | None = None, with_errors: bool =
     return g.selectExpr(*cols)
 
 
+def ack_of_written(checked: DataFrame, events: DataFrame) -> DataFrame:
+    """:func:`ack_of` of a load's checked rows, without errors, when its new ``events`` are stored: these are the
+    accepted rows, so no key is counted again, and a batch is a row of numbers before anything is dealt."""
+    counts = checked.select("batch_id", F.lit(0).cast("long").alias("_new"), F.expr("IF(valid, copies, 0L)").alias("_valid"),
+                            F.expr("IF(NOT envelope_ok OR (position IS NOT NULL AND NOT valid), copies, 0L)").alias("_rejected"))
+    new = events.select("batch_id", F.lit(1).cast("long").alias("_new"), F.lit(0).cast("long").alias("_valid"), F.lit(0).cast("long").alias("_rejected"))
+    return counts.unionByName(new).groupBy("batch_id").agg(
+        F.sum("_new").alias("accepted"), (F.sum("_valid") - F.sum("_new")).alias("duplicates"),
+        F.sum("_rejected").alias("rejected"), F.sum("_rejected").alias("dead_lettered"))
+
+
 def dlq_of(flagged: DataFrame, now: str | None = None) -> DataFrame:
     """Dead-letter rows: a rejected envelope keeps its whole body (stage
     'envelope'); a rejected event keeps its JSON and its id when that is a
@@ -205,9 +236,10 @@ def ingest(lines: DataFrame, log: DataFrame | None = None, now: str | None = Non
 
 
 def ingest_checked(checked: DataFrame, log: DataFrame | None = None, now: str | None = None,
-                   redaction_mode: str = "both", preview_chars: int = redaction.PREVIEW_CHARS) -> IngestResult:
-    """The write path from checked rows on."""
-    new = new_rows(checked, log)
+                   redaction_mode: str = "both", preview_chars: int = redaction.PREVIEW_CHARS,
+                   store: Callable[[DataFrame], DataFrame] = lambda df: df) -> IngestResult:
+    """The write path from checked rows on. ``store`` writes a small table and reads it again (:func:`new_rows`)."""
+    new = new_rows(checked, log, store)
     if redaction_mode in ("ingest", "both"):
         new = redaction.redaction_second_pass(
             new.withColumnRenamed("input_preview", "_in").withColumnRenamed("output_preview", "_out"),

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from callgauge.constants import PRICES
 from callgauge.functions import pricing
+from callgauge.plans import ingest
 from callgauge.sources import loads
 from callgauge.streaming import jobs
 
@@ -121,7 +122,8 @@ def test_different_bodies_of_one_batch_park_their_own(spark):
 
 
 def test_a_replay_storm_gives_one_error_entry(spark):
-        bad = _body(1, latencyMs="x")
+    from callgauge.plans import ingest
+    bad = _body(1, latencyMs="x")
     row = ingest.acks(_lines(spark, *[bad] * 1000), with_errors=True).first()
     assert row.rejected == 1000 and [(e.copies, e.paths) for e in row.errors] == [(1000, ["latencyMs"])]
     checked = ingest.ack_of(ingest.checked_rows(_lines(spark, *[bad] * 1000)), with_errors=True).first()
@@ -196,6 +198,27 @@ def test_spans_of_two_checkpoints_on_one_store(spark):
     assert os.path.isdir(f"{dst}/chunk_log")
 
 
+def test_a_load_joins_only_repeated_keys_to_its_rows(spark):
+    """The wide rows are not dealt out by key for the keys that come once; the verdicts are those of flag_new and ack_of."""
+    dst = jobs.scratch(spark, "t-repeats")
+    assert jobs.load_direct(spark, _lines(spark, _body(1)), dst, 0, NOW)
+    checked = ingest.checked_rows(_lines(spark, _body(1, 2, 3), _body(3, 4), _body(5, latencyMs="x"), "no JSON"), LATER, text_ids=True).persist()
+    for log, keys in ((None, {"3"}), (jobs.read_events(spark, dst), {"1", "3"})):
+        kept = []
+
+        def store(df):
+            kept.append(jobs._kept(df))
+            return kept[0]
+
+        new = ingest.new_rows(checked, log, store)
+        assert {r["event_id"][-1] for r in kept[0].collect()} == keys
+        want = ingest.flag_new(checked, log).where("is_new")
+        assert sorted(new.select(*ingest.DELIVERY).collect()) == sorted(want.select(*ingest.DELIVERY).collect())
+        acks = ingest.ack_of_written(checked, new)
+        assert sorted(acks.collect()) == sorted(ingest.ack_of(checked, log).select(*acks.columns).collect())
+    checked.unpersist()
+
+
 def test_the_fixture_deals_out_narrow_rows(spark):
     from callgauge.sources import adapters
     plan = adapters.envelope_lines(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
