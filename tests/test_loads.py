@@ -219,8 +219,8 @@ def test_a_load_joins_only_repeated_keys_to_its_rows(spark):
     checked.unpersist()
 
 
-def test_the_fixture_deals_out_narrow_rows(spark):
+def test_the_fixture_of_loads_deals_out_narrow_rows(spark):
     from callgauge.sources import adapters
-    plan = adapters.envelope_lines(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    plan = adapters.envelope_lines(spark, "/root/testdata/sf0.001", narrow=True)._jdf.queryExecution().optimizedPlan().toString()
     below = plan[plan.index("RepartitionByExpression"):]
     assert "to_json" not in below and "date_format" not in below and "concat" not in below
