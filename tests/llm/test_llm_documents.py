@@ -638,6 +638,38 @@ def test_secrets_do_not_depend_on_the_rows_order(spark):
     assert got[0] and got[0] == got[1] == got[2]
 
 
+def test_secrets_numbers_are_labelled(spark):
+    """Bare numbers are like no other labelled kind: without labels of their own, chance kept all or none."""
+    rng = random.Random(8)
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    texts = ["paid with 4111111111111111 today", "4111-1111-1111-1111", "bearer 1234567890123456", "order: 1234567890123456", "password = 1234567890123456", "see 12345678901234567a"]
+    df = spark.createDataFrame([(i, t, "p") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    assert {r.doc_id: r.label for r in secrets.rule_labels(secrets.candidates(df)).collect()} == {0: 0, 1: 0, 4: 1}
+    for part in range(2):
+        texts, planted = [], set()
+        for i in range(400):
+            kind, value = i % 8, "".join(rng.choice("0123456789abcdef") for _ in range(rng.choice([18, 40])))
+            texts.append((i, f"{prose(rng, 6)} {[f'token = {value}', digits(16), 'longplainwordswithoutdigits'][min(kind, 2)]} {prose(rng, 6)}", "p"))
+            planted |= {i} if kind == 0 else set()
+        got = secrets.scan(spark.createDataFrame(texts, "doc_id long, text string, source string")).collect()
+        assert {r.doc_id for r in got} == planted, part
+
+
+def test_secrets_sample_keeps_the_labels_shares(spark):
+    """A form of which most findings are labelled 0 is not kept because one label's rows are sampled more thinly."""
+    rng = random.Random(9)
+    rows, labels = [], []
+    for i in range(2500):
+        like = i % 25 < 4  # of one form: 100 labelled 1 and 300 labelled 0
+        value = "".join(rng.choice("0123456789abcdef") for _ in range(24)) if like else "longplainwordswithoutdigits"
+        rows.append((i, f"a b {value} c d", "p"))
+        labels.append((i, 0, int(i % 25 == 0)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    given = spark.createDataFrame(labels, "doc_id long, ordinal int, label int")
+    whole, thin = ({r.doc_id for r in secrets.scan(df, labels=given, train_rows=n).collect()} for n in (5000, 400))
+    assert len(whole) < 100 and len(thin) < 100
+
+
 def test_secrets_edges(spark, docs, empty):
     assert secrets.scan(empty).count() == 0
     assert secrets.scan(docs).where("score < 0.5").count() == 0
