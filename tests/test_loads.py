@@ -224,3 +224,35 @@ def test_the_fixture_of_loads_deals_out_narrow_rows(spark):
     plan = adapters.envelope_lines(spark, "/root/testdata/sf0.001", narrow=True)._jdf.queryExecution().optimizedPlan().toString()
     below = plan[plan.index("RepartitionByExpression"):]
     assert "to_json" not in below and "date_format" not in below and "concat" not in below
+
+
+def _events_table(spark, *ids):
+    """Rows of the ``events`` table, one a minute of 31 January 2024."""
+    rows = [(i, f"2024-01-31 12:{i % 60:02d}:00", i, "click", 10.0, '{"k": 1}') for i in ids]
+    return spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string, value double, props string").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+def test_a_load_into_a_store_whose_files_have_other_columns(spark):
+    """A load reads back what it wrote by its own columns and types, not by those of the files that were there."""
+    from callgauge.sources import adapters
+    dst = jobs.scratch(spark, "t-columns")
+    assert jobs.store_events(spark, adapters.events_to_inference(_events_table(spark, 1, 2)), dst)  # no batch_id; conversation_id is a number
+    assert jobs.load_direct(spark, _lines(spark, _body(1, latencyMs="x")), dst, 0, NOW)  # rejects only
+    assert _seen(spark, dst) == (2, 2, 1, 1)
+    conversation = "0193b5e0-1c4a-7000-8000-000000000101"
+    broken = [(m, "?", *rest) for m, _, *rest in PRICES]
+    assert jobs.load_direct(spark, _lines(spark, _body(3, conversationId=conversation), _body(3)), dst, 1, NOW, prices=broken)
+    assert jobs.load_direct(spark, _lines(spark, _body(4, conversationId=conversation), _body(4, 5)), dst, 2, NOW)
+    assert jobs.replay_dlq(spark, dst, 0, LATER)
+    acks = {(r.source, r.epoch): (r.accepted, r.duplicates, r.rejected) for r in jobs.read_acks(spark, dst).groupBy("source", "epoch").agg(
+        *(F.sum(c).alias(c) for c in ("accepted", "duplicates", "rejected"))).collect()}
+    assert acks == {("batch", 0): (0, 0, 1), ("batch", 1): (0, 0, 2), ("batch", 2): (2, 1, 0), ("replay", 0): (1, 1, 1)}
+    assert jobs.read_rollup(spark, dst).agg(F.sum("calls")).first()[0] == 5
+
+
+def test_retention_of_stored_events_and_dead_letters(spark, tmp_path):
+    """The query on events of January, one of them 40 days ahead (id 5), and a load of rejects (ids 50 to 99) into the same store."""
+    from callgauge.plans.queries import REGISTRY
+    _events_table(spark, 3, 5, 50, 51).write.parquet(f"{tmp_path}/events.parquet")
+    got = {(r.table_name, r.part): (r.rows, r.held) for r in REGISTRY["retention_drop"](spark, str(tmp_path)).collect()}
+    assert got == {("events", "2024-03"): (1, 1), ("rollup_delta", "2024-01-31"): (3, 3), ("rollup_delta", "2024-03-11"): (1, 1)}
